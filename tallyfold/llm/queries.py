@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import merge_dropout, pii, severity, wordpiece_count
+from tallyfold.llm import merge_dropout, mixture, pii, severity, wordpiece_count
 from tallyfold.llm.common import read
 
 
@@ -35,9 +35,14 @@ def op4_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity.score_column(docs, model).select("doc_id", F.round("severity", 6).alias("severity"), (F.col("severity") >= severity.REJECT).alias("toxic"))
 
 
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixture.plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece_count.token_counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_merge_dropout, op2_pii, op4_severity, op9_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_merge_dropout, op2_pii, op4_severity, op8_mixture, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
