@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import merge_dropout, mixture, pii, severity, wordpiece_count
+from tallyfold.llm import merge_dropout, mixture, pii, severity, warc, wordpiece_count
 from tallyfold.llm.common import read
 
 
@@ -44,5 +44,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece_count.token_counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_merge_dropout, op2_pii, op4_severity, op8_mixture, op9_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from the archives."""
+    return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_merge_dropout, op2_pii, op4_severity, op8_mixture, op9_token_counts, op10_warc)}
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Each five hexadecimal digits are four characters of base 32.
+_DIGEST = " || ".join(f"substr('{_BASE32}', (('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {s}) % 32 + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        r AS (SELECT page_id, octet_length(encode(html)) AS n, {_DIGEST} AS d, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM r""",
+}
