@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import collision_search, merge_dropout, mixture, pii, severity, warc, wordpiece_count
+from tallyfold.llm import collision_search, merge_dropout, mixture, pii, severity, warc, weighted_minhash, wordpiece_count
 from tallyfold.llm.common import read
 
 
@@ -40,6 +40,11 @@ def op6_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_search.search(read(spark, sf_dir, "embeddings"), k=20, query_every=20)
 
 
+def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return weighted_minhash.classes(read(spark, sf_dir, "documents"))
+
+
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixture.plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -54,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_merge_dropout, op2_pii, op4_severity, op6_collision_search, op8_mixture, op9_token_counts, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_merge_dropout, op2_pii, op4_severity, op6_collision_search, op7_weighted_minhash, op8_mixture, op9_token_counts, op10_warc)}
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Each five hexadecimal digits are four characters of base 32.
 _DIGEST = " || ".join(f"substr('{_BASE32}', (('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {s}) % 32 + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
