@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,15 @@ def partitions(spark: SparkSession) -> int:
 
 def whole_text(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def slices(batches, column: int, limit: int = 1 << 20):
+    """The same rows in batches whose ``column`` holds about ``limit`` bytes, or one longer value."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            floor = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, floor + limit, "right")))
+            yield batch.slice(at, end - at)
+            at = end

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfold.llm.common import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONG_WORD = 40
@@ -276,15 +278,14 @@ def document_keys(ids: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _batches(batches, seed: int, rate: float, model: str, check: bool):
-    for batch in batches:
+    for batch in slices(batches, 1):
         ids = np.nan_to_num(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64)
         texts = [t or "" for t in batch.column(1).to_pylist()]
         pieces, starts = encode(texts, document_keys(ids, seed), model, rate)
         lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(pieces, pa.int32()))
         columns = [batch.column(0), lists]
         if check:
-            flat = pieces.tolist()
-            columns.append(pa.array([decode(flat[a:b], model) == t for a, b, t in zip(starts[:-1].tolist(), starts[1:].tolist(), texts)]))
+            columns.append(pa.array([decode(pieces[a:b].tolist(), model) == t for a, b, t in zip(starts[:-1].tolist(), starts[1:].tolist(), texts)]))
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pieces", "lossless"][: len(columns)])
 
 
@@ -296,12 +297,16 @@ def round_trip(docs: DataFrame, seed: int = 7, rate: float = 0.1, model: str = M
 def encode_column(docs: DataFrame, seed: int = 7, rate: float = 0.1, model: str = MODEL, out: str = "pieces") -> DataFrame:
     """``docs`` with the piece ids of ``text`` in column ``out``."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def pieces(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        got, starts = encode([t or "" for t in texts], document_keys(ids.fillna(0).to_numpy(np.int64), seed), model, rate)
-        return pd.Series([got[a:b] for a, b in zip(starts[:-1], starts[1:])])
+    names, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    id_at, text_at = names.index("doc_id"), names.index("text")
+
+    def run(batches):
+        for batch in slices(batches, text_at):
+            ids = np.nan_to_num(batch.column(id_at).to_numpy(zero_copy_only=False)).astype(np.int64)
+            got, starts = encode([t or "" for t in batch.column(text_at).to_pylist()], document_keys(ids, seed), model, rate)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(got, pa.int32()))], [*names, out])
 
-    return docs.withColumn(out, pieces(F.col("doc_id"), F.col("text")))
+    return docs.mapInArrow(run, schema)
 
 
 def decode_column(encoded: DataFrame, model: str = MODEL, pieces: str = "pieces", out: str = "text") -> DataFrame:
