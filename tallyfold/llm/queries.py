@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import collision_search, merge_dropout, mixture, pii, severity, warc, weighted_minhash, wordpiece_count
+from tallyfold.llm import collision_search, imatch, merge_dropout, mixture, pii, severity, warc, weighted_minhash, wordpiece_count
 from tallyfold.llm.common import read
 
 
@@ -28,6 +28,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return imatch.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op4_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity (0 to 2) of every document, and whether it is rejected."""
     docs = read(spark, sf_dir, "documents")
@@ -59,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_merge_dropout, op2_pii, op4_severity, op6_collision_search, op7_weighted_minhash, op8_mixture, op9_token_counts, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_merge_dropout, op2_pii, op3_imatch, op4_severity, op6_collision_search, op7_weighted_minhash, op8_mixture, op9_token_counts, op10_warc)}
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Each five hexadecimal digits are four characters of base 32.
 _DIGEST = " || ".join(f"substr('{_BASE32}', (('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {s}) % 32 + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
