@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -61,3 +62,9 @@ def slices(batches, column: int, limit: int = 1 << 20):
             end = max(at + 1, int(np.searchsorted(ends, floor + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import collision_search, imatch, merge_dropout, mixture, pii, severity, warc, weighted_minhash, wordpiece_count
+from tallyfold.llm import collision_search, imatch, merge_dropout, mixture, pii, repeat_spans, severity, warc, weighted_minhash, wordpiece_count
 from tallyfold.llm.common import read
 
 
@@ -40,6 +40,12 @@ def op4_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity.score_column(docs, model).select("doc_id", F.round("severity", 6).alias("severity"), (F.col("severity") >= severity.REJECT).alias("toxic"))
 
 
+def op5_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated passages."""
+    cut = repeat_spans.strip_repeats(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found for each vector whose id is divisible by 20."""
     return collision_search.search(read(spark, sf_dir, "embeddings"), k=20, query_every=20)
@@ -64,7 +70,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_merge_dropout, op2_pii, op3_imatch, op4_severity, op6_collision_search, op7_weighted_minhash, op8_mixture, op9_token_counts, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_merge_dropout, op2_pii, op3_imatch, op4_severity, op5_repeat_spans, op6_collision_search, op7_weighted_minhash, op8_mixture, op9_token_counts, op10_warc)}
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Each five hexadecimal digits are four characters of base 32.
 _DIGEST = " || ".join(f"substr('{_BASE32}', (('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {s}) % 32 + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
