@@ -35,7 +35,12 @@ def days(spark: SparkSession, first: str, last: str) -> DataFrame:
 
 def weeks(spark: SparkSession, first: str, last: str) -> DataFrame:
     """(year, week, first_day, last_day, days), one row per agency week of the range."""
-    return with_week(days(spark, first, last), "day").groupBy("year", "week").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"))
+    return weeks_of(days(spark, first, last))
+
+
+def weeks_of(dates: DataFrame) -> DataFrame:
+    """The agency weeks of a table of days (day)."""
+    return with_week(dates, "day").groupBy("year", "week").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"))
 
 
 def closed(last_day: Column) -> Column:

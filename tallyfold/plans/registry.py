@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyfold.plans import q_sources
+from tallyfold.plans import q_expressions, q_joins, q_sources
 
-SECTIONS = [q_sources.section]
+SECTIONS = [q_sources.section, q_expressions.section, q_joins.section]
 QUERIES = {name: f for s in SECTIONS for name, f in s.queries.items()}
 SQL = {name: text for s in SECTIONS for name, text in s.sql.items()}
