@@ -1,12 +1,208 @@
-"""Forecast models over panels."""
+"""Forecast models over panels (series_id, level, service, t, year, week, y), and their backtests.
+
+Naive models need no fit: all origins and horizons are one job. Fitted models are pyspark.ml models on supervised
+rows; the loop over origins and horizons stays on the driver, each fit is distributed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from typing import Protocol
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators import panels
+
+SEASON, LEVEL = 52, 0.8
+KEYS = ["model", "origin", "horizon"]
+COLUMNS = [*KEYS, "series_id", "level", "service", "t", "y_real", "y_pred", "lo", "hi"]
+
 
 def future_only(forecast: DataFrame, panel: DataFrame) -> DataFrame:
     """Steps after the panel's last observed period."""
     last = panel.where("y is not null").agg(F.max("t").alias("__last"))
     return forecast.crossJoin(F.broadcast(last)).where(F.col("t") > F.col("__last")).drop("__last")
+
+
+def origins(panel: DataFrame, longest: int, n: int, step: int) -> DataFrame:
+    """(origin): n origins, ``step`` apart, the last of which still has all its targets in the panel."""
+    last = panel.agg(F.max("t").alias("m"))
+    return last.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("m") - longest - i * step)).alias("origin")).where("origin >= 0")
+
+
+def season_residuals(panel: DataFrame) -> DataFrame:
+    """(series_id, level, t, r): error of repeating the period a season ago."""
+    return panel.withColumn("r", F.col("y") - panels.lag(SEASON)).where("r is not null").select("series_id", "level", "t", "r")
+
+
+def interval_of_residuals(residuals: DataFrame, at: DataFrame, level: float = LEVEL, least: int = 20) -> DataFrame:
+    """(series_id, origin, low, high): residual quantiles of the history up to each origin.
+
+    A series with under ``least`` residuals gets those of all series together.
+    """
+    q = F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))
+    known = residuals.crossJoin(F.broadcast(at)).where(F.col("t") <= F.col("origin"))
+    own = known.groupBy("series_id", "origin").agg(F.percentile("r", q).alias("q"), F.count("*").alias("n"))
+    pooled = known.groupBy("origin").agg(F.percentile("r", q).alias("p"))
+    best = F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("p"))
+    return own.join(pooled, "origin").select("series_id", "origin", best[0].alias("low"), best[1].alias("high"))
+
+
+def _targets(panel: DataFrame, at: DataFrame, horizons: list[int]) -> DataFrame:
+    steps = at.select("origin", F.explode(F.array(*map(F.lit, horizons))).alias("horizon")).withColumn("t", F.col("origin") + F.col("horizon"))
+    # origins and horizons are a few dozen rows
+    return panel.join(F.broadcast(steps), "t").withColumnRenamed("y", "y_real")
+
+
+def _finish(rows: DataFrame, model: str, point: Column) -> DataFrame:
+    rows = rows.withColumn("y_pred", F.greatest(point.cast("double"), F.lit(0.0)))
+    lo = F.greatest(F.col("y_pred") + F.col("low"), F.lit(0.0))
+    return rows.select(F.lit(model).alias("model"), *COLUMNS[1:9], lo.alias("lo"), F.greatest(F.col("y_pred") + F.col("high"), lo).alias("hi"))
+
+
+def naive(panel: DataFrame, at: DataFrame, horizons: list[int]) -> DataFrame:
+    """The period a season ago, with the quantiles of its past errors."""
+    season = panel.select("series_id", (F.col("t") + SEASON).alias("t"), F.col("y").alias("season"))
+    rows = _targets(panel, at, horizons).join(season, ["series_id", "t"])
+    return _finish(rows.join(interval_of_residuals(season_residuals(panel), at), ["series_id", "origin"]), "naive", F.col("season"))
+
+
+def drift(panel: DataFrame, at: DataFrame, horizons: list[int], width: int = 13) -> DataFrame:
+    """The period a season ago plus the mean change of the last ``width`` periods, not below 0."""
+    residuals = season_residuals(panel)
+    change = residuals.crossJoin(F.broadcast(at)).where((F.col("t") <= F.col("origin")) & (F.col("t") > F.col("origin") - width)).groupBy("series_id", "origin").agg(F.avg("r").alias("change"))
+    season = panel.select("series_id", (F.col("t") + SEASON).alias("t"), F.col("y").alias("season"))
+    rows = _targets(panel, at, horizons).join(season, ["series_id", "t"]).join(change, ["series_id", "origin"])
+    return _finish(rows.join(interval_of_residuals(residuals, at), ["series_id", "origin"]), "drift", F.col("season") + F.col("change"))
+
+
+def zero(panel: DataFrame, at: DataFrame, horizons: list[int]) -> DataFrame:
+    """Always 0: the reference for sparse counts."""
+    return _finish(_targets(panel, at, horizons).withColumns({"low": F.lit(0.0), "high": F.lit(0.0)}), "zero", F.lit(0.0))
+
+
+def backtest(panel: DataFrame, models: list[str], horizons: list[int], n: int = 13, step: int = 4) -> DataFrame:
+    """Predictions of the named models from every origin, one row per (model, origin, horizon, series)."""
+    at = origins(panel, max(horizons), n, step)
+    out = None
+    for name in models:
+        rows = REGISTRY[name](panel, at, horizons)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def forecast(panel: DataFrame, model: str, steps: int) -> DataFrame:
+    """Predictions of the periods after the panel's end."""
+    marked = panel.unionByName(panels.future_rows(panel, steps).drop("horizon"))
+    at = panel.where("y is not null").agg(F.max("t").alias("origin"))
+    return REGISTRY[model](marked, at, list(range(1, steps + 1)))
+
+
+def level_hybrid(predictions: DataFrame, total: str, leaves: str, name: str = "hybrid") -> DataFrame:
+    """The total from one model, all below from another; to be reconciled."""
+    keep = F.when(F.col("level") == "total", F.col("model") == total).otherwise(F.col("model") == leaves)
+    return predictions.where(keep).withColumn("model", F.lit(name))
+
+
+class Estimator(Protocol):
+    """What a fitted model offers: predictions for target rows after a fit on training rows."""
+
+    def fit_predict(self, train: DataFrame, target: DataFrame) -> DataFrame: ...
+
+
+class PoissonGlm:
+    """One Poisson regression for all series: scaled features, and an indicator per series."""
+
+    def __init__(self, ridge: float = 1e-4):
+        self.ridge = ridge
+
+    def fit_predict(self, train: DataFrame, target: DataFrame) -> DataFrame:
+        stages = [
+            VectorAssembler(inputCols=panels.feature_names(), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
+            StringIndexer(inputCol="series_id", outputCol="code", stringOrderType="alphabetAsc", handleInvalid="keep"), OneHotEncoder(inputCols=["code"], outputCols=["hot"]),
+            VectorAssembler(inputCols=["scaled", "hot"], outputCol="features"),
+            GeneralizedLinearRegression(family="poisson", link="log", labelCol="y", regParam=self.ridge, maxIter=20, predictionCol="y_pred"),
+        ]
+        return Pipeline(stages=stages).fit(train).transform(target)
+
+
+class BoostedTrees:
+    """One boosted ensemble for all series on the square root of counts (there is no Poisson loss)."""
+
+    def __init__(self, trees: int = 20, depth: int = 4, seed: int = 3):
+        self.trees, self.depth, self.seed = trees, depth, seed
+        self.importances = None
+
+    def fit_predict(self, train: DataFrame, target: DataFrame) -> DataFrame:
+        stages = [
+            StringIndexer(inputCol="series_id", outputCol="code", stringOrderType="alphabetAsc", handleInvalid="keep"), VectorAssembler(inputCols=[*panels.feature_names(), "code"], outputCol="features"),
+            GBTRegressor(labelCol="root", maxIter=self.trees, maxDepth=self.depth, maxBins=128, seed=self.seed, predictionCol="root_pred"),
+        ]
+        model = Pipeline(stages=stages).fit(train.withColumn("root", F.sqrt(F.col("y").cast("double"))))
+        self.importances = dict(zip([*panels.feature_names(), "code"], model.stages[-1].featureImportances.toArray().tolist()))
+        return model.transform(target).withColumn("y_pred", F.pow(F.greatest("root_pred", F.lit(0.0)), 2))
+
+
+class ByPandas:
+    """A model of the user: a function from a series' rows (train and target, with y missing in the target)."""
+
+    def __init__(self, function: Callable, schema: str):
+        self.function, self.schema = function, schema
+
+    def fit_predict(self, train: DataFrame, target: DataFrame) -> DataFrame:
+        both = train.unionByName(target.withColumn("y", F.lit(None).cast("long")), allowMissingColumns=True)
+        return both.groupBy("series_id").applyInPandas(self.function, self.schema)
+
+
+def fitted(panel: DataFrame, estimator: Estimator, origin: int, horizon: int) -> DataFrame:
+    """(series_id, level, t, y_real, y_pred) of one origin and horizon: fitted on targets up to the origin."""
+    rows = panels.supervised(panel, [horizon])
+    train, target = rows.where(F.col("t") <= origin), rows.where(F.col("t") == origin + horizon)
+    return estimator.fit_predict(train, target).select("series_id", "level", "t", F.col("y").alias("y_real"), F.greatest("y_pred", F.lit(0.0)).alias("y_pred"))
+
+
+def seasonal_poisson(total: DataFrame, origin: int, half_life: float = 104.0, harmonics: int = 2) -> DataFrame:
+    """Counts of one series by harmonics, with days of exposure as offset and weights that halve with age."""
+    from tallyfold.functions import calendar
+
+    terms = calendar.fourier(F.col("week"), harmonics)
+    rows = total.withColumns({**terms, "offset": F.log(F.coalesce(F.col("days"), F.lit(7)) / 7.0), "weight": F.pow(F.lit(0.5), (F.lit(origin) - F.col("t")) / half_life)})
+    stages = [VectorAssembler(inputCols=list(terms), outputCol="features"), GeneralizedLinearRegression(family="poisson", link="log", labelCol="y", offsetCol="offset", weightCol="weight", predictionCol="mu")]
+    return Pipeline(stages=stages).fit(rows.where(F.col("t") <= origin)).transform(rows).select("series_id", "t", "y", "mu")
+
+
+def log_gamma(x: Column) -> Column:
+    """Stirling's series after moving the argument up by 8."""
+    z = x + 8
+    shift = F.log(x)
+    for k in range(1, 8):
+        shift = shift + F.log(x + k)
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5))) - shift
+
+
+def gamma_shape(counts: DataFrame, n: str = "n", expected: str = "expected") -> DataFrame:
+    """(log_shape, log_likelihood): the shape of relative rates by marginal likelihood, on a grid refined twice."""
+    low, high, size = -3.0, 12.0, 60
+    best = None
+    for _ in range(3):
+        step = (high - low) / size
+        grid = F.transform(F.sequence(F.lit(0), F.lit(size)), lambda i: F.lit(low) + i * F.lit(step))
+        tried = counts.select(F.col(n).cast("double").alias("n"), F.greatest(F.col(expected), F.lit(1e-9)).alias("e"), F.explode(grid).alias("log_shape"))
+        a, k, e = F.exp("log_shape"), F.col("n"), F.col("e")
+        terms = log_gamma(k + a) - log_gamma(a) + a * F.log(a / (a + e)) + k * F.log(e / (a + e))
+        best = tried.groupBy("log_shape").agg(F.sum(terms).alias("log_likelihood")).orderBy(F.desc("log_likelihood"), "log_shape").limit(1)
+        centre = best.first()["log_shape"]
+        low, high = max(-3.0, centre - step), min(12.0, centre + step)
+    return best
+
+
+def shrunk_shares(counts: DataFrame, shape: float, n: str = "n", expected: str = "expected") -> Column:
+    """Relative rate of a leaf, drawn towards 1: (n + a) / (e + a)."""
+    return (F.col(n) + shape) / (F.col(expected) + shape)
+
+
+REGISTRY: dict[str, Callable[[DataFrame, DataFrame, list[int]], DataFrame]] = {"naive": naive, "drift": drift, "zero": zero}
