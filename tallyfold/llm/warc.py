@@ -2,13 +2,14 @@
 
 Each page becomes a record: the first page of each payload (smallest page_id) a ``response``, later pages with
 the same payload of at least ``min_bytes`` a ``revisit`` that refers to it. All headers and digests are made anew
-from the rows. Records are in page_id order; their order and compressed sizes fix the shard of each record, and
-within a shard a file is closed when it reaches ``roll_bytes``, so the same rows give the same files for any
-number of executors. A file is written under a temporary name and renamed when it is complete; a task that runs
+from the rows. Records are in page_id order. Shards are ranges of page ids, cut at the bounds of ``CELLS`` equal
+parts of the whole range so that a shard holds about ``shard_bytes`` of payload; within a shard a file is closed
+when it reaches ``roll_bytes`` compressed. So the same rows give the same files for any number of executors. A file is written under a temporary name and renamed when it is complete; a task that runs
 again writes the same bytes under the same name. The manifest, a table of the files with their sizes and SHA-256,
 is written last: a reader opens only what it lists and checks the digests.
 
-Pages are compressed once, where they are read; what is shuffled afterwards are the compressed records.
+Pages are compressed where they are read, and the compressed records are shuffled once, to their shards. Which
+pages are revisits is found beforehand from digests alone, and goes along as rows of its own.
 
 Cases: null html is an empty payload; null url gives ``urn:none``; a null page_id is written as such and sorts
 first; repeated rows give a record each, the first of them the response; an empty table gives an empty manifest.
@@ -30,12 +31,18 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import partitions, scratch, settle, slices
 
-SHARD_BYTES, ROLL_BYTES = 32 << 20, 16 << 20
+SHARD_BYTES, ROLL_BYTES = 32 << 20, 8 << 20
+#: Equal parts of the range of page ids, at whose bounds shards are cut.
+CELLS = 1 << 14
 DATE = "1970-01-01T00:00:00Z"
 _PAGE = re.compile(rb"page:(-?[0-9]+|null)")
 _MANIFEST = "file string, shard long, first_page long, records long, bytes long, sha256 string"
 
 
+def base32(hex_digest: str) -> str:
+    return base64.b32encode(bytes.fromhex(hex_digest)).decode()
+
+
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -68,55 +75,59 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, digest:
     return gzip.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n", 6, mtime=0)
 
 
+def digests(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, bytes) of all pages; digests are hexadecimal."""
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    return settle(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")), "warc-digests")
+
+
+def repeated(known: DataFrame, min_bytes: int) -> DataFrame:
+    """(page_id, digest, first): the payloads that occur more than once, by page, with the page that is the response."""
+    by_page = known.where(F.col("bytes") >= min_bytes).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    first = by_page.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    # one row per payload that occurs more than once; a hot payload is split by adaptive execution
+    return by_page.join(first.hint("merge"), "digest").select("page_id", "digest", "first")
+
+
+def shards(known: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int]:
+    """(cell, shard), one row for each of at most ``CELLS`` cells, and the least id and the width of a cell."""
+    least, most = known.agg(F.coalesce(F.min("page_id"), F.lit(0)), F.coalesce(F.max("page_id"), F.lit(0))).first()
+    width = (most - least) // CELLS + 1
+    by_cell = known.groupBy(_cell(least, width).alias("cell")).agg(F.sum("bytes").alias("bytes"))
+    before = F.coalesce(F.sum("bytes").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return by_cell.withColumn("before", before).select("cell", F.expr(f"before div {int(shard_bytes)}").alias("shard")), least, width
+
+
+def _cell(least: int, width: int):
+    return F.coalesce(F.expr(f"(page_id - {least}) div {width}"), F.lit(-1).cast("long"))
+
+
 def compressed(pages: DataFrame) -> DataFrame:
-    """(row, page_id, url, payload_bytes, digest, member): every page as the response it may become."""
+    """(page_id, digest, url, bytes, member): every page as the response it may become."""
 
     def run(batches):
         for batch in slices(batches, 2, 1 << 22):
-            out: dict[str, list] = {k: [] for k in ("payload_bytes", "digest", "member")}
+            digest, size, member = [], [], []
             for page_id, url, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 payload = (html or "").encode("utf-8", "surrogatepass")
-                digest = base32_sha1(payload)
-                out["payload_bytes"].append(len(payload))
-                out["digest"].append(digest)
-                out["member"].append(record(page_id, url, payload, digest, len(payload)))
-            arrays = [batch.column(0), batch.column(1), pa.array(out["payload_bytes"], pa.int64()), pa.array(out["digest"], pa.string()), pa.array(out["member"], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "payload_bytes", "digest", "member"])
-
-    made = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, payload_bytes long, digest string, member binary")
-    return settle(made.withColumn("row", F.monotonically_increasing_id()), "warc-records")
-
-
-def roles(records: DataFrame, min_bytes: int) -> DataFrame:
-    """(row, refers_to, revisit) of the small columns; ``records`` is what ``compressed`` gives."""
-    small = records.select("row", "page_id", "digest", "payload_bytes")
-    key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    first = small.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # one row per payload that occurs more than once; a hot payload is split by adaptive execution
-    joined = small.join(first.select("digest", "first").hint("merge"), "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("row") != F.col("first")["row"])
-    return joined.select("row", revisit.alias("revisit"), F.when(revisit, F.col("first")["page_id"]).alias("refers_to"))
-
+                d = hashlib.sha1(payload).hexdigest()
+                digest.append(d)
+                size.append(len(payload))
+                member.append(record(page_id, url, payload, base32(d), len(payload)))
+            arrays = [batch.column(0), pa.array(digest, pa.string()), batch.column(1), pa.array(size, pa.int64()), pa.array(member, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "digest", "url", "bytes", "member"])
 
-def shards(records: DataFrame, shard_bytes: int) -> DataFrame:
-    """(row, shard): records in page order, cut where the running compressed size passes a multiple."""
-    n = partitions(records.sparkSession)
-    order = ("page_id", "digest", "row")
-    ranged = settle(records.select(*order, F.length("member").alias("bytes")).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "warc-order")
-    within = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    # one row per partition
-    offset = ranged.groupBy("part").agg(F.sum("bytes").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    at = ranged.withColumn("inside", F.coalesce(F.sum("bytes").over(within), F.lit(0))).join(F.broadcast(offset.select("part", "offset")), "part")
-    return at.select("row", F.expr(f"(offset + inside) div {int(shard_bytes)}").alias("shard"))
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, digest string, url string, bytes long, member binary")
 
 
 def _writer(uri: str, roll_bytes: int):
+    """Writes rows that are sorted by (shard, page_id, digest); a row without a member says that what follows repeats."""
+
     def run(batches):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(uri)
-        state = None
-        done: list[tuple] = []
+        state, rule, done = None, None, []
 
         def close():
             state["out"].close()
@@ -130,13 +141,23 @@ def _writer(uri: str, roll_bytes: int):
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(rows, kinds)], [x.split()[0] for x in _MANIFEST.split(", ")])
 
         for batch in batches:
-            for shard, page_id, url, size, digest, refers_to, revisit, member in zip(*(batch.column(k).to_pylist() for k in range(8))):
-                data = record(page_id, url, None, digest, size, refers_to) if revisit else member
-                if state and (state["shard"] != shard or state["bytes"] >= roll_bytes):
+            for shard, page_id, digest, first, url, size, member in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if member is None:
+                    # [page and payload, page of the response, whether the response is still to come]
+                    rule = [(page_id, digest), first, first == page_id]
+                    continue
+                if rule and rule[0] == (page_id, digest):
+                    data = member if rule[2] else record(page_id, url, None, base32(digest), size, rule[1])
+                    rule[2] = False
+                else:
+                    data = member
+                seq = 0
+                if state and state["shard"] == shard:
+                    seq = state["seq"] + (state["bytes"] >= roll_bytes)
+                if state and (state["shard"], state["seq"]) != (shard, seq):
                     close()
-                    state = {"seq": state["seq"] + 1} if state["shard"] == shard else None
-                if not state or "out" not in state:
-                    seq = state["seq"] if state else 0
+                    state = None
+                if not state:
                     name = f"part-{shard:06d}-{seq:03d}.warc.gz"
                     temp = f"{root}/.{name}.{uuid.uuid4().hex}.tmp"
                     state = {"seq": seq, "name": name, "temp": temp, "out": store.open_output_stream(temp, compression=None), "shard": shard, "first": page_id, "n": 0, "bytes": 0, "hash": hashlib.sha256()}
@@ -159,13 +180,14 @@ def write(pages: DataFrame, uri: str, min_bytes: int = 0, shard_bytes: int = SHA
     spark = pages.sparkSession
     store, root = fs.FileSystem.from_uri(uri)
     store.create_dir(root, recursive=True)
-    records = compressed(pages)
-    plan = roles(records, min_bytes).join(shards(records, shard_bytes).hint("merge"), "row")
-    full = records.join(plan.hint("merge"), "row")
-    # a revisit's compressed page is not needed any more
-    full = full.withColumn("member", F.when(~F.col("revisit"), F.col("member")))
-    ordered = full.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "page_id", "digest", "row")
-    ordered.select("shard", "page_id", "url", "payload_bytes", "digest", "refers_to", "revisit", "member").mapInArrow(_writer(uri, roll_bytes), _MANIFEST).write.parquet(f"{uri}/manifest")
+    known = digests(pages)
+    cells, least, width = shards(known, shard_bytes)
+    rules = repeated(known, min_bytes).select("page_id", "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("binary").alias("member"))
+    rows = compressed(pages).select("page_id", "digest", F.lit(None).cast("long").alias("first"), "url", "bytes", "member")
+    # at most CELLS rows of two numbers
+    placed = rows.union(rules).withColumn("cell", _cell(least, width)).join(F.broadcast(cells), "cell")
+    ordered = placed.repartition(partitions(spark), "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", F.col("member").isNotNull(), "url", "bytes")
+    ordered.select("shard", "page_id", "digest", "first", "url", "bytes", "member").mapInArrow(_writer(uri, roll_bytes), _MANIFEST).write.parquet(f"{uri}/manifest")
     return spark.read.parquet(f"{uri}/manifest")
 
 
