@@ -57,16 +57,16 @@ def nearest(q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
     # one array for all projections, each moved into a range of its own, so that all windows are found at once
     apart = 4.0 * (float(np.abs(table).max()) + 1.0)
     moved = (table + apart * np.arange(PROJECTIONS)[:, None]).ravel()
-    order = order.astype(np.int32).ravel()
+    order = order.astype(np.intp).ravel()
     first = np.arange(PROJECTIONS) * n
     # a query has the full norm already, so that its last component is 0
     q_norm = np.sqrt((q * q).sum(1))
     centre = (q * (top / q_norm)[:, None]) @ axes[:dim]
-    start = max(top / 4, 1e-9)
+    start = max(top / 2, 1e-9)
     enough = max(20 * k, int(PROBES * n))
     out: list[list[np.ndarray]] = [[], [], []]
     for j in range(len(q)):
-        counts = np.zeros(n, np.int32)
+        counts = np.zeros(n, np.intp)
         # a window never leaves its projection's range
         at = np.clip(centre[j], -apart / 4, apart / 4) + apart * np.arange(PROJECTIONS)
         lo = hi = np.searchsorted(moved, at)
@@ -77,7 +77,7 @@ def nearest(q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
             a = np.maximum(np.searchsorted(moved, at - half, "left"), first)
             b = np.minimum(np.searchsorted(moved, at + half, "right"), first + n)
             fresh = [order[x:y] for x, y in zip(a.tolist(), lo.tolist())] + [order[x:y] for x, y in zip(hi.tolist(), b.tolist())]
-            counts += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
+            counts += np.bincount(np.concatenate(fresh), minlength=n)
             lo, hi = np.minimum(a, lo), np.maximum(b, hi)
             whole = bool((hi - lo == n).all())
             new = np.flatnonzero(~verified & (whole | (counts >= THRESHOLD)))
