@@ -297,6 +297,7 @@ def round_trip(docs: DataFrame, seed: int = 7, rate: float = 0.1, model: str = M
 def encode_column(docs: DataFrame, seed: int = 7, rate: float = 0.1, model: str = MODEL, out: str = "pieces") -> DataFrame:
     """``docs`` with the piece ids of ``text`` in column ``out``."""
 
+    docs = docs.drop(out)
     names, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     id_at, text_at = names.index("doc_id"), names.index("text")
 

@@ -80,8 +80,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     return settle(docs.withColumn("row", F.monotonically_increasing_id()), "mixture-rows")
 
 
-def plan(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """``docs`` has (doc_id, source, text) and may have ``row``, a number of its own for each row.
+def plan(docs: DataFrame, seed: int = 11, row: str | None = None) -> DataFrame:
+    """``docs`` has (doc_id, source, text); ``row`` names a column with a number of its own for each row, if there is one.
 
     Returns (row, doc_id, source, size, source_size, target, first, second, taken): words taken of each document.
 
@@ -89,7 +89,7 @@ def plan(docs: DataFrame, seed: int = 11) -> DataFrame:
     (from, to) of the word numbers, or null.
     """
     sizes = settle(
-        docs.select(F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row"), "doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h")),
+        docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h")),
         "mixture-sizes",
     ).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     shares = settle(targets(sizes), "mixture-targets")
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     """
     columns = docs.columns
     kept = numbered(docs.select(F.struct(*columns).alias("doc")))
-    chosen = plan(kept.select("row", "doc.doc_id", "doc.source", "doc.text"), seed).where("taken > 0").select("row", "size", F.explode(F.array_compact(F.array("first", "second"))).alias("span"))
+    chosen = plan(kept.select("row", "doc.doc_id", "doc.source", "doc.text"), seed, row="row").where("taken > 0").select("row", "size", F.explode(F.array_compact(F.array("first", "second"))).alias("span"))
     whole = F.expr("span[0] = 0 and span[1] = size")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("span")[0] + 1).cast("int"), (F.col("span")[1] - F.col("span")[0]).cast("int")), " ")
     out = kept.join(chosen.hint("merge"), "row").select("doc.*", "span", "size").withColumn("text", F.when(whole, F.col("text")).otherwise(part))
