@@ -52,13 +52,13 @@ def count_quantiles(rows: DataFrame, key: str, mu: str, phi: str, coverage: floa
     a = (1 - coverage) / 2
     m, f = F.greatest(F.col(mu), F.lit(1e-9)), F.greatest(F.col(phi), F.lit(1.0))
     top = F.ceil(m + 12 * F.sqrt(f * m) + 30).cast("int")
-    each = rows.select(key, m.alias("m"), f.alias("f"), F.explode(F.sequence(F.lit(0), top)).alias("k"))
+    each = rows.select(F.col(key).alias("__key"), m.alias("m"), f.alias("f"), F.explode(F.sequence(F.lit(0), top)).alias("k"))
     p = 1 / F.col("f")
     first = F.when(F.col("f") > 1, F.col("m") * F.try_divide(F.log(p), F.col("f") - 1)).otherwise(-F.col("m"))
     ratio = F.when(F.col("f") > 1, F.log((F.try_divide(F.col("m"), F.col("f") - 1) + F.col("k") - 1) / F.col("k") * (1 - p))).otherwise(F.log(F.col("m") / F.col("k")))
-    run = W.partitionBy(key).orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    run = W.partitionBy("__key").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     each = each.withColumn("log_p", F.when(F.col("k") == 0, first).otherwise(ratio)).withColumn("log_p", F.sum("log_p").over(run))
     each = each.withColumn("cdf", F.sum(F.exp("log_p")).over(run))
-    found = each.groupBy(key).agg(F.min(F.when(F.col("cdf") >= a, F.col("k"))).alias("lo"), F.min(F.when(F.col("cdf") >= 1 - a, F.col("k"))).alias("hi"), F.sort_array(F.collect_list(F.struct("k", "cdf"))).alias("all"))
+    found = each.groupBy("__key").agg(F.min(F.when(F.col("cdf") >= a, F.col("k"))).alias("lo"), F.min(F.when(F.col("cdf") >= 1 - a, F.col("k"))).alias("hi"), F.sort_array(F.collect_list(F.struct("k", "cdf"))).alias("all"))
     at = lambda k: F.when(k < 0, 0.0).otherwise(F.element_at("all", F.greatest(k, F.lit(0)) + 1)["cdf"])
-    return found.select(key, "lo", "hi", (at(F.col("hi")) - at(F.col("lo") - 1)).alias("covered"))
+    return found.select(F.col("__key").alias(key), "lo", "hi", (at(F.col("hi")) - at(F.col("lo") - 1)).alias("covered"))
