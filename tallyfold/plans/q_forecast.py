@@ -17,7 +17,8 @@ VALUE_COLS = "round(y_pred, 6) AS y_pred, round(lo, 6) AS lo, round(hi, 6) AS hi
 
 
 def backtest(t: Tables) -> DataFrame:
-    return models.backtest(panel(t), ["naive", "drift"], HORIZONS)
+    """Predictions of both naive models; kept, as most questions use them several times."""
+    return models.backtest(panel(t), ["naive", "drift"], HORIZONS).persist()
 
 
 def hybrid(t: Tables) -> DataFrame:

@@ -92,10 +92,13 @@ def calendar_table(t: Tables) -> DataFrame:
 
 
 def panel(t: Tables) -> DataFrame:
-    """(series_id, level, service, t, year, week, y): weekly sums per area, region and in total; week 53 is out."""
+    """(series_id, level, service, t, year, week, y): weekly sums per area, region and in total; week 53 is out.
+
+    The panel is far smaller than its facts and used several times by most plans, so it is kept.
+    """
     from tallyfold.operators import panels
 
     sums = weekly_visits(t).groupBy("area", "year", "week").agg(F.sum("total").alias("y"))
     leaves = t.nation.select(F.col("n_nationkey").alias("area"), F.col("n_regionkey").alias("service"))
     leaves = leaves.withColumn("series_id", F.concat(F.lit("A"), F.lpad(F.col("area").cast("string"), 2, "0")))
-    return panels.hierarchical(sums, leaves, calendar_table(t), unit="area", value="y")
+    return panels.hierarchical(sums, leaves, calendar_table(t), unit="area", value="y").persist()
