@@ -50,7 +50,7 @@ def ranked_shares(df: DataFrame, key: str, year: str, years: list[int], value: s
     """(key, one column a year, total, share, rank), from sums that are taken before the ranking."""
     sums = df.groupBy(key).agg(*(F.sum(F.when(F.col(year) == y, F.col(value))).alias(f"y{y}") for y in years), F.sum(value).alias("total"))
     every = W.partitionBy()
-    return sums.withColumns({"share": F.col("total") / F.sum("total").over(every), "rank": F.row_number().over(W.orderBy(F.desc("total"), key))})
+    return sums.withColumns({"share": F.try_divide("total", F.sum("total").over(every)), "rank": F.row_number().over(W.orderBy(F.desc("total"), key))})
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -73,7 +73,7 @@ def extra_copies(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def cumulative_share(totals: DataFrame, key: str, value: str, cut: float) -> DataFrame:
     """(key, share, running, within): shares from the largest down, and whether they are needed to reach the cut."""
-    share = F.col(value) / F.sum(value).over(W.partitionBy())
+    share = F.try_divide(value, F.sum(value).over(W.partitionBy()))
     shares = totals.withColumn("share", share)
     run = F.sum("share").over(W.orderBy(F.desc("share"), key).rowsBetween(W.unboundedPreceding, 0))
     return shares.withColumn("running", run).withColumn("within", F.col("running") - F.col("share") < cut).select(key, "share", "running", "within")

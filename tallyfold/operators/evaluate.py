@@ -88,7 +88,7 @@ def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
     out = at.groupBy(*by).agg(F.sum("ties").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("up"), F.sum(F.col("rank") * (F.col("ties") - F.col("plus"))).alias("down"), F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("tied"))
     n = F.col("n").cast("double")
     low = F.least("up", "down")
-    z = (low - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48)
+    z = F.try_divide(low - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48))
     return out.select(*by, "n", low.alias("w"), z.alias("z"), F.least(2 * normal_tail(F.abs(z)), F.lit(1.0)).alias("p"))
 
 
@@ -138,7 +138,7 @@ def autocorrelation(panel: DataFrame, lags: int) -> DataFrame:
     c = panel.withColumn("c", F.col("y") - F.avg("y").over(w)).withColumn("n", F.count("*").over(w))
     products = {f"p{k}": F.col("c") * F.lag("c", k).over(w.orderBy("t")) for k in range(lags + 1)}
     sums = c.withColumns(products).groupBy("series_id").agg(F.first("n").alias("n"), *(F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"p{k}") for k in range(lags + 1)))
-    return sums.select("series_id", "n", (1.96 / F.sqrt(F.col("n"))).alias("band"), F.array(*(F.col(f"p{k}") / F.col("p0") for k in range(lags + 1))).alias("acf"))
+    return sums.select("series_id", "n", (1.96 / F.sqrt(F.col("n"))).alias("band"), F.array(*(F.try_divide(f"p{k}", "p0") for k in range(lags + 1))).alias("acf"))
 
 
 def partial_autocorrelation(acf: Column, lags: int) -> Column:
@@ -163,8 +163,8 @@ def stationarity(panel: DataFrame) -> DataFrame:
     rows = panel.withColumns({"x": before.cast("double"), "dy": (F.col("y") - before).cast("double")})
     slope = F.regr_slope("dy", "x")
     n = F.regr_count("dy", "x")
-    se = F.sqrt((F.regr_syy("dy", "x") - slope * F.regr_sxy("dy", "x")) / (n - 2) / F.regr_sxx("dy", "x"))
-    df = rows.groupBy("series_id").agg((slope / se).alias("df"))
+    se = F.sqrt(F.try_divide(F.try_divide(F.regr_syy("dy", "x") - slope * F.regr_sxy("dy", "x"), n - 2), F.regr_sxx("dy", "x")))
+    df = rows.groupBy("series_id").agg(F.try_divide(slope, se).alias("df"))
     c = panel.withColumn("c", F.col("y") - F.avg("y").over(W.partitionBy("series_id")))
     c = c.withColumn("s", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0)))
     lags = 5
@@ -174,7 +174,7 @@ def stationarity(panel: DataFrame) -> DataFrame:
     variance = F.col("p0") / count
     for k in range(1, lags + 1):
         variance = variance + 2 * (1 - k / (lags + 1)) * F.col(f"p{k}") / count
-    return one.select("series_id", "n", (F.col("ss") / (count * count * variance)).alias("kpss")).join(df, "series_id")
+    return one.select("series_id", "n", F.try_divide("ss", count * count * variance).alias("kpss")).join(df, "series_id")
 
 
 def strengths(panel: DataFrame, half: int = SEASON // 2) -> DataFrame:
@@ -184,5 +184,5 @@ def strengths(panel: DataFrame, half: int = SEASON // 2) -> DataFrame:
     rows = rows.withColumn("detrended", F.col("y") - F.col("trend"))
     rows = rows.withColumn("seasonal", F.avg("detrended").over(W.partitionBy("series_id", "week")) - F.avg("detrended").over(W.partitionBy("series_id")))
     rows = rows.withColumn("rest", F.col("detrended") - F.col("seasonal"))
-    strength = lambda c: F.greatest(1 - F.var_pop("rest") / F.var_pop(F.col(c) + F.col("rest")), F.lit(0.0))
+    strength = lambda c: F.greatest(1 - F.try_divide(F.var_pop("rest"), F.var_pop(F.col(c) + F.col("rest"))), F.lit(0.0))
     return rows.groupBy("series_id").agg(strength("trend").alias("trend_strength"), strength("seasonal").alias("seasonal_strength"))

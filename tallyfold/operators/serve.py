@@ -13,7 +13,7 @@ def summary(panel: DataFrame, forecast: DataFrame, names: DataFrame, window: int
     recent = panel.crossJoin(F.broadcast(last)).where(F.col("t") > F.col("m") - window).groupBy("series_id").agg(F.avg("y").alias("recent"))
     ahead = forecast.where(F.col("horizon") <= window).groupBy("series_id").agg(F.avg("y_pred").alias("ahead"), F.avg("lo").alias("lo"), F.avg("hi").alias("hi"))
     out = names.join(recent, "series_id", "left").join(ahead, "series_id", "left")
-    change = 100.0 * (F.col("ahead") / F.col("recent") - 1)
+    change = 100.0 * (F.try_divide("ahead", "recent") - 1)
     label = F.when(F.col("ahead").isNull(), "no forecast").when(change > threshold, "rise").when(change < -threshold, "fall").otherwise("stable")
     return out.withColumns({"change": change, "label": label, "outside": (F.col("recent") < F.col("lo")) | (F.col("recent") > F.col("hi"))}).drop("lo", "hi")
 
@@ -58,7 +58,7 @@ def facility_summary(monthly: DataFrame, facilities: DataFrame) -> DataFrame:
     before = F.avg(F.when((F.col("month") <= F.add_months("m", -12)) & (F.col("month") > F.add_months("m", -15)), F.col("n")))
     out = facilities.join(at.groupBy("facility").agg(recent.alias("recent"), before.alias("before")), "facility", "left")
     reason = F.when(F.col("recent").isNull(), "no recent reports").when(F.col("before").isNull(), "no base")
-    return out.withColumns({"change": 100.0 * (F.col("recent") / F.col("before") - 1), "reason": reason})
+    return out.withColumns({"change": 100.0 * (F.try_divide("recent", "before") - 1), "reason": reason})
 
 
 def detail(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -75,7 +75,7 @@ def trailing_rate(events: DataFrame, people: DataFrame, area: str, day: str, day
 
 def shares(rows: DataFrame, by: list[str], category: str) -> DataFrame:
     n = rows.groupBy(*by, category).agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(*by)))
+    return n.withColumn("share", F.try_divide("n", F.sum("n").over(W.partitionBy(*by))))
 
 
 def characterise(rows: DataFrame, chosen: DataFrame, keys: list[str], area: str, category: str, value: str) -> DataFrame:

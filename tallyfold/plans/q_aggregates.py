@@ -185,7 +185,7 @@ def d25_cause_inventory(t: Tables) -> DataFrame:
 def d26_heterogeneity(t: Tables) -> DataFrame:
     from pyspark.sql import Window as W
 
-    one = panel(t).where("level = 'leaf'").groupBy("series_id").agg(F.avg("y").alias("mean"), F.round(F.stddev_samp("y"), 6).alias("sd"), F.min("y").alias("least"), F.max("y").alias("most"), F.count_if(F.col("y") == 0).alias("zeros"), F.round(F.stddev_samp("y") / F.avg("y"), 6).alias("cv"), F.sum("y").alias("total"))
+    one = panel(t).where("level = 'leaf'").groupBy("series_id").agg(F.avg("y").alias("mean"), F.round(F.stddev_samp("y"), 6).alias("sd"), F.min("y").alias("least"), F.max("y").alias("most"), F.count_if(F.col("y") == 0).alias("zeros"), F.round(F.try_divide(F.stddev_samp("y"), F.avg("y")), 6).alias("cv"), F.sum("y").alias("total"))
     return one.withColumn("share", F.col("total") / F.sum("total").over(W.partitionBy())).drop("total")
 
 

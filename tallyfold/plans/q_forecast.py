@@ -376,7 +376,7 @@ def n12_skill_degradation(t: Tables) -> DataFrame:
     part = F.when(F.col("origin") >= F.col("last") - 8, "holdout").otherwise("backtest")
     p = rows.groupBy("model", "level", part.alias("part")).agg(F.avg(F.abs(F.col("y_real") - F.col("y_pred")) / F.col("mase_scale")).alias("mase"))
     a, b = (p.where(F.col("model") == m).select("level", "part", F.col("mase").alias(n)) for m, n in (("drift", "a"), ("naive", "b")))
-    return a.join(b, ["level", "part"]).select("level", "part", F.round(1 - F.col("a") / F.col("b"), 6).alias("skill"))
+    return a.join(b, ["level", "part"]).select("level", "part", F.round(1 - F.try_divide("a", "b"), 6).alias("skill"))
 
 
 @section(f"""WITH {BY_SERIES}, v AS (SELECT series_id, sum(y) AS volume FROM panel WHERE level = 'leaf' GROUP BY 1), g AS (SELECT a.series_id, a.mase AS a, b.mase AS b, CASE WHEN volume < 50000 THEN 'small' WHEN volume < 60000 THEN 'middle' ELSE 'large' END AS bin FROM by_series a JOIN by_series b USING (series_id) JOIN v USING (series_id) WHERE a.model = 'drift' AND b.model = 'naive')

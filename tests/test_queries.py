@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the smallest tables."""
+"""Every query with SQL against DuckDB on the tables of sf0.01."""
 
 import datetime
 import decimal
@@ -9,7 +9,7 @@ import pytest
 
 from tallyfold.plans import registry
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
