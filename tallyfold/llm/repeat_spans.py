@@ -26,6 +26,8 @@ that; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,10 +40,12 @@ REACH = LENGTH - SEED_BYTES
 #: Bytes of text whose anchors, and bytes of windows, a task gathers before it sends them.
 CHUNK_TEXT, CHUNK_WINDOWS = 16 << 20, 8 << 20
 #: Anchors that a bucket holds at most on average, and bytes of windows that are sorted in one go.
-BUCKET_ANCHORS, SORT_BYTES = 1 << 20, 2 << 20
+BUCKET_ANCHORS, SORT_BYTES = 1 << 20, 1 << 20
+#: Documents of a block, to which what is found goes back, and findings that a task gathers before it sends them.
+BLOCK_DOCS, HELD_FINDINGS = 2000, 1 << 19
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _FLOW = "bucket int, known boolean, data binary"
-_VERDICT = "doc_id long, tie long, kind int, data binary"
+_ROW = "block int, kind int, doc_id long, tie long, data binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,6 +68,32 @@ def unpack(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def squeeze(a: np.ndarray) -> np.ndarray:
+    """An array's bytes, compressed."""
+    return np.frombuffer(zlib.compress(a.tobytes(), 3), np.uint8)
+
+
+def expand(a: np.ndarray, kind) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(a), kind)
+
+
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a number; the last seven positions have none."""
+    x = data.astype(np.uint64)
+    x = x[:-1] | x[1:] << np.uint64(8)
+    x = x[:-2] | x[2:] << np.uint64(16)
+    return x[:-4] | x[4:] << np.uint64(32)
+
+
+def content_of(word: np.ndarray, start: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of windows, from the words of their text."""
+    end = start + strings + LENGTH - 1
+    h = mix(strings.astype(np.uint64) + _K[1])
+    for k in range(0, LENGTH + REACH, 8):
+        h = mix(h * _K[0] + word[np.minimum(start + k, end - 8)])
+    return h
+
+
 def _slide(x: np.ndarray, width: int, what) -> np.ndarray:
     """``what`` (minimum or maximum) over each run of ``width`` values."""
     done = 1
@@ -83,10 +113,7 @@ class Grams:
         # the padding lets every position have a seed
         self.bytes = np.frombuffer(b"".join(texts) + bytes(LENGTH + SEED_BYTES), np.uint8)
         n = int(size.sum())
-        x = self.bytes.astype(np.uint64)
-        x = x[:-1] | x[1:] << np.uint64(8)
-        x = x[:-2] | x[2:] << np.uint64(16)
-        self.word = x[:-4] | x[4:] << np.uint64(32)
+        self.word = words_of(self.bytes)
         m = mix(self.word)
         self.hash = mix(m[:-8] * _K[0] + m[8:])[: n + REACH]
         self.doc = np.repeat(np.arange(len(texts)), size)
@@ -120,33 +147,54 @@ class Grams:
         key = mix(here * _K[0] + more + right.astype(np.uint64))
         return key, self.doc[s[begin]], s[begin], np.diff(np.append(begin, len(s)))
 
-    def content(self, start: np.ndarray, strings: np.ndarray) -> np.ndarray:
-        """A hash of the bytes of windows."""
-        end = start + strings + LENGTH - 1
-        h = mix(strings.astype(np.uint64) + _K[1])
-        for k in range(0, LENGTH + REACH, 8):
-            at = np.minimum(start + k, end - 8)
-            h = mix(h * _K[0] + self.word[at])
-        return h
-
 
 def _flow(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
     bucket, known, data = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(known, pa.bool_()), pa.array(data, pa.binary())], ["bucket", "known", "data"])
 
 
-def _verdicts(ids: np.ndarray, ties: np.ndarray, values: np.ndarray, limit: int = 1 << 16):
-    """Rows (doc_id, tie, 0, values of the document) of aligned arrays; ``values`` may have several columns."""
-    if not len(ids):
-        return
-    order = np.lexsort((ties, ids))
-    ids, ties, values = ids[order], ties[order], values[order]
-    begin = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])))
-    ends = np.append(begin[1:], len(ids))
-    for k in range(0, len(begin), limit):
-        b, e = begin[k : k + limit], ends[k : k + limit]
-        data = [values[x:y].tobytes() for x, y in zip(b.tolist(), e.tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[b]), pa.array(ties[b]), pa.array(np.zeros(len(b), np.int32)), pa.array(data, pa.binary())], ["doc_id", "tie", "kind", "data"])
+def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of a document; ``block_column`` gives the same."""
+    return (ids ^ (ids >> 15)) % blocks
+
+
+def block_column(blocks: int):
+    return F.pmod(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", 15)), F.lit(blocks)).cast("int")
+
+
+class Findings:
+    """What a task has found for documents, to be sent as one row per block."""
+
+    def __init__(self, blocks: int):
+        self.blocks, self.held, self.size = blocks, [], 0
+
+    def add(self, ids: np.ndarray, ties: np.ndarray, values: np.ndarray):
+        """``values`` has a row for each finding. Yields rows when enough are held."""
+        if len(ids):
+            self.held.append((ids, ties, values))
+            self.size += len(ids)
+        if self.size >= HELD_FINDINGS:
+            yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        out: tuple[list, list] = ([], [])
+        if self.held:
+            ids, ties, values = (np.concatenate(x) for x in zip(*self.held))
+            block = block_of(ids, self.blocks)
+            order = np.lexsort((ties, ids, block))
+            ids, ties, values, block = ids[order], ties[order], values[order], block[order]
+            first = np.append(True, (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1]))
+            begin = np.flatnonzero(first)
+            count = np.diff(np.append(begin, len(ids))).astype(np.int32)
+            cut = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(ids))
+            at = np.searchsorted(begin, cut)
+            for k in range(len(cut) - 1):
+                docs = slice(at[k], at[k + 1])
+                out[0].append(int(block[cut[k]]))
+                out[1].append(pack(ids[begin[docs]], ties[begin[docs]], count[docs], values[cut[k] : cut[k + 1]]))
+        self.held, self.size = [], 0
+        none = np.zeros(len(out[0]), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(none.astype(np.int32)), pa.array(none), pa.array(none), pa.array(out[1], pa.binary())], ["block", "kind", "doc_id", "tie", "data"])
 
 
 def _send_anchors(n_buckets: int):
@@ -219,37 +267,47 @@ def _by_bucket(batches):
         yield False, held
 
 
-def _shared_anchors(batches):
+def _shared_anchors(blocks: int):
     kinds = (np.int64, np.int64, np.uint32, np.uint64)
-    for known, data in _by_bucket(batches):
-        if known:
-            i, t, d, h = unpack(data, *kinds)
-            yield from _verdicts(i[d], t[d], h)
-            continue
-        parts = [unpack(x, *kinds) for x in data]
-        h = np.concatenate([p[3] for p in parts])
-        none = np.concatenate([p[2] == 0xFFFFFFFF for p in parts])
-        pick = [np.where(p[2] == 0xFFFFFFFF, 0, p[2]) for p in parts]
-        i = np.concatenate([p[0][d] for p, d in zip(parts, pick)])
-        t = np.concatenate([p[1][d] for p, d in zip(parts, pick)])
-        order = np.argsort(h, kind="stable")
-        h, i, t, none = h[order], i[order], t[order], none[order]
-        count = np.diff(np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h)))
-        use = np.repeat(count > 1, count) & ~none
-        yield from _verdicts(i[use], t[use], h[use])
-
-
-def _with_verdicts(batches, size_limit: int = 1 << 20):
-    """Lists of (doc_id, tie, bytes, values) of documents; a document's verdicts come before its text."""
-    at, values, out, size = None, [], [], 0
-    for batch in slices(batches, 3, 1 << 22):
-        for doc_id, tie, kind, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if (doc_id, tie) != at:
-                at, values = (doc_id, tie), []
+
+    def run(batches):
+        out = Findings(blocks)
+        for known, data in _by_bucket(batches):
+            if known:
+                i, t, d, h = unpack(data, *kinds)
+                yield from out.add(i[d], t[d], h)
+                continue
+            parts = [unpack(x, *kinds) for x in data]
+            h = np.concatenate([p[3] for p in parts])
+            none = np.concatenate([p[2] == 0xFFFFFFFF for p in parts])
+            pick = [np.where(p[2] == 0xFFFFFFFF, 0, p[2]) for p in parts]
+            i = np.concatenate([p[0][d] for p, d in zip(parts, pick)])
+            t = np.concatenate([p[1][d] for p, d in zip(parts, pick)])
+            order = np.argsort(h, kind="stable")
+            h, i, t, none = h[order], i[order], t[order], none[order]
+            count = np.diff(np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h)))
+            use = np.repeat(count > 1, count) & ~none
+            yield from out.add(i[use], t[use], h[use])
+        yield out.flush()
+
+    return run
+
+
+def _with_findings(batches, kind_of, width: int = 1, size_limit: int = 1 << 20):
+    """Lists of (doc_id, tie, bytes, findings) of documents; the findings of a block come before its texts."""
+    at, known, out, size = None, {}, [], 0
+    for batch in slices(batches, 4, 1 << 22):
+        for block, kind, doc_id, tie, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if block != at:
+                at, known = block, {}
             if kind == 0:
-                values.append(data)
+                ids, ties, count, values = unpack(data, np.int64, np.int64, np.int32, kind_of)
+                ends = np.cumsum(count) * width
+                for d, t, b, e in zip(ids.tolist(), ties.tolist(), (ends - count * width).tolist(), ends.tolist()):
+                    known.setdefault((d, t), []).append(values[b:e])
             else:
-                out.append((doc_id, tie, data or b"", b"".join(values)))
+                found = known.get((doc_id, tie))
+                out.append((doc_id, tie, data or b"", None if found is None else np.concatenate(found)))
                 size += len(data or b"")
                 if size >= size_limit:
                     yield out
@@ -263,8 +321,9 @@ def _send_windows(n_buckets: int):
         held: list[tuple] = []
 
         def flush():
-            i, t, key, content, start, strings = (np.concatenate(x) for x in zip(*(h[:6] for h in held)))
-            body = np.concatenate([h[6] for h in held])
+            doc_ids, doc_ties, doc, key, content, start, strings, body = (np.concatenate(x) for x in zip(*held))
+            owner = doc + np.repeat(np.cumsum([0, *(len(h[0]) for h in held[:-1])]), [len(h[2]) for h in held])
+            i, t = doc_ids[owner], doc_ties[owner]
             length = strings + LENGTH - 1
             first = np.cumsum(length) - length
             order = np.lexsort((i, content, key))
@@ -284,17 +343,20 @@ def _send_windows(n_buckets: int):
                 w = mine[b:e]
                 n = length[w]
                 every = np.repeat(first[w], n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-                rows.append((int(bucket[w[0]]), False, pack(i[w], t[w], key[w], content[w], start[w].astype(np.int32), n.astype(np.int32), body[every])))
+                use, inverse = np.unique(owner[w], return_inverse=True)
+                # documents and places come in order, so that differences are small; the hash of the bytes is made again
+                step = lambda x: squeeze(np.diff(x.astype(np.int32), prepend=np.int32(0)))
+                rows.append((int(bucket[w[0]]), False, pack(doc_ids[use], doc_ties[use], step(inverse), key[w], step(start[w]), n.astype(np.uint8), squeeze(body[every]))))
             held.clear()
             return _flow(rows)
 
         total = 0
-        for group in _with_verdicts(batches):
-            group = [x for x in group if x[3]]
+        for group in _with_findings(batches, np.uint64):
+            group = [x for x in group if x[3] is not None]
             if not group:
                 continue
             g = Grams([x[2] for x in group])
-            shared = [np.frombuffer(x[3], np.uint64) for x in group]
+            shared = [x[3] for x in group]
             tag = lambda h, d: h + (d.astype(np.uint64) + np.uint64(1)) * _K[0]
             owned = tag(np.concatenate(shared), np.repeat(np.arange(len(group)), [len(x) for x in shared]))
             wanted = np.isin(tag(g.hash[g.anchor], g.doc[g.anchor]), owned)
@@ -304,7 +366,7 @@ def _send_windows(n_buckets: int):
             n = strings + LENGTH - 1
             every = np.repeat(start, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
             ids, ties = np.array([x[0] for x in group], np.int64), np.array([x[1] for x in group], np.int64)
-            held.append((ids[doc], ties[doc], key, g.content(start, strings), start - g.start[doc], strings, g.bytes[every]))
+            held.append((ids, ties, doc, key, content_of(g.word, start, strings), start - g.start[doc], strings, g.bytes[every]))
             total += len(every)
             if total >= CHUNK_WINDOWS:
                 yield flush()
@@ -414,50 +476,66 @@ def _spans(key, content, ids, body, length):
     return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
 
-def _shared_windows(batches):
-    kinds = (np.int64, np.int64, np.uint64, np.uint64, np.int32, np.int32, np.uint8)
-    for known, data in _by_bucket(batches):
-        if known:
-            i, t, s = unpack(data, np.int64, np.int64, np.int32)
-            yield from _verdicts(i, t, s.reshape(-1, 2))
-            continue
-        i, t, key, content, start, length, body = (np.concatenate(x) for x in zip(*(unpack(x, *kinds) for x in data)))
-        start, length = start.astype(np.int64), length.astype(np.int64)
-        first = np.cumsum(length) - length
-        order = np.lexsort((i, content, key))
-        i, t, key, content, start, length, first = (x[order] for x in (i, t, key, content, start, length, first))
-        begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
-        group = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))) - 1
-        later = i > i[begin][group]
-        yield from _verdicts(i[later], t[later], np.stack([start[later], start[later] + length[later]], 1).astype(np.int32))
-        # keys with several different windows
-        k = key[begin]
-        several = np.append(False, k[1:] == k[:-1]) | np.append(k[1:] == k[:-1], False)
-        rep = begin[several]
-        if not len(rep):
-            continue
-        n = length[rep]
-        every = np.repeat(first[rep] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        found = _spans(key[rep], content[rep], i[rep], body[every], n)
-        if not len(found):
-            continue
-        # a span holds for all places of its window in the document with the smallest id
-        of_group = np.flatnonzero(several)[found[:, 0]]
-        sizes = np.diff(np.append(begin, len(key)))[of_group]
-        row = np.repeat(begin[of_group] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        span = np.repeat(np.arange(len(found)), sizes)
-        keep = ~later[row]
-        row, span = row[keep], span[keep]
-        yield from _verdicts(i[row], t[row], np.stack([start[row] + found[span, 1], start[row] + found[span, 2]], 1).astype(np.int32))
+def _shared_windows(blocks: int):
+    kinds = (np.int64, np.int64, np.uint8, np.uint64, np.uint8, np.uint8, np.uint8)
+
+    def run(batches):
+        out = Findings(blocks)
+        for known, data in _by_bucket(batches):
+            if known:
+                i, t, s = unpack(data, np.int64, np.int64, np.int32)
+                yield from out.add(i, t, s.reshape(-1, 2))
+                continue
+            parts = [unpack(x, *kinds) for x in data]
+            owner = [np.cumsum(expand(p[2], np.int32)) for p in parts]
+            i, t = (np.concatenate([p[k][o] for p, o in zip(parts, owner)]) for k in (0, 1))
+            key, length = (np.concatenate([p[k] for p in parts]) for k in (3, 5))
+            start = np.concatenate([np.cumsum(expand(p[4], np.int32)) for p in parts])
+            texts = [expand(p[6], np.uint8) for p in parts]
+            content = []
+            for text, p in zip(texts, parts):
+                n = p[5].astype(np.int64)
+                content.append(content_of(words_of(np.append(text, np.zeros(8, np.uint8))), np.cumsum(n) - n, n - LENGTH + 1))
+            content, body = np.concatenate(content), np.concatenate(texts)
+            start, length = start.astype(np.int64), length.astype(np.int64)
+            first = np.cumsum(length) - length
+            order = np.lexsort((i, content, key))
+            i, t, key, content, start, length, first = (x[order] for x in (i, t, key, content, start, length, first))
+            begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
+            group = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))) - 1
+            later = i > i[begin][group]
+            yield from out.add(i[later], t[later], np.stack([start[later], start[later] + length[later]], 1).astype(np.int32))
+            # keys with several different windows
+            k = key[begin]
+            several = np.append(False, k[1:] == k[:-1]) | np.append(k[1:] == k[:-1], False)
+            rep = begin[several]
+            if not len(rep):
+                continue
+            n = length[rep]
+            every = np.repeat(first[rep] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            found = _spans(key[rep], content[rep], i[rep], body[every], n)
+            if not len(found):
+                continue
+            # a span holds for all places of its window in the document with the smallest id
+            of_group = np.flatnonzero(several)[found[:, 0]]
+            sizes = np.diff(np.append(begin, len(key)))[of_group]
+            row = np.repeat(begin[of_group] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            span = np.repeat(np.arange(len(found)), sizes)
+            keep = ~later[row]
+            row, span = row[keep], span[keep]
+            yield from out.add(i[row], t[row], np.stack([start[row] + found[span, 1], start[row] + found[span, 2]], 1).astype(np.int32))
+        yield out.flush()
+
+    return run
 
 
 def _cut(batches):
-    for group in _with_verdicts(batches):
+    for group in _with_findings(batches, np.int32, 2):
         ids, sizes, removed, spans, digests = [], [], [], [], []
         for doc_id, _, data, values in group:
             kept, at, gone, runs = [], 0, 0, 0
-            if values:
-                s = np.frombuffer(values, np.int32).reshape(-1, 2)
+            if values is not None:
+                s = values.reshape(-1, 2)
                 s = s[np.argsort(s[:, 0], kind="stable")]
                 reach = np.maximum.accumulate(s[:, 1])
                 new = np.append(True, s[1:, 0] > reach[:-1])
@@ -477,21 +555,21 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each text without its repeated bytes."""
     spark = docs.sparkSession
     body = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.lit(1).alias("kind"), body.alias("data"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    total, count = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     n = partitions(spark)
-    buckets = max(n, int(total * 2 / (REACH + 2)) // BUCKET_ANCHORS)
-    anchors = rows.where("doc_id is not null").select("doc_id", "tie", "data").mapInArrow(_send_anchors(buckets), _FLOW)
-    shared = settle(anchors.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, _VERDICT), "repeat-anchors")
+    buckets, blocks = max(n, int(total * 2 / (REACH + 2)) // BUCKET_ANCHORS), max(n, count // BLOCK_DOCS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), body.alias("data"))
+    anchors = rows.where("doc_id is not null").mapInArrow(_send_anchors(buckets), _FLOW)
+    shared = settle(anchors.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors(blocks), _ROW), "repeat-anchors")
     del anchors
     release(spark)
+    texts = rows.select(F.coalesce(block_column(blocks), F.lit(0)).alias("block"), F.lit(1).alias("kind"), "doc_id", "tie", "data")
 
-    def with_texts(verdicts):
-        return rows.union(verdicts).repartition(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "kind")
+    def with_texts(findings):
+        return texts.union(findings).repartition(n, "block").sortWithinPartitions("block", "kind", "doc_id", "tie")
 
     windows = with_texts(shared).mapInArrow(_send_windows(buckets), _FLOW)
-    spans = settle(windows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_windows, _VERDICT), "repeat-spans")
+    spans = settle(windows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_windows(blocks), _ROW), "repeat-spans")
     del windows, shared
     release(spark)
     return with_texts(spans).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
