@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 FEATURES = 1 << 18
 #: Labelled rows used at most by the fit.
-SAMPLE = 10_000
+SAMPLE = 8_000
 RIDGE = 1e-5
 STEPS = 120
 MEMO_SIZE, MEMO_WORD = 300_000, 40
@@ -71,7 +71,7 @@ class OrdinalModel:
 
 def _seen(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     """How many other and how many positive rows hold each feature."""
-    return np.array([np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, y in zip(rows, positive) if y == k)]), minlength=FEATURES) for k in (False, True)])
+    return np.array([np.bincount(np.concatenate([np.zeros(0, np.int32), *(r for r, y in zip(rows, positive) if y == k)]), minlength=FEATURES) for k in (False, True)])
 
 
 def evidence(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3) -> Ordina
     n = len(rows)
     scale = evidence(rows, grades > 0)
     counts = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows).astype(np.int64)
+    flat = np.concatenate(rows)
     row = np.repeat(np.arange(n), counts)
     keep = scale[flat] != 0
     row = row[keep]
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", hashed("text").alias("f"))
     # ties in the order of arrival would change the last digits of the fit
     got = rows.toPandas().sort_values("doc_id", kind="stable")
-    sets, y = [np.asarray(f, np.int64) for f in got["f"]], got["toxic"].to_numpy(np.int64)
+    sets, y = [np.asarray(f, np.int32) for f in got["f"]], got["toxic"].to_numpy(np.int64)
     if not len(y) or y.min() == y.max():
         return OrdinalModel(np.zeros(FEATURES), np.array([35.0, 36.0]))
     return fit(sets, graded(sets, y))
