@@ -5,9 +5,10 @@ document frequency. Document frequencies are counted over all documents, in ``DF
 the table that goes to the executors has a fixed size. For each of ``BANDS * ROWS`` keys the sampler draws one
 (shingle, level) pair such that two documents draw the same pair with a probability equal to their weighted
 Jaccard similarity; ``ROWS`` samples make a band. Documents that share a band are candidates; texts with equal
-multisets count once from here on. In each band each document is compared to two members of its group, the
-smallest id and a member chosen by a hash, never to all of them, so that work grows with the rows and not with
-the square of a group. A candidate pair is a link when its weighted Jaccard similarity, computed from the whole
+multisets count once from here on. In each band each document is first compared to three members of its group: the
+smallest id, a member chosen by a hash, and the member that meets the most others. Where that leaves a group in
+several classes, all its pairs between classes are compared, in tiles of ``CHUNK`` by ``CHUNK`` texts that any task
+can take; only a group whose members are candidates but not similar costs the square of its size. A candidate pair is a link when its weighted Jaccard similarity, computed from the whole
 texts, reaches ``SIMILAR``. Classes are the connected components of the links; the class id is the smallest id.
 
 Cases: texts without words (null, empty, punctuation) are in classes of their own; texts of one to four words are
@@ -173,11 +174,23 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key_hi long, key_lo long, bands array<long>")
 
 
-def candidates(first: DataFrame) -> DataFrame:
-    """(centre, doc): each text's candidate pairs; ``first`` has one row (doc_id, bands) per distinct text."""
+def grouped(first: DataFrame) -> DataFrame:
+    """(doc, band, value, centres): the members of each band's groups; ``first`` has one row (doc_id, bands) per distinct text.
+
+    The third centre is the member that meets the most others over all bands: an original among its edits.
+    """
     spread = first.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "value"))
-    centres = spread.groupBy("band", "value").agg(F.min("doc").alias("least"), F.min_by("doc", F.xxhash64("doc", "band")).alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = spread.join(centres.hint("shuffle_hash"), ["band", "value"]).select("doc", F.explode(F.array("least", "other")).alias("centre")).where("doc <> centre")
+    sizes = spread.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = settle(spread.join(sizes.hint("shuffle_hash"), ["band", "value"]), "minhash-members")
+    met = members.groupBy("doc").agg(F.sum("n").alias("met"))
+    centres = members.join(met.hint("merge"), "doc").groupBy("band", "value").agg(F.min("doc").alias("least"), F.min_by("doc", F.xxhash64("doc", "band")).alias("other"), F.max_by("doc", F.struct("met", -F.col("doc"))).alias("central"))
+    centres = centres.select("band", "value", F.array_distinct(F.array("least", "other", "central")).alias("centres"))
+    return settle(members.select("doc", "band", "value").join(centres.hint("shuffle_hash"), ["band", "value"]), "minhash-groups")
+
+
+def candidates(groups: DataFrame) -> DataFrame:
+    """(centre, doc): each text and the centres of its groups."""
+    pairs = groups.select("doc", F.explode("centres").alias("centre")).where("doc <> centre")
     return pairs.select(F.greatest("doc", "centre").alias("doc"), F.least("doc", "centre").alias("centre")).distinct()
 
 
@@ -213,6 +226,96 @@ def links(docs: DataFrame, pairs: DataFrame, idf, similar: float = SIMILAR) -> D
     return ordered.mapInArrow(run, "centre long, doc long, similarity double")
 
 
+class Held:
+    """The texts of one side of a tile, by shingle."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.n = len(parts)
+        self.total = np.array([w.sum() for _, w in parts], np.float64)
+        s = np.concatenate([s for s, _ in parts])
+        order = np.argsort(s, kind="stable")
+        self.weight = np.concatenate([w for _, w in parts])[order]
+        self.owner = np.repeat(np.arange(self.n), [len(s) for s, _ in parts])[order]
+        self.shingle, begin = np.unique(s[order], return_index=True)
+        self.begin = np.append(begin, len(s))
+
+    def similarity(self, part: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The weighted Jaccard similarity of a text to each of the held."""
+        s, w = part
+        if not len(s) or not len(self.shingle):
+            return np.zeros(self.n)
+        at = np.minimum(np.searchsorted(self.shingle, s), len(self.shingle) - 1)
+        hit = self.shingle[at] == s
+        at, w_hit = at[hit], w[hit]
+        many = self.begin[at + 1] - self.begin[at]
+        where = np.repeat(self.begin[at] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        both = np.bincount(self.owner[where], np.minimum(self.weight[where], np.repeat(w_hit, many)), self.n)
+        return both / np.maximum(self.total + w.sum() - both, 1e-300)
+
+
+def _root(roots: dict[int, int], x: int) -> int:
+    while x in roots:
+        x = roots[x]
+    return x
+
+
+def open_tiles(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, value, i, j, held, doc, label): tiles of all pairs of a group that no link joins yet and no centre settled.
+
+    In each group the members outside its largest class are held, in blocks, against blocks of all members.
+    """
+    placed = groups.where(~F.array_contains("centres", F.col("doc"))).select("doc", "band", "value").join(labels.select(F.col("node").alias("doc"), "label").hint("merge"), "doc", "left")
+    placed = settle(placed.withColumn("label", F.coalesce("label", "doc")), "minhash-placed")
+    by_label = placed.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("n"))
+    still = by_label.groupBy("band", "value").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")
+    still = still.select("band", "value", "major", F.ceil(F.col("n") / CHUNK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / CHUNK).cast("int").alias("rest"))
+    rows = placed.join(still.hint("merge"), ["band", "value"])
+    h = F.xxhash64("doc")
+    side = lambda held, own, mine, other, count: rows.select(
+        "band", "value", F.pmod(h, F.col(mine)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias(other), F.lit(held).alias("held"), "doc", "label", "major"
+    )
+    held = side(True, "i", "rest", "j", "blocks").where("label <> major")
+    streamed = side(False, "j", "blocks", "i", "rest").select(*held.columns)
+    return held.unionByName(streamed).drop("major")
+
+
+def rest_links(docs: DataFrame, tiles: DataFrame, idf, similar: float = SIMILAR) -> DataFrame:
+    """(centre, doc, similarity, a, b): links of the tiles between classes ``a`` and ``b``; a link that joins nothing new in its tile is left out."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    key = ["band", "value", "i", "j"]
+    full = settle(tiles, "minhash-tiles").join(texts.hint("merge"), "doc")
+    ordered = full.repartition(partitions(docs.sparkSession), *key).sortWithinPartitions(*key, ~F.col("held"), "doc").select(*key, "held", "doc", "label", "text")
+
+    def run(batches):
+        table = idf.value
+        at, held, index, roots = None, [], None, {}
+        for batch in slices(batches, 7):
+            doc, s, count = shingles(batch.column(7).to_pylist())
+            weight = count * table[(s % np.uint64(DF_BUCKETS)).astype(np.int64)].astype(np.float64)
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for k, (*tile, is_held, d, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)))):
+                mine = (s[ends[k] : ends[k + 1]], weight[ends[k] : ends[k + 1]])
+                if tile != at:
+                    at, held, index, roots = tile, [], None, {}
+                if is_held:
+                    held.append((d, label, mine))
+                    continue
+                if not held or all(_root(roots, x[1]) == _root(roots, label) for x in held):
+                    continue
+                index = index or Held([x[2] for x in held])
+                near = index.similarity(mine)
+                for n in np.flatnonzero(near >= similar):
+                    a, b = sorted((_root(roots, held[n][1]), _root(roots, label)))
+                    if a != b:
+                        roots[b] = a
+                        for column, value in zip(out, (min(d, held[n][0]), max(d, held[n][0]), float(near[n]), held[n][1], label)):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if c == 2 else pa.int64()) for c, x in enumerate(out)], ["centre", "doc", "similarity", "a", "b"])
+
+    return ordered.mapInArrow(run, "centre long, doc long, similarity double, a long, b long")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` is connected to, by label passing and jumps."""
     both = settle(edges.select(F.col(a).alias("node"), F.col(b).alias("peer")).union(edges.select(b, a)), "components-edges")
@@ -227,21 +330,30 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, class_id, n_links): the near-duplicate class of each row, and its text's number of links."""
+    """(doc_id, class_id, n_links): the near-duplicate class of each row, and the number of its text's links that were verified.
+
+    Links between texts that are in one class already are not looked for, so ``n_links`` is a lower bound.
+    """
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(idf_table(docs))
     signed = settle(signatures(docs, idf), "minhash-signatures")
     worded = signed.where("key_hi is not null and doc_id is not null")
     first = worded.groupBy("key_hi", "key_lo").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("doc_id"))
-    found = settle(links(docs, candidates(first.select("doc_id", "bands")), idf, similar), "minhash-links").distinct()
+    groups = grouped(first.select("doc_id", "bands"))
+    found = settle(links(docs, candidates(groups), idf, similar), "minhash-links").distinct()
     # rows that repeat an id with another text join its classes too
     owner = worded.groupBy("key_hi", "key_lo").agg(F.min("doc_id").alias("owner"))
     members = worded.select("doc_id", "key_hi", "key_lo").distinct().join(owner.hint("merge"), ["key_hi", "key_lo"]).select("doc_id", "owner").distinct()
     several = members.groupBy("doc_id").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a <> b").select("a", "b")
     labels = components(found.select(F.col("centre").alias("a"), F.col("doc").alias("b")).union(several), "a", "b")
+    # what the centres left apart is compared in full
+    rest = settle(rest_links(docs, open_tiles(groups, labels), idf, similar), "minhash-rest")
+    found = found.union(rest.select(*found.columns)).select("centre", "doc").distinct()
+    joined = components(rest, "a", "b").select(F.col("node").alias("label"), F.col("label").alias("further"))
     degree = found.select(F.explode(F.array("centre", "doc")).alias("owner")).groupBy("owner").agg(F.count(F.lit(1)).alias("links"))
     known = members.join(labels.withColumnRenamed("node", "owner").hint("merge"), "owner", "left").join(degree.hint("merge"), "owner", "left")
-    known = known.groupBy("doc_id").agg(F.min(F.coalesce("label", "owner")).alias("label"), F.max("links").alias("links"))
+    known = known.withColumn("label", F.coalesce("label", "owner")).join(joined.hint("merge"), "label", "left")
+    known = known.groupBy("doc_id").agg(F.min(F.coalesce("further", "label")).alias("label"), F.max("links").alias("links"))
     return signed.select("doc_id").join(known.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 

@@ -124,6 +124,42 @@ def test_near_duplicates_against_brute_force(spark):
     assert weighted_minhash.classes(df.limit(0)).count() == 0
 
 
+def linked(df):
+    """Class by id, from all pairs."""
+    table = weighted_minhash.idf_table(df)
+    rows = sorted((r.doc_id, r.text) for r in df.collect())
+    doc, s, count = weighted_minhash.shingles([t for _, t in rows])
+    w = count * table[(s % np.uint64(weighted_minhash.DF_BUCKETS)).astype(np.int64)].astype(float)
+    parts = [(s[doc == k], w[doc == k]) for k in range(len(rows))]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and weighted_minhash.weighted_jaccard(parts[j], parts[i]) >= weighted_minhash.SIMILAR:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return {rows[k][0]: rows[x][0] for k, x in enumerate(label)}
+
+
+def edit(rng, words, n, name):
+    w = list(words)
+    for k, at in enumerate(rng.sample(range(len(w)), n)):
+        w[at] = f"{name}x{k}"
+    return w
+
+
+@pytest.mark.parametrize("originals", [1, 12])
+def test_large_groups_of_near_copies_against_brute_force(spark, originals):
+    """The originals have the largest ids, and edits of one are often under the limit to each other."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(400)]
+    roots = [edit(rng, base, 3 if originals > 1 else 0, f"o{o}") for o in range(originals)]
+    rows = [(k, " ".join(edit(rng, roots[k % originals], 2, f"e{k}"))) for k in range(300)] + [(1000 + o, " ".join(r)) for o, r in enumerate(roots)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in weighted_minhash.classes(df).collect()}
+    want = linked(df)
+    assert got == want and len(set(want.values())) < 150
+
+
 def test_mixture(spark):
     rng = random.Random(8)
     rows = [(i, text(rng, rng.randint(0, 60)), rng.choice(["a", "a", "a", "b", "c", "é", None])) for i in range(400)] + [(3, None, "a"), (3, "x y", "a"), (None, "p q", None)]
