@@ -3,7 +3,9 @@
 Each source is a stream of its documents in an order shuffled by a keyed hash, and the stream may run twice.
 The mix is a schedule of slots of equal token counts. The point of slot j, frac((j + 1) * golden ratio), falls
 into one source's share of the cumulated targets; the slots of a source are ranked, and rank r takes block r of
-the source's stream. A document's ``taken`` words are those of its stream positions that taken blocks cover.
+the source's stream. A source has the blocks that its own target needs, and its last block is cut to what is left:
+slots beyond them stay empty, and blocks without a slot are put at even distances. A document's ``taken`` words are
+those of its stream positions that blocks cover.
 
 Targets: sources in code point order, null last, weigh 3, 1, 2 in turn and share ``FACTOR`` times all words. A
 target stops at ``REPEATS`` times its source's words, and what is over is shared by weight among the rest. That
@@ -11,8 +13,8 @@ is filling to a level: in the order of limit / weight, a source is full while it
 the rest would share.
 
 Running sums are taken in two steps (buckets of the hash, then within a bucket), so a hot source is never in one
-task. The schedule has about ``SLOTS`` slots at any size; a source's taken words are within a few slots of its
-target.
+task. The schedule has about ``SLOTS`` slots at any size, so slots grow with the input; a source's taken words are
+its target, rounded to a word, however small the source.
 
 Cases: null and empty texts have no words and are never taken; repeated rows count each; an empty table gives
 no rows; a source without words has target 0; extra columns are ignored by ``plan``.
@@ -61,7 +63,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def schedule(shares: DataFrame) -> DataFrame:
-    """(source, slot, block, length): slots in order; ``block`` is the slot's rank in its source."""
+    """(source, slot, block, words): slots in order; ``block`` is the slot's rank in its source, ``words`` its length."""
     spark = shares.sparkSession
     budget = shares.agg(F.coalesce(F.max("budget"), F.lit(0.0))).first()[0]
     length = max(1, round(budget / SLOTS))
@@ -72,7 +74,12 @@ def schedule(shares: DataFrame) -> DataFrame:
     cells = ends.select("source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.least(F.floor(F.col("hi") * CELLS).cast("int"), F.lit(CELLS - 1)))).alias("cell"))
     placed = points.join(cells.hint("shuffle_hash"), "cell").where("x >= lo and x < hi")
     rank = F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1
-    return placed.select("source", "slot", rank.cast("long").alias("block"), F.lit(length).cast("long").alias("length"))
+    placed = placed.select(F.col("source").alias("source2"), "slot", rank.cast("long").alias("block2"))
+    own = ends.select("source", F.round("target").cast("long").alias("whole")).where("whole > 0").withColumn("blocks", F.ceil(F.col("whole") / length))
+    blocks = own.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    even = F.floor((F.col("block") + 0.5) / F.col("blocks") * n)
+    found = blocks.join(placed.hint("shuffle_hash"), F.expr("source <=> source2 and block = block2"), "left")
+    return found.select("source", F.coalesce("slot", even).alias("slot"), "block", F.least(F.lit(length), F.col("whole") - F.col("block") * length).cast("long").alias("words"))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -105,9 +112,9 @@ def plan(docs: DataFrame, seed: int = 11, row: str | None = None) -> DataFrame:
     length = F.greatest(F.lit(1), F.round(F.col("budget") / SLOTS).cast("long"))
     runs = placed.where("size > 0").withColumn("length", length).withColumn("run", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("from", F.col("start") + F.col("run") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size"))
     pieces = runs.select("row", "run", "source", "from", "to", "length", F.explode(F.sequence(F.expr("`from` div length"), F.expr("(`to` - 1) div length"))).alias("block"))
-    taken = pieces.alias("p").join(slots.select(F.col("source").alias("source2"), F.col("block").alias("block2")).hint("shuffle_hash"), F.expr("source <=> source2 and block = block2"))
-    low, high = F.greatest("from", F.col("block") * F.col("length")), F.least("to", (F.col("block") + 1) * F.col("length"))
-    taken = taken.select("row", "run", (low - F.col("from")).alias("a"), (high - F.col("from")).alias("b"))
+    taken = pieces.alias("p").join(slots.select(F.col("source").alias("source2"), F.col("block").alias("block2"), "words").hint("shuffle_hash"), F.expr("source <=> source2 and block = block2"))
+    low, high = F.greatest("from", F.col("block") * F.col("length")), F.least("to", F.col("block") * F.col("length") + F.col("words"))
+    taken = taken.where(low < high).select("row", "run", (low - F.col("from")).alias("a"), (high - F.col("from")).alias("b"))
     span = lambda k: F.when(F.count(F.when(F.col("run") == k, 1)) > 0, F.array(F.min(F.when(F.col("run") == k, F.col("a"))), F.max(F.when(F.col("run") == k, F.col("b")))))
     by_row = taken.groupBy("row").agg(span(0).alias("first"), span(1).alias("second"), F.sum(F.col("b") - F.col("a")).alias("taken"))
     out = placed.join(by_row.hint("shuffle_hash"), "row", "left")

@@ -191,6 +191,18 @@ def test_mixture(spark):
     assert mixture.plan(df.limit(0)).count() == 0 and mixture.mix(df.where("text is null")).count() == 0
 
 
+def test_mixture_of_one_large_and_small_sources(spark):
+    """Blocks are of about a hundred words; two sources have fewer, and one a few blocks."""
+    sizes = [("big", 20_000)] * 220 + [("few", 5)] * 3 + [("one", 1)] + [("some", 90)] * 4
+    df = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(sizes)], "doc_id long, source string, n int").selectExpr("doc_id", "source", "repeat('w ', n) text")
+    plan = mixture.plan(df).collect()
+    took = collections.Counter()
+    for r in plan:
+        took[r.source] += r.taken
+        assert r.source == "big" or r.taken == 2 * r.size
+    assert all(abs(took[r.source] - r.target) <= 0.5 for r in plan) and took["few"] == 30 and took["one"] == 2 and took["some"] == 720
+
+
 def test_archives(spark, tmp_path):
     rows = [(1, "http://a b", "x"), (2, None, "x"), (3, "u", None), (4, "v", ""), (2, None, "x"), (None, "n", "zz"), (None, "n", "zz"), (7, "é\r\n", "日本\r\n\r\n")] + [(10 + k, "p", "same" * 50) for k in range(20)]
     df = spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, shard string")
