@@ -96,6 +96,33 @@ def test_search_against_brute_force(spark):
     assert few.count() == 7 and collision_search.search(df.limit(0)).count() == 0
 
 
+def test_search_of_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 3)) for r in collision_search.search(df, k=2, query_every=5).collect())
+    assert got == [(0, 1, 1, 1.0), (0, 1, 2, 1.0), (0, 2, 1, 0.1), (0, 2, 3, 1.0)]
+
+
+@pytest.mark.parametrize("norms", ["log-normal", "one outlier"])
+def test_recall_with_uneven_norms(norms):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((6000, 32))
+    x *= (rng.lognormal(0, 0.7, 6000) if norms == "log-normal" else np.where(np.arange(6000) == 17, 1000, 1))[:, None]
+    size = np.sqrt((x * x).sum(1))
+    level = np.clip(np.floor(2 * np.log2(size.max() / size)), 0, collision_search.LEVELS - 1)
+    queries = np.arange(0, 6000, 60)
+    best: dict[int, list] = collections.defaultdict(list)
+    for at in np.unique(level):
+        block = np.flatnonzero(level == at)
+        for j, i, score in zip(*collision_search.nearest(x[queries], queries, x[block], block, block, 20, float(size[block].max()))):
+            best[int(j)].append((-score, block[i]))
+    hit = 0
+    for j, q in enumerate(queries):
+        score = x @ x[q]
+        want = [i for i in np.lexsort((np.arange(6000), -score)) if i != q][:20]
+        hit += len(set(want) & {i for _, i in sorted(best[j])[:20]})
+    assert hit >= 0.9 * 20 * len(queries)
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(6)
     base = [text(rng, 120, 5000).split() for _ in range(12)]
