@@ -102,13 +102,13 @@ def plan(docs: DataFrame, seed: int = 11, row: str | None = None) -> DataFrame:
     shares = settle(targets(sizes), "mixture-targets")
     slots = schedule(shares)
     by_bucket = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    offset = by_bucket.withColumn("offset", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n").withColumnRenamed("source", "source2").withColumnRenamed("bucket", "bucket2")
+    offset = by_bucket.withColumn("offset", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    # what is known of a source reaches its documents by bucket too, so that no source is one key
+    of_source = shares.select(F.col("source").alias("source3"), "source_size", "target", "budget")
+    offset = offset.join(of_source.hint("shuffle_hash"), F.col("source").eqNullSafe(F.col("source3"))).drop("source3").withColumnRenamed("source", "source2").withColumnRenamed("bucket", "bucket2")
     within = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
     placed = sizes.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(offset.hint("shuffle_hash"), F.col("source").eqNullSafe(F.col("source2")) & (F.col("bucket") == F.col("bucket2"))).withColumn("start", F.col("offset") + F.col("inside")).drop("source2", "bucket2", "h", "inside", "offset")
-    few = shares.select(F.col("source").alias("source2"), "source_size", "target", "budget")
-    # one row per source: the mix's own dimension
-    placed = placed.join(few.hint("shuffle_hash"), F.col("source").eqNullSafe(F.col("source2"))).drop("source2")
     length = F.greatest(F.lit(1), F.round(F.col("budget") / SLOTS).cast("long"))
     runs = placed.where("size > 0").withColumn("length", length).withColumn("run", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("from", F.col("start") + F.col("run") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size"))
     pieces = runs.select("row", "run", "source", "from", "to", "length", F.explode(F.sequence(F.expr("`from` div length"), F.expr("(`to` - 1) div length"))).alias("block"))
