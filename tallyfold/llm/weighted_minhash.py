@@ -1,8 +1,10 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the multiset of its shingles of five lower-case words; a shingle weighs its count times its inverse
-document frequency. Document frequencies are counted over all documents, in ``DF_BUCKETS`` hashed cells, so that
-the table that goes to the executors has a fixed size. For each of ``BANDS * ROWS`` keys the sampler draws one
+document frequency. Document frequencies are those of the shingles themselves, counted over all documents in one shuffle;
+shingles in under ``CLIP`` of the documents (1e-4) weigh as if they were in so many. So the table of frequencies that
+goes to the executors holds at most (mean number of distinct shingles) / ``CLIP`` entries, whatever the number of
+documents, and weights mean the same at any size. For each of ``BANDS * ROWS`` keys the sampler draws one
 (shingle, level) pair such that two documents draw the same pair with a probability equal to their weighted
 Jaccard similarity; ``ROWS`` samples make a band. Documents that share a band are candidates; texts with equal
 multisets count once from here on. In each band each document is first compared to three members of its group: the
@@ -30,9 +32,9 @@ from tallyfold.llm.common import partitions, settle, slices
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 8, 2
-DF_BUCKETS = 1 << 18
-#: Documents compared to one centre in one go.
-CHUNK = 128
+CLIP = 1e-4
+#: Documents compared to one centre, or held in a tile, in one go.
+CHUNK = 256
 MEMO_SIZE, MEMO_WORD = 300_000, 40
 _WORD = re.compile(r"\w+")
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -124,25 +126,33 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequencies by hashed shingle, counted over all documents."""
+class Idf:
+    """Inverse document frequencies: of the frequent shingles each its own, of all others one."""
+
+    def __init__(self, shingle: np.ndarray, df: np.ndarray, total: int):
+        order = np.argsort(shingle)
+        self.shingle, self.weight = shingle[order], np.log1p((total + 1) / (df[order] + 1.0))
+        self.other = float(np.log1p((total + 1) / (max(1.0, CLIP * total) + 1.0)))
+
+    def of(self, shingle: np.ndarray) -> np.ndarray:
+        if not len(self.shingle):
+            return np.full(len(shingle), self.other)
+        at = np.minimum(np.searchsorted(self.shingle, shingle), len(self.shingle) - 1)
+        return np.where(self.shingle[at] == shingle, self.weight[at], self.other)
+
+
+def idf_table(docs: DataFrame) -> Idf:
+    """Document frequencies, counted over all documents, of the shingles in two of them and in ``CLIP`` of them at least."""
 
     def run(batches):
-        seen, total = np.zeros(DF_BUCKETS, np.int64), 0
         for batch in slices(batches, 0):
-            doc, s, _ = shingles(batch.column(0).to_pylist())
-            cell = (s % np.uint64(DF_BUCKETS)).astype(np.int64)
-            seen += np.bincount(np.unique(doc * DF_BUCKETS + cell) % DF_BUCKETS, minlength=DF_BUCKETS)
-            total += batch.num_rows
-        cells = np.append(np.flatnonzero(seen), -1)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(np.append(seen[cells[:-1]], total))], ["cell", "n"])
+            _, s, _ = shingles(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["shingle"])
 
-    counted = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(DF_BUCKETS)
-    total = int(counted.loc[counted["cell"] < 0, "n"].sum())
-    counted = counted[counted["cell"] >= 0]
-    df[counted["cell"].to_numpy()] = counted["n"].to_numpy()
-    return np.log1p((total + 1) / (df + 1)).astype(np.float32)
+    total = docs.count()
+    counted = docs.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    frequent = counted.where(F.col("df") >= max(2.0, CLIP * total)).toPandas()
+    return Idf(frequent["shingle"].to_numpy(np.int64).view(np.uint64), frequent["df"].to_numpy(np.int64), total)
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
@@ -162,7 +172,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                 hi[has] = np.add.reduceat(one, begin).view(np.int64)
                 lo[has] = np.add.reduceat(mix(one + _K[0]), begin).view(np.int64)
                 number = np.cumsum(np.append(True, doc[1:] != doc[:-1])) - 1
-                got = samples(number, s, count * table[(s % np.uint64(DF_BUCKETS)).astype(np.int64)].astype(np.float64), len(begin))
+                got = samples(number, s, count * table.of(s), len(begin))
                 band = got[:, 0::ROWS].copy()
                 for k in range(1, ROWS):
                     band = mix(band * _K[0] + got[:, k::ROWS])
@@ -197,7 +207,8 @@ def candidates(groups: DataFrame) -> DataFrame:
 def links(docs: DataFrame, pairs: DataFrame, idf, similar: float = SIMILAR) -> DataFrame:
     """(centre, doc, similarity) of the candidate pairs that are similar enough."""
     pairs = settle(pairs, "minhash-pairs")
-    many = pairs.groupBy("centre").agg((F.count(F.lit(1)) / CHUNK + 1).cast("int").alias("chunks"))
+    # written, so that adaptive execution can split the pairs of a hot centre
+    many = settle(pairs.groupBy("centre").agg((F.count(F.lit(1)) / CHUNK + 1).cast("int").alias("chunks")), "minhash-chunks")
     rows = pairs.join(many.hint("merge"), "centre").select("centre", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int").alias("chunk"), "doc")
     rows = rows.union(rows.select("centre", "chunk", F.col("centre").alias("doc")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
@@ -209,7 +220,7 @@ def links(docs: DataFrame, pairs: DataFrame, idf, similar: float = SIMILAR) -> D
         at, middle = None, []
         for batch in slices(batches, 3):
             doc, s, count = shingles(batch.column(3).to_pylist())
-            weight = count * table[(s % np.uint64(DF_BUCKETS)).astype(np.int64)].astype(np.float64)
+            weight = count * table.of(s)
             ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             out: tuple[list, list, list] = ([], [], [])
             for i, (centre, chunk, d) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
@@ -291,7 +302,7 @@ def rest_links(docs: DataFrame, tiles: DataFrame, idf, similar: float = SIMILAR)
         at, held, index, roots = None, [], None, {}
         for batch in slices(batches, 7):
             doc, s, count = shingles(batch.column(7).to_pylist())
-            weight = count * table[(s % np.uint64(DF_BUCKETS)).astype(np.int64)].astype(np.float64)
+            weight = count * table.of(s)
             ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             out: tuple[list, ...] = ([], [], [], [], [])
             for k, (*tile, is_held, d, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)))):
@@ -343,7 +354,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     found = settle(links(docs, candidates(groups), idf, similar), "minhash-links").distinct()
     # rows that repeat an id with another text join its classes too
     owner = worded.groupBy("key_hi", "key_lo").agg(F.min("doc_id").alias("owner"))
-    members = worded.select("doc_id", "key_hi", "key_lo").distinct().join(owner.hint("merge"), ["key_hi", "key_lo"]).select("doc_id", "owner").distinct()
+    owner = settle(owner, "minhash-owners")
+    members = settle(worded.select("doc_id", "key_hi", "key_lo").join(owner.hint("merge"), ["key_hi", "key_lo"]).select("doc_id", "owner").distinct(), "minhash-owned")
     several = members.groupBy("doc_id").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a <> b").select("a", "b")
     labels = components(found.select(F.col("centre").alias("a"), F.col("doc").alias("b")).union(several), "a", "b")
     # what the centres left apart is compared in full
@@ -351,9 +363,12 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     found = found.union(rest.select(*found.columns)).select("centre", "doc").distinct()
     joined = components(rest, "a", "b").select(F.col("node").alias("label"), F.col("label").alias("further"))
     degree = found.select(F.explode(F.array("centre", "doc")).alias("owner")).groupBy("owner").agg(F.count(F.lit(1)).alias("links"))
-    known = members.join(labels.withColumnRenamed("node", "owner").hint("merge"), "owner", "left").join(degree.hint("merge"), "owner", "left")
-    known = known.withColumn("label", F.coalesce("label", "owner")).join(joined.hint("merge"), "label", "left")
-    known = known.groupBy("doc_id").agg(F.min(F.coalesce("further", "label")).alias("label"), F.max("links").alias("links"))
+    # what is known of a text, with one row each, before it meets the rows that hold the text: those may be a hot key
+    texts = labels.withColumnRenamed("node", "owner").join(joined.hint("merge"), "label", "left").withColumn("label", F.coalesce("further", "label")).drop("further")
+    texts = texts.join(degree.hint("merge"), "owner", "full")
+    single = joined.withColumnRenamed("label", "owner")
+    texts = settle(texts.join(single.hint("merge"), "owner", "full").select("owner", F.coalesce("label", "further", "owner").alias("label"), "links"), "minhash-texts")
+    known = members.join(texts.hint("merge"), "owner", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "owner")).alias("label"), F.max("links").alias("links"))
     return signed.select("doc_id").join(known.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 

@@ -151,12 +151,24 @@ def test_near_duplicates_against_brute_force(spark):
     assert weighted_minhash.classes(df.limit(0)).count() == 0
 
 
+def test_document_frequencies(spark, monkeypatch):
+    rows = ["a b c d e f", "a b c d e f", "x a b c d e", "q r s t u", None, ""]
+    df = spark.createDataFrame([(t,) for t in rows], "text string").repartition(3)
+    table = weighted_minhash.idf_table(df)
+    by_text = [weighted_minhash.shingles([t])[1][0] for t in ("a b c d e", "b c d e f", "q r s t u")]
+    assert np.allclose(table.of(np.array(by_text)), np.log1p(7 / np.array([4.0, 3.0, 2.0])))
+    assert len(table.shingle) == 2 and np.allclose(table.of(np.zeros(1, np.uint64)), np.log1p(7 / 2))
+    # rarer shingles weigh as those of the share at which frequencies are clipped
+    monkeypatch.setattr(weighted_minhash, "CLIP", 0.5)
+    assert np.allclose(weighted_minhash.idf_table(df).of(np.array(by_text)), np.log1p(7 / np.array([4.0, 4.0, 4.0])))
+
+
 def linked(df):
     """Class by id, from all pairs."""
     table = weighted_minhash.idf_table(df)
     rows = sorted((r.doc_id, r.text) for r in df.collect())
     doc, s, count = weighted_minhash.shingles([t for _, t in rows])
-    w = count * table[(s % np.uint64(weighted_minhash.DF_BUCKETS)).astype(np.int64)].astype(float)
+    w = count * table.of(s)
     parts = [(s[doc == k], w[doc == k]) for k in range(len(rows))]
     label = list(range(len(rows)))
     for i in range(len(rows)):
