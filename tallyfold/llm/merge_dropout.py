@@ -24,6 +24,8 @@ import heapq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -277,9 +279,16 @@ def document_keys(ids: np.ndarray, seed: int) -> np.ndarray:
         return (h ^ (h >> np.uint64(32))) * np.uint64(_K[3])
 
 
+def id_numbers(ids: pa.Array) -> np.ndarray:
+    """A whole number for each id: itself, 0 for null; a hash for ids that are no whole numbers."""
+    if pa.types.is_integer(ids.type):
+        return pc.fill_null(ids.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+    return np.array([0 if x is None else xxhash.xxh64_intdigest(str(x)) for x in ids.to_pylist()], np.uint64).view(np.int64)
+
+
 def _batches(batches, seed: int, rate: float, model: str, check: bool):
     for batch in slices(batches, 1):
-        ids = np.nan_to_num(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        ids = id_numbers(batch.column(0))
         texts = [t or "" for t in batch.column(1).to_pylist()]
         pieces, starts = encode(texts, document_keys(ids, seed), model, rate)
         lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(pieces, pa.int32()))
@@ -291,7 +300,7 @@ def _batches(batches, seed: int, rate: float, model: str, check: bool):
 
 def round_trip(docs: DataFrame, seed: int = 7, rate: float = 0.1, model: str = MODEL) -> DataFrame:
     """(doc_id, pieces, lossless): pieces of each text, and whether decoding them gives the text back."""
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _batches(b, seed, rate, model, True), "doc_id long, pieces array<int>, lossless boolean")
+    return docs.select("doc_id", "text").mapInArrow(lambda b: _batches(b, seed, rate, model, True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pieces array<int>, lossless boolean")
 
 
 def encode_column(docs: DataFrame, seed: int = 7, rate: float = 0.1, model: str = MODEL, out: str = "pieces") -> DataFrame:
@@ -303,7 +312,7 @@ def encode_column(docs: DataFrame, seed: int = 7, rate: float = 0.1, model: str
 
     def run(batches):
         for batch in slices(batches, text_at):
-            ids = np.nan_to_num(batch.column(id_at).to_numpy(zero_copy_only=False)).astype(np.int64)
+            ids = id_numbers(batch.column(id_at))
             got, starts = encode([t or "" for t in batch.column(text_at).to_pylist()], document_keys(ids, seed), model, rate)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(got, pa.int32()))], [*names, out])
 

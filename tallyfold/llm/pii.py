@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm.common import slices
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "phone_local")
 THRESHOLD = 0.6
@@ -45,7 +47,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])")
+#: Groups are as long as they can be, so that there is one way to cut a run into them.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{1,4}+){3,8}(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}(?:[ .-][0-9]{3,4})?(?![0-9.-])")
 _WORD = re.compile(r"[^\W\d_]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -124,7 +127,7 @@ def find(docs: DataFrame) -> DataFrame:
     """(doc_id, found): array of (kind, start, end, score) of each text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = [[dict(zip(("kind", "start", "end", "score"), x)) for x in spans(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _SPAN)], ["doc_id", "found"])
 

@@ -9,9 +9,10 @@ The model is fitted on the driver, on at most ``SAMPLE`` labelled rows (those wi
 id, so that any number of executors picks the same rows); everything else, scoring included, is distributed.
 Only the ``FEATURES`` hashed weights and the thresholds go to the executors.
 
-Cases: null and empty texts have no features and get the grade of the intercept, near 0; labels that are null
-are left out of the fit; without a toxic and a clean label the model scores everything 0; equal texts get equal
-scores; extra columns are kept by ``score_column`` and ``keep_clean``.
+Cases: null and empty texts have no features and get the grade of the intercept, near 0; texts of any length are read
+whole; of documents that repeat an id the least text is fitted, once, and each is scored; labels that are null are
+left out of the fit; without a toxic and a clean label the model scores everything 0; equal texts get equal
+scores; extra columns are kept by ``score_column`` and ``keep_clean``, which replace a column named as their output.
 """
 
 from __future__ import annotations
@@ -85,13 +86,32 @@ def evidence(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     return np.sign(ratio) * np.maximum(0, np.abs(ratio) - 2 * error)
 
 
+def objective(w: np.ndarray, theta: np.ndarray, row: np.ndarray, column: np.ndarray, size: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Penalised mean of -log P(grade), and its gradients by ``w`` and ``theta``.
+
+    Row ``row[i]`` has the feature ``column[i]`` with the value ``size[i]``. ``theta`` is the first threshold and the
+    logarithms of the gaps to the next ones, so that thresholds stay in order.
+    """
+    n, cuts = len(grades), len(theta)
+    z = np.bincount(row, w[column] * size, n)
+    cut = np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))])
+    at = _sigmoid(cut[None, :] - z[:, None])
+    full = np.concatenate([np.zeros((n, 1)), at, np.ones((n, 1))], 1)
+    p = np.maximum(full[np.arange(n), grades + 1] - full[np.arange(n), grades], 1e-9)
+    slope = at * (1 - at)
+    lower = np.arange(cuts)
+    by_cut = -((grades[:, None] == lower) * slope - (grades[:, None] == lower + 1) * slope) / p[:, None]
+    g_w = np.bincount(column, -by_cut.sum(1)[row] * size, len(w)) / n + RIDGE * w
+    by_cut = by_cut.sum(0) / n
+    g_t = np.concatenate([[by_cut.sum()], [np.exp(theta[k]) * by_cut[k:].sum() for k in range(1, cuts)]])
+    return float(-np.log(p).mean() + RIDGE * (w * w).sum() / 2), g_w, g_t
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3) -> OrdinalModel:
     """Ridge-penalised likelihood by Adam over all rows at once; features are scaled by their ``evidence``."""
-    n = len(rows)
     scale = evidence(rows, grades > 0)
-    counts = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
-    row = np.repeat(np.arange(n), counts)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     keep = scale[flat] != 0
     row = row[keep]
     names, column = np.unique(flat[keep], return_inverse=True)
@@ -103,20 +123,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3) -> Ordina
     theta = np.concatenate([[first], gaps])
     m = [np.zeros_like(w), np.zeros_like(theta)]
     v = [np.zeros_like(w), np.zeros_like(theta)]
-    lower = np.arange(n_grades - 1)
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, w[column] * size, n)
-        cut = np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))])
-        at = _sigmoid(cut[None, :] - z[:, None])
-        full = np.concatenate([np.zeros((n, 1)), at, np.ones((n, 1))], 1)
-        p = np.maximum(full[np.arange(n), grades + 1] - full[np.arange(n), grades], 1e-9)
-        slope = at * (1 - at)
-        upper = (grades[:, None] == lower[None, :]) * slope
-        under = (grades[:, None] == lower[None, :] + 1) * slope
-        by_cut = -(upper - under) / p[:, None]
-        g_w = np.bincount(column, -by_cut.sum(1)[row] * size, len(names)) / n + RIDGE * w
-        by_cut = by_cut.sum(0) / n
-        g_t = np.concatenate([[by_cut.sum()], [np.exp(theta[k]) * by_cut[k:].sum() for k in range(1, n_grades - 1)]])
+        _, g_w, g_t = objective(w, theta, row, column, size, grades)
         for i, (x, g) in enumerate(((w, g_w), (theta, g_t))):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
@@ -145,8 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
         memo = Features()
         return pd.Series([sorted(features(t, memo)) for t in texts])
 
-    # at most ``sample`` rows, so this side has a bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", hashed("text").alias("f"))
+    # at most ``sample`` rows, so this side has a bound; one text for each id, so that the result has it too
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = texts.select("doc_id", "toxic", hashed("text").alias("f"))
     # ties in the order of arrival would change the last digits of the fit
     got = rows.toPandas().sort_values("doc_id", kind="stable")
     sets, y = [np.asarray(f, np.int32) for f in got["f"]], got["toxic"].to_numpy(np.int64)
