@@ -2,17 +2,19 @@
 
 Each page becomes a record: the first page of each payload (smallest page_id) a ``response``, later pages with
 the same payload of at least ``min_bytes`` a ``revisit`` that refers to it. All headers and digests are made anew
-from the rows. Records are in page_id order. Shards are ranges of page ids, cut at the bounds of ``CELLS`` equal
-parts of the whole range so that a shard holds about ``shard_bytes`` of payload; within a shard a file is closed
-when it reaches ``roll_bytes`` compressed. So the same rows give the same files for any number of executors. A file is written under a temporary name and renamed when it is complete; a task that runs
-again writes the same bytes under the same name. The manifest, a table of the files with their sizes and SHA-256,
-is written last: a reader opens only what it lists and checks the digests.
+from the rows. Records are in page_id order. Shards are runs of the pages in order of (page_id, first digits of the
+digest), cut wherever the running sum of payload bytes passes a multiple of ``shard_bytes``, which grows so that there
+are at most ``MOST_SHARDS``: one outlying id moves no bound. The sums are taken in two steps, by ranges of a sort and
+over the ranges. Within a shard a file is closed when it reaches ``roll_bytes`` compressed. So the same rows give the
+same files for any number of executors. A file is written under a temporary name and renamed when it is complete; a
+task that runs again writes the same bytes under the same name. The manifest, a table of the files with their sizes
+and SHA-256, is written last: a reader opens only what it lists and checks the digests.
 
 Pages are compressed where they are read, and the compressed records are shuffled once, to their shards. Which
 pages are revisits is found beforehand from digests alone, and goes along as rows of its own.
 
 Cases: null html is an empty payload; null url gives ``urn:none``; a null page_id is written as such and sorts
-first; repeated rows give a record each, the first of them the response; an empty table gives an empty manifest.
+first; pages that share an id, null ones too, may be dealt to several shards by their digests; repeated rows give a record each, the first of them the response; an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ import re
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,8 +36,10 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import partitions, scratch, settle, slices
 
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 8 << 20
-#: Equal parts of the range of page ids, at whose bounds shards are cut.
-CELLS = 1 << 14
+#: The bounds of the shards, 12 bytes each, go to the executors.
+MOST_SHARDS = 1 << 20
+#: Shards that a task writes, and files that a task reads, on average.
+SHARDS_A_TASK, FILES_A_TASK = 2, 4
 DATE = "1970-01-01T00:00:00Z"
 _PAGE = re.compile(rb"page:(-?[0-9]+|null)")
 _MANIFEST = "file string, shard long, first_page long, records long, bytes long, sha256 string"
@@ -84,26 +90,68 @@ def digests(pages: DataFrame) -> DataFrame:
 def repeated(known: DataFrame, min_bytes: int) -> DataFrame:
     """(page_id, digest, first): the payloads that occur more than once, by page, with the page that is the response."""
     by_page = known.where(F.col("bytes") >= min_bytes).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
-    first = by_page.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    # one row per payload that occurs more than once; a hot payload is split by adaptive execution
+    # one row per payload that occurs more than once, written, so that adaptive execution can split a hot payload
+    first = settle(by_page.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n"), "warc-first")
     return by_page.join(first.hint("merge"), "digest").select("page_id", "digest", "first")
 
 
-def shards(known: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int]:
-    """(cell, shard), one row for each of at most ``CELLS`` cells, and the least id and the width of a cell."""
-    least, most = known.agg(F.coalesce(F.min("page_id"), F.lit(0)), F.coalesce(F.max("page_id"), F.lit(0))).first()
-    width = (most - least) // CELLS + 1
-    by_cell = known.groupBy(_cell(least, width).alias("cell")).agg(F.sum("bytes").alias("bytes"))
-    before = F.coalesce(F.sum("bytes").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return by_cell.withColumn("before", before).select("cell", F.expr(f"before div {int(shard_bytes)}").alias("shard")), least, width
+class Bounds:
+    """The first (page_id, part) of each shard, in order."""
 
+    def __init__(self, ids: np.ndarray, parts: np.ndarray):
+        self.ids, self.parts = ids, parts
 
-def _cell(least: int, width: int):
-    return F.coalesce(F.expr(f"(page_id - {least}) div {width}"), F.lit(-1).cast("long"))
+    def shard(self, ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        left, right = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        out = np.maximum(left - 1, 0)
+        # ids at which shards begin, one or several
+        for k in np.flatnonzero(left < right).tolist():
+            out[k] = max(left[k] + np.searchsorted(self.parts[left[k] : right[k]], parts[k], "right") - 1, 0)
+        return out.astype(np.int64)
 
 
-def compressed(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, url, bytes, member): every page as the response it may become."""
+def _order(page_id, digest):
+    """(id, part) that pages are cut by; null ids count as the least number."""
+    return F.coalesce(page_id, F.lit(-(1 << 63)).cast("long")).alias("id"), F.conv(F.substring(digest, 1, 4), 16, 10).cast("int").alias("part")
+
+
+def _parts(digests: list[str]) -> np.ndarray:
+    return np.array([int(d[:4], 16) for d in digests], np.int32)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column, -(1 << 63)).to_numpy(zero_copy_only=False)
+
+
+def shards(known: DataFrame, shard_bytes: int) -> Bounds:
+    """Where shards begin; at most ``MOST_SHARDS`` rows come to the driver."""
+    total = known.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    size = max(int(shard_bytes), total // MOST_SHARDS + 1)
+    sums = known.groupBy(*_order(F.col("page_id"), F.col("digest"))).agg(F.sum("bytes").alias("bytes"))
+    ranged = settle(sums.repartitionByRange(partitions(known.sparkSession), "id", "part").withColumn("range", F.spark_partition_id()), "warc-order")
+    # one row for each range of the sort
+    of_range = ranged.groupBy("range").agg(F.sum("bytes").alias("n"))
+    offset = of_range.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum("bytes").over(W.partitionBy("range").orderBy("id", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("inside", inside).join(F.broadcast(offset), "range")
+    begin = placed.groupBy(F.expr(f"(offset + inside) div {size}").alias("shard")).agg(F.min(F.struct("id", "part")).alias("b"))
+    got = begin.select("b.id", "b.part").toPandas().sort_values(["id", "part"])
+    return Bounds(got["id"].to_numpy(np.int64), got["part"].to_numpy(np.int32))
+
+
+def placed_rules(rules: DataFrame, bounds) -> DataFrame:
+    """``rules`` (page_id, digest, first) with their shard."""
+
+    def run(batches):
+        for batch in batches:
+            shard = bounds.value.shard(_ids(batch.column(0)), _parts(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], ["page_id", "digest", "first", "shard"])
+
+    return rules.mapInArrow(run, "page_id long, digest string, first long, shard long")
+
+
+def compressed(pages: DataFrame, bounds) -> DataFrame:
+    """(page_id, digest, url, bytes, member, shard): every page as the response it may become."""
 
     def run(batches):
         for batch in slices(batches, 2, 1 << 22):
@@ -114,10 +162,10 @@ def compressed(pages: DataFrame) -> DataFrame:
                 digest.append(d)
                 size.append(len(payload))
                 member.append(record(page_id, url, payload, base32(d), len(payload)))
-            arrays = [batch.column(0), pa.array(digest, pa.string()), batch.column(1), pa.array(size, pa.int64()), pa.array(member, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "digest", "url", "bytes", "member"])
+            arrays = [batch.column(0), pa.array(digest, pa.string()), batch.column(1), pa.array(size, pa.int64()), pa.array(member, pa.binary()), pa.array(bounds.value.shard(_ids(batch.column(0)), _parts(digest)))]
+            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "digest", "url", "bytes", "member", "shard"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, digest string, url string, bytes long, member binary")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, digest string, url string, bytes long, member binary, shard long")
 
 
 def _writer(uri: str, roll_bytes: int):
@@ -181,12 +229,14 @@ def write(pages: DataFrame, uri: str, min_bytes: int = 0, shard_bytes: int = SHA
     store, root = fs.FileSystem.from_uri(uri)
     store.create_dir(root, recursive=True)
     known = digests(pages)
-    cells, least, width = shards(known, shard_bytes)
-    rules = repeated(known, min_bytes).select("page_id", "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("binary").alias("member"))
-    rows = compressed(pages).select("page_id", "digest", F.lit(None).cast("long").alias("first"), "url", "bytes", "member")
-    # at most CELLS rows of two numbers
-    placed = rows.union(rules).withColumn("cell", _cell(least, width)).join(F.broadcast(cells), "cell")
-    ordered = placed.repartition(partitions(spark), "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", F.col("member").isNotNull(), "url", "bytes")
+    found = shards(known, shard_bytes)
+    bounds = spark.sparkContext.broadcast(found)
+    empty = {"url": F.lit(None).cast("string"), "bytes": F.lit(None).cast("long"), "member": F.lit(None).cast("binary")}
+    columns = ["shard", "page_id", "digest", "first", "url", "bytes", "member"]
+    rules = placed_rules(repeated(known, min_bytes).select("page_id", "digest", "first"), bounds).withColumns(empty).select(*columns)
+    rows = compressed(pages, bounds).withColumn("first", F.lit(None).cast("long")).select(*columns)
+    tasks = max(partitions(spark), -(-len(found.ids) // SHARDS_A_TASK))
+    ordered = rows.union(rules).repartition(tasks, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "digest", F.col("member").isNotNull(), "url", "bytes")
     ordered.select("shard", "page_id", "digest", "first", "url", "bytes", "member").mapInArrow(_writer(uri, roll_bytes), _MANIFEST).write.parquet(f"{uri}/manifest")
     return spark.read.parquet(f"{uri}/manifest")
 
@@ -242,7 +292,7 @@ def read_back(spark: SparkSession, uri: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in schema.split(", ")])
 
     files = spark.read.parquet(f"{uri}/manifest").select("file")
-    return files.repartition(partitions(spark), "file").mapInArrow(run, schema)
+    return files.repartition(max(partitions(spark), -(-files.count() // FILES_A_TASK)), "file").mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -260,6 +260,19 @@ def test_archives(spark, tmp_path):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_shards_do_not_depend_on_the_spread_of_ids(spark, tmp_path):
+    rows = [(k, "u", f"{k} " * 100) for k in range(400)]
+    odd = [*rows, (10**15, "u", "far")] + [(None, "u", f"null {k} " * 50) for k in range(300)]
+    counts = []
+    for n, data in enumerate((rows, odd)):
+        df = spark.createDataFrame(data, "page_id long, url string, html string")
+        made = warc.write(df, f"file://{tmp_path}/{n}", shard_bytes=5000)
+        counts.append((made.select("shard").distinct().count(), made.agg(F.max("records")).first()[0]))
+        back = warc.read_back(spark, f"file://{tmp_path}/{n}")
+        assert sorted((r.page_id is not None, r.page_id or 0, r.payload_digest) for r in back.collect()) == sorted((i is not None, i or 0, warc.base32_sha1(h.encode())) for i, _, h in data)
+    assert counts[0][0] >= 25 and counts[1][0] >= counts[0][0] + 15 and counts[1][1] < 40
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     folder = "/root/testdata/sf0.001"
