@@ -1,23 +1,33 @@
 """I-Match fingerprints over randomised lexicon subsets; DataFrame operations only.
 
 The lexicon holds the terms (lower-case runs of letters and digits) whose document frequency, counted over all
-documents, lies in the band [``LOW``, ``HIGH``] of the documents, and in two documents at least. It is dealt by a
+documents, lies in the band [``LOW``, ``HIGH``] of the documents, and in two documents at least. A text that has many
+exact copies counts once, so that a large group of copies does not put its terms over the band. Terms are dealt by a
 hash into ``SUBSETS`` random subsets. For each subset the distinct terms of a text that lie in it are sorted and
-hashed; the fingerprint is the row of these hashes, ``------`` where a subset has no term of the text. A text
-without terms of the lexicon is known by a hash of the whole text instead. The likeness of two fingerprints is the
-share of equal hashes among the subsets where either has one.
-
-The lexicon is broadcast: it has at most (mean number of distinct terms) / ``LOW`` entries, whatever the number of
-documents. The texts are shuffled once, into buckets of neighbouring ids, and all that follows (the next
-document's text, the terms, the hashes) keeps that partitioning.
+hashed; the fingerprint is the row of these hashes. Where a text has no term of the band in a subset, its terms there
+that are more frequent than the band are hashed instead, and where there are none either, its rarer ones: so near
+copies of a text that a large share of documents holds, whose terms are all over the band, keep like fingerprints,
+and texts of rare words do too. ``------`` stands where a subset has no term of the text. A text without terms is known
+by a hash of the whole text. The likeness of two fingerprints is the share of equal hashes among the subsets where
+either has one.
+
+The band and the terms over it are broadcast while they are at most ``MOST_TERMS``: there are at most (mean number of
+distinct terms) / ``LOW`` of them, whatever the number of documents. The texts are shuffled once, into buckets of
+neighbouring ids of about ``BUCKET_ROWS``, and all that follows (the next document's text, the terms, the hashes) keeps
+that partitioning; only the first text of each bucket goes to the bucket before as well.
 
 Cases: null text is the empty text; equal texts have equal fingerprints; equal ids are ordered by a hash of their
-texts; null ids come last; the next document of the only one is itself; an empty table gives no rows; extra
-columns are ignored.
+texts, by which ids that many rows share, and null ids, are cut into buckets too; null ids come last; the next
+document of the only one is itself; texts of any length are read whole; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import collections
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,8 +37,13 @@ from tallyfold.llm.common import settle
 LOW, HIGH = 1 / 2000, 1 / 40
 SUBSETS = 64
 SEED = 17
-#: Documents of one bucket, and the most buckets; more documents make larger buckets.
-BUCKET_ROWS, MOST_BUCKETS = 1000, 2000
+#: Documents of one bucket, and the most buckets; beyond them buckets grow, which sort and window spill.
+BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 16
+MOST_TERMS = 4_000_000
+#: A text counts once if it is this share of ``HIGH`` of the documents at least.
+HEAVY = 0.1
+#: Which hash a subset takes: the least of these that it has terms of.
+BAND, OVER, RARE = 0, 1, 2
 MARK = "\x01"
 
 
@@ -38,12 +53,39 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, subset, term_hash) of the terms in the band."""
+    """(term, tier): the terms in the band, and those over it."""
     total = docs.count()
-    found = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    kept = found.where((F.col("term") != "") & (F.col("df") >= max(2, low * total)) & (F.col("df") <= max(2, high * total)))
-    h = F.xxhash64(F.lit(SEED), "term")
-    return settle(kept.select("term", F.pmod(h, F.lit(SUBSETS)).cast("int").alias("subset"), F.shiftrightunsigned(h, 8).alias("term_hash")), "imatch-lexicon")
+    body = F.coalesce("text", F.lit(""))
+    # at most 1 / (HEAVY * high) rows
+    heavy = docs.groupBy(F.xxhash64(body).alias("same")).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= max(2, HEAVY * high * total))
+    rows = docs.select(body.alias("body"), F.xxhash64(body).alias("same")).join(F.broadcast(heavy), "same", "left").select("body", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    found = rows.select("weight", F.explode(terms(F.col("body"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("weight"), 6).alias("df"))
+    kept = found.where((F.col("term") != "") & (F.col("rows") >= 2) & (F.col("df") >= low * total))
+    return settle(kept.select("term", F.when(F.col("df") <= max(2, high * total), BAND).otherwise(OVER).alias("tier")), "imatch-lexicon")
+
+
+def _cut(ids: Column, cuts: list[int]) -> Column:
+    """How many of ``cuts`` are over an id, or a number in the same order; two short searches for long lists."""
+    down, width = sorted(set(cuts), reverse=True), max(1, math.isqrt(len(cuts)))
+    chunks = [down[k : k + width] for k in range(0, len(down), width)]
+    coarse = F.from_json(F.lit(json.dumps([c[-1] for c in chunks])), "array<bigint>")
+    fine = F.from_json(F.lit(json.dumps(chunks)), "array<array<bigint>>")
+    over = F.size(F.filter(coarse, lambda c: c > ids))
+    return over * width + F.coalesce(F.size(F.filter(F.try_element_at(fine, over + 1), lambda c: c > ids)), F.lit(0))
+
+
+def bucketed(docs: DataFrame) -> DataFrame:
+    """(bucket, doc_id, text, tie): buckets in the order of falling ids, null ids last."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    buckets = max(1, min(MOST_BUCKETS, docs.count() // BUCKET_ROWS))
+    asked = [k / buckets for k in range(1, buckets)] or [0.5]
+    cuts = rows.agg(F.percentile_approx("doc_id", asked, max(10_000, 4 * buckets)).alias("cuts")).first()["cuts"] or [0]
+    # an id that fills several quantiles is cut by the hash of the text
+    hot = sorted(k for k, n in collections.Counter(cuts).items() if n > 1)
+    by_tie = F.shiftright("tie", 56) + 129
+    sub = F.when(F.col("doc_id").isin(hot), by_tie).otherwise(0) if hot else F.lit(0)
+    place = _cut(F.col("doc_id"), cuts) * 512 + sub
+    return rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), (1 << 40) + by_tie).otherwise(place).cast("long"))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -51,32 +93,39 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     ``last`` marks the last row of a bucket, whose next text comes from another bucket.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    buckets = max(1, min(MOST_BUCKETS, docs.count() // BUCKET_ROWS))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)] or [0.5], 10_000).alias("cuts")).first()["cuts"] or []
-    cuts = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))) if cuts else F.array(F.lit(0).cast("long"))
-    # ids under a cut are in another bucket than those from it on; buckets fall with the id
-    bucket = F.when(F.col("doc_id").isNull(), 1 << 20).otherwise(F.size(F.filter(cuts, lambda c: c > F.col("doc_id"))))
-    rows = rows.withColumn("bucket", bucket.cast("int")).withColumn("tie", F.xxhash64("text"))
-    order = (F.desc_nulls_last("doc_id"), F.col("tie"))
-    within = W.partitionBy("bucket").orderBy(*order)
-    follows = F.lead(F.struct("text")).over(within)
-    placed = rows.withColumn("follows", follows).withColumn("at", F.row_number().over(within))
-    # the first row of each bucket: at most one per bucket, so that these tables have a bound
-    head_ids = rows.groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    heads = rows.alias("r").join(F.broadcast(head_ids.alias("h")), F.expr("r.bucket = h.bucket and r.doc_id <=> h.head")).select("r.bucket", "r.text", "r.tie").groupBy("bucket").agg(F.min_by("text", "tie").alias("text"))
+    rows = bucketed(docs)
+    order = F.struct(F.bitwise_not("doc_id"), F.col("tie"))
+    # (bucket, key of its first row), one row per bucket; and which bucket comes before it
+    first = settle(rows.groupBy("bucket").agg(F.min(order).alias("head")), "imatch-heads")
     by_bucket = W.orderBy("bucket")
-    heads = heads.select("bucket", F.coalesce(F.lead("text").over(by_bucket), F.first("text").over(by_bucket)).alias("over"))
-    return placed.join(F.broadcast(heads), "bucket").select("bucket", "at", "doc_id", "text", F.coalesce(F.col("follows")["text"], F.col("over")).alias("next_text"), F.col("follows").isNull().alias("last"))
+    first = first.select(F.col("bucket").alias("own"), "head", F.coalesce(F.lag("bucket").over(by_bucket), F.last("bucket").over(by_bucket.rowsBetween(0, W.unboundedFollowing))).alias("before"))
+    heads = rows.join(F.broadcast(first), (F.col("bucket") == F.col("own")) & order.eqNullSafe(F.col("head"))).select(F.col("before").alias("bucket"), "text", "tie")
+    heads = heads.groupBy("bucket").agg(F.min_by("text", "tie").alias("text"))
+    every = rows.withColumn("guest", F.lit(0)).unionByName(heads.withColumn("guest", F.lit(1)), allowMissingColumns=True)
+    within = W.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), "tie")
+    follows = F.lead(F.struct("text", "guest")).over(within)
+    placed = every.withColumn("follows", follows).withColumn("at", F.row_number().over(within)).where("guest = 0")
+    return placed.select("bucket", "at", "doc_id", "text", F.col("follows")["text"].alias("next_text"), (F.col("follows")["guest"] == 1).alias("last"))
+
+
+def packed(tier: Column, term: Column) -> Column:
+    """Subset, tier and hash of a term in one number; numbers are in the order of these three."""
+    h = F.xxhash64(F.lit(SEED), term)
+    return F.shiftleft(F.pmod(h, F.lit(SUBSETS)), 56).bitwiseOR(F.shiftleft(tier.cast("long"), 54)).bitwiseOR(F.shiftrightunsigned(h, 10))
+
+
+def subset_hashes(numbers: Column) -> Column:
+    """Hash by subset from an array of ``packed`` terms; in each subset only those of its least tier count."""
+    entry = lambda s: F.array_append(s["done"], F.struct(F.shiftright(s["group"], 2).cast("int").alias("subset"), s["hash"].alias("hash")))
+    state = lambda group, h, done: F.struct(group.alias("group"), h.alias("hash"), done.alias("done"))
 
+    def step(s, x):
+        group = F.shiftright(x, 54)
+        same_subset = F.shiftright(s["group"], 2) == F.shiftright(group, 2)
+        return F.when(s["group"] == group, state(s["group"], F.xxhash64(s["hash"], x), s["done"])).when(same_subset, s).otherwise(state(group, F.xxhash64(F.lit(SEED), x), entry(s)))
 
-def subset_hashes(pairs: Column) -> Column:
-    """Array of ``SUBSETS`` strings from an array of (subset, term_hash)."""
-    step = lambda s, x: F.when(
-        s["subset"] == x["subset"], F.struct(x["subset"].alias("subset"), F.xxhash64(s["hash"], x["term_hash"]).alias("hash"), s["done"].alias("done"))
-    ).otherwise(F.struct(x["subset"].alias("subset"), F.xxhash64(F.lit(SEED), x["term_hash"]).alias("hash"), F.array_append(s["done"], F.struct(s["subset"].alias("subset"), s["hash"].alias("hash"))).alias("done")))
-    start = F.struct(F.lit(-1).alias("subset"), F.lit(0).cast("long").alias("hash"), F.array().cast("array<struct<subset:int,hash:bigint>>").alias("done"))
-    return F.aggregate(F.array_sort(pairs), start, step, lambda s: F.map_from_entries(F.array_append(s["done"], F.struct(s["subset"].alias("subset"), s["hash"].alias("hash")))))
+    start = state(F.lit(-4).cast("long"), F.lit(0).cast("long"), F.array().cast("array<struct<subset:int,hash:bigint>>"))
+    return F.aggregate(F.sort_array(numbers), start, step, lambda s: F.map_from_entries(entry(s)))
 
 
 def _fingerprint(by_subset: Column, whole: Column) -> Column:
@@ -99,7 +148,8 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     The edited text is the document's without its last third, followed by as many code points of the next
     document's text.
     """
-    lex = F.broadcast(lexicon(docs, low, high))
+    lex = lexicon(docs, low, high)
+    lex = F.broadcast(lex) if lex.count() <= MOST_TERMS else lex.hint("merge")
     near = neighbours(docs)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
@@ -109,14 +159,12 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     # the mark is a row that every text has, and brings what is known of it through the join
     words = texts.select("bucket", "at", "t.which", F.named_struct(F.lit("about"), "about", F.lit("whole"), F.xxhash64("t.body")).alias("about"), F.explode(F.concat(F.array(F.lit(MARK)), terms(F.col("t.body")))).alias("term"))
     words = words.select("bucket", "at", "which", "term", F.when(F.col("term") == MARK, F.col("about")).alias("about"))
-    spark = docs.sparkSession
-    marked = lex.union(spark.range(1).select(F.lit(MARK).alias("term"), F.lit(-2).alias("subset"), F.lit(0).cast("long").alias("term_hash")))
-    banded = words.join(F.broadcast(marked), "term")
-    by_text = banded.groupBy("bucket", "at", "which").agg(
-        F.first("about", ignorenulls=True).alias("known"), F.collect_list(F.when(F.col("subset") >= 0, F.struct("subset", "term_hash"))).alias("pairs")
+    words = words.where("term <> ''").join(lex, "term", "left")
+    by_text = words.groupBy("bucket", "at", "which").agg(
+        F.first("about", ignorenulls=True).alias("known"), F.collect_list(F.when(F.col("term") != MARK, packed(F.coalesce("tier", F.lit(RARE)), F.col("term")))).alias("numbers")
     )
     # bound to a lambda, the hashes of a text are made once
-    printed = by_text.select("bucket", "at", "which", F.col("known.about").alias("about"), F.transform(F.array(subset_hashes(F.col("pairs"))), lambda m: _fingerprint(m, F.col("known.whole")))[0].alias("print"))
+    printed = by_text.select("bucket", "at", "which", F.col("known.about").alias("about"), F.transform(F.array(subset_hashes(F.col("numbers"))), lambda m: _fingerprint(m, F.col("known.whole")))[0].alias("print"))
     pick = lambda k: F.first(F.when(F.col("which") == k, F.col("print")), ignorenulls=True)
     rows = printed.groupBy("bucket", "at").agg(F.first("about", ignorenulls=True).alias("about"), pick(0).alias("own"), pick(1).alias("edited"), pick(2).alias("over"))
     following = F.coalesce(F.lead("own").over(W.partitionBy("bucket").orderBy("at")), F.col("over"))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -36,6 +37,69 @@ def test_fingerprints(spark):
     assert imatch.fingerprints(df.limit(0)).count() == 0 and imatch.fingerprints(df.limit(1)).count() == 1
 
 
+def brute_prints(texts, low, high):
+    """Hashes of the sorted terms by subset of each text, from the definition."""
+    words = [sorted(set(re.findall(r"[^\W_]+", t.lower()))) for t in texts]
+    copies = collections.Counter(texts)
+    heavy = max(2, imatch.HEAVY * high * len(texts))
+    df, rows = collections.Counter(), collections.Counter()
+    for t, w in zip(texts, words):
+        rows.update(w)
+        for x in w:
+            df[x] += 1 / copies[t] if copies[t] >= heavy else 1
+    tier = lambda x: imatch.RARE if rows[x] < 2 or df[x] < low * len(texts) - 1e-9 else imatch.BAND if df[x] <= max(2, high * len(texts)) + 1e-9 else imatch.OVER
+    return words, tier
+
+
+def test_fingerprints_against_the_definition(spark):
+    rng = random.Random(11)
+    hot = text(rng, 120, 3000)
+    texts = [text(rng, rng.randint(1, 90)) for _ in range(120)] + [hot] * 40
+    for k in range(40):
+        w = hot.split()
+        w[rng.randrange(len(w))] = f"edit{k}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in imatch.fingerprints(df, 1 / 50, 1 / 10).collect()}
+    words, tier = brute_prints(texts, 1 / 50, 1 / 10)
+    lex = {r.term: r.tier for r in imatch.lexicon(df, 1 / 50, 1 / 10).collect()}
+    assert lex == {x: tier(x) for x in set().union(*words) if tier(x) != imatch.RARE}
+    hashes = {r.term: r.h for r in spark.createDataFrame([(x,) for x in set().union(*words)], "term string").select("term", F.pmod(F.xxhash64(F.lit(imatch.SEED), "term"), F.lit(imatch.SUBSETS)).alias("h")).collect()}
+
+    def parts(w):
+        by = collections.defaultdict(list)
+        for x in w:
+            by[hashes[x]].append(x)
+        return [tuple(x for x in by[k] if tier(x) == min(map(tier, by[k]))) if by[k] else () for k in range(imatch.SUBSETS)]
+
+    def like(a, b):
+        pairs = [(x, y) for x, y in zip(parts(a), parts(b)) if x or y]
+        return sum(x == y for x, y in pairs) / len(pairs)
+
+    for i in range(1, len(texts)):
+        assert abs(got[i].near_next - like(words[i], words[i - 1])) < 1e-9, i
+        m = len(texts[i]) // 3
+        edited = texts[i][: len(texts[i]) - m] + texts[i - 1][:m]
+        new = sorted(set(re.findall(r"[^\W_]+", edited.lower())))
+        if all(x in hashes for x in new):
+            assert abs(got[i].near_edited - like(words[i], new)) < 1e-9, i
+    # a third of all rows are near copies: they are alike, though all their terms are over the band
+    assert np.mean([got[i].near_next for i in range(161, 200)]) > 0.9 and np.mean([got[i].near_next for i in range(1, 120)]) < 0.3
+
+
+def test_fingerprints_of_hot_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "BUCKET_ROWS", 20)
+    rng = random.Random(12)
+    rows = [(7, text(rng, 12)) for _ in range(120)] + [(None, text(rng, 12)) for _ in range(120)] + [(k, text(rng, 12)) for k in range(-50, 60)] + [(-(1 << 63), "least id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert imatch.bucketed(df).groupBy("bucket").count().agg(F.max("count")).first()[0] < 60
+    got = imatch.neighbours(df).orderBy("bucket", "at").collect()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is None, -(i or 0)))
+    assert all(a.next_text == b.text for a, b in zip(got, [*got[1:], got[0]]))
+    long = spark.createDataFrame([(1, "one two " * 100_000), (2, "x")], "doc_id long, text string")
+    assert imatch.fingerprints(long).count() == 2
+
+
 def brute_repeats(docs):
     first = {}
     for i, t in docs:
