@@ -17,7 +17,8 @@ never cross documents.
 4. The spans go back to their documents, which drop the covered bytes.
 
 A chunk of documents sends each hash and each window once, so a passage that a third of the documents share
-arrives once per chunk, not once per document.
+arrives once per chunk, not once per document. The number of tasks follows the bytes of the table. Windows count as
+equal when two 64-bit hashes are, that of the key and that of all their bytes.
 
 Cases: null text is the empty text; texts under ``LENGTH`` bytes lose nothing; rows with equal ids do not remove
 from each other; rows with a null id neither lose nor remove anything; a text that repeats itself loses nothing by
@@ -41,6 +42,8 @@ REACH = LENGTH - SEED_BYTES
 CHUNK_TEXT, CHUNK_WINDOWS = 16 << 20, 8 << 20
 #: Anchors that a bucket holds at most on average, and bytes of windows that are sorted in one go.
 BUCKET_ANCHORS, SORT_BYTES = 1 << 20, 1 << 20
+#: Bytes of text that a task reads on average, if there are more of them than shuffle partitions take.
+TASK_TEXT = 64 << 20
 #: Documents of a block, to which what is found goes back, and findings that a task gathers before it sends them.
 BLOCK_DOCS, HELD_FINDINGS = 2000, 1 << 19
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -558,18 +561,20 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     total, count = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     n = partitions(spark)
     buckets, blocks = max(n, int(total * 2 / (REACH + 2)) // BUCKET_ANCHORS), max(n, count // BLOCK_DOCS)
+    # a bucket has a task of its own where there are many
+    by_bucket, by_block = buckets, max(n, total // TASK_TEXT)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), body.alias("data"))
     anchors = rows.where("doc_id is not null").mapInArrow(_send_anchors(buckets), _FLOW)
-    shared = settle(anchors.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors(blocks), _ROW), "repeat-anchors")
+    shared = settle(anchors.repartition(by_bucket, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors(blocks), _ROW), "repeat-anchors")
     del anchors
     release(spark)
-    texts = rows.select(F.coalesce(block_column(blocks), F.lit(0)).alias("block"), F.lit(1).alias("kind"), "doc_id", "tie", "data")
+    texts = rows.select(F.coalesce(block_column(blocks), F.pmod("tie", F.lit(blocks)).cast("int")).alias("block"), F.lit(1).alias("kind"), "doc_id", "tie", "data")
 
     def with_texts(findings):
-        return texts.union(findings).repartition(n, "block").sortWithinPartitions("block", "kind", "doc_id", "tie")
+        return texts.union(findings).repartition(by_block, "block").sortWithinPartitions("block", "kind", "doc_id", "tie")
 
     windows = with_texts(shared).mapInArrow(_send_windows(buckets), _FLOW)
-    spans = settle(windows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_windows(blocks), _ROW), "repeat-spans")
+    spans = settle(windows.repartition(by_bucket, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_windows(blocks), _ROW), "repeat-spans")
     del windows, shared
     release(spark)
     return with_texts(spans).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
