@@ -1,8 +1,8 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the multiset of its shingles of five lower-case words; a shingle weighs its count times its inverse
-document frequency. Document frequencies are those of the shingles themselves, counted over all documents in one shuffle;
-shingles in under ``CLIP`` of the documents (1e-4) weigh as if they were in so many. So the table of frequencies that
+document frequency. Document frequencies are those of the shingles themselves, counted over all documents in one shuffle of
+packed hashes; shingles in under ``CLIP`` of the documents (1e-4) weigh as if they were in so many. So the table of frequencies that
 goes to the executors holds at most (mean number of distinct shingles) / ``CLIP`` entries, whatever the number of
 documents, and weights mean the same at any size. For each of ``BANDS * ROWS`` keys the sampler draws one
 (shingle, level) pair such that two documents draw the same pair with a probability equal to their weighted
@@ -10,8 +10,9 @@ Jaccard similarity; ``ROWS`` samples make a band. Documents that share a band ar
 multisets count once from here on. In each band each document is first compared to three members of its group: the
 smallest id, a member chosen by a hash, and the member that meets the most others. Where that leaves a group in
 several classes, all its pairs between classes are compared, in tiles of ``CHUNK`` by ``CHUNK`` texts that any task
-can take; only a group whose members are candidates but not similar costs the square of its size. A candidate pair is a link when its weighted Jaccard similarity, computed from the whole
-texts, reaches ``SIMILAR``. Classes are the connected components of the links; the class id is the smallest id.
+can take; only a group whose members are candidates but not similar costs the square of its size. A candidate pair is
+a link when its weighted Jaccard similarity, computed from the whole texts, reaches ``SIMILAR``. Classes are the
+connected components of the links; the class id is the smallest id.
 
 Cases: texts without words (null, empty, punctuation) are in classes of their own; texts of one to four words are
 one shingle; long texts are used whole; equal texts are always in one class; rows that repeat an id count as one
@@ -21,6 +22,7 @@ document, in the class of any of its texts; an empty table gives no rows; extra
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from tallyfold.llm.common import partitions, settle, slices
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 8, 2
 CLIP = 1e-4
+#: Shingles that a task counts before it sends them, and of a bucket.
+CHUNK_SHINGLES = 2_000_000
 #: Documents compared to one centre, or held in a tile, in one go.
 CHUNK = 256
 MEMO_SIZE, MEMO_WORD = 300_000, 40
@@ -141,17 +145,83 @@ class Idf:
         return np.where(self.shingle[at] == shingle, self.weight[at], self.other)
 
 
-def idf_table(docs: DataFrame) -> Idf:
-    """Document frequencies, counted over all documents, of the shingles in two of them and in ``CLIP`` of them at least."""
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers by bytes of like weight, compressed: sorted hashes take little more than their differences."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(len(steps), -1).T).tobytes(), 1)
+
+
+def _unpack(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    steps = np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view(kind).ravel(), dtype=kind)
+
+
+def _send_counts(buckets: int):
+    """One row (bucket, shingles, counts) for each bucket and chunk of texts; buckets are ranges of hashes."""
+    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
 
     def run(batches):
+        held, size = [], 0
+
+        def flush():
+            s, count = np.unique(np.concatenate(held), return_counts=True)
+            cut = [0, *np.searchsorted(s, edges).tolist(), len(s)]
+            rows = [(k, _pack(s[b:e]), _pack(count[b:e].astype(np.uint32))) for k, (b, e) in enumerate(zip(cut, cut[1:])) if e > b]
+            held.clear()
+            bucket, shingle, n = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(shingle, pa.binary()), pa.array(n, pa.binary())], ["bucket", "shingles", "counts"])
+
         for batch in slices(batches, 0):
             _, s, _ = shingles(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["shingle"])
+            held.append(s)
+            size += len(s)
+            if size >= CHUNK_SHINGLES:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
 
-    total = docs.count()
-    counted = docs.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    frequent = counted.where(F.col("df") >= max(2.0, CLIP * total)).toPandas()
+    return run
+
+
+def _frequent(least: float):
+    """(shingle, df) of the shingles in ``least`` documents at least, from rows ordered by bucket."""
+
+    def run(batches):
+        at, held = None, []
+
+        def flush():
+            s = np.concatenate([_unpack(a, np.uint64) for a, _ in held])
+            n = np.concatenate([_unpack(b, np.uint32) for _, b in held]).astype(np.int64)
+            order = np.argsort(s, kind="stable")
+            s, n = s[order], n[order]
+            begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            df = np.add.reduceat(n, begin)
+            keep = df >= least
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(s[begin][keep].view(np.int64)), pa.array(df[keep])], ["shingle", "df"])
+
+        for batch in batches:
+            for bucket, s, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if held and bucket != at:
+                    yield flush()
+                at = bucket
+                held.append((s, n))
+        if held:
+            yield flush()
+
+    return run
+
+
+def idf_table(docs: DataFrame) -> Idf:
+    """Document frequencies, counted over all documents, of the shingles in two of them and in ``CLIP`` of them at least."""
+    total, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    # words of a text are about six characters apart
+    buckets = max(partitions(docs.sparkSession), size // 6 // CHUNK_SHINGLES)
+    sent = docs.select("text").mapInArrow(_send_counts(buckets), "bucket int, shingles binary, counts binary")
+    counted = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(max(2.0, CLIP * total)), "shingle long, df long")
+    frequent = counted.toPandas()
     return Idf(frequent["shingle"].to_numpy(np.int64).view(np.uint64), frequent["df"].to_numpy(np.int64), total)
 
 
