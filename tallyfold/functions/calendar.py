@@ -48,6 +48,11 @@ def closed(last_day: Column) -> Column:
     return (F.dayofweek(last_day) == 7) | ((F.month(last_day) == 12) & (F.dayofmonth(last_day) == 31))
 
 
+def whole(first_day: Column, last_day: Column) -> Column:
+    """Whether the days of a week that are known run from its start to its end."""
+    return ((F.dayofweek(first_day) == 1) | (F.dayofyear(first_day) == 1)) & closed(last_day)
+
+
 def next_regular(year: Column, week: Column, steps: Column | int = 1) -> tuple[Column, Column]:
     """(year, week) some steps on, in years of 52 weeks."""
     at = week - 1 + steps

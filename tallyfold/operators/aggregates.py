@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyfold.sources.readers import row_hash
+
 
 def cause_pivot(facts: DataFrame, keys: list[str], causes: list[str], cause: str = "cause", value: str = "total") -> DataFrame:
     """Sums by cause as columns ``n_<cause>``; a cause that a group never reports stays null."""
@@ -46,9 +48,10 @@ def complete_years(df: DataFrame, keys: list[str], year: str, month: str) -> Dat
     return df.groupBy(*keys, year).agg(F.count_distinct(month).alias("months")).where("months = 12").drop("months")
 
 
-def ranked_shares(df: DataFrame, key: str, year: str, years: list[int], value: str) -> DataFrame:
-    """(key, one column a year, total, share, rank), from sums that are taken before the ranking."""
-    sums = df.groupBy(key).agg(*(F.sum(F.when(F.col(year) == y, F.col(value))).alias(f"y{y}") for y in years), F.sum(value).alias("total"))
+def ranked_shares(df: DataFrame, key: str, year: str, value: str) -> DataFrame:
+    """(key, by_year, total, share, rank), from sums that are taken before the ranking; ``by_year`` lists (year, value)."""
+    by_year = df.groupBy(key, year).agg(F.sum(value).alias(value))
+    sums = by_year.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(year, value))).alias("by_year"), F.sum(value).alias("total"))
     every = W.partitionBy()
     return sums.withColumns({"share": F.try_divide("total", F.sum("total").over(every)), "rank": F.row_number().over(W.orderBy(F.desc("total"), key))})
 
@@ -66,8 +69,7 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def extra_copies(df: DataFrame, columns: list[str]) -> DataFrame:
     """(groups, extra): groups of equal rows and rows beyond the first of each."""
-    h = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns)), 256)
-    n = df.groupBy(h.alias("h")).agg(F.count("*").alias("n"))
+    n = df.groupBy(row_hash(columns).alias("h")).agg(F.count("*").alias("n"))
     return n.agg(F.count_if(F.col("n") > 1).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))
 
 

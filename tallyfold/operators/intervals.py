@@ -44,21 +44,35 @@ def dispersion(predictions: DataFrame, least: int = 10) -> DataFrame:
     return own.crossJoin(F.broadcast(pooled)).select("series_id", F.greatest(F.when(F.col("n") >= least, F.col("x")).otherwise(F.col("p")), F.lit(1.0)).alias("phi"))
 
 
+def log_gamma(x: Column) -> Column:
+    """Stirling's series after moving the argument up by 8."""
+    z = x + 8
+    shift = F.log(x)
+    for k in range(1, 8):
+        shift = shift + F.log(x + k)
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5))) - shift
+
+
 def count_quantiles(rows: DataFrame, key: str, mu: str, phi: str, coverage: float = 0.8) -> DataFrame:
     """(key, lo, hi, covered): the central interval of a Poisson (phi <= 1) or negative binomial count.
 
-    ``covered`` is the probability of the closed interval. Variance is phi times the mean.
+    ``covered`` is the probability of the closed interval. Variance is phi times the mean. Counts are run through from
+    twelve standard deviations under the mean to as many over it.
     """
     a = (1 - coverage) / 2
     m, f = F.greatest(F.col(mu), F.lit(1e-9)), F.greatest(F.col(phi), F.lit(1.0))
-    top = F.ceil(m + 12 * F.sqrt(f * m) + 30).cast("int")
-    each = rows.select(F.col(key).alias("__key"), m.alias("m"), f.alias("f"), F.explode(F.sequence(F.lit(0), top)).alias("k"))
-    p = 1 / F.col("f")
-    first = F.when(F.col("f") > 1, F.col("m") * F.try_divide(F.log(p), F.col("f") - 1)).otherwise(-F.col("m"))
-    ratio = F.when(F.col("f") > 1, F.log((F.try_divide(F.col("m"), F.col("f") - 1) + F.col("k") - 1) / F.col("k") * (1 - p))).otherwise(F.log(F.col("m") / F.col("k")))
+    reach = 12 * F.sqrt(f * m) + 30
+    low, top = F.greatest(F.floor(m - reach), F.lit(0)).cast("int"), F.ceil(m + reach).cast("int")
+    each = rows.select(F.col(key).alias("__key"), m.alias("m"), f.alias("f"), low.alias("k0"), F.explode(F.sequence(low, top)).alias("k"))
+    p, k = 1 / F.col("f"), F.col("k").cast("double")
+    size = F.try_divide(F.col("m"), F.col("f") - 1)
+    poisson = k * F.log("m") - F.col("m") - log_gamma(k + 1)
+    binomial = log_gamma(k + size) - log_gamma(size) - log_gamma(k + 1) + size * F.log(p) + k * F.log(1 - p)
+    first = F.when(F.col("f") > 1, binomial).otherwise(poisson)
+    ratio = F.when(F.col("f") > 1, F.log((size + k - 1) / k * (1 - p))).otherwise(F.log(F.col("m") / k))
     run = W.partitionBy("__key").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    each = each.withColumn("log_p", F.when(F.col("k") == 0, first).otherwise(ratio)).withColumn("log_p", F.sum("log_p").over(run))
-    each = each.withColumn("cdf", F.sum(F.exp("log_p")).over(run))
-    found = each.groupBy("__key").agg(F.min(F.when(F.col("cdf") >= a, F.col("k"))).alias("lo"), F.min(F.when(F.col("cdf") >= 1 - a, F.col("k"))).alias("hi"), F.sort_array(F.collect_list(F.struct("k", "cdf"))).alias("all"))
-    at = lambda k: F.when(k < 0, 0.0).otherwise(F.element_at("all", F.greatest(k, F.lit(0)) + 1)["cdf"])
-    return found.select(F.col("__key").alias(key), "lo", "hi", (at(F.col("hi")) - at(F.col("lo") - 1)).alias("covered"))
+    each = each.withColumn("log_p", F.when(F.col("k") == F.col("k0"), first).otherwise(ratio)).withColumn("log_p", F.sum("log_p").over(run))
+    each = each.withColumn("cdf", F.sum(F.exp("log_p")).over(run)).withColumn("under", F.col("cdf") - F.exp("log_p"))
+    is_lo, is_hi = F.when(F.col("cdf") >= a, F.col("k")), F.when(F.col("cdf") >= 1 - a, F.col("k"))
+    found = each.groupBy("__key").agg(F.min(is_lo).alias("lo"), F.min(is_hi).alias("hi"), F.min_by("under", is_lo).alias("under"), F.min_by("cdf", is_hi).alias("cdf"))
+    return found.select(F.col("__key").alias(key), "lo", "hi", (F.col("cdf") - F.col("under")).alias("covered"))

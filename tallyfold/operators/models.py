@@ -1,7 +1,8 @@
 """Forecast models over panels (series_id, level, service, t, year, week, y), and their backtests.
 
-Naive models need no fit: all origins and horizons are one job. Fitted models are pyspark.ml models on supervised
-rows; the loop over origins and horizons stays on the driver, each fit is distributed.
+Naive models need no fit: all origins and horizons are one job. The Poisson regressions of all origins and horizons
+are fitted together, a job a round. Boosted trees are fitted anew at each origin: that loop stays on the driver, each
+fit is distributed. Other columns of a panel are covariates, of which fitted models use what is known at the origin.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyfold.operators import panels
+from tallyfold.functions import calendar
+from tallyfold.operators import glm, intervals, panels
+from tallyfold.sources import shared
 
 SEASON, LEVEL = 52, 0.8
 KEYS = ["model", "origin", "horizon"]
@@ -97,7 +101,7 @@ def backtest(panel: DataFrame, models: list[str], horizons: list[int], n: int =
 
 def forecast(panel: DataFrame, model: str, steps: int) -> DataFrame:
     """Predictions of the periods after the panel's end."""
-    marked = panel.unionByName(panels.future_rows(panel, steps).drop("horizon"))
+    marked = panel.unionByName(panels.future_rows(panel, steps).drop("horizon"), allowMissingColumns=True)
     at = panel.where("y is not null").agg(F.max("t").alias("origin"))
     return REGISTRY[model](marked, at, list(range(1, steps + 1)))
 
@@ -114,36 +118,20 @@ class Estimator(Protocol):
     def fit_predict(self, train: DataFrame, target: DataFrame) -> DataFrame: ...
 
 
-class PoissonGlm:
-    """One Poisson regression for all series: scaled features, and an indicator per series."""
-
-    def __init__(self, ridge: float = 1e-4):
-        self.ridge = ridge
-
-    def fit_predict(self, train: DataFrame, target: DataFrame) -> DataFrame:
-        stages = [
-            VectorAssembler(inputCols=panels.feature_names(), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
-            StringIndexer(inputCol="series_id", outputCol="code", stringOrderType="alphabetAsc", handleInvalid="keep"), OneHotEncoder(inputCols=["code"], outputCols=["hot"]),
-            VectorAssembler(inputCols=["scaled", "hot"], outputCol="features"),
-            GeneralizedLinearRegression(family="poisson", link="log", labelCol="y", regParam=self.ridge, maxIter=20, predictionCol="y_pred"),
-        ]
-        return Pipeline(stages=stages).fit(train).transform(target)
-
-
 class BoostedTrees:
     """One boosted ensemble for all series on the square root of counts (there is no Poisson loss)."""
 
-    def __init__(self, trees: int = 20, depth: int = 4, seed: int = 3):
-        self.trees, self.depth, self.seed = trees, depth, seed
+    def __init__(self, trees: int = 20, depth: int = 4, seed: int = 3, names: list[str] | None = None):
+        self.trees, self.depth, self.seed, self.names = trees, depth, seed, names or panels.feature_names()
         self.importances = None
 
     def fit_predict(self, train: DataFrame, target: DataFrame) -> DataFrame:
         stages = [
-            StringIndexer(inputCol="series_id", outputCol="code", stringOrderType="alphabetAsc", handleInvalid="keep"), VectorAssembler(inputCols=[*panels.feature_names(), "code"], outputCol="features"),
+            StringIndexer(inputCol="series_id", outputCol="code", stringOrderType="alphabetAsc", handleInvalid="keep"), VectorAssembler(inputCols=[*self.names, "code"], outputCol="features"),
             GBTRegressor(labelCol="root", maxIter=self.trees, maxDepth=self.depth, maxBins=128, seed=self.seed, predictionCol="root_pred"),
         ]
         model = Pipeline(stages=stages).fit(train.withColumn("root", F.sqrt(F.col("y").cast("double"))))
-        self.importances = dict(zip([*panels.feature_names(), "code"], model.stages[-1].featureImportances.toArray().tolist()))
+        self.importances = dict(zip([*self.names, "code"], model.stages[-1].featureImportances.toArray().tolist()))
         return model.transform(target).withColumn("y_pred", F.pow(F.greatest("root_pred", F.lit(0.0)), 2))
 
 
@@ -158,30 +146,46 @@ class ByPandas:
         return both.groupBy("series_id").applyInPandas(self.function, self.schema)
 
 
-def fitted(panel: DataFrame, estimator: Estimator, origin: int, horizon: int) -> DataFrame:
-    """(series_id, level, t, y_real, y_pred) of one origin and horizon: fitted on targets up to the origin."""
-    rows = panels.supervised(panel, [horizon])
-    train, target = rows.where(F.col("t") <= origin), rows.where(F.col("t") == origin + horizon)
-    return estimator.fit_predict(train, target).select("series_id", "level", "t", F.col("y").alias("y_real"), F.greatest("y_pred", F.lit(0.0)).alias("y_pred"))
-
-
 def seasonal_poisson(total: DataFrame, origin: int, half_life: float = 104.0, harmonics: int = 2) -> DataFrame:
-    """Counts of one series by harmonics, with days of exposure as offset and weights that halve with age."""
-    from tallyfold.functions import calendar
-
+    """``total`` with ``mu``: one series by harmonics, with days of exposure as offset and weights that halve with age."""
     terms = calendar.fourier(F.col("week"), harmonics)
-    rows = total.withColumns({**terms, "offset": F.log(F.coalesce(F.col("days"), F.lit(7)) / 7.0), "weight": F.pow(F.lit(0.5), (F.lit(origin) - F.col("t")) / half_life)})
+    rows = total.withColumns({**terms, "offset": F.log(F.coalesce(F.col("days"), F.lit(7)) / 7.0), "weight": age_weight(origin, half_life)})
     stages = [VectorAssembler(inputCols=list(terms), outputCol="features"), GeneralizedLinearRegression(family="poisson", link="log", labelCol="y", offsetCol="offset", weightCol="weight", predictionCol="mu")]
-    return Pipeline(stages=stages).fit(rows.where(F.col("t") <= origin)).transform(rows).select("series_id", "t", "y", "mu")
+    # rows to be predicted may have no count yet
+    return Pipeline(stages=stages).fit(rows.where((F.col("t") <= origin) & F.col("y").isNotNull())).transform(rows.withColumn("y", F.col("y").cast("double"))).select(*total.columns, "mu")
+
+
+def age_weight(origin: int, half_life: float) -> Column:
+    return F.pow(F.lit(0.5), (F.lit(origin) - F.col("t")) / half_life)
+
 
+def sparse_hierarchy(rows: DataFrame, people: DataFrame, origin: int, horizons: list[int], half_life: float = 104.0, harmonics: int = 2, coverage: float = LEVEL) -> DataFrame:
+    """(origin, horizon, series_id, level, t, y_real, y_pred, share, lo, hi, covered) for sparse counts.
 
-def log_gamma(x: Column) -> Column:
-    """Stirling's series after moving the argument up by 8."""
-    z = x + 8
-    shift = F.log(x)
-    for k in range(1, 8):
-        shift = shift + F.log(x + k)
-    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5))) - shift
+    ``rows`` has the total and the leaves, with ``days`` of each period. The total is ``seasonal_poisson``; a leaf has
+    a share of it, proportional to its people times its relative rate, which is drawn towards 1 by a gamma prior. The
+    dispersion of each level, 1 at least, is that of its weighted training rows; bounds are quantiles of counts.
+    """
+    mu = shared.kept(seasonal_poisson(rows.where("level = 'total'"), origin, half_life, harmonics).select("t", F.col("mu").alias("whole")), "total-mu")
+    weight = age_weight(origin, half_life)
+    every = W.partitionBy()
+    counts = rows.where("level = 'leaf'").where(F.col("t") <= origin).groupBy("series_id").agg(F.sum(F.col("y") * weight).alias("n")).join(people, "series_id")
+    counts = counts.withColumn("pi", F.col("people") / F.sum("people").over(every)).withColumn("expected", F.sum("n").over(every) * F.col("pi"))
+    counts = shared.kept(counts, "leaf-counts")
+    shape = F.exp(F.lit(float(gamma_shape(counts).first()["log_shape"])))
+    drawn = F.col("pi") * shrunk_shares(shape)
+    shares = counts.select("series_id", drawn.alias("drawn")).select("series_id", (F.col("drawn") / F.sum("drawn").over(every)).alias("share"))
+    # one row per leaf, and per period
+    full = rows.join(shares.hint("shuffle_hash"), "series_id", "left").withColumn("share", F.when(F.col("level") == "total", 1.0).otherwise(F.col("share")))
+    full = full.join(mu.hint("shuffle_hash"), "t").withColumn("mu", F.col("whole") * F.col("share"))
+    past = full.where((F.col("t") <= origin) & (F.col("mu") > 0))
+    spread = F.sum(weight * F.pow(F.col("y") - F.col("mu"), 2) / F.col("mu"))
+    terms = F.when(F.col("level") == "total", F.lit(2 * harmonics + 1)).otherwise(F.count_distinct("series_id"))
+    phi = past.groupBy("level").agg((spread / F.greatest(F.sum(weight) - terms, F.lit(1.0))).alias("phi")).select("level", F.greatest("phi", F.lit(1.0)).alias("phi"))
+    # two rows
+    ahead = full.where((F.col("t") - origin).isin(horizons)).join(F.broadcast(phi), "level").withColumn("key", F.concat_ws("|", "t", "series_id"))
+    out = ahead.join(intervals.count_quantiles(ahead, "key", "mu", "phi", coverage).hint("shuffle_hash"), "key")
+    return out.select(F.lit(origin).alias("origin"), (F.col("t") - origin).alias("horizon"), "series_id", "level", "t", F.col("y").alias("y_real"), F.col("mu").alias("y_pred"), "share", "lo", "hi", "covered")
 
 
 def gamma_shape(counts: DataFrame, n: str = "n", expected: str = "expected") -> DataFrame:
@@ -193,16 +197,62 @@ def gamma_shape(counts: DataFrame, n: str = "n", expected: str = "expected") ->
         grid = F.transform(F.sequence(F.lit(0), F.lit(size)), lambda i: F.lit(low) + i * F.lit(step))
         tried = counts.select(F.col(n).cast("double").alias("n"), F.greatest(F.col(expected), F.lit(1e-9)).alias("e"), F.explode(grid).alias("log_shape"))
         a, k, e = F.exp("log_shape"), F.col("n"), F.col("e")
-        terms = log_gamma(k + a) - log_gamma(a) + a * F.log(a / (a + e)) + k * F.log(e / (a + e))
+        terms = intervals.log_gamma(k + a) - intervals.log_gamma(a) + a * F.log(a / (a + e)) + k * F.log(e / (a + e))
         best = tried.groupBy("log_shape").agg(F.sum(terms).alias("log_likelihood")).orderBy(F.desc("log_likelihood"), "log_shape").limit(1)
         centre = best.first()["log_shape"]
         low, high = max(-3.0, centre - step), min(12.0, centre + step)
     return best
 
 
-def shrunk_shares(counts: DataFrame, shape: float, n: str = "n", expected: str = "expected") -> Column:
+def shrunk_shares(shape: Column, n: str = "n", expected: str = "expected") -> Column:
     """Relative rate of a leaf, drawn towards 1: (n + a) / (e + a)."""
     return (F.col(n) + shape) / (F.col(expected) + shape)
 
 
-REGISTRY: dict[str, Callable[[DataFrame, DataFrame, list[int]], DataFrame]] = {"naive": naive, "drift": drift, "zero": zero}
+def _supervised(panel: DataFrame, horizons: list[int]) -> DataFrame:
+    """Rows of all horizons, written, as every round of a fit reads them."""
+    covariates = tuple(c for c in panel.columns if c not in ("series_id", "level", "service", "t", "year", "week", "y", "horizon"))
+    return shared.kept(panels.supervised(panel, horizons, covariates=covariates), "supervised")
+
+
+def _origins(at: DataFrame) -> list[int]:
+    """The origins of a backtest: a dozen or so."""
+    return sorted(r[0] for r in at.select("origin").collect())
+
+
+def poisson(panel: DataFrame, at: DataFrame, horizons: list[int]) -> DataFrame:
+    """A global Poisson regression for each origin and horizon, with quantiles of counts as bounds."""
+    rows = _supervised(panel, horizons)
+    names = [c for c in rows.columns if c not in ("series_id", "level", "service", "t", "year", "week", "y", "horizon") and c not in panel.columns]
+    return glm.forecasts(rows, names, _origins(at), horizons).select(F.lit("poisson").alias("model"), *COLUMNS[1:])
+
+
+def trees(panel: DataFrame, at: DataFrame, horizons: list[int], calibration: int = 26, least: int = 20, coverage: float = LEVEL) -> DataFrame:
+    """Boosted trees for each origin, all horizons in one ensemble; bounds are quantiles of relative errors.
+
+    The errors are those of an ensemble that has not seen the last ``calibration`` periods; a series with under
+    ``least`` of them gets the quantiles of all.
+    """
+    rows = _supervised(panel, horizons)
+    names = [c for c in rows.columns if c not in ("series_id", "level", "service", "t", "year", "week", "y") and c not in panel.columns] + ["horizon"]
+    q = F.array(F.lit((1 - coverage) / 2), F.lit((1 + coverage) / 2))
+    out = None
+    for origin in _origins(at):
+        estimator = BoostedTrees(names=list(dict.fromkeys(names)))
+        train, target = rows.where(F.col("t") <= origin), rows.where(F.col("t") == F.lit(origin) + F.col("horizon"))
+        inner = train.where(F.col("t") <= origin - calibration)
+        held = BoostedTrees(names=estimator.names).fit_predict(inner, train.where(F.col("t") > origin - calibration))
+        errors = shared.kept(held.where("y_pred > 0").select("series_id", (F.col("y") / F.col("y_pred") - 1).alias("r")), "errors")
+        own = errors.groupBy("series_id").agg(F.percentile("r", q).alias("q"), F.count("*").alias("n"))
+        pooled = errors.agg(F.percentile("r", q).alias("p"))
+        got = estimator.fit_predict(train, target).join(own.hint("shuffle_hash"), "series_id", "left").crossJoin(F.broadcast(pooled))
+        best = F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("p"))
+        lo = F.greatest(F.col("y_pred") * (1 + best[0]), F.lit(0.0))
+        got = got.select(F.lit("trees").alias("model"), F.lit(origin).alias("origin"), "horizon", "series_id", "level", "service", "t", F.col("y").alias("y_real"), "y_pred", lo.alias("lo"), F.greatest(F.col("y_pred") * (1 + best[1]), lo).alias("hi"))
+        # a model lives on the driver and its plan is long: its predictions are written
+        got = shared.kept(got, "trees")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+REGISTRY: dict[str, Callable[[DataFrame, DataFrame, list[int]], DataFrame]] = {"naive": naive, "drift": drift, "zero": zero, "poisson": poisson, "trees": trees}

@@ -55,10 +55,11 @@ def rolling(h: int, width: int, value: str = "y") -> tuple[Column, Column]:
     return F.when(full, F.avg(value).over(w)), F.when(full, F.stddev_samp(value).over(w))
 
 
-def supervised(panel: DataFrame, horizons: list[int], lags: int = 4, widths: tuple[int, ...] = (4, 13), harmonics: int = 2) -> DataFrame:
+def supervised(panel: DataFrame, horizons: list[int], lags: int = 4, widths: tuple[int, ...] = (4, 13), harmonics: int = 2, covariates: tuple[str, ...] = ()) -> DataFrame:
     """One row per series, period and horizon with features that use nothing after t - horizon.
 
-    Rows without full history are left out.
+    Covariates, other columns of the panel, come with their last two values known at the origin. Rows without full
+    history are left out; one shuffle by series serves all horizons.
     """
     parts = []
     for h in horizons:
@@ -67,14 +68,16 @@ def supervised(panel: DataFrame, horizons: list[int], lags: int = 4, widths: tup
         cols["year_change"] = lag(h) - lag(h + SEASON)
         for w in widths:
             cols[f"mean_{w}"], cols[f"sd_{w}"] = rolling(h, w)
+        for c in covariates:
+            cols |= {f"{c}_{k}": lag(h + k, c) for k in range(2)}
         parts.append(panel.withColumns(cols).withColumn("horizon", F.lit(h)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    names = [f"lag_{k}" for k in range(lags)] + ["season", "year_change"] + [f"{n}_{w}" for w in widths for n in ("mean", "sd")]
     out = out.withColumns({**calendar.fourier(F.col("week"), harmonics), "early": (F.col("t") < 13).cast("int")})
-    return out.dropna(subset=names)
+    return out.dropna(subset=[n for n in feature_names(lags, widths, harmonics, covariates) if not n.startswith(("sin", "cos", "early"))])
 
 
-def feature_names(lags: int = 4, widths: tuple[int, ...] = (4, 13), harmonics: int = 2) -> list[str]:
-    return [f"lag_{k}" for k in range(lags)] + ["season", "year_change"] + [f"{n}_{w}" for w in widths for n in ("mean", "sd")] + [f"{n}_{k}" for k in range(1, harmonics + 1) for n in ("sin", "cos")] + ["early"]
+def feature_names(lags: int = 4, widths: tuple[int, ...] = (4, 13), harmonics: int = 2, covariates: tuple[str, ...] = ()) -> list[str]:
+    names = [f"lag_{k}" for k in range(lags)] + ["season", "year_change"] + [f"{n}_{w}" for w in widths for n in ("mean", "sd")] + [f"{c}_{k}" for c in covariates for k in range(2)]
+    return names + [f"{n}_{k}" for k in range(1, harmonics + 1) for n in ("sin", "cos")] + ["early"]

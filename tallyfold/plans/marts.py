@@ -122,7 +122,7 @@ def reporting_profile(t: Tables) -> DataFrame:
     """(facility, expected, reported, mean, sd, longest_on, longest_off, gaps): how regularly each facility reports."""
     r = q_joins.reports(t)
     run = windows.runs(r, "facility", "t", "reported")
-    weekly = weekly_visits(t).where("cause = 'AF' and week <= 52 and year between 1996 and 2000").groupBy("facility", "year", "week").agg(F.sum("total").alias("n"))
+    weekly = weekly_visits(t).where("cause = 'AF' and week <= 52").groupBy("facility", "year", "week").agg(F.sum("total").alias("n"))
     stats = weekly.groupBy("facility").agg(F.avg("n").alias("mean"), F.round(F.stddev_pop("n"), 6).alias("sd"))
     share = r.groupBy("facility").agg(F.count("*").alias("expected"), F.count_if("reported").alias("reported"))
     return share.join(run, "facility").join(stats, "facility", "left")

@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyfold.functions import calendar, cleaning
 from tallyfold.operators import evaluate, intervals, models, panels, reconcile
-from tallyfold.plans.testbed import PANEL, WEEKLY, Section, Tables, calendar_table, panel, weekly_visits
+from tallyfold.plans.testbed import CALENDAR, PANEL, WEEKLY, WHOLE, Section, Tables, calendar_table, panel, sql_fields, weekly_visits
 from tallyfold.sources import readers
 
 section = Section()
+#: The first 60 bits of the hash of a row of ``lineitem``.
+PRINT = "CAST('0x' || substr(sha256(" + sql_fields("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate") + "), 1, 15) AS BIGINT)"
 KEYS = ["model", "origin", "horizon"]
 HORIZONS = list(range(1, 9))
 VALUE_COLS = "round(y_pred, 6) AS y_pred, round(lo, 6) AS lo, round(hi, 6) AS hi"
 
 
 def backtest(t: Tables) -> DataFrame:
-    """Predictions of both naive models; kept, as most questions use them several times."""
-    return models.backtest(panel(t), ["naive", "drift"], HORIZONS).persist()
+    """Predictions of both naive models; most questions use them several times."""
+    return t.kept("backtest", lambda: models.backtest(panel(t), ["naive", "drift"], HORIZONS))
 
 
 def hybrid(t: Tables) -> DataFrame:
@@ -54,31 +57,64 @@ def l1_hierarchical_panel(t: Tables) -> DataFrame:
     return panel(t)
 
 
-@section(f"""WITH {PANEL}, h AS (SELECT CAST(h AS INTEGER) AS horizon FROM (VALUES (1), (4)) v(h)), x AS (SELECT p.series_id, horizon, p.t, p.y, b.y AS season, avg(w.y) AS mean_13, count(*) AS n, any_value(c.y) - any_value(d.y) AS year_change FROM panel p CROSS JOIN h
-    JOIN panel b ON b.series_id = p.series_id AND b.t = p.t - 52 JOIN panel w ON w.series_id = p.series_id AND w.t BETWEEN p.t - horizon - 12 AND p.t - horizon JOIN panel c ON c.series_id = p.series_id AND c.t = p.t - horizon JOIN panel d ON d.series_id = p.series_id AND d.t = p.t - horizon - 52 WHERE p.level <> 'leaf' GROUP BY ALL)
-    SELECT series_id, horizon, t, y, season, year_change, round(mean_13, 6) AS mean_13 FROM x""")
+def _supervised(h: int) -> str:
+    means = ", ".join(f"avg(y) OVER w{w} AS mean_{w}, stddev_samp(y) OVER w{w} AS sd_{w}" for w in (4, 13))
+    windows = ", ".join(f"w{w} AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN {h + w - 1} PRECEDING AND {h} PRECEDING)" for w in (4, 13))
+    return f"""SELECT series_id, {h} AS horizon, t, y, {', '.join(f'lag(y, {h + k}) OVER s AS lag_{k}' for k in range(4))}, lag(y, 52) OVER s AS season, lag(y, {h}) OVER s - lag(y, {h + 52}) OVER s AS year_change, {means}, lag(reporters, {h}) OVER s AS reporters_0, lag(reporters, {h + 1}) OVER s AS reporters_1
+        FROM covered WINDOW s AS (PARTITION BY series_id ORDER BY t), {windows}"""
+
+
+_REPORTERS = """seen AS (SELECT DISTINCT area, region, facility, year, week FROM weekly), who AS (SELECT 'A' || lpad(CAST(area AS VARCHAR), 2, '0') AS series_id, year, week, count(*) AS n FROM seen GROUP BY ALL
+    UNION ALL SELECT 'S' || CAST(region AS VARCHAR), year, week, count(*) FROM seen GROUP BY ALL UNION ALL SELECT 'TOTAL', year, week, count(*) FROM seen GROUP BY ALL),
+    covered AS (SELECT p.*, CAST(coalesce(n, 0) AS BIGINT) AS reporters FROM panel p LEFT JOIN who USING (series_id, year, week))"""
+
+
+def with_reporters(t: Tables) -> DataFrame:
+    """The panel with a covariate: how many facilities of the series reported."""
+    seen = weekly_visits(t).select("area", "region", "facility", "year", "week").distinct()
+    by_area = seen.groupBy("area", "region", "year", "week").agg(F.count("*").alias("n"))
+    # sums of the areas, so that the total is no hot key
+    by_region = by_area.groupBy("region", "year", "week").agg(F.sum("n").alias("n"))
+    total = by_region.groupBy("year", "week").agg(F.sum("n").alias("n"))
+    name = lambda df, sid: df.select(sid.alias("series_id"), "year", "week", "n")
+    who = name(by_area, F.concat(F.lit("A"), F.lpad(F.col("area").cast("string"), 2, "0"))).unionByName(name(by_region, F.concat(F.lit("S"), F.col("region").cast("string")))).unionByName(name(total, F.lit("TOTAL")))
+    return t.kept("covered", lambda: panel(t).join(who, ["series_id", "year", "week"], "left").withColumn("reporters", F.coalesce("n", F.lit(0)).cast("long")).drop("n"))
+
+
+def supervised(t: Tables) -> DataFrame:
+    """Rows of all horizons and series."""
+    return t.kept("supervised", lambda: panels.supervised(with_reporters(t), HORIZONS, covariates=("reporters",)))
+
+
+@section(f"""WITH {PANEL}, {_REPORTERS}, x AS ({' UNION ALL '.join(map(_supervised, range(1, 9)))})
+    SELECT series_id, horizon, t, y, lag_0, lag_3, season, year_change, round(mean_4, 6) AS mean_4, round(sd_13, 6) AS sd_13, reporters_0, reporters_1 FROM x WHERE year_change IS NOT NULL AND season IS NOT NULL""")
 def l2_supervised(t: Tables) -> DataFrame:
-    rows = panels.supervised(panel(t).where("level <> 'leaf'"), [1, 4])
-    return rounded(rows, "mean_13").select("series_id", "horizon", "t", "y", "season", "year_change", "mean_13")
+    """Every horizon; features and covariates use nothing after the origin of their row."""
+    return rounded(supervised(t), "mean_4", "sd_13").select("series_id", "horizon", "t", "y", "lag_0", "lag_3", "season", "year_change", "mean_4", "sd_13", "reporters_0", "reporters_1")
 
 
-_UNIVERSE = f"""{WEEKLY}, u AS (SELECT facility, year, count(DISTINCT week) AS weeks, sum(total) AS total FROM weekly WHERE year BETWEEN 1996 AND 2000 AND week <= 52 AND cause = 'AF' GROUP BY ALL), s AS (SELECT s_suppkey AS facility, count(year) AS years, coalesce(sum(weeks), 0) AS weeks, coalesce(sum(total), 0) AS total, min(total) AS least FROM supplier LEFT JOIN u ON facility = s_suppkey GROUP BY 1)"""
+_UNIVERSE = f"""{WEEKLY}, {CALENDAR}, {WHOLE}, full_years AS (SELECT year, count(*) OVER () AS all_years FROM whole WHERE week <= 52 GROUP BY year HAVING count(*) = 52),
+    u AS (SELECT facility, year, sum(total) AS total FROM weekly JOIN full_years USING (year) WHERE week <= 52 AND cause = 'AF' GROUP BY ALL), s AS (SELECT s_suppkey AS facility, count(year) AS years, coalesce(sum(total), 0) AS total, min(total) AS least, (SELECT max(all_years) FROM full_years) AS all_years FROM supplier LEFT JOIN u ON facility = s_suppkey GROUP BY 1)"""
 
 
-@section(f"""WITH {_UNIVERSE} SELECT facility, CASE WHEN years < 5 THEN 'missing years' WHEN total / 260 < 9.5 THEN 'low mean' WHEN least / 52 < 6.5 THEN 'low year' ELSE 'kept' END AS reason FROM s""")
+@section(f"""WITH {_UNIVERSE} SELECT facility, CASE WHEN years < all_years THEN 'missing years' WHEN total / (52 * all_years) < 9.5 THEN 'low mean' WHEN least / 52 < 6.5 THEN 'low year' ELSE 'kept' END AS reason FROM s""")
 def l3_universe(t: Tables) -> DataFrame:
-    from tallyfold.functions import cleaning
+    """Facilities with facts in every year that is covered whole, and with enough of them."""
 
-    by_year = weekly_visits(t).where("year between 1996 and 2000 and week <= 52 and cause = 'AF'").groupBy("facility", "year").agg(F.sum("total").alias("total"))
+    full = calendar_table(t).where("week <= 52").where(calendar.whole(F.col("first_day"), F.col("last_day"))).groupBy("year").agg(F.count("*").alias("weeks")).where("weeks = 52").select("year")
+    # years, a few dozen at most
+    by_year = weekly_visits(t).where("week <= 52 and cause = 'AF'").join(F.broadcast(full), "year").groupBy("facility", "year").agg(F.sum("total").alias("total"))
     s = t.supplier.select(F.col("s_suppkey").alias("facility")).join(by_year, "facility", "left").groupBy("facility").agg(F.count("year").alias("years"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.min("total").alias("least"))
-    return s.select("facility", cleaning.first_label([(F.col("years") < 5, "missing years"), (F.col("total") / 260 < 9.5, "low mean"), (F.col("least") / 52 < 6.5, "low year")], "kept").alias("reason"))
+    s = s.crossJoin(F.broadcast(full.agg(F.count("*").alias("all_years"))))
+    return s.select("facility", cleaning.first_label([(F.col("years") < F.col("all_years"), "missing years"), (F.col("total") / (52 * F.col("all_years")) < 9.5, "low mean"), (F.col("least") / 52 < 6.5, "low year")], "kept").alias("reason"))
 
 
-@section(f"""WITH {WEEKLY}, w AS (SELECT year, week FROM weekly WHERE year = 2001 AND week <= 52 GROUP BY ALL HAVING count(DISTINCT day) = 7), n AS (SELECT count(*) AS n FROM w), f AS (SELECT facility, count(DISTINCT week) AS weeks, sum(total) AS total FROM weekly JOIN w USING (year, week) GROUP BY 1)
+@section(f"""WITH {WEEKLY}, w AS (SELECT year, week FROM weekly WHERE year = (SELECT max(year) FROM weekly) AND week <= 52 GROUP BY ALL HAVING count(DISTINCT day) = 7), n AS (SELECT count(*) AS n FROM w), f AS (SELECT facility, count(DISTINCT week) AS weeks, sum(total) AS total FROM weekly JOIN w USING (year, week) GROUP BY 1)
     SELECT facility, weeks, weeks >= n - 2 AS kept, sum(CASE WHEN weeks < n - 2 THEN total ELSE 0 END) OVER () / sum(total) OVER () AS lost_share FROM f, n""")
 def l4_fixed_universe(t: Tables) -> DataFrame:
     """Units of the partial year without more than two silent whole weeks, and the share of volume that is lost."""
-    w = weekly_visits(t).where("year = 2001 and week <= 52")
+    newest = t.lineitem.agg(F.year(F.to_date(F.max("l_shipdate"))).alias("year"))
+    w = weekly_visits(t).join(F.broadcast(newest), "year").where("week <= 52")
     whole = w.groupBy("year", "week").agg(F.count_distinct("day").alias("days")).where("days = 7").drop("days")
     rows = w.join(whole, ["year", "week"])
     n = whole.agg(F.count("*").alias("n"))
@@ -97,15 +133,10 @@ def l6_drift(t: Tables) -> DataFrame:
     return show(models.backtest(panel(t), ["drift"], HORIZONS))
 
 
-def _one_fit(t: Tables, estimator, levels: str) -> DataFrame:
-    p = panel(t).where(levels)
-    origin = p.agg(F.max("t")).first()[0] - 4
-    return rounded(models.fitted(p, estimator, origin, 4), "y_pred", digits=3)
-
-
 @section()
 def l7_poisson_glm(t: Tables) -> DataFrame:
-    return _one_fit(t, models.PoissonGlm(), "level <> 'leaf'")
+    """Fitted anew at all 13 origins, for every horizon and series, with intervals of its own dispersion."""
+    return rounded(models.backtest(with_reporters(t), ["poisson"], HORIZONS), "y_pred", digits=3).select("origin", "horizon", "series_id", "y_real", "y_pred", "lo", "hi")
 
 
 @section(f"""WITH {BACK}, x AS (SELECT series_id, (y_real - y_pred) ** 2 / y_pred AS x FROM back WHERE model = 'naive' AND y_pred > 0) SELECT series_id, round(greatest(CASE WHEN count(*) >= 10 THEN avg(x) ELSE (SELECT avg(x) FROM x) END, 1), 6) AS phi FROM x GROUP BY 1""")
@@ -128,7 +159,9 @@ def l9_count_quantiles(t: Tables) -> DataFrame:
 
 @section()
 def l10_boosted_trees(t: Tables) -> DataFrame:
-    return _one_fit(t, models.BoostedTrees(), "true")
+    """Fitted at the last two origins, for every horizon and series, with quantiles of its relative errors."""
+    back = models.backtest(with_reporters(t), ["trees"], HORIZONS, n=2)
+    return rounded(back, "y_pred", "lo", "hi", digits=3).select("origin", "horizon", "series_id", "y_real", "y_pred", "lo", "hi")
 
 
 @section(f"WITH {HYBRID} SELECT origin, horizon, series_id, {VALUE_COLS} FROM hybrid")
@@ -219,10 +252,22 @@ def l19_forecast(t: Tables) -> DataFrame:
     return rounded(models.forecast(panel(t), "naive", 8), "lo", "hi").select("series_id", "t", "horizon", "y_pred", "lo", "hi")
 
 
+@section()
+def l19_forecast_fitted(t: Tables) -> DataFrame:
+    """What the Poisson regressions say of the periods after the panel's end."""
+    return rounded(models.forecast(with_reporters(t), "poisson", 8), "y_pred", digits=3).select("series_id", "t", "horizon", "y_pred", "lo", "hi")
+
+
+def _people(t: Tables) -> DataFrame:
+    return t.customer.groupBy(F.concat(F.lit("A"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("series_id")).agg(F.count("*").alias("people"))
+
+
 @section()
 def l20_seasonal_poisson(t: Tables) -> DataFrame:
-    total = panel(t).where("level = 'total'").join(calendar_table(t).select("year", "week", "days"), ["year", "week"])
-    return rounded(models.seasonal_poisson(total, 250), "mu", digits=3)
+    """The total by harmonics, areas by shrunken shares of it, and quantiles of both, eight weeks ahead."""
+    rows = panel(t).where("level <> 'service'").join(calendar_table(t).select("year", "week", "days"), ["year", "week"])
+    origin = rows.agg(F.max("t")).first()[0] - 8
+    return rounded(models.sparse_hierarchy(rows, _people(t), origin, HORIZONS), "y_pred", "share", "covered", digits=3)
 
 
 _SHAPE = """c AS (SELECT c_nationkey AS k, count(*) FILTER (o_orderpriority = '1-URGENT') AS n, count(*) AS all_ FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), e AS (SELECT k, n::DOUBLE AS n, sum(n) OVER () * all_::DOUBLE / sum(all_) OVER () AS e FROM c)"""
@@ -246,7 +291,7 @@ def l22_zero(t: Tables) -> DataFrame:
     return models.backtest(panel(t), ["zero"], HORIZONS).groupBy("series_id").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y_real") - F.col("y_pred"))), 6).alias("mae"))
 
 
-@section()
+@section(f"WITH {PANEL}, m AS (SELECT max(t) AS m FROM panel), a AS (SELECT series_id, avg(y) AS y_pred FROM panel, m WHERE t <= m - 8 GROUP BY 1) SELECT series_id, t, round(y_pred, 6) AS y_pred FROM panel JOIN a USING (series_id), m WHERE t > m - 8")
 def l23_user_model(t: Tables) -> DataFrame:
     """A model of the user by pandas, one series at a time: the mean of the training rows."""
 
@@ -255,16 +300,17 @@ def l23_user_model(t: Tables) -> DataFrame:
         return rows[rows["y"].isna()][["series_id", "t"]].assign(y_pred=float(known.mean()))
 
     p = panel(t)
+    cut = p.agg(F.max("t")).first()[0] - 8
     est = models.ByPandas(mean, "series_id string, t int, y_pred double")
-    return est.fit_predict(p.where("t <= 250"), p.where("t = 255"))
+    return rounded(est.fit_predict(p.where(F.col("t") <= cut), p.where(F.col("t") > cut)), "y_pred")
 
 
-@section()
+@section(f"WITH {PANEL}, m AS (SELECT CAST(max(t) AS INTEGER) AS m, count(DISTINCT series_id) AS n FROM panel), h AS (SELECT {PRINT} AS h FROM lineitem) SELECT 'naive' AS model, 4 * n AS rows, 4 AS horizon, m AS origin, (SELECT 'lineitem=' || CAST(bit_xor(h) AS VARCHAR) FROM h) AS inputs FROM m")
 def l24_manifest(t: Tables) -> DataFrame:
     """What was forecast, from which inputs."""
     made = models.forecast(panel(t), "naive", 4).agg(F.count("*").alias("rows"), F.max("horizon").alias("horizon"), F.max("origin").alias("origin"))
-    prints = readers.fingerprint(t.lineitem).select(F.struct(F.lit("lineitem").alias("input"), F.col("xor_hash").alias("fingerprint")).alias("input"))
-    return made.crossJoin(prints).select(F.lit("naive").alias("model"), "rows", "horizon", "origin", F.array("input").alias("inputs"))
+    prints = readers.fingerprint(t.lineitem).select(F.concat(F.lit("lineitem="), F.col("xor_hash").cast("string")).alias("inputs"))
+    return made.crossJoin(F.broadcast(prints)).select(F.lit("naive").alias("model"), "rows", "horizon", "origin", "inputs")
 
 
 @section(f"WITH {BACK} SELECT origin, horizon, series_id, round(a.y_pred, 6) AS a, round(b.y_pred, 6) AS b FROM back a JOIN back b USING (origin, horizon, series_id) WHERE a.model = 'naive' AND b.model = 'drift'")
@@ -394,7 +440,13 @@ def n14_autocorrelation(t: Tables) -> DataFrame:
     return evaluate.autocorrelation(panel(t), 53).select("series_id", F.posexplode("acf").alias("lag", "acf")).select("series_id", "lag", F.round("acf", 6).alias("acf"))
 
 
-@section()
+_PACF = f"""c AS (SELECT series_id, t, y - avg(y) OVER (PARTITION BY series_id) AS c FROM panel), p AS (SELECT series_id, {', '.join(f'c * lag(c, {k}) OVER w AS p{k}' for k in range(21))} FROM c WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+    a AS (SELECT series_id, [{', '.join(f'sum(p{k}) / sum(p0)' for k in range(1, 21))}] AS r FROM p GROUP BY 1),
+    l AS (SELECT series_id, r, 1 AS k, r[1] AS new, [r[1]] AS phi FROM a UNION ALL
+        SELECT series_id, r, k + 1, x, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - x * phi[k + 1 - j]), x) FROM (SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j]))) AS x FROM l WHERE k < 20))"""
+
+
+@section(f"WITH RECURSIVE {PANEL}, {_PACF} SELECT series_id, k AS lag, round(new, 6) AS pacf FROM l")
 def n14_partial_autocorrelation(t: Tables) -> DataFrame:
     a = evaluate.autocorrelation(panel(t), 20)
     return a.select("series_id", F.posexplode(evaluate.partial_autocorrelation(F.col("acf"), 20)).alias("lag", "pacf")).select("series_id", (F.col("lag") + 1).alias("lag"), F.round("pacf", 6).alias("pacf"))
@@ -420,8 +472,6 @@ def n17_harmonic_test(t: Tables) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    from tallyfold.functions import calendar
-
     rows = panel(t).where("level = 'total'").withColumns(calendar.fourier(F.col("week"), 3)).withColumn("none", F.lit(0.0))
     found = []
     for k in range(4):

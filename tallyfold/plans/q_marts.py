@@ -99,7 +99,7 @@ def j12_context_mart(t: Tables) -> DataFrame:
 
 @section(f"""WITH {REPORTS}, i AS (SELECT *, row_number() OVER (PARTITION BY facility ORDER BY t) - row_number() OVER (PARTITION BY facility, reported ORDER BY t) AS island, min(t) FILTER (reported) OVER (PARTITION BY facility) AS f, max(t) FILTER (reported) OVER (PARTITION BY facility) AS l FROM reports), p AS (SELECT facility, reported, island, count(*) AS n, min(t) AS a, max(t) AS b, any_value(f) AS f, any_value(l) AS l FROM i GROUP BY ALL),
     r AS (SELECT facility, coalesce(max(n) FILTER (reported), 0) AS longest_on, coalesce(max(n) FILTER (NOT reported), 0) AS longest_off, count(*) FILTER (NOT reported AND a > f AND b < l) AS gaps FROM p GROUP BY 1), s AS (SELECT facility, count(*) AS expected, count(*) FILTER (reported) AS reported FROM reports GROUP BY 1),
-    w AS (SELECT facility, year, week, sum(total) AS n FROM weekly WHERE cause = 'AF' AND week <= 52 AND year BETWEEN 1996 AND 2000 GROUP BY ALL), x AS (SELECT facility, avg(n) AS mean, round(stddev_pop(n), 6) AS sd FROM w GROUP BY 1)
+    w AS (SELECT facility, year, week, sum(total) AS n FROM weekly WHERE cause = 'AF' AND week <= 52 GROUP BY ALL), x AS (SELECT facility, avg(n) AS mean, round(stddev_pop(n), 6) AS sd FROM w GROUP BY 1)
     SELECT facility, expected, reported, longest_on, longest_off, gaps, mean, sd FROM s JOIN r USING (facility) LEFT JOIN x USING (facility)""")
 def j13_reporting_profile(t: Tables) -> DataFrame:
     return marts.reporting_profile(t)

@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.functions import cleaning
-from tallyfold.plans.testbed import Section, Tables
-from tallyfold.sources import publish, readers
+from tallyfold.plans.testbed import Section, Tables, sql_fields
+from tallyfold.sources import publish, readers, shared
 
 section = Section()
 
 
 def _shared(t: Tables, name: str) -> str:
-    """A new path in the folder that the session shares, or a temporary one where it names none."""
-    import uuid
-
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyfold-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return f"{shared.shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @section("""SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS total FROM lineitem GROUP BY ALL""")
@@ -98,21 +95,26 @@ def a9_latest_snapshot(t: Tables) -> DataFrame:
     return readers.latest_snapshot(rows, ["year"], "snap", "src").groupBy("year", "snap", "source_conflict").agg(F.count("*").alias("n"))
 
 
-@section("""SELECT o_orderkey, 'orders' AS source_id, sha256(CAST(o_orderkey AS VARCHAR) || '|' || CAST(o_custkey AS VARCHAR) || '|' || o_orderstatus || '|' || o_orderpriority) AS row_sha256 FROM orders""")
+@section("""SELECT o_orderkey, 'orders' AS source_id, sha256(""" + sql_fields("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority") + """) AS row_sha256 FROM orders""")
 def a10_row_provenance(t: Tables) -> DataFrame:
     return readers.provenance(t.orders, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]).select("o_orderkey", "source_id", "row_sha256")
 
 
-@section()
+@section(f"WITH h AS (SELECT CAST('0x' || substr(sha256({sql_fields('o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority')}), 1, 15) AS BIGINT) AS h FROM orders) SELECT count(*) AS rows, bit_xor(h) AS xor_hash, CAST(sum(h) AS VARCHAR) AS sum_hash FROM h")
 def a11_fingerprint(t: Tables) -> DataFrame:
-    return readers.fingerprint(t.orders)
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    return readers.fingerprint(rows).withColumn("sum_hash", F.col("sum_hash").cast("string"))
 
 
-@section("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY 1")
+@section("WITH m AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) SELECT *, CAST(sum(n) OVER (PARTITION BY year) AS BIGINT) AS whole FROM m")
 def a12_validated_publish(t: Tables) -> DataFrame:
-    mart = t.orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
-    twice = lambda df: df.groupBy("year").count().where("count > 1")
-    return publish.publish(mart, _shared(t, "mart"), {"grain": twice, "negative": lambda df: df.where("n < 0")}, ["year"]).select("year", "n")
+    """Two tables that readers see together: a failed check of one would leave both as they were."""
+    mart = t.orders.groupBy(F.year("o_orderdate").alias("year"), "o_orderstatus").agg(F.count("*").alias("n"))
+    years = t.orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("whole"))
+    twice = lambda keys: lambda df: df.groupBy(*keys).count().where("count > 1")
+    checks = {"grain": twice(["year", "o_orderstatus"]), "negative": lambda df: df.where("n < 0")}
+    put = publish.publish_together(_shared(t, "marts"), {"by_status": (mart, checks), "by_year": (years, {"grain": twice(["year"])})}, {"by_status": ["year"]})
+    return put["by_status"].join(put["by_year"], "year").select("year", "o_orderstatus", "n", "whole")
 
 
 @section("""WITH c AS (SELECT 'text' AS "column", text AS value FROM documents UNION ALL SELECT 'source', source FROM documents),
@@ -192,8 +194,8 @@ def a23_refresh(t: Tables) -> DataFrame:
 
     source, target = _shared(t, "events"), _shared(t, "events-by-day")
     t.events.select(F.to_date("ts").alias("day"), "event_id").write.parquet(source)
-    refresh.by_period(t.spark, source, target, _shared(t, "refresh-state"), "day long_date, event_id long".replace("long_date", "date"), "day")
-    return t.spark.read.parquet(target).groupBy("day").agg(F.count("*").alias("n"))
+    refresh.by_period(t.spark, source, target, _shared(t, "refresh-state"), "day date, event_id long", "day")
+    return refresh.current(t.spark, target, "day date, event_id long").groupBy("day").agg(F.count("*").alias("n"))
 
 
 @section("SELECT 'orders' AS source_id, 'https://example.org/orders' AS url, count(*) AS rows FROM orders")

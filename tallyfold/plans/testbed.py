@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions import calendar
+from tallyfold.sources import shared
 
 Query = Callable[[SparkSession, str], DataFrame]
-FIRST_YEAR, LAST_YEAR = 1996, 2000
 
 
 class Tables:
@@ -18,6 +18,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.made: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that a query uses several times, and that is far smaller than its facts: made and written once."""
+        if name not in self.made:
+            self.made[name] = shared.kept(make(), name)
+        return self.made[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -62,6 +69,11 @@ def weekly_visits(t: Tables) -> DataFrame:
     return calendar.with_week(visits(t), "day")
 
 
+def sql_fields(*columns: str) -> str:
+    """The text that ``readers.row_hash`` hashes."""
+    return " || ".join(f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+
+
 def sql_start(year: str) -> str:
     return f"(make_date(CAST({year} AS BIGINT), 1, 4) - CAST(dayofweek(make_date(CAST({year} AS BIGINT), 1, 4)) AS INTEGER))"
 
@@ -76,9 +88,12 @@ WEEKLY = f"""{VISITS}, weekly AS (SELECT *, CAST(year(day) AS INTEGER) AS year,
 
 CALENDAR = f"""calendar AS (SELECT year, week, min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM (
     SELECT CAST(d AS DATE) AS day, CAST(year(d) AS INTEGER) AS year, {sql_week('CAST(d AS DATE)')} AS week
-    FROM generate_series(DATE '{FIRST_YEAR}-01-01', DATE '{LAST_YEAR}-12-31', INTERVAL 1 DAY) g(d)) GROUP BY year, week)"""
+    FROM (SELECT unnest(generate_series(min(CAST(l_shipdate AS DATE)), max(CAST(l_shipdate AS DATE)), INTERVAL 1 DAY)) AS d FROM lineitem)) GROUP BY year, week)"""
+
+#: Weeks of the calendar that the facts cover from their first to their last day.
+WHOLE = """whole AS (SELECT * FROM calendar WHERE (dayofweek(first_day) = 0 OR dayofyear(first_day) = 1) AND (dayofweek(last_day) = 6 OR (month(last_day) = 12 AND day(last_day) = 31)))"""
 
-PANEL = f"""{WEEKLY}, {CALENDAR}, periods AS (SELECT year, week, CAST(row_number() OVER (ORDER BY year, week) - 1 AS INTEGER) AS t FROM calendar WHERE week <= 52),
+PANEL = f"""{WEEKLY}, {CALENDAR}, {WHOLE}, periods AS (SELECT year, week, CAST(row_number() OVER (ORDER BY year, week) - 1 AS INTEGER) AS t FROM whole WHERE week <= 52),
 sums AS (SELECT area, year, week, sum(total) AS y FROM weekly GROUP BY ALL),
 leaves AS (SELECT n_nationkey AS area, n_regionkey AS region, t, p.year, p.week, CAST(coalesce(y, 0) AS BIGINT) AS y
     FROM nation CROSS JOIN periods p LEFT JOIN sums s ON s.area = n_nationkey AND s.year = p.year AND s.week = p.week),
@@ -88,17 +103,20 @@ panel AS (SELECT 'A' || lpad(CAST(area AS VARCHAR), 2, '0') AS series_id, 'leaf'
 
 
 def calendar_table(t: Tables) -> DataFrame:
-    return calendar.weeks(t.spark, f"{FIRST_YEAR}-01-01", f"{LAST_YEAR}-12-31")
+    """The agency weeks from the first to the last day of the facts."""
+    day = F.to_date("l_shipdate")
+    span = t.lineitem.agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    return t.kept("calendar", lambda: calendar.weeks_of(span.select(F.explode(F.sequence("a", "b")).alias("day"))))
 
 
 def panel(t: Tables) -> DataFrame:
-    """(series_id, level, service, t, year, week, y): weekly sums per area, region and in total; week 53 is out.
+    """(series_id, level, service, t, year, week, y): weekly sums per area, region and in total.
 
-    The panel is far smaller than its facts and used several times by most plans, so it is kept.
+    All weeks of the facts but week 53 and a first or last week that they cover in part.
     """
     from tallyfold.operators import panels
 
     sums = weekly_visits(t).groupBy("area", "year", "week").agg(F.sum("total").alias("y"))
     leaves = t.nation.select(F.col("n_nationkey").alias("area"), F.col("n_regionkey").alias("service"))
     leaves = leaves.withColumn("series_id", F.concat(F.lit("A"), F.lpad(F.col("area").cast("string"), 2, "0")))
-    return panels.hierarchical(sums, leaves, calendar_table(t), unit="area", value="y").persist()
+    return t.kept("panel", lambda: panels.hierarchical(sums, leaves, calendar_table(t).where(calendar.whole(F.col("first_day"), F.col("last_day"))), unit="area", value="y"))

@@ -1,49 +1,67 @@
-"""Publishing tables: staged, checked, then put in place."""
+"""Publishing tables: staged, checked, then put in place all at once.
+
+Every publish writes new version folders. What readers see is decided by the publish log, a table of (version, table,
+path) beside them: the rows of one publish are one file of the log, so that either all of its tables change or none.
+A write or a check that fails leaves the old versions as they were.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.sources.readers import fingerprint
 
+Checks = dict[str, Callable[[DataFrame], DataFrame]]
+_LOG = "version long, table string, path string"
+
 
-def publish(df: DataFrame, target: str, checks: dict[str, Callable[[DataFrame], DataFrame]], partition_by: list[str] | None = None) -> DataFrame:
-    """Writes to a staging path, reads it back, runs the checks and only then replaces the target.
+def publish_together(root: str, tables: dict[str, tuple[DataFrame, Checks]], partition_by: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """Writes new versions of tables under ``root``, reads them back, runs the checks and only then lists them.
 
-    Each check returns offending rows. The published table is returned.
+    Each check returns offending rows. The published tables are returned. One publisher at a time writes to a root.
     """
-    spark = df.sparkSession
-    staged = f"{target.rstrip('/')}__staged"
-    df.write.mode("overwrite").parquet(staged)
-    back = spark.read.parquet(staged)
-    if back.schema.simpleString() != df.schema.simpleString():
-        raise ValueError("the schema changed on the way")
-    failed = [name for name, check in checks.items() if not check(back).isEmpty()]
-    if failed:
-        raise ValueError(f"checks failed: {failed}")
-    writer = back.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
-    writer.parquet(target)
-    return spark.read.parquet(target)
-
-
-def publish_together(tables: dict[str, tuple[DataFrame, str, dict]]) -> dict[str, DataFrame]:
-    """Several tables: all are staged and checked before the first target changes."""
-    staged = {}
-    for name, (df, target, checks) in tables.items():
-        path = f"{target.rstrip('/')}__staged"
-        df.write.mode("overwrite").parquet(path)
-        back = df.sparkSession.read.parquet(path)
-        if bad := [k for k, check in checks.items() if not check(back).isEmpty()]:
-            raise ValueError(f"{name}: checks failed: {bad}")
-        staged[name] = (back, target)
-    for back, target in staged.values():
-        back.write.mode("overwrite").parquet(target)
-    return {name: back.sparkSession.read.parquet(target) for name, (back, target) in staged.items()}
+    tag, staged = uuid.uuid4().hex, {}
+    for name, (df, checks) in tables.items():
+        path = f"{root}/{name}/{tag}"
+        writer = df.write
+        if partition_by and partition_by.get(name):
+            writer = writer.partitionBy(*partition_by[name])
+        writer.parquet(path)
+        back = df.sparkSession.read.schema(df.schema).parquet(path)
+        if failed := [k for k, check in checks.items() if not check(back).isEmpty()]:
+            raise ValueError(f"{name}: checks failed: {failed}")
+        staged[name] = path
+    spark = next(iter(tables.values()))[0].sparkSession
+    version = (newest(spark, root).agg(F.max("version")).first()[0] or 0) + 1
+    # one file, which the commit of the job moves into place
+    spark.createDataFrame([(version, name, path) for name, path in staged.items()], _LOG).coalesce(1).write.mode("append").parquet(f"{root}/_published")
+    return {name: published(spark, root, name, tables[name][0].schema) for name in tables}
+
+
+def newest(spark: SparkSession, root: str) -> DataFrame:
+    """(table, version, path): the version of each table that readers see; one row per table."""
+    # an empty append makes the log of a new root
+    spark.createDataFrame([], _LOG).coalesce(1).write.mode("append").parquet(f"{root}/_published")
+    log = spark.read.schema(_LOG).parquet(f"{root}/_published")
+    return log.groupBy("table").agg(F.max("version").alias("version"), F.max_by("path", "version").alias("path"))
+
+
+def published(spark: SparkSession, root: str, name: str, schema=None) -> DataFrame:
+    """The newest published version of a table."""
+    row = newest(spark, root).where(F.col("table") == name).first()
+    if row is None:
+        raise ValueError(f"{name} has never been published")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(row["path"])
+
+
+def publish(df: DataFrame, root: str, name: str, checks: Checks, partition_by: list[str] | None = None) -> DataFrame:
+    """One table, as ``publish_together``."""
+    return publish_together(root, {name: (df, checks)}, {name: partition_by or []})[name]
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ";") -> None:

@@ -144,11 +144,16 @@ def test_tails(spark):
 def test_publish_checks_first(spark, tmp_path):
     df = spark.createDataFrame([(1, 2)], "k int, v int")
     with pytest.raises(ValueError, match="negative"):
-        publish.publish(df.withColumn("v", F.lit(-1)), f"{tmp_path}/t", {"negative": lambda d: d.where("v < 0")})
-    assert publish.publish(df, f"{tmp_path}/t", {"negative": lambda d: d.where("v < 0")}).count() == 1
+        publish.publish(df.withColumn("v", F.lit(-1)), f"{tmp_path}/t", "one", {"negative": lambda d: d.where("v < 0")})
+    assert publish.publish(df, f"{tmp_path}/t", "one", {"negative": lambda d: d.where("v < 0")}).count() == 1
     assert publish.refresh_period(df, f"{tmp_path}/p", "k", None) == [1]
 
 
 def test_fingerprint_ignores_order(spark):
     df = spark.range(50).withColumn("v", F.col("id") * 3)
     assert readers.fingerprint(df).first() == readers.fingerprint(df.repartition(5).orderBy(F.desc("id"))).first()
+
+
+def test_row_hashes_tell_fields_and_nulls_apart(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("-", "x"), ("\\N", "x"), ("1:a", ""), ("", "1:a")], "p string, q string")
+    assert readers.provenance(rows, "s", ["p", "q"]).select("row_sha256").distinct().count() == rows.count()
