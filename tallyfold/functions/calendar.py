@@ -88,20 +88,20 @@ def nth_weekday(year: Column, month: int, weekday: int, n: int) -> Column:
     return F.date_add(first, (F.pmod(F.lit(weekday) - F.dayofweek(first), F.lit(7)) + 7 * (n - 1)).cast("int"))
 
 
-#: Fixed values: (name, month, day) of holidays, and (name, days after Easter).
-FIXED_HOLIDAYS = (("new_year", 1, 1), ("labour_day", 5, 1), ("christmas", 12, 25))
-MOVABLE_HOLIDAYS = (("good_friday", -2), ("easter_saturday", -1), ("easter_sunday", 0))
+#: Name, month and day of the first day (of the year before where negative), month and day of the last.
+FIXED_HOLIDAYS = (("new_year", -12, 31, 1, 1), ("national_days", 9, 18, 9, 19), ("all_saints", 10, 31, 11, 1), ("christmas", 12, 24, 12, 25))
+#: Name, month and number of the Sunday.
+SUNDAYS = (("mothers_day", 5, 2), ("fathers_day", 6, 3))
 
 
 def holidays(years: DataFrame) -> DataFrame:
-    """(year, event, from_day, to_day) for each row of ``years`` (year)."""
+    """(year, event, from_day, to_day) for each row of ``years`` (year); Easter runs from Friday to Sunday."""
     y = F.col("year")
     entry = lambda name, a, b: F.struct(F.lit(name).alias("event"), a.alias("from_day"), b.alias("to_day"))
-    fixed = [entry(n, F.make_date(y, F.lit(m), F.lit(d)), F.make_date(y, F.lit(m), F.lit(d))) for n, m, d in FIXED_HOLIDAYS]
-    movable = [entry(n, F.date_add(easter(y), k), F.date_add(easter(y), k)) for n, k in MOVABLE_HOLIDAYS]
-    national = entry("national_days", F.make_date(y, F.lit(9), F.lit(18)), F.make_date(y, F.lit(9), F.lit(19)))
-    mothers = nth_weekday(y, 5, 1, 2)
-    return years.select("year", F.explode(F.array(*fixed, *movable, national, entry("mothers_day", mothers, mothers))).alias("e")).select("year", "e.*")
+    fixed = [entry(n, F.make_date(y - (1 if m < 0 else 0), F.lit(abs(m)), F.lit(d)), F.make_date(y, F.lit(m2), F.lit(d2))) for n, m, d, m2, d2 in FIXED_HOLIDAYS]
+    sundays = [entry(n, nth_weekday(y, m, 1, k), nth_weekday(y, m, 1, k)) for n, m, k in SUNDAYS]
+    week = entry("holy_week", F.date_sub(easter(y), 2), easter(y))
+    return years.select("year", F.explode(F.array(*fixed, *sundays, week)).alias("e")).select("year", "e.*")
 
 
 #: Fixed values of the published series for the mean instants of equinoxes and solstices, years 1000 to 3000:
@@ -132,7 +132,23 @@ def season_instant(year: Column, month: int) -> Column:
     return mean + 0.00001 * terms / spread
 
 
+#: Seconds by which the clock of the series is ahead of universal time, by powers of (year - 2000).
+CLOCK_AHEAD = (62.92, 0.32217, 0.005589)
+#: The season that begins at the equinox or solstice of a month, in the south.
+SOUTHERN = {3: "autumn", 6: "winter", 9: "spring", 12: "summer"}
+
+
 def season_day(year: Column, month: int, zone: str = "UTC") -> Column:
     """Local date of the season's start."""
-    seconds = (season_instant(year, month) - 2440587.5) * 86400
+    at = year + 0.5 - 2000
+    ahead = sum((F.lit(c) * F.pow(at, F.lit(k)) for k, c in enumerate(CLOCK_AHEAD)), F.lit(0.0))
+    seconds = (season_instant(year, month) - 2440587.5) * 86400 - ahead
     return F.to_date(F.from_utc_timestamp(F.timestamp_seconds(F.floor(seconds)), zone))
+
+
+def seasons(years: DataFrame, zone: str = "America/Santiago") -> DataFrame:
+    """(year, season, from_day, to_day) of the seasons that begin in each row of ``years``; a season ends the day before the next."""
+    y, months = F.col("year"), sorted(SOUTHERN)
+    starts = [season_day(y, m, zone) for m in months] + [season_day(y + 1, months[0], zone)]
+    entry = lambda k, m: F.struct(F.lit(SOUTHERN[m]).alias("season"), starts[k].alias("from_day"), F.date_sub(starts[k + 1], 1).alias("to_day"))
+    return years.select("year", F.explode(F.array(*(entry(k, m) for k, m in enumerate(months)))).alias("s")).select("year", "s.*")

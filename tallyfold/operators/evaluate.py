@@ -58,6 +58,12 @@ def paired(a: DataFrame, b: DataFrame, scale: DataFrame, squared: bool = False)
     return both.withColumn("d", F.col("b") - F.col("a")).where("d is not null").select("origin", "horizon", "series_id", "level", "a", "b", "d")
 
 
+def paired_summary(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, error_a, error_b, change, wins): mean scaled errors, the change of the second in percent, and how often it is better."""
+    out = pairs.groupBy(*by).agg(F.avg("a").alias("error_a"), F.avg("b").alias("error_b"), F.avg((F.col("b") < F.col("a")).cast("double")).alias("wins"))
+    return out.withColumn("change", 100 * (F.try_divide("error_b", "error_a") - 1))
+
+
 def normal_tail(z: Column) -> Column:
     """P(Z > z) for z >= 0, to 1e-7."""
     x = z / math.sqrt(2)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyfold.sources import shared
+
 EARTH_KM = 6371.0088
 
 
@@ -40,7 +42,7 @@ def grid(units: DataFrame, periods: DataFrame, facts: DataFrame, keys: list[str]
 
     ``periods`` is a calendar, one row per period, so this product is the result itself.
     """
-    full = units.crossJoin(F.broadcast(periods)).join(facts, keys, "left")
+    full = units.crossJoin(F.broadcast(periods)).join(facts.hint("merge"), keys, "left")
     return full.fillna(0, subset=zero) if zero else full
 
 
@@ -77,16 +79,17 @@ def cells(low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: fl
 def points_in_areas(points: DataFrame, polygon_edges: DataFrame, point: str, area: str, cell: float) -> DataFrame:
     """(point, n_inside, n_border, area): areas that hold each point, by ray casting over edges.
 
-    Points meet only the polygons whose bounding box touches their grid cell. A point on an edge counts as border,
-    not inside; ``area`` is set where exactly one polygon holds the point.
+    Points meet only the polygons whose bounding box touches their grid cell, and of those only the edges that reach
+    into the point's row of cells, so that a large polygon is many keys. A point on an edge counts as border, not inside; ``area`` is set where exactly one polygon holds the point.
     """
     box = polygon_edges.groupBy(area).agg(
         F.min(F.least("x1", "x2")).alias("lx"), F.max(F.greatest("x1", "x2")).alias("hx"), F.min(F.least("y1", "y2")).alias("ly"), F.max(F.greatest("y1", "y2")).alias("hy")
     )
     boxes = box.select(area, "lx", "hx", "ly", "hy", F.explode(cells(F.col("lx"), F.col("ly"), F.col("hx"), F.col("hy"), cell)).alias("c")).select("*", "c.*").drop("c")
     at = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    near = at.join(boxes, ["cx", "cy"]).where("x between lx and hx and y between ly and hy").select(point, "x", "y", area)
-    met = near.join(polygon_edges, area)
+    near = at.join(boxes.hint("merge"), ["cx", "cy"]).where("x between lx and hx and y between ly and hy").select(point, "x", "y", "cy", area)
+    rows = polygon_edges.withColumn("cy", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
+    met = near.join(rows.hint("merge"), [area, "cy"])
     cross = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("x") - F.col("x1"))
     on = (cross == 0) & F.col("x").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("y").between(F.least("y1", "y2"), F.greatest("y1", "y2"))
     over = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
@@ -111,24 +114,37 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
 def nearest(points: DataFrame, targets: DataFrame, point: str, target: str, degrees: float = 1.0, rings: int = 2) -> DataFrame:
     """(point, target, km): the closest target of each point; ties go to the smaller target.
 
-    Grid cells of ``degrees`` and up to ``rings`` cells around are searched by an equi-join first. A point is
-    settled when its best distance is under what the searched rings are sure to cover; the others, few where
-    targets are dense, are compared to all targets.
+    Points meet the targets of their grid cell and of ``rings`` cells around it by an equi-join. A point is settled when
+    its best distance is under what the searched cells are sure to cover; the others go on to cells four times as
+    wide, round by round, until a search covers the globe. Longitudes wrap around. Points without coordinates have
+    no nearest target.
     """
-    own = targets.select(target, F.col("lon").alias("tlon"), F.col("lat").alias("tlat"))
-    at = own.withColumns({"cx": F.floor(F.col("tlon") / degrees), "cy": F.floor(F.col("tlat") / degrees)})
+    own = targets.where("lon is not null and lat is not null").select(target, F.col("lon").alias("tlon"), F.col("lat").alias("tlat"))
+    rest, found = points.where("lon is not null and lat is not null").select(point, "lon", "lat"), None
     steps = F.sequence(F.lit(-rings), F.lit(rings))
-    around = F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct((F.floor(F.col("lon") / degrees) + i).alias("cx"), (F.floor(F.col("lat") / degrees) + j).alias("cy")))))
-    spread = points.select(point, "lon", "lat", F.explode(around).alias("c")).select(point, "lon", "lat", "c.*")
     km = haversine_km(F.col("lon"), F.col("lat"), F.col("tlon"), F.col("tlat"))
     best = F.min(F.struct(km.alias("km"), F.col(target).alias(target)))
-    first = spread.join(at, ["cx", "cy"]).groupBy(point, "lon", "lat").agg(best.alias("b"))
-    # a degree of longitude is shortest at the outer end of the searched band
-    sure = F.lit(rings * degrees) * F.lit(EARTH_KM * math.pi / 180) * F.cos(F.radians(F.least(F.abs("lat") + (rings + 1) * degrees, F.lit(89.9)))) * 0.99
-    settled = first.where(F.col("b.km") <= sure).select(point, "b.*")
-    rest = points.join(settled.select(point), point, "left_anti")
-    far = rest.join(own, F.lit(True)).groupBy(point).agg(best.alias("b")).select(point, "b.*")
-    return settled.union(far).select(point, target, "km")
+    finest = max(2, math.ceil(math.log2(360 / degrees)))
+    for k in [*range(finest, 2, -2), 2]:
+        n = 1 << k
+        size = 360 / n
+        cx = lambda lon, n=n, size=size: F.pmod(F.floor((lon + 180) / size), F.lit(n))
+        cy = lambda lat, size=size: F.floor((lat + 90) / size)
+        at = own.withColumns({"cx": cx(F.col("tlon")), "cy": cy(F.col("tlat"))})
+        around = F.array_distinct(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct(F.pmod(cx(F.col("lon")) + i, F.lit(n)).alias("cx"), (cy(F.col("lat")) + j).alias("cy"))))))  # noqa: B023
+        spread = rest.select(point, "lon", "lat", F.explode(around).alias("c")).select(point, "lon", "lat", "c.*")
+        near = spread.join(at.hint("merge"), ["cx", "cy"]).groupBy(point, "lon", "lat").agg(best.alias("b"))
+        # a degree of longitude is shortest at the outer end of the searched band
+        sure = F.lit(rings * size) * F.lit(EARTH_KM * math.pi / 180) * F.cos(F.radians(F.least(F.abs("lat") + (rings + 1) * size, F.lit(89.9)))) * 0.99
+        if k > 2:
+            near = near.where(F.col("b.km") <= sure)
+        settled = shared.kept(near.select(point, "b.km", f"b.{target}"), "nearest")
+        found = settled if found is None else found.unionByName(settled)
+        if k > 2:
+            rest = shared.kept(rest.join(settled.select(point).hint("merge"), point, "left_anti"), "nearest-rest")
+            if rest.isEmpty():
+                break
+    return found.select(point, target, "km")
 
 
 def overlapping(events: DataFrame, first: Column, last: Column, start: str = "from_day", end: str = "to_day") -> DataFrame:

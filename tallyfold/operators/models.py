@@ -53,7 +53,8 @@ def interval_of_residuals(residuals: DataFrame, at: DataFrame, level: float = LE
     own = known.groupBy("series_id", "origin").agg(F.percentile("r", q).alias("q"), F.count("*").alias("n"))
     pooled = known.groupBy("origin").agg(F.percentile("r", q).alias("p"))
     best = F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("p"))
-    return own.join(pooled, "origin").select("series_id", "origin", best[0].alias("low"), best[1].alias("high"))
+    # a row per origin
+    return own.join(F.broadcast(pooled), "origin").select("series_id", "origin", best[0].alias("low"), best[1].alias("high"))
 
 
 def _targets(panel: DataFrame, at: DataFrame, horizons: list[int]) -> DataFrame:
@@ -71,8 +72,8 @@ def _finish(rows: DataFrame, model: str, point: Column) -> DataFrame:
 def naive(panel: DataFrame, at: DataFrame, horizons: list[int]) -> DataFrame:
     """The period a season ago, with the quantiles of its past errors."""
     season = panel.select("series_id", (F.col("t") + SEASON).alias("t"), F.col("y").alias("season"))
-    rows = _targets(panel, at, horizons).join(season, ["series_id", "t"])
-    return _finish(rows.join(interval_of_residuals(season_residuals(panel), at), ["series_id", "origin"]), "naive", F.col("season"))
+    rows = _targets(panel, at, horizons).join(season.hint("merge"), ["series_id", "t"])
+    return _finish(rows.join(interval_of_residuals(season_residuals(panel), at).hint("merge"), ["series_id", "origin"]), "naive", F.col("season"))
 
 
 def drift(panel: DataFrame, at: DataFrame, horizons: list[int], width: int = 13) -> DataFrame:
@@ -80,8 +81,8 @@ def drift(panel: DataFrame, at: DataFrame, horizons: list[int], width: int = 13)
     residuals = season_residuals(panel)
     change = residuals.crossJoin(F.broadcast(at)).where((F.col("t") <= F.col("origin")) & (F.col("t") > F.col("origin") - width)).groupBy("series_id", "origin").agg(F.avg("r").alias("change"))
     season = panel.select("series_id", (F.col("t") + SEASON).alias("t"), F.col("y").alias("season"))
-    rows = _targets(panel, at, horizons).join(season, ["series_id", "t"]).join(change, ["series_id", "origin"])
-    return _finish(rows.join(interval_of_residuals(residuals, at), ["series_id", "origin"]), "drift", F.col("season") + F.col("change"))
+    rows = _targets(panel, at, horizons).join(season.hint("merge"), ["series_id", "t"]).join(change.hint("merge"), ["series_id", "origin"])
+    return _finish(rows.join(interval_of_residuals(residuals, at).hint("merge"), ["series_id", "origin"]), "drift", F.col("season") + F.col("change"))
 
 
 def zero(panel: DataFrame, at: DataFrame, horizons: list[int]) -> DataFrame:

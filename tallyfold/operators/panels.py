@@ -23,7 +23,7 @@ def hierarchical(sums: DataFrame, leaves: DataFrame, weeks: DataFrame, unit: str
     Aggregates are sums of leaves, taken before any join, so that the total is never a skewed key.
     """
     periods = time_index(weeks.where(F.col("week") <= SEASON).select("year", "week"), ["year", "week"])
-    grid = leaves.crossJoin(F.broadcast(periods)).join(sums, [unit, "year", "week"], "left").withColumn("y", F.coalesce(value, F.lit(0)).cast("long"))
+    grid = leaves.crossJoin(F.broadcast(periods)).join(sums.hint("merge"), [unit, "year", "week"], "left").withColumn("y", F.coalesce(value, F.lit(0)).cast("long"))
     level = lambda name, sid, service, df: df.select(sid.alias("series_id"), F.lit(name).alias("level"), service.alias("service"), "t", "year", "week", "y")
     by_service = grid.groupBy("service", "t", "year", "week").agg(F.sum("y").alias("y"))
     total = grid.groupBy("t", "year", "week").agg(F.sum("y").alias("y"))

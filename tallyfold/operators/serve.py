@@ -80,7 +80,7 @@ def shares(rows: DataFrame, by: list[str], category: str) -> DataFrame:
 
 def characterise(rows: DataFrame, chosen: DataFrame, keys: list[str], area: str, category: str, value: str) -> DataFrame:
     """(area, category, value, whole) over the chosen periods; ``whole`` is what the categories must add up to."""
-    kept = rows.join(F.broadcast(chosen), keys, "left_semi")
+    kept = rows.join(chosen.hint("merge"), keys, "left_semi")
     sums = kept.groupBy(area, category).agg(F.sum(value).alias(value))
     return sums.withColumn("whole", F.sum(value).over(W.partitionBy(area)))
 

@@ -150,17 +150,23 @@ def proximity(t: Tables) -> DataFrame:
 def population_dimension(t: Tables) -> DataFrame:
     """(area, year, people) for the years of the orders: people who had ordered by then."""
     first = t.orders.groupBy("o_custkey").agg(F.min(F.year("o_orderdate")).alias("since"))
-    people = t.customer.join(first, F.col("o_custkey") == F.col("c_custkey"))
     years = t.orders.select(F.year("o_orderdate").alias("year")).distinct()
-    return people.join(years, F.col("since") <= F.col("year")).groupBy(F.col("c_nationkey").alias("area"), "year").agg(F.count("*").alias("people"))
+    since = t.customer.join(first, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "since").agg(F.count("*").alias("n"))
+    last = years.agg(F.max("year").alias("last"))
+    people = since.crossJoin(F.broadcast(last)).select("c_nationkey", "n", F.explode(F.sequence("since", "last")).alias("year"))
+    return people.join(years.hint("merge"), "year").groupBy(F.col("c_nationkey").alias("area"), "year").agg(F.sum("n").alias("people"))
 
 
 def population_points(t: Tables) -> DataFrame:
-    """Points of two layers with positive weights; an id in both layers, or a null weight, is a violation that is listed."""
+    """Points of two layers; an id in both layers, or a weight that is missing or not positive, is a violation that is listed."""
     people, all_of = q_joins.facilities(t)
+    # some weights are taken out, so that there is something to find
+    weight = F.when(F.col("vec_id") % 40 == 3, F.lit(None)).when(F.col("vec_id") % 40 == 7, F.lit(0)).otherwise(F.col("people")).cast("long")
     both = people.withColumn("layer", F.lit("urban")).unionByName(all_of.where("vec_id % 10 = 0").withColumn("layer", F.lit("rural"))).unionByName(people.where("vec_id = 1").withColumn("layer", F.lit("rural")))
-    twice = checks.grain(both, ["vec_id"]).select("vec_id", F.lit("shared id").alias("violation"))
-    return both.where("people > 1").join(twice, "vec_id", "left").select("vec_id", "layer", "people", "violation")
+    both = both.withColumn("people", weight)
+    twice = checks.grain(both, ["vec_id"]).select("vec_id", F.lit("shared id").alias("twice"))
+    violation = F.coalesce(F.col("twice"), F.when(F.col("people").isNull(), "no weight").when(F.col("people") <= 0, "weight not positive"))
+    return both.join(twice, "vec_id", "left").select("vec_id", "layer", "people", violation.alias("violation"))
 
 
 def death_register(t: Tables) -> DataFrame:

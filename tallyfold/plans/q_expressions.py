@@ -223,11 +223,11 @@ def f5_easter(t: Tables) -> DataFrame:
     return _years(t).select("year", calendar.easter(y).alias("easter"), calendar.nth_weekday(y, 5, 1, 2).alias("mothers_day"))
 
 
-HOLIDAYS = f"""{_YEARS}, {_EASTER}, holidays AS (SELECT year, 'new_year' AS event, make_date(year, 1, 1) AS from_day, make_date(year, 1, 1) AS to_day FROM e
-    UNION ALL SELECT year, 'labour_day', make_date(year, 5, 1), make_date(year, 5, 1) FROM e UNION ALL SELECT year, 'christmas', make_date(year, 12, 25), make_date(year, 12, 25) FROM e
-    UNION ALL SELECT year, 'good_friday', easter - 2, easter - 2 FROM e UNION ALL SELECT year, 'easter_saturday', easter - 1, easter - 1 FROM e UNION ALL SELECT year, 'easter_sunday', easter, easter FROM e
-    UNION ALL SELECT year, 'national_days', make_date(year, 9, 18), make_date(year, 9, 19) FROM e
-    UNION ALL SELECT year, 'mothers_day', make_date(year, 5, 1) + CAST((7 - dayofweek(make_date(year, 5, 1))) % 7 + 7 AS INTEGER), make_date(year, 5, 1) + CAST((7 - dayofweek(make_date(year, 5, 1))) % 7 + 7 AS INTEGER) FROM e)"""
+_SUNDAY = "make_date(year, {0}, 1) + CAST((7 - dayofweek(make_date(year, {0}, 1))) % 7 + {1} AS INTEGER)"
+HOLIDAYS = f"""{_YEARS}, {_EASTER}, holidays AS (SELECT year, 'new_year' AS event, make_date(year - 1, 12, 31) AS from_day, make_date(year, 1, 1) AS to_day FROM e
+    UNION ALL SELECT year, 'christmas', make_date(year, 12, 24), make_date(year, 12, 25) FROM e UNION ALL SELECT year, 'all_saints', make_date(year, 10, 31), make_date(year, 11, 1) FROM e
+    UNION ALL SELECT year, 'holy_week', easter - 2, easter FROM e UNION ALL SELECT year, 'national_days', make_date(year, 9, 18), make_date(year, 9, 19) FROM e
+    UNION ALL SELECT year, 'mothers_day', {_SUNDAY.format(5, 7)}, {_SUNDAY.format(5, 7)} FROM e UNION ALL SELECT year, 'fathers_day', {_SUNDAY.format(6, 14)}, {_SUNDAY.format(6, 14)} FROM e)"""
 
 
 @section(f"WITH {HOLIDAYS} SELECT * FROM holidays")
@@ -235,18 +235,19 @@ def f6_holidays(t: Tables) -> DataFrame:
     return calendar.holidays(_years(t))
 
 
-def _season(month: int) -> str:
+def _season(month: int, year: str) -> str:
     """Local date by the same published terms."""
-    powers = " + ".join(f"{c}::DOUBLE * power((year - 2000) / 1000.0::DOUBLE, {k})" for k, c in enumerate(calendar.SEASON_MEANS[month]))
+    at = f"({year} - 2000)"
+    powers = " + ".join(f"{c}::DOUBLE * power({at} / 1000.0::DOUBLE, {k})" for k, c in enumerate(calendar.SEASON_MEANS[month]))
+    ahead = " + ".join(f"{c}::DOUBLE * power({at} + 0.5::DOUBLE, {k})" for k, c in enumerate(calendar.CLOCK_AHEAD))
     terms = " + ".join(f"{a} * cos(radians({b}::DOUBLE + {c}::DOUBLE * u))" for a, b, c in calendar.SEASON_TERMS)
     instant = f"m + 0.00001::DOUBLE * ({terms}) / (1 + 0.0334::DOUBLE * cos(radians(35999.373::DOUBLE * u - 2.47::DOUBLE)) + 0.0007::DOUBLE * cos(2 * radians(35999.373::DOUBLE * u - 2.47::DOUBLE)))"
-    return f"(SELECT CAST(floor({instant} - 2440587.5::DOUBLE) AS INTEGER) + DATE '1970-01-01' FROM (SELECT m, (m - 2451545.0::DOUBLE) / 36525 AS u FROM (SELECT {powers} AS m))) AS season_{month}"
+    return f"(SELECT CAST(timezone('America/Santiago', to_timestamp(floor(({instant} - 2440587.5::DOUBLE) * 86400 - ({ahead})))) AS DATE) FROM (SELECT m, (m - 2451545.0::DOUBLE) / 36525 AS u FROM (SELECT {powers} AS m)))"
 
 
-@section(f"WITH {_YEARS} SELECT year, {', '.join(_season(m) for m in (3, 6, 9, 12))} FROM years")
+@section(f"WITH {_YEARS}, s AS (SELECT year, {', '.join(f'{_season(m, y)} AS s{k}' for k, (m, y) in enumerate(((3, 'year'), (6, 'year'), (9, 'year'), (12, 'year'), (3, '(year + 1)'))))} FROM years) " + " UNION ALL ".join(f"SELECT year, '{n}' AS season, s{k} AS from_day, s{k + 1} - 1 AS to_day FROM s" for k, n in enumerate(("autumn", "winter", "spring", "summer"))))
 def f7_seasons(t: Tables) -> DataFrame:
-    y = F.col("year")
-    return _years(t).select("year", *(calendar.season_day(y, m).alias(f"season_{m}") for m in (3, 6, 9, 12)))
+    return calendar.seasons(_years(t))
 
 
 @section(f"WITH {PANEL} SELECT series_id, t, round(sin(2 * pi() * week / 52), 9) AS sin_1, round(cos(2 * pi() * week / 52), 9) AS cos_1, round(sin(4 * pi() * week / 52), 9) AS sin_2, round(cos(4 * pi() * week / 52), 9) AS cos_2 FROM panel")

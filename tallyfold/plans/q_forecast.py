@@ -365,7 +365,7 @@ def n6_level_summary(t: Tables) -> DataFrame:
     return s.groupBy("model", "level", "horizon").agg(F.round(F.percentile("mase", F.lit(0.5)), 6).alias("mase"))
 
 
-PAIRS = f"{BACK}, {SCALES}, pairs AS (SELECT a.origin, a.horizon, a.series_id, a.level, abs(b.y_real - b.y_pred) / mase_scale - abs(a.y_real - a.y_pred) / mase_scale AS d FROM back a JOIN back b USING (origin, horizon, series_id) JOIN scales USING (series_id) WHERE a.model = 'naive' AND b.model = 'drift')"
+PAIRS = f"{BACK}, {SCALES}, pairs AS (SELECT a.origin, a.horizon, a.series_id, a.level, abs(a.y_real - a.y_pred) / mase_scale AS a, abs(b.y_real - b.y_pred) / mase_scale AS b, abs(b.y_real - b.y_pred) / mase_scale - abs(a.y_real - a.y_pred) / mase_scale AS d FROM back a JOIN back b USING (origin, horizon, series_id) JOIN scales USING (series_id) WHERE a.model = 'naive' AND b.model = 'drift')"
 
 
 def pairs(t: Tables, squared: bool = False) -> DataFrame:
@@ -378,9 +378,11 @@ WILCOXON = f"""{PAIRS}, d AS (SELECT level, horizon, round(d, 9) AS d FROM pairs
     s AS (SELECT level, horizon, count(*)::DOUBLE AS n, least(sum(rank) FILTER (d > 0), sum(rank) FILTER (d < 0)) AS w, sum(ties * ties - 1)::DOUBLE AS tied FROM r GROUP BY ALL), z AS (SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48) AS z FROM s), x AS (SELECT *, abs(z) / sqrt(2::DOUBLE) AS x FROM z), wilcoxon AS (SELECT level, horizon, CAST(n AS BIGINT) AS n, w, z, least(2 * {_TAIL}, 1) AS p FROM x)"""
 
 
-@section(f"WITH {WILCOXON} SELECT level, horizon, n, w, round(z, 6) AS z, round(p, 6) AS p FROM wilcoxon")
+@section(f"WITH {WILCOXON}, e AS (SELECT level, horizon, avg(a) AS a, avg(b) AS b, avg(CASE WHEN b < a THEN 1.0::DOUBLE ELSE 0 END) AS wins FROM pairs GROUP BY ALL) SELECT level, horizon, n, w, round(z, 6) AS z, round(p, 6) AS p, round(100 * (b / a - 1), 6) AS change, round(wins, 6) AS wins FROM wilcoxon JOIN e USING (level, horizon)")
 def n7_wilcoxon(t: Tables) -> DataFrame:
-    return rounded(evaluate.wilcoxon(pairs(t), ["level", "horizon"]), "z", "p")
+    both = t.kept("pairs", lambda: pairs(t))
+    tests, means = evaluate.wilcoxon(both, ["level", "horizon"]), evaluate.paired_summary(both, ["level", "horizon"])
+    return rounded(tests.join(means, ["level", "horizon"]), "z", "p", "change", "wins").select("level", "horizon", "n", "w", "z", "p", "change", "wins")
 
 
 @section(f"""WITH {PAIRS}, d AS (SELECT level, origin, avg(d) AS d FROM pairs GROUP BY ALL), c AS (SELECT *, d - avg(d) OVER (PARTITION BY level) AS c FROM d), g AS (SELECT *, lag(c) OVER (PARTITION BY level ORDER BY origin) AS c1 FROM c), s AS (SELECT level, count(*)::DOUBLE AS n, avg(d) AS mean, sum(c * c) AS g0, sum(c * c1) AS g1 FROM g GROUP BY 1)

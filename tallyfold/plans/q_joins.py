@@ -132,7 +132,7 @@ def c11_interval_overlap(t: Tables) -> DataFrame:
     events = joins.overlapping(calendar.holidays(_years(t)), F.lit("1997-01-01").cast("date"), F.lit("2000-12-31").cast("date"))
     days = events.select("event", "from_day", F.explode(F.sequence("from_day", "to_day")).alias("day"))
     by_day = t.orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
-    return days.join(by_day, "day", "left").groupBy("event", "from_day").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orders"))
+    return days.join(by_day.hint("merge"), "day", "left").groupBy("event", "from_day").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orders"))
 
 
 @section("SELECT l_suppkey, l_orderkey, l_partkey, CAST(l_shipdate AS DATE) AS day FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_partkey DESC) AS r FROM lineitem) WHERE r = 1")

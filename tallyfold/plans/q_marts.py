@@ -131,8 +131,8 @@ def j17_population_dimension(t: Tables) -> DataFrame:
     return marts.population_dimension(t)
 
 
-@section("""WITH p AS (SELECT vec_id, CAST(label + 1 AS BIGINT) AS people FROM embeddings), b AS (SELECT *, 'urban' AS layer FROM p WHERE vec_id % 5 <> 0 UNION ALL SELECT *, 'rural' FROM p WHERE vec_id % 10 = 0 UNION ALL SELECT *, 'rural' FROM p WHERE vec_id = 1)
-    SELECT vec_id, layer, people, CASE WHEN count(*) OVER (PARTITION BY vec_id) > 1 THEN 'shared id' END AS violation FROM b WHERE people > 1""")
+@section("""WITH p AS (SELECT vec_id, CASE WHEN vec_id % 40 = 3 THEN NULL WHEN vec_id % 40 = 7 THEN 0 ELSE CAST(label + 1 AS BIGINT) END AS people FROM embeddings), b AS (SELECT *, 'urban' AS layer FROM p WHERE vec_id % 5 <> 0 UNION ALL SELECT *, 'rural' FROM p WHERE vec_id % 10 = 0 UNION ALL SELECT *, 'rural' FROM p WHERE vec_id = 1)
+    SELECT vec_id, layer, people, CASE WHEN count(*) OVER (PARTITION BY vec_id) > 1 THEN 'shared id' WHEN people IS NULL THEN 'no weight' WHEN people <= 0 THEN 'weight not positive' END AS violation FROM b""")
 def j19_population_points(t: Tables) -> DataFrame:
     return marts.population_points(t)
 

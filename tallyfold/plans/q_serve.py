@@ -128,6 +128,6 @@ def q13_model_card(t: Tables) -> DataFrame:
 def q14_sparse_card(t: Tables) -> DataFrame:
     daily = t.orders.agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b"))
     weeks = calendar.weeks_of(daily.select(F.explode(F.sequence("a", "b")).alias("day"))).select("year", "week", "first_day")
-    return serve.sparse_card(marts.sparse_mart(t).join(weeks, ["year", "week"]), "priority", "first_day")
+    return serve.sparse_card(marts.sparse_mart(t).join(weeks.hint("merge"), ["year", "week"]), "priority", "first_day")
 
 

@@ -29,3 +29,18 @@ def test_next_regular_week_wraps(spark):
     df = spark.createDataFrame([(2024, 51)], "year int, week int")
     y, w = calendar.next_regular(F.col("year"), F.col("week"), 3)
     assert tuple(df.select(y, w).first()) == (2025, 2)
+
+
+def test_events_have_a_first_and_a_last_day(spark):
+    years = spark.createDataFrame([(2024,), (2025,)], "year int")
+    got = {(r.year, r.event): (r.from_day, r.to_day) for r in calendar.holidays(years).collect()}
+    assert got[2025, "new_year"] == (dt.date(2024, 12, 31), dt.date(2025, 1, 1)) and got[2024, "holy_week"] == (dt.date(2024, 3, 29), dt.date(2024, 3, 31))
+    assert got[2024, "fathers_day"] == (dt.date(2024, 6, 16),) * 2 and got[2024, "mothers_day"] == (dt.date(2024, 5, 12),) * 2 and len(got) == 14
+    seasons = {(r.year, r.season): (r.from_day, r.to_day) for r in calendar.seasons(years).collect()}
+    # the solstice of June 2025 is on the 21st at 02:42 UTC, still the 20th in Santiago
+    assert seasons[2025, "winter"][0] == dt.date(2025, 6, 20) and seasons[2025, "autumn"][1] == dt.date(2025, 6, 19)
+    assert seasons[2024, "summer"][1] == seasons_start(seasons[2025, "autumn"])
+
+
+def seasons_start(season):
+    return season[0] - dt.timedelta(days=1)
