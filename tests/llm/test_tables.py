@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfold.llm import collision_search, imatch, mixture, repeat_spans, warc, weighted_minhash
+from tallyfold.llm import collision_search, imatch, merge_dropout, mixture, repeat_spans, warc, weighted_minhash
 
 
 def text(rng, n, words=400):
@@ -353,3 +353,33 @@ def test_pipeline_stages(spark):
     assert rows.count() > 100 and rows.where("n_pieces = 0").count() == 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_pipeline_values(spark):
+    """Copies, personal data, ties, repeated rows, a clashing column and a long text go through each stage as stated."""
+    pipe = pytest.importorskip("corpus_pipeline")
+    stages = dict(pipe.STAGES)
+    rng = random.Random(21)
+    body = [text(rng, 60, 4000) for _ in range(12)]
+    rows = [(i, t, "en", "a" if i % 2 else "b", len(t), "mine") for i, t in enumerate(body)]
+    rows += [(50, body[3], "en", "a", 0, "mine"), (51, body[3] + " more", "en", "a", 0, "mine"), (60, None, "en", None, None, "mine"), (61, "", "en", "a", 0, "mine"), (0, body[0], "en", "b", 1, "again")]
+    rows += [(70, "write to a@b.cd now", "en", "c", 19, "mine"), (71, "long words " * 30_000, "en", "c", 330_000, "mine"), (None, "no id", "en", "c", 5, "mine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, severity string")
+    clean = stages["toxicity"](spark, docs, "/root/testdata/sf0.001")
+    assert clean.columns == docs.columns and clean.count() >= len(rows) - 1
+    kept = stages["near_dedup"](spark, docs, "")
+    ids = collections.Counter(r.doc_id for r in kept.collect())
+    assert 50 not in ids and 51 not in ids and ids[0] == 2 and ids[60] == ids[61] == ids[None] == ids[3] == 1
+    masked = {r.doc_id: r for r in stages["pii"](spark, kept, "").collect()}
+    assert masked[70].text == "write to <email> now" and masked[70].n_chars == len(masked[70].text) and masked[60].text is None and masked[71].severity == "mine"
+    mixed = stages["mixing"](spark, kept, "")
+    assert mixed.columns == docs.columns
+    taken = collections.Counter()
+    for r in mixed.collect():
+        taken[r.source] += len(r.text.split())
+    plan = {r.source: (r.target, r.source_size) for r in mixture.plan(kept).collect()}
+    assert None not in taken and all(abs(taken[k] - plan[k][0]) <= 0.5 for k in taken)
+    coded = stages["encoding"](spark, kept, "").collect()
+    texts = {(r.doc_id, r.source): r.text for r in kept.collect()}
+    assert len(coded) == kept.count() and all(merge_dropout.decode(r.pieces) == (texts[r.doc_id, r.source] or "") for r in coded)
+    assert len({tuple(r.pieces) for r in coded if r.doc_id == 0}) == 1
