@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow.compute as pc
@@ -38,6 +39,19 @@ def whole_text(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def shipped(spark: SparkSession, path: str) -> Callable[[], str]:
+    """Sends a file of the driver to all executors; the result gives the path of its copy there."""
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
+    def local() -> str:
+        from pyspark import SparkFiles
+
+        return SparkFiles.get(name)
+
+    return local
+
+
 def slices(batches, column: int, limit: int = 1 << 20):
     """The same rows in batches whose ``column`` holds about ``limit`` bytes, or one longer value."""
     for batch in batches:

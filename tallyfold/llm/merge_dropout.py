@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.llm.common import slices
+from tallyfold.llm.common import shipped, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -286,7 +286,8 @@ def id_numbers(ids: pa.Array) -> np.ndarray:
     return np.array([0 if x is None else xxhash.xxh64_intdigest(str(x)) for x in ids.to_pylist()], np.uint64).view(np.int64)
 
 
-def _batches(batches, seed: int, rate: float, model: str, check: bool):
+def _batches(batches, seed: int, rate: float, local, check: bool):
+    model = local()
     for batch in slices(batches, 1):
         ids = id_numbers(batch.column(0))
         texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -300,7 +301,8 @@ def _batches(batches, seed: int, rate: float, model: str, check: bool):
 
 def round_trip(docs: DataFrame, seed: int = 7, rate: float = 0.1, model: str = MODEL) -> DataFrame:
     """(doc_id, pieces, lossless): pieces of each text, and whether decoding them gives the text back."""
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _batches(b, seed, rate, model, True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pieces array<int>, lossless boolean")
+    local = shipped(docs.sparkSession, model)
+    return docs.select("doc_id", "text").mapInArrow(lambda b: _batches(b, seed, rate, local, True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pieces array<int>, lossless boolean")
 
 
 def encode_column(docs: DataFrame, seed: int = 7, rate: float = 0.1, model: str = MODEL, out: str = "pieces") -> DataFrame:
@@ -309,11 +311,13 @@ def encode_column(docs: DataFrame, seed: int = 7, rate: float = 0.1, model: str
     docs = docs.drop(out)
     names, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     id_at, text_at = names.index("doc_id"), names.index("text")
+    local = shipped(docs.sparkSession, model)
 
     def run(batches):
+        path = local()
         for batch in slices(batches, text_at):
             ids = id_numbers(batch.column(id_at))
-            got, starts = encode([t or "" for t in batch.column(text_at).to_pylist()], document_keys(ids, seed), model, rate)
+            got, starts = encode([t or "" for t in batch.column(text_at).to_pylist()], document_keys(ids, seed), path, rate)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(got, pa.int32()))], [*names, out])
 
     return docs.mapInArrow(run, schema)
@@ -322,8 +326,11 @@ def encode_column(docs: DataFrame, seed: int = 7, rate: float = 0.1, model: str
 def decode_column(encoded: DataFrame, model: str = MODEL, pieces: str = "pieces", out: str = "text") -> DataFrame:
     """``encoded`` with the text of column ``pieces`` in column ``out``."""
 
+    local = shipped(encoded.sparkSession, model)
+
     @F.pandas_udf(T.StringType())
     def text(lists: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else decode(x.tolist(), model) for x in lists], dtype=object)
+        path = local()
+        return pd.Series([None if x is None else decode(x.tolist(), path) for x in lists], dtype=object)
 
     return encoded.withColumn(out, text(F.col(pieces)))

@@ -6,7 +6,7 @@ roots (word start, continuation). Each node holds a failure link to the continua
 when the pieces of the path so far are popped, and how many pieces that pops; so the count of a word
 takes time linear in its length, and no piece is built. A word that cannot be cut counts as one unknown.
 
-Cases: null and empty texts have no words; very long words stay linear; equal texts get equal counts;
+Cases: null and empty texts have no words; rows without an id are counted as others; very long words stay linear; equal texts get equal counts;
 extra columns are ignored.
 """
 
@@ -18,6 +18,8 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyfold.llm.common import shipped, slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Counts of so many words are remembered at most; longer words than MEMO_WORD never are.
@@ -106,9 +108,11 @@ def counts(model: str) -> Counts:
 def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown): unknown words count as one token each."""
 
+    local = shipped(docs.sparkSession, model)
+
     def run(batches):
-        get = counts(model).__getitem__
-        for batch in batches:
+        get = counts(local()).__getitem__
+        for batch in slices(batches, 1):
             words, tokens, unknown = [], [], []
             for text in batch.column(1).to_pylist():
                 found = list(map(get, text.split())) if text else []

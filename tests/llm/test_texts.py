@@ -75,9 +75,9 @@ def test_counts_equal_greedy_matching():
 
 
 def test_counts_of_a_table(spark):
-    df = spark.createDataFrame([(1, "hello world", 0), (2, None, 0), (3, "", 0), (4, "a" * 50_000, 0)], "doc_id long, text string, n_words int")
+    df = spark.createDataFrame([(1, "hello world", 0), (2, None, 0), (3, "", 0), (4, "a" * 50_000, 0), (None, "hello world", 0)], "doc_id long, text string, n_words int")
     got = {r.doc_id: (r.n_words, r.n_tokens) for r in wordpiece_count.token_counts(df).collect()}
-    assert got[1][0] == 2 and got[2] == got[3] == (0, 0) and got[4][0] == 1 and got[4][1] > 1000
+    assert got[1] == got[None] and got[1][0] == 2 and got[2] == got[3] == (0, 0) and got[4][0] == 1 and got[4][1] > 1000
 
 
 BASE = {
