@@ -70,10 +70,8 @@ def supervised(panel: DataFrame, horizons: list[int], lags: int = 4, widths: tup
             cols[f"mean_{w}"], cols[f"sd_{w}"] = rolling(h, w)
         for c in covariates:
             cols |= {f"{c}_{k}": lag(h + k, c) for k in range(2)}
-        parts.append(panel.withColumns(cols).withColumn("horizon", F.lit(h)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        parts.append(F.struct(F.lit(h).alias("horizon"), *(c.alias(n) for n, c in cols.items())))
+    out = panel.withColumn("__r", F.array(*parts)).withColumn("__r", F.explode("__r")).select(*panel.columns, "__r.*")
     out = out.withColumns({**calendar.fourier(F.col("week"), harmonics), "early": (F.col("t") < 13).cast("int")})
     return out.dropna(subset=[n for n in feature_names(lags, widths, harmonics, covariates) if not n.startswith(("sin", "cos", "early"))])
 
