@@ -13,7 +13,8 @@ never cross documents.
    common prefixes found by breadth-first backward extension on the transform: intervals of all strings of 0, 1, 2,
    ... bytes, each extended to the left by every byte that precedes it, give the boundaries in order of the length
    of the common prefix. It stops at ``LENGTH``: suffixes that no boundary parts share that many bytes. In each
-   such class the smallest id stays.
+   such class the smallest id stays. A key with over ``SORT_BYTES`` of windows is taken in parts: its strings are
+   dealt by their first bytes, so that equal ones meet.
 4. The spans go back to their documents, which drop the covered bytes.
 
 A chunk of documents sends each hash and each window once, so a passage that a third of the documents share
@@ -443,7 +444,45 @@ def prefix_classes(text: np.ndarray, first: np.ndarray, length: int = LENGTH) ->
     return out
 
 
-def _spans(key, content, ids, body, length):
+def _later(body: np.ndarray, first: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, offset) of the strings that a window with a smaller id holds too; windows are ``n`` bytes from ``first`` on."""
+    start = np.cumsum(n + 1) - (n + 1)
+    text = np.zeros(int((n + 1).sum()), np.int16)
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    text[np.repeat(start, n) + inner] = body[np.repeat(first, n) + inner].astype(np.int16) + 1
+    classes = prefix_classes(text, start)
+    strings = n - LENGTH + 1
+    owner = np.repeat(np.arange(len(n)), strings)
+    offset = np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings)
+    of, doc = classes[start[owner] + offset], ids[owner]
+    o = np.lexsort((doc, of))
+    head = np.flatnonzero(np.append(True, of[o][1:] != of[o][:-1]))
+    least = np.empty(len(o), np.int64)
+    least[o] = np.repeat(doc[o][head], np.diff(np.append(head, len(o))))
+    hit = np.flatnonzero(doc > least)
+    return owner[hit], offset[hit]
+
+
+def _later_in_parts(body: np.ndarray, first: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_later``, for a key with more windows than are sorted in one go: its strings are dealt by their first bytes."""
+    strings = n - LENGTH + 1
+    owner = np.repeat(np.arange(len(n)), strings)
+    offset = np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings)
+    word, at = words_of(body), first[owner] + offset
+    parts = int(len(at)) * (LENGTH + 1) // SORT_BYTES + 1
+    part = (mix(mix(word[at]) * _K[0] + word[at + 8]) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    found = []
+    for b, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        mine = order[b:e]
+        if len(mine) > 1:
+            found.append(mine[_later(body, at[mine], np.full(len(mine), LENGTH), ids[owner[mine]])[0]])
+    hit = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return owner[hit], offset[hit]
+
+
+def _spans(key, ids, body, length):
     """(window, from, to) of strings that a window with a smaller id holds; one window per (key, content)."""
     out = []
     first = np.cumsum(length) - length
@@ -455,26 +494,12 @@ def _spans(key, content, ids, body, length):
         while e < len(begin) and (e == b or first[ends[e] - 1] + length[ends[e] - 1] - first[begin[b]] <= SORT_BYTES):
             e += 1
         w = slice(begin[b], ends[e - 1])
-        n = length[w]
-        m = len(n)
-        start = np.cumsum(n + 1) - (n + 1)
-        text = np.zeros(int((n + 1).sum()), np.int16)
-        inner = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        text[inner] = body[first[w][0] : first[w][0] + int(n.sum())].astype(np.int16) + 1
-        classes = prefix_classes(text, start)
-        strings = n - LENGTH + 1
-        owner = np.repeat(np.arange(m), strings)
-        offset = np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings)
-        of, doc = classes[start[owner] + offset], ids[w][owner]
-        o = np.lexsort((doc, of))
-        head = np.flatnonzero(np.append(True, of[o][1:] != of[o][:-1]))
-        least = np.empty(len(o), np.int64)
-        least[o] = np.repeat(doc[o][head], np.diff(np.append(head, len(o))))
-        hit = np.flatnonzero(doc > least)
-        if len(hit):
-            run = np.flatnonzero(np.append(True, (owner[hit][1:] != owner[hit][:-1]) | (offset[hit][1:] != offset[hit][:-1] + 1)))
-            last = np.append(run[1:], len(hit)) - 1
-            out.append(np.stack([owner[hit][run] + begin[b], offset[hit][run], offset[hit][last] + LENGTH], 1))
+        hot = int(length[w].sum()) > SORT_BYTES
+        owner, offset = (_later_in_parts if hot else _later)(body, first[w], length[w], ids[w])
+        if len(owner):
+            run = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)))
+            last = np.append(run[1:], len(owner)) - 1
+            out.append(np.stack([owner[run] + begin[b], offset[run], offset[last] + LENGTH], 1))
         b = e
     return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
@@ -516,7 +541,7 @@ def _shared_windows(blocks: int):
                 continue
             n = length[rep]
             every = np.repeat(first[rep] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            found = _spans(key[rep], content[rep], i[rep], body[every], n)
+            found = _spans(key[rep], i[rep], body[every], n)
             if not len(found):
                 continue
             # a span holds for all places of its window in the document with the smallest id

@@ -116,9 +116,11 @@ def brute_repeats(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeats_equal_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "sorted_bytes"), [(1, 1 << 20), (2, 300)])
+def test_repeats_equal_brute_force(spark, seed, sorted_bytes, monkeypatch):
+    """Keys with more windows than are sorted in one go are taken in parts."""
     monkeypatch.setattr(repeat_spans, "HELD_FINDINGS", 50)
+    monkeypatch.setattr(repeat_spans, "SORT_BYTES", sorted_bytes)
     rng = random.Random(seed)
     words = ["alpha", "beta", "of", "the", "é", "gamma", "a"]
     line = lambda n: " ".join(rng.choice(words) for _ in range(n))
@@ -130,6 +132,19 @@ def test_repeats_equal_brute_force(spark, seed, monkeypatch):
     assert got == brute_repeats([(i, t.encode()) for i, t in docs])
 
 
+def test_windows_of_a_hot_key_in_parts(monkeypatch):
+    """Windows with a common middle: the parts find what one sort finds."""
+    rng = np.random.default_rng(8)
+    middle = rng.integers(97, 100, 44)
+    windows = [np.concatenate([rng.integers(97, 99, 4), middle, rng.integers(97, 99, int(rng.integers(4, 12)))]).astype(np.uint8) for _ in range(300)]
+    body, n = np.concatenate(windows), np.array([len(w) for w in windows])
+    ids = rng.integers(0, 200, len(n))
+    key = np.zeros(len(n), np.uint64)
+    whole = repeat_spans._spans(key, ids, body, n)
+    monkeypatch.setattr(repeat_spans, "SORT_BYTES", 2000)
+    assert len(whole) > 50 and np.array_equal(whole, repeat_spans._spans(key, ids, body, n))
+
+
 def test_repeats_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "x" * 100), (1, None), (2, "x" * 100)], "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in repeat_spans.strip_repeats(df).collect()}
