@@ -162,25 +162,51 @@ def partial_autocorrelation(acf: Column, lags: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(lags)), F.struct(empty.alias("phi"), empty.alias("out")), step, lambda s: s["out"])
 
 
+#: 5 % critical value of the Dickey-Fuller statistic with a constant, and (statistic, p) of KPSS with a constant.
+DF_CRITICAL = -2.86
+KPSS_TABLE = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
+
+
+def kpss_p(statistic: Column) -> Column:
+    """p between the table's ends, by straight lines."""
+    p = F.when(statistic <= KPSS_TABLE[0][0], KPSS_TABLE[0][1])
+    for (x0, p0), (x1, p1) in zip(KPSS_TABLE, KPSS_TABLE[1:]):
+        p = p.when(statistic <= x1, p0 + (statistic - x0) * ((p1 - p0) / (x1 - x0)))
+    return p.when(statistic > KPSS_TABLE[-1][0], KPSS_TABLE[-1][1])
+
+
 def stationarity(panel: DataFrame) -> DataFrame:
-    """(series_id, n, df, kpss): Dickey-Fuller statistic (constant, no lag) and KPSS (constant) of each series."""
+    """(series_id, kind, n, df, unit_root, kpss, kpss_p) of each series' level and first difference.
+
+    ``df`` is the Dickey-Fuller statistic with a constant and one lagged difference, by the moments of its regression;
+    ``unit_root`` says that it does not fall under the 5 % critical value. KPSS is that with a constant and five lags.
+    """
     w = W.partitionBy("series_id").orderBy("t")
-    before = F.lag("y").over(w)
-    rows = panel.withColumns({"x": before.cast("double"), "dy": (F.col("y") - before).cast("double")})
-    slope = F.regr_slope("dy", "x")
-    n = F.regr_count("dy", "x")
-    se = F.sqrt(F.try_divide(F.try_divide(F.regr_syy("dy", "x") - slope * F.regr_sxy("dy", "x"), n - 2), F.regr_sxx("dy", "x")))
-    df = rows.groupBy("series_id").agg(F.try_divide(slope, se).alias("df"))
-    c = panel.withColumn("c", F.col("y") - F.avg("y").over(W.partitionBy("series_id")))
-    c = c.withColumn("s", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    y = F.col("y").cast("double")
+    moved = panel.withColumn("before", F.lag("y").over(w).cast("double"))
+    both = moved.select("series_id", "t", F.explode(F.array(F.struct(F.lit("level").alias("kind"), y.alias("v")), F.struct(F.lit("difference").alias("kind"), (y - F.col("before")).alias("v")))).alias("s")).select("series_id", "t", "s.*").where("v is not null")
+    k = W.partitionBy("series_id", "kind")
+    o = k.orderBy("t")
+    rows = both.withColumn("x", F.lag("v").over(o)).withColumn("dv", F.col("v") - F.col("x"))
+    rows = rows.withColumn("z", F.lag("dv").over(o)).where("z is not null")
+    s = lambda a, b: F.covar_pop(a, b) * F.count("*")
+    m = rows.groupBy("series_id", "kind").agg(F.count("*").alias("m"), *(s(a, b).alias(a + b) for a, b in (("x", "x"), ("x", "z"), ("z", "z"), ("x", "dv"), ("z", "dv"), ("dv", "dv"))))
+    det = F.col("xx") * F.col("zz") - F.col("xz") * F.col("xz")
+    slope = (F.col("zz") * F.col("xdv") - F.col("xz") * F.col("zdv")) / det
+    other = (F.col("xx") * F.col("zdv") - F.col("xz") * F.col("xdv")) / det
+    rest = F.col("dvdv") - slope * F.col("xdv") - other * F.col("zdv")
+    df = m.where(det > 0).select("series_id", "kind", F.try_divide(slope, F.sqrt(rest / (F.col("m") - 3) * F.col("zz") / det)).alias("df"))
+    c = both.withColumn("c", F.col("v") - F.avg("v").over(k))
+    c = c.withColumn("s", F.sum("c").over(o.rowsBetween(W.unboundedPreceding, 0)))
     lags = 5
-    c = c.withColumns({f"p{k}": F.col("c") * F.lag("c", k).over(w) for k in range(lags + 1)})
-    one = c.groupBy("series_id").agg(F.count("*").alias("n"), F.sum(F.col("s") * F.col("s")).alias("ss"), *(F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"p{k}") for k in range(lags + 1)))
+    c = c.withColumns({f"p{i}": F.col("c") * F.lag("c", i).over(o) for i in range(lags + 1)})
+    one = c.groupBy("series_id", "kind").agg(F.count("*").alias("n"), F.sum(F.col("s") * F.col("s")).alias("ss"), *(F.coalesce(F.sum(f"p{i}"), F.lit(0.0)).alias(f"p{i}") for i in range(lags + 1)))
     count = F.col("n").cast("double")
     variance = F.col("p0") / count
-    for k in range(1, lags + 1):
-        variance = variance + 2 * (1 - k / (lags + 1)) * F.col(f"p{k}") / count
-    return one.select("series_id", "n", F.try_divide("ss", count * count * variance).alias("kpss")).join(df, "series_id")
+    for i in range(1, lags + 1):
+        variance = variance + 2 * (1 - i / (lags + 1)) * F.col(f"p{i}") / count
+    one = one.select("series_id", "kind", "n", F.try_divide("ss", count * count * variance).alias("kpss"))
+    return one.join(df, ["series_id", "kind"], "left").select("series_id", "kind", "n", "df", (F.col("df") >= DF_CRITICAL).alias("unit_root"), "kpss", kpss_p(F.col("kpss")).alias("kpss_p"))
 
 
 def strengths(panel: DataFrame, half: int = SEASON // 2) -> DataFrame:

@@ -454,12 +454,18 @@ def n14_partial_autocorrelation(t: Tables) -> DataFrame:
     return a.select("series_id", F.posexplode(evaluate.partial_autocorrelation(F.col("acf"), 20)).alias("lag", "pacf")).select("series_id", (F.col("lag") + 1).alias("lag"), F.round("pacf", 6).alias("pacf"))
 
 
-@section(f"""WITH {PANEL}, x AS (SELECT series_id, t, y, lag(y) OVER w::DOUBLE AS x, y - lag(y) OVER w::DOUBLE AS dy FROM panel WINDOW w AS (PARTITION BY series_id ORDER BY t)), r AS (SELECT series_id, regr_slope(dy, x) AS b, regr_count(dy, x) AS n, regr_sxx(dy, x) AS sxx, regr_syy(dy, x) AS syy, regr_sxy(dy, x) AS sxy FROM x GROUP BY 1),
-    c AS (SELECT series_id, t, y - avg(y) OVER (PARTITION BY series_id) AS c FROM panel), s AS (SELECT *, sum(c) OVER w AS s, {', '.join(f'c * lag(c, {k}) OVER w AS p{k}' for k in range(6))} FROM c WINDOW w AS (PARTITION BY series_id ORDER BY t)), k AS (SELECT series_id, count(*)::DOUBLE AS n, sum(s * s) AS ss, {', '.join(f'sum(p{k}) AS p{k}' for k in range(6))} FROM s GROUP BY 1)
-    SELECT series_id, CAST(k.n AS BIGINT) AS n, round(b / sqrt((syy - b * sxy) / (r.n - 2) / sxx), 4) AS df, round(ss / (k.n * k.n * (p0 / k.n{''.join(f' + 2 * (1 - {k} / 6.0::DOUBLE) * p{k} / k.n' for k in range(1, 6))})), 6) AS kpss FROM r JOIN k USING (series_id)""".replace("lag(y) OVER w::DOUBLE", "CAST(lag(y) OVER w AS DOUBLE)"))
+_MOMENTS = ", ".join(f"covar_pop({a}, {b}) * count(*) AS {a}{b}" for a, b in (("x", "x"), ("x", "z"), ("z", "z"), ("x", "dv"), ("z", "dv"), ("dv", "dv")))
+_KPSS_P = "CASE WHEN kpss <= 0.347 THEN 0.10 WHEN kpss <= 0.463 THEN 0.10 - (kpss - 0.347) * (0.05 / 0.116) WHEN kpss <= 0.574 THEN 0.05 - (kpss - 0.463) * (0.025 / 0.111) WHEN kpss <= 0.739 THEN 0.025 - (kpss - 0.574) * (0.015 / 0.165) ELSE 0.01 END::DOUBLE"
+
+
+@section(f"""WITH {PANEL}, b AS (SELECT series_id, t, y::DOUBLE AS y, y - lag(y) OVER (PARTITION BY series_id ORDER BY t) AS d FROM panel), v AS (SELECT series_id, 'level' AS kind, t, y AS v FROM b UNION ALL SELECT series_id, 'difference', t, d::DOUBLE FROM b WHERE d IS NOT NULL),
+    x AS (SELECT *, lag(v) OVER w AS x, v - lag(v) OVER w AS dv FROM v WINDOW w AS (PARTITION BY series_id, kind ORDER BY t)), z AS (SELECT *, lag(dv) OVER (PARTITION BY series_id, kind ORDER BY t) AS z FROM x), m AS (SELECT series_id, kind, count(*) AS m, {_MOMENTS} FROM z WHERE z IS NOT NULL GROUP BY ALL),
+    f AS (SELECT *, xx * zz - xz * xz AS det FROM m), g AS (SELECT *, (zz * xdv - xz * zdv) / det AS b, (xx * zdv - xz * xdv) / det AS o FROM f), df AS (SELECT series_id, kind, b / sqrt((dvdv - b * xdv - o * zdv) / (m - 3) * zz / det) AS df FROM g),
+    c AS (SELECT *, v - avg(v) OVER (PARTITION BY series_id, kind) AS c FROM v), s AS (SELECT *, sum(c) OVER w AS s, {', '.join(f'c * lag(c, {k}) OVER w AS p{k}' for k in range(6))} FROM c WINDOW w AS (PARTITION BY series_id, kind ORDER BY t)), k AS (SELECT series_id, kind, count(*)::DOUBLE AS n, sum(s * s) AS ss, {', '.join(f'sum(p{k}) AS p{k}' for k in range(6))} FROM s GROUP BY ALL),
+    q AS (SELECT series_id, kind, CAST(n AS BIGINT) AS n, ss / (n * n * (p0 / n{''.join(f' + 2 * (1 - {k} / 6.0::DOUBLE) * p{k} / n' for k in range(1, 6))})) AS kpss FROM k)
+    SELECT series_id, kind, n, round(df, 4) AS df, df >= -2.86 AS unit_root, round(kpss, 6) AS kpss, round({_KPSS_P}, 6) AS kpss_p FROM q JOIN df USING (series_id, kind)""")
 def n15_stationarity(t: Tables) -> DataFrame:
-    out = evaluate.stationarity(panel(t))
-    return out.select("series_id", "n", F.round("df", 4).alias("df"), F.round("kpss", 6).alias("kpss"))
+    return rounded(evaluate.stationarity(panel(t)), "kpss", "kpss_p").withColumn("df", F.round("df", 4))
 
 
 @section(f"""WITH {PANEL}, a AS (SELECT series_id, t, week, y, avg(y) OVER w AS trend, count(*) OVER w AS n FROM panel WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 26 PRECEDING AND 26 FOLLOWING)), b AS (SELECT *, y - trend AS d FROM a WHERE n = 53), s AS (SELECT *, avg(d) OVER (PARTITION BY series_id, week) - avg(d) OVER (PARTITION BY series_id) AS seasonal FROM b)
