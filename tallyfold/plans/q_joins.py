@@ -50,11 +50,10 @@ def c5_contrast(t: Tables) -> DataFrame:
     return a.join(b, "year").select("year", "orders", "lines", (F.col("lines") / F.col("orders")).alias("lines_per_order"))
 
 
-@section("""WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 49 AND l_shipdate < '1996-01-01'), b AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity < 2 AND l_shipdate < '1996-01-01')
+@section("""WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.095), b AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity < 2 AND l_discount < 0.005)
     SELECT coalesce(a.k, b.k) AS l_suppkey, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'both' END AS origin FROM a FULL JOIN b ON a.k = b.k""")
 def c6_full_outer(t: Tables) -> DataFrame:
-    early = t.lineitem.where(F.col("l_shipdate") < "1996-01-01")
-    return joins.with_origin(early.where("l_quantity > 49"), early.where("l_quantity < 2"), ["l_suppkey"])
+    return joins.with_origin(t.lineitem.where("l_quantity > 49 and l_discount > 0.095"), t.lineitem.where("l_quantity < 2 and l_discount < 0.005"), ["l_suppkey"])
 
 
 @section("""SELECT n_nationkey, n_name, r_name, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers, orders, last_order, lines, last_ship FROM nation JOIN region ON n_regionkey = r_regionkey

@@ -72,9 +72,9 @@ def q7_facility_summary(t: Tables) -> DataFrame:
     return out.withColumn("change", F.round("change", 6))
 
 
-@section(f"WITH {VISITS}, x AS (SELECT facility, CAST(date_trunc('month', day) AS DATE) AS month, sum(total) AS n FROM visits WHERE day >= DATE '2001-01-01' GROUP BY ALL) SELECT facility, string_agg(strftime(month, '%Y-%m') || '=' || CAST(n AS VARCHAR), ',' ORDER BY month) AS months FROM x GROUP BY 1")
+@section(f"WITH {VISITS}, x AS (SELECT facility, CAST(date_trunc('month', day) AS DATE) AS month, sum(total) AS n FROM visits GROUP BY ALL) SELECT facility, string_agg(strftime(month, '%Y-%m') || '=' || CAST(n AS VARCHAR), ',' ORDER BY month) AS months FROM x GROUP BY 1")
 def q7_facility_detail(t: Tables) -> DataFrame:
-    by_month = visits(t).where("day >= '2001-01-01'").groupBy("facility", F.trunc("day", "month").alias("month")).agg(F.sum("total").alias("n"))
+    by_month = visits(t).groupBy("facility", F.trunc("day", "month").alias("month")).agg(F.sum("total").alias("n"))
     out = serve.detail(by_month, "facility", "month", "n")
     return out.select("facility", F.array_join(F.transform("rows", lambda x: F.concat_ws("=", F.date_format(x["month"], "yyyy-MM"), x["n"])), ",").alias("months"))
 
@@ -86,9 +86,9 @@ def q8_trailing_rate(t: Tables) -> DataFrame:
     return serve.trailing_rate(events, people, "area", "day", 364)
 
 
-@section(f"WITH {DISCHARGES}, n AS (SELECT harmonised, year, count(*) AS n FROM discharges WHERE year IN (1999, 2000) GROUP BY harmonised, year) SELECT harmonised, year, n, n / sum(n) OVER (PARTITION BY year) AS share FROM n")
+@section(f"WITH {DISCHARGES}, n AS (SELECT harmonised, year, count(*) AS n FROM discharges GROUP BY harmonised, year) SELECT harmonised, year, n, n / sum(n) OVER (PARTITION BY year) AS share FROM n")
 def q9_resident_profile(t: Tables) -> DataFrame:
-    return serve.shares(marts.discharge_set(t).where("year in (1999, 2000)"), ["year"], "harmonised")
+    return serve.shares(marts.discharge_set(t), ["year"], "harmonised")
 
 
 @section(f"WITH {WEEKLY}, n AS (SELECT area, cause, CAST(sum(total) AS BIGINT) AS total FROM weekly WHERE (year, week) IN ((2000, 10), (2000, 20), (1999, 52)) GROUP BY area, cause) SELECT *, CAST(sum(total) OVER (PARTITION BY area) AS BIGINT) AS whole FROM n")
