@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,16 @@ def shipped(spark: SparkSession, path: str) -> Callable[[], str]:
     return local
 
 
+def squeeze(a: np.ndarray, level: int = 3) -> bytes:
+    """An array's bytes, compressed."""
+    return zstandard.ZstdCompressor(level=level).compress(a.tobytes())
+
+
+def expand(data, kind) -> np.ndarray:
+    """The array of ``squeeze``, from bytes or an array of them."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
 def slices(batches, column: int, limit: int = 1 << 20):
     """The same rows in batches whose ``column`` holds about ``limit`` bytes, or one longer value."""
     for batch in batches:

@@ -22,7 +22,6 @@ document, in the class of any of its texts; an empty table gives no rows; extra
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import partitions, settle, slices
+from tallyfold.llm.common import expand, partitions, settle, slices, squeeze
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 8, 2
@@ -148,12 +147,12 @@ class Idf:
 def _pack(values: np.ndarray) -> bytes:
     """Whole numbers by bytes of like weight, compressed: sorted hashes take little more than their differences."""
     steps = np.diff(values, prepend=values.dtype.type(0))
-    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(len(steps), -1).T).tobytes(), 1)
+    return squeeze(np.ascontiguousarray(steps.view(np.uint8).reshape(len(steps), -1).T), 1)
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    steps = np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T
+    steps = expand(data, np.uint8).reshape(width, -1).T
     return np.cumsum(np.ascontiguousarray(steps).view(kind).ravel(), dtype=kind)
 
 
