@@ -28,14 +28,12 @@ that; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import partitions, release, settle, slices
+from tallyfold.llm.common import expand, partitions, release, settle, slices, squeeze
 
 LENGTH, SEED_BYTES = 50, 16
 REACH = LENGTH - SEED_BYTES
@@ -72,15 +70,6 @@ def unpack(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def squeeze(a: np.ndarray) -> np.ndarray:
-    """An array's bytes, compressed."""
-    return np.frombuffer(zlib.compress(a.tobytes(), 3), np.uint8)
-
-
-def expand(a: np.ndarray, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(a), kind)
-
-
 def words_of(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on, as a number; the last seven positions have none."""
     x = data.astype(np.uint64)
@@ -349,8 +338,8 @@ def _send_windows(n_buckets: int):
                 every = np.repeat(first[w], n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
                 use, inverse = np.unique(owner[w], return_inverse=True)
                 # documents and places come in order, so that differences are small; the hash of the bytes is made again
-                step = lambda x: squeeze(np.diff(x.astype(np.int32), prepend=np.int32(0)))
-                rows.append((int(bucket[w[0]]), False, pack(doc_ids[use], doc_ties[use], step(inverse), key[w], step(start[w]), n.astype(np.uint8), squeeze(body[every]))))
+                step = lambda x: np.frombuffer(squeeze(np.diff(x.astype(np.int32), prepend=np.int32(0))), np.uint8)
+                rows.append((int(bucket[w[0]]), False, pack(doc_ids[use], doc_ties[use], step(inverse), key[w], step(start[w]), n.astype(np.uint8), np.frombuffer(squeeze(body[every]), np.uint8))))
             held.clear()
             return _flow(rows)
 
