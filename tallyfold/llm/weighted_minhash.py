@@ -263,7 +263,8 @@ def grouped(first: DataFrame) -> DataFrame:
     members = settle(spread.join(sizes.hint("shuffle_hash"), ["band", "value"]), "minhash-members")
     met = members.groupBy("doc").agg(F.sum("n").alias("met"))
     centres = members.join(met.hint("merge"), "doc").groupBy("band", "value").agg(F.min("doc").alias("least"), F.min_by("doc", F.xxhash64("doc", "band")).alias("other"), F.max_by("doc", F.struct("met", -F.col("doc"))).alias("central"))
-    centres = centres.select("band", "value", F.array_distinct(F.array("least", "other", "central")).alias("centres"))
+    # written, as other tables by group below, so that adaptive execution can split the rows of a hot group
+    centres = settle(centres.select("band", "value", F.array_distinct(F.array("least", "other", "central")).alias("centres")), "minhash-centres")
     return settle(members.select("doc", "band", "value").join(centres.hint("shuffle_hash"), ["band", "value"]), "minhash-groups")
 
 
@@ -349,7 +350,7 @@ def open_tiles(groups: DataFrame, labels: DataFrame) -> DataFrame:
     by_label = placed.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("n"))
     still = by_label.groupBy("band", "value").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")
     still = still.select("band", "value", "major", F.ceil(F.col("n") / CHUNK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / CHUNK).cast("int").alias("rest"))
-    rows = placed.join(still.hint("merge"), ["band", "value"])
+    rows = placed.join(settle(still, "minhash-still").hint("merge"), ["band", "value"])
     h = F.xxhash64("doc")
     side = lambda held, own, mine, other, count: rows.select(
         "band", "value", F.pmod(h, F.col(mine)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias(other), F.lit(held).alias("held"), "doc", "label", "major"
