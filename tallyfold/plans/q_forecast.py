@@ -159,8 +159,8 @@ def l9_count_quantiles(t: Tables) -> DataFrame:
 
 @section()
 def l10_boosted_trees(t: Tables) -> DataFrame:
-    """Fitted at the last two origins, for every horizon and series, with quantiles of its relative errors."""
-    back = models.backtest(with_reporters(t), ["trees"], HORIZONS, n=2)
+    """Fitted at the last origin, for every horizon and series, with quantiles of its relative errors."""
+    back = models.backtest(with_reporters(t), ["trees"], HORIZONS, n=1)
     return rounded(back, "y_pred", "lo", "hi", digits=3).select("origin", "horizon", "series_id", "y_real", "y_pred", "lo", "hi")
 
 
