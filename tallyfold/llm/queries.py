@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import collision_search, imatch, merge_dropout, mixture, pii, repeat_spans, severity, warc, weighted_minhash, wordpiece_count
+from tallyfold.llm import collision_search, filter_audit, imatch, line_crf, merge_dropout, mixture, pii, repeat_spans, severity, warc, weighted_minhash, whitening, wordpiece_count
 from tallyfold.llm.common import read
 
 
@@ -70,7 +70,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_merge_dropout, op2_pii, op3_imatch, op4_severity, op5_repeat_spans, op6_collision_search, op7_weighted_minhash, op8_mixture, op9_token_counts, op10_warc)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every embedding."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from labelled ones that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = line_crf.train(docs, read(spark, sf_dir, "labels"))
+    scored = line_crf.score_column(docs.select("doc_id", "text"), model, out="score")
+    return scored.select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= line_crf.ACCEPT).cast("int").alias("predicted"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes at each step of every order, by source."""
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_merge_dropout, op2_pii, op3_imatch, op4_severity, op5_repeat_spans, op6_collision_search, op7_weighted_minhash, op8_mixture, op9_token_counts, op10_warc, op11_whitening, op12_line_crf, op13_filter_audit)}
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Each five hexadecimal digits are four characters of base 32.
 _DIGEST = " || ".join(f"substr('{_BASE32}', (('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {s}) % 32 + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
@@ -82,4 +100,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> first THEN first END AS refers_to
         FROM r""",
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+        l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY 1),
+        m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+            CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * len(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+            || CASE WHEN coalesce(doc_id > first, false) THEN 'E' ELSE '' END AS fails
+            FROM w LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY ALL),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        o AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        s AS (SELECT o, k, substr(o, k, 1) AS f, left(o, k - 1) AS earlier FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+        r AS (SELECT part, o, k, f, fails, n, g, x, contains(fails, f) AS here, translate(fails, earlier, '') <> fails AS gone FROM c, s),
+        a AS (SELECT part, o, k, f, sum(CASE WHEN NOT here AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN here AND gone THEN n ELSE 0 END) AS redundant,
+            sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN here AND NOT gone THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN here AND NOT gone THEN x ELSE 0 END) AS toxic_lost FROM r GROUP BY ALL)
+        SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+            CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+        FROM a""",
 }
