@@ -2,7 +2,7 @@
 
 Each line is good or bad. ``log P(labels)`` is the sum over lines of what the line's features and those of the lines
 before and after it say for "good", and of a weight for each pair of neighbouring labels and for the first label. The
-features are ``KINDS`` small codes a line: length, words, distinct words, symbols, exclamation marks, capitals, digits,
+features are ``KINDS`` small codes a line: length, words, distinct words, words that repeat the word before, symbols, exclamation marks, capitals, digits,
 mean length of words, first and last character, sentence ends, and whether a line repeats a neighbour or an earlier one.
 Forward and backward sums give the probability of "good" for each line; the score of a document is their mean,
 weighted by the lines' lengths.
@@ -21,6 +21,7 @@ scores; rows without an id are not held out; extra columns pass through, and a c
 
 from __future__ import annotations
 
+import operator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 #: Documents, and lines of each, that the fit uses at most.
 SAMPLE, FIT_LINES = 8_000, 1_000
 SLICE = 1 << 20
-KINDS, CODES = 12, 16
+KINDS, CODES = 13, 16
 NONE = CODES - 1
 RIDGE, STEPS, RATE = 1e-4, 150, 0.15
 ACCEPT = 0.3
@@ -67,7 +68,7 @@ def codes(line: bytes, before: bytes | None, after: bytes | None, repeats: bool)
     n, m = len(line), len(words)
     left = line.strip()
     return (
-        min(n.bit_length(), 14), min(m.bit_length(), 14), 0 if m < 4 else 1 + int(10 * len(set(words)) / m),
+        min(n.bit_length(), 14), min(m.bit_length(), 14), 0 if m < 4 else 1 + int(10 * len(set(words)) / m), _share(sum(map(operator.eq, words, words[1:])), m),
         _share(n - len(line.translate(None, _SYMBOLS)), m), _share(line.count(b"!"), m), _share(n - len(line.translate(None, _CAPITALS)), n), _share(n - len(line.translate(None, _DIGITS)), n),
         min(n // m, 14) if m else 0, _KINDS[left[0]] if left else 0, _KINDS[left[-1]] if left else 0, _share(line.count(b"."), m),
         1 * (line == before or line == after) + 2 * repeats,
