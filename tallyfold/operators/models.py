@@ -1,8 +1,7 @@
 """Forecast models over panels (series_id, level, service, t, year, week, y), and their backtests.
 
 Naive models need no fit: all origins and horizons are one job. The Poisson regressions of all origins and horizons
-are fitted together, a job a round. Boosted trees are fitted anew at each origin: that loop stays on the driver, each
-fit is distributed. Other columns of a panel are covariates, of which fitted models use what is known at the origin.
+are fitted together, a job a round, and so are the boosted trees, a job a level. Other columns of a panel are covariates, of which fitted models use what is known at the origin.
 """
 
 from __future__ import annotations
@@ -11,14 +10,14 @@ from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfold.functions import calendar
-from tallyfold.operators import glm, intervals, panels
+from tallyfold.operators import boosting, glm, intervals, panels, selection
 from tallyfold.sources import shared
 
 SEASON, LEVEL = 52, 0.8
@@ -119,36 +118,6 @@ class Estimator(Protocol):
     def fit_predict(self, train: DataFrame, target: DataFrame) -> DataFrame: ...
 
 
-class BoostedTrees:
-    """One boosted ensemble for all series under Poisson loss, from the mean of a series' last known periods on.
-
-    A tree is fitted to (y - mu) / mu with weights mu, so that its leaves hold the Newton steps of the loss; the
-    series is a category. Scores are written every few trees, so that plans stay short.
-    """
-
-    def __init__(self, names: list[str], base: str = "mean_13", trees: int = 8, depth: int = 5, rate: float = 0.4, seed: int = 3):
-        self.names, self.base, self.trees, self.depth, self.rate, self.seed = names, base, trees, depth, rate, seed
-        self.importances: dict[str, float] = {}
-
-    def fit_predict(self, train: DataFrame, target: DataFrame) -> DataFrame:
-        inputs = [*self.names, "code"]
-        stages = [StringIndexer(inputCol="series_id", outputCol="code", stringOrderType="alphabetAsc", handleInvalid="keep"), VectorAssembler(inputCols=inputs, outputCol="features")]
-        both = train.withColumn("__known", F.lit(True)).unionByName(target.withColumn("__known", F.lit(False)))
-        rows = Pipeline(stages=stages).fit(train).transform(both).withColumn("__score", F.log(F.col(self.base) + 0.5))
-        rows = shared.kept(rows, "trees-rows")
-        weight = [0.0] * len(inputs)
-        for k in range(self.trees):
-            mu = F.exp("__score")
-            now = rows.where("__known").withColumns({"__mu": mu, "__step": (F.col("y") - mu) / mu})
-            tree = DecisionTreeRegressor(labelCol="__step", weightCol="__mu", maxDepth=self.depth, maxBins=128, minInstancesPerNode=20, seed=self.seed, predictionCol="__leaf").fit(now)
-            weight = [a + b for a, b in zip(weight, tree.featureImportances.toArray().tolist())]
-            rows = tree.transform(rows).withColumn("__score", F.col("__score") + self.rate * F.col("__leaf")).drop("__leaf")
-            if k % 4 == 3:
-                rows = shared.kept(rows, "trees-rows")
-        self.importances = {n: w / self.trees for n, w in zip(inputs, weight)}
-        return rows.where("not __known").withColumn("y_pred", F.exp("__score")).drop("__score", "__known", "features", "code")
-
-
 class ByPandas:
     """A model of the user: a function from a series' rows (train and target, with y missing in the target)."""
 
@@ -241,32 +210,50 @@ def poisson(panel: DataFrame, at: DataFrame, horizons: list[int]) -> DataFrame:
     return glm.forecasts(rows, names, _origins(at), horizons).select(F.lit("poisson").alias("model"), *COLUMNS[1:])
 
 
-def trees(panel: DataFrame, at: DataFrame, horizons: list[int], calibration: int = 26, least: int = 20, coverage: float = LEVEL) -> DataFrame:
-    """Boosted trees for each origin, all horizons in one ensemble; bounds are quantiles of relative errors.
+def relative_features(rows: DataFrame, names: list[str], base: str = "mean_13") -> DataFrame:
+    """``rows`` with the features that are counts divided by the mean of the last known periods, so that series of any size are alike."""
+    own = [n for n in names if n != base and n.startswith(("lag_", "season", "year_change", "mean_", "sd_"))]
+    return rows.withColumns({n: F.col(n) / (F.col(base) + 0.5) for n in own})
 
-    The errors are those of an ensemble that has not seen the last ``calibration`` periods; a series with under
-    ``least`` of them gets the quantiles of all.
-    """
+
+def _binned(panel: DataFrame, horizons: list[int], until: int) -> tuple[list[str], DataFrame, list[str], list[list[float]]]:
     rows = _supervised(panel, horizons)
     names = [c for c in rows.columns if c not in ("series_id", "level", "service", "t", "year", "week", "y", "horizon") and c not in panel.columns] + ["horizon"]
-    q = F.array(F.lit((1 - coverage) / 2), F.lit((1 + coverage) / 2))
-    out = None
-    for origin in _origins(at):
-        estimator = BoostedTrees(names)
-        train, target = rows.where(F.col("t") <= origin), rows.where(F.col("t") == F.lit(origin) + F.col("horizon"))
-        inner = train.where(F.col("t") <= origin - calibration)
-        held = BoostedTrees(names).fit_predict(inner, train.where(F.col("t") > origin - calibration))
-        errors = shared.kept(held.where("y_pred > 0").select("series_id", (F.col("y") / F.col("y_pred") - 1).alias("r")), "errors")
-        own = errors.groupBy("series_id").agg(F.percentile("r", q).alias("q"), F.count("*").alias("n"))
-        pooled = errors.agg(F.percentile("r", q).alias("p"))
-        got = estimator.fit_predict(train, target).join(own.hint("shuffle_hash"), "series_id", "left").crossJoin(F.broadcast(pooled))
-        best = F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("p"))
-        lo = F.greatest(F.col("y_pred") * (1 + best[0]), F.lit(0.0))
-        got = got.select(F.lit("trees").alias("model"), F.lit(origin).alias("origin"), "horizon", "series_id", "level", "service", "t", F.col("y").alias("y_real"), "y_pred", lo.alias("lo"), F.greatest(F.col("y_pred") * (1 + best[1]), lo).alias("hi"))
-        # a model lives on the driver and its plan is long: its predictions are written
-        got = shared.kept(got, "trees")
-        out = got if out is None else out.unionByName(got)
-    return out
+    return names, *boosting.binned(relative_features(rows, names), names, until, "mean_13")
+
+
+def first_splits(panel: DataFrame, at: DataFrame, horizons: list[int], calibration: int = 26) -> DataFrame:
+    """(origin, feature, cut, left, right): the root of the first tree of each origin, and the Newton step on its two sides."""
+    ends = _origins(at)
+    names, made, series, cuts = _binned(panel, horizons, min(ends) - calibration)
+    roots = boosting.Ensembles(ends, boosting.Settings(trees=1, depth=1, rate=1.0)).fit(made, len(series)).roots(names, cuts)
+    # a row per origin
+    return panel.sparkSession.createDataFrame(roots, "origin int, feature string, cut double, left double, right double")
+
+
+def trees(panel: DataFrame, at: DataFrame, horizons: list[int], calibration: int = 26, least: int = 20, coverage: float = LEVEL, settings: boosting.Settings | None = None) -> DataFrame:
+    """Boosted trees for each origin, all horizons in one ensemble; bounds are quantiles of relative errors.
+
+    The ensembles of all origins grow together. The errors are those of ensembles that have not seen the last
+    ``calibration`` periods before their origin; a series with under ``least`` of them gets the quantiles of all.
+    """
+    ends = _origins(at)
+    names, made, series, _ = _binned(panel, horizons, min(ends) - calibration)
+    grown = boosting.Ensembles([u for o in ends for u in (o, o - calibration)], settings).fit(made, len(series))
+    # a row per origin
+    table = F.broadcast(panel.sparkSession.createDataFrame([(o,) for o in ends], "origin int"))
+    past = made.where("y is not null").join(table, F.expr(f"t > origin - {calibration} and t <= origin")).withColumn("until", F.col("origin") - calibration)
+    errors = shared.kept(grown.predict(past).where("mu > 0").select("origin", "series_id", (F.col("y") / F.col("mu") - 1).alias("r")), "errors")
+    ahead = grown.predict(made.join(table, F.expr("t = origin + horizon")).withColumn("until", F.col("origin")))
+    q = [(1 - coverage) / 2, (1 + coverage) / 2]
+    own = errors.groupBy("origin", "series_id").agg(F.percentile("r", F.array(*map(F.lit, q))).alias("q"), F.count("*").alias("n"))
+    pooled = selection.quantiles(errors, ["origin"], "r", q).select("origin", F.col("quantiles").alias("p"))
+    got = ahead.join(own.hint("shuffle_hash"), ["origin", "series_id"], "left").join(F.broadcast(pooled), "origin")
+    best = F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("p"))
+    lo = F.greatest(F.col("mu") * (1 + best[0]), F.lit(0.0))
+    got = got.select(F.lit("trees").alias("model"), "origin", "horizon", "series_id", "level", "service", "t", F.col("y").alias("y_real"), F.col("mu").alias("y_pred"), lo.alias("lo"), F.greatest(F.col("mu") * (1 + best[1]), lo).alias("hi"))
+    # the model lives on the driver and its plan carries it: its predictions are written
+    return shared.kept(got, "trees")
 
 
 REGISTRY: dict[str, Callable[[DataFrame, DataFrame, list[int]], DataFrame]] = {"naive": naive, "drift": drift, "zero": zero, "poisson": poisson, "trees": trees}

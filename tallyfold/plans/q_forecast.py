@@ -159,11 +159,34 @@ def l9_count_quantiles(t: Tables) -> DataFrame:
 
 @section()
 def l10_boosted_trees(t: Tables) -> DataFrame:
-    """Fitted at the last origin, for every horizon and series, with quantiles of its relative errors."""
-    back = models.backtest(with_reporters(t), ["trees"], HORIZONS, n=1)
+    """Grown at all 13 origins, for every horizon and series, with quantiles of their relative errors."""
+    back = models.backtest(with_reporters(t), ["trees"], HORIZONS)
     return rounded(back, "y_pred", "lo", "hi", digits=3).select("origin", "horizon", "series_id", "y_real", "y_pred", "lo", "hi")
 
 
+_RELATIVE = ["lag_0", "lag_1", "lag_2", "lag_3", "season", "year_change", "mean_4", "sd_4", "sd_13"]
+_ROOT = f"""{PANEL}, {_REPORTERS}, x AS ({' UNION ALL '.join(map(_supervised, range(1, 9)))}), origins AS (SELECT CAST(m - 8 - 4 * i AS INTEGER) AS origin FROM (SELECT max(t) AS m FROM panel), generate_series(0, 12) g(i)),
+    full_ AS (SELECT * FROM x WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*_RELATIVE, 'mean_13', 'reporters_0', 'reporters_1'])}),
+    rel AS (SELECT series_id, t, y, mean_13 + 0.5::DOUBLE AS mu, {', '.join(f'{c} / (mean_13 + 0.5::DOUBLE) AS {c}' for c in _RELATIVE)}, mean_13, reporters_0::DOUBLE AS reporters_0, reporters_1::DOUBLE AS reporters_1, horizon::DOUBLE AS horizon FROM full_),
+    long AS (UNPIVOT rel ON {', '.join([*_RELATIVE, 'mean_13', 'reporters_0', 'reporters_1', 'horizon'])} INTO NAME feature VALUE v),
+    edges AS (SELECT feature, list_sort(list_distinct(quantile_disc(v, [{', '.join(f'{k / 32}' for k in range(1, 32))}]))) AS e FROM long WHERE t <= (SELECT min(origin) - 26 FROM origins) GROUP BY 1),
+    by_bin AS (SELECT feature, t, len(list_filter(e, lambda z: z < v)) AS place, sum(mu - y) AS g, sum(mu) AS h, count(*) AS n FROM long JOIN edges USING (feature) GROUP BY ALL),
+    by_series AS (SELECT origin, series_id, sum(mu - y) AS g, sum(mu) AS h, count(*) AS n FROM rel, origins WHERE t <= origin GROUP BY ALL),
+    cells AS (SELECT origin, feature, place, sum(g) AS g, sum(h) AS h, sum(n) AS n FROM by_bin, origins WHERE t <= origin GROUP BY ALL
+        UNION ALL SELECT origin, 'series', row_number() OVER (PARTITION BY origin ORDER BY g / (h + 1), series_id), g, h, n FROM by_series),
+    run AS (SELECT origin, feature, place, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl, sum(g) OVER (PARTITION BY origin, feature) AS g, sum(h) OVER (PARTITION BY origin, feature) AS h, sum(n) OVER (PARTITION BY origin, feature) AS n FROM cells WINDOW w AS (PARTITION BY origin, feature ORDER BY place)),
+    best AS (SELECT origin, arg_max(struct_pack(feature, place, gl, hl, g, h), gl ** 2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g ** 2 / (h + 1)) AS b FROM run WHERE nl >= 20 AND n - nl >= 20 GROUP BY 1)
+    SELECT origin, b.feature AS feature, round(CASE WHEN b.feature = 'series' THEN b.place ELSE (SELECT e[CAST(b.place AS INTEGER) + 1] FROM edges x WHERE x.feature = b.feature) END, 6) AS cut, round(-b.gl / (b.hl + 1), 6) AS left_value, round(-(b.g - b.gl) / (b.h - b.hl + 1), 6) AS right_value FROM best"""
+
+
+@section(f"WITH {_ROOT}")
+def l10_first_split(t: Tables) -> DataFrame:
+    """The first cut of the trees of each origin: the best of all features and bins, with the score equations' solution on its sides."""
+    p = with_reporters(t)
+    splits = models.first_splits(p, models.origins(p, 8, 13, 4), HORIZONS)
+    return splits.select("origin", "feature", F.round("cut", 6).alias("cut"), F.round("left", 6).alias("left_value"), F.round("right", 6).alias("right_value"))
+
+
 @section(f"WITH {HYBRID} SELECT origin, horizon, series_id, {VALUE_COLS} FROM hybrid")
 def l11_level_hybrid(t: Tables) -> DataFrame:
     return show(hybrid(t))
@@ -246,6 +269,15 @@ def l18_rolling_origin(t: Tables) -> DataFrame:
     return rounded(backtest(t), "y_pred").select("model", "origin", "horizon", "series_id", "t", "y_real", "y_pred")
 
 
+@section()
+def l18_model_comparison(t: Tables) -> DataFrame:
+    """MASE and coverage of 80 % intervals of naive and fitted models by level, over the same 13 origins and 8 horizons."""
+    p = with_reporters(t)
+    back = backtest(t).unionByName(models.backtest(p, ["poisson", "trees"], HORIZONS))
+    s = evaluate.by_series(back, scales(t), 0.8, ["model"])
+    return s.groupBy("model", "level").agg(F.sum("n").alias("n"), F.round(F.avg("mase"), 4).alias("mase"), F.round(F.avg("rmsse"), 4).alias("rmsse"), F.round(F.sum(F.col("covered") * F.col("n")) / F.sum("n"), 4).alias("coverage"))
+
+
 @section(f"""WITH {PANEL}, m AS (SELECT max(t) AS m FROM panel), res AS (SELECT a.series_id, a.t, a.y - b.y AS r FROM panel a JOIN panel b ON b.series_id = a.series_id AND b.t = a.t - 52), q AS (SELECT series_id, quantile_cont(r, 0.1) AS low, quantile_cont(r, 0.9) AS high FROM res GROUP BY 1)
     SELECT series_id, CAST(t + 52 AS INTEGER) AS t, CAST(t + 52 - m AS INTEGER) AS horizon, y::DOUBLE AS y_pred, round(greatest(y + low, 0), 6) AS lo, round(greatest(y + high, greatest(y + low, 0)), 6) AS hi FROM panel JOIN q USING (series_id), m WHERE t + 52 > m AND t + 52 <= m + 8""")
 def l19_forecast(t: Tables) -> DataFrame:
