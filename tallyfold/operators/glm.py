@@ -1,13 +1,16 @@
 """Many Poisson regressions at once: one for each origin and horizon, on the supervised rows of all series.
 
-Every round is one job: each task adds up the normal equations of all regressions over its rows, Spark adds up the
-tasks' sums, and the driver solves systems as small as the number of terms. What comes to the driver is regressions
-times terms squared, whatever the number of rows.
+A regression has an intercept, a coefficient for each feature and a term for each series. The terms of the series are
+eliminated where their rows are: given the coefficients, a series' best term solves an equation of one unknown, and what
+is left of the normal equations is the Schur complement of the (diagonal) block of the series. So every round is one
+job: tasks that hold whole series add up features squared numbers for each regression, Spark adds up the tasks' sums,
+and the driver solves systems as small as the number of features, however many series and rows there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -15,97 +18,167 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.operators import intervals
+from tallyfold.sources import shared
 
 Cell = tuple[int, int, int]
 LEAST_ROWS = 10
+#: Times that a step may be halved.
+_HALVINGS = 8
 
 
-def design(rows: DataFrame, names: list[str], until: int) -> tuple[DataFrame, list[str]]:
-    """``rows`` with ``x``, the features scaled by what rows up to period ``until`` show, and ``code``, the number of the series.
+class Fit(NamedTuple):
+    #: Intercept and features of each cell.
+    beta: dict[Cell, np.ndarray]
+    #: (series_id, horizon, until, term): a row for each series of each regression.
+    terms: DataFrame
 
-    One row per series comes to the driver; a regression has a term for each.
-    """
+
+def design(rows: DataFrame, names: list[str], until: int) -> DataFrame:
+    """``rows`` with ``x``, the features scaled by what rows up to period ``until`` show."""
     known = rows.where(F.col("t") <= until)
     facts = known.agg(*(F.avg(n).alias(f"m_{n}") for n in names), *(F.stddev_pop(n).alias(f"s_{n}") for n in names)).first()
     scaled = [(F.col(n) - F.lit(float(facts[f"m_{n}"] or 0.0))) / F.lit(float(facts[f"s_{n}"] or 0.0) or 1.0) for n in names]
-    series = sorted(r[0] for r in known.select("series_id").distinct().collect())
-    code = F.array_position(F.array(*map(F.lit, series)), F.col("series_id")) - 1
-    return rows.withColumns({"x": F.array(*(c.cast("double") for c in scaled)), "code": code.cast("int")}).where("code >= 0"), series
-
-
-def _matrix(x, code, n_series: int) -> np.ndarray:
-    out = np.zeros((len(code), 1 + len(x[0]) + n_series))
-    out[:, 0] = 1
-    out[:, 1 : 1 + len(x[0])] = np.stack(x)
-    out[np.arange(len(code)), 1 + len(x[0]) + code] = 1
-    return out
+    return rows.withColumn("x", F.array(*(c.cast("double") for c in scaled)))
 
 
-def fit(rows: DataFrame, cells: list[Cell], n_series: int, ridge: float = 1e-4, rounds: int = 12, tolerance: float = 1e-6) -> dict[Cell, np.ndarray]:
-    """Coefficients of each cell (origin, horizon, last period of its training rows): intercept, features, series.
-
-    Penalised likelihood by reweighted least squares; the penalty is ``ridge`` a row and spares the intercept.
+def series_term(total: np.ndarray, expected: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """The best term of a series: the root of total - exp(term) * expected - penalty * term, by Newton's steps."""
+    expected, term = np.maximum(expected, 1e-300), np.log((total + 0.5) / np.maximum(expected, 1e-300))
+    for _ in range(60):
+        mean = np.exp(np.clip(term, -700, 700)) * expected
+        step = (total - mean - penalty * term) / (mean + penalty)
+        term = term + np.clip(step, -4, 4)
+        if np.abs(step).max(initial=0) < 1e-13:
+            break
+    return term
+
+
+def _series(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(series, horizon, t, x, y), by t, from batches that are sorted by series, horizon and t."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        held.append(batch)
+        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else batch
+        *full, last = list(rows.groupby(["series_id", "horizon"], sort=False))
+        held = [last[1]]
+        for (name, horizon), part in full:
+            yield name, int(horizon), part["t"].to_numpy(), np.stack(part["x"]), part["y"].to_numpy(np.float64)
+    for part in held:
+        yield part["series_id"].iloc[0], int(part["horizon"].iloc[0]), part["t"].to_numpy(), np.stack(part["x"]), part["y"].to_numpy(np.float64)
+
+
+class _Regressions(NamedTuple):
+    """What a pass over the rows needs."""
+
+    cells: list[Cell]
+    beta: np.ndarray
+    #: Of each cell: its number of rows, times ``ridge``.
+    penalty: np.ndarray
+
+    def passes(self, batches: Iterator[pd.DataFrame]):
+        """(series, cell numbers, ends of their rows, terms, x with intercept, y, exp(x beta) by cell) of each series and horizon."""
+        by_horizon: dict[int, list[int]] = {}
+        for number, cell in enumerate(self.cells):
+            by_horizon.setdefault(cell[1], []).append(number)
+        for name, horizon, t, x, y in _series(batches):
+            numbers = np.array(by_horizon.get(horizon, []), np.int64)
+            ends = np.searchsorted(t, [self.cells[k][2] for k in numbers], "right")
+            numbers, ends = numbers[ends > 0], ends[ends > 0]
+            if not len(numbers):
+                continue
+            full = np.concatenate([np.ones((len(y), 1)), x], 1)
+            mean = np.exp(np.clip(full @ self.beta[numbers].T, -60, 60))
+            run, total = np.cumsum(mean, 0), np.cumsum(y)
+            terms = series_term(total[ends - 1], run[ends - 1, np.arange(len(numbers))], self.penalty[numbers])
+            yield name, numbers, ends, terms, full, y, mean
+
+    def sums(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(cell, sums): log-likelihood, gradient and Schur complement by cell."""
+        held: dict[int, np.ndarray] = {}
+        for _, numbers, ends, terms, full, y, mean in self.passes(batches):
+            for place, (number, n, term) in enumerate(zip(numbers.tolist(), ends.tolist(), terms.tolist())):
+                a, mu, r = full[:n], np.exp(term) * mean[:n, place], self.penalty[number]
+                weighted = a * mu[:, None]
+                b = weighted.sum(0)
+                left = a.T @ weighted - np.outer(b, b) / (mu.sum() + r)
+                like = (y[:n] * (np.log(mean[:n, place]) + term) - mu).sum() - r / 2 * term**2
+                got = np.concatenate([[like], a.T @ (y[:n] - mu), left.ravel()])
+                held[number] = held[number] + got if number in held else got
+        yield pd.DataFrame([(k, v.tobytes()) for k, v in held.items()], columns=["cell", "sums"])
+
+    def terms(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for name, numbers, _, terms, *_ in self.passes(batches):
+            of = [self.cells[k] for k in numbers]
+            yield pd.DataFrame({"series_id": name, "horizon": [c[1] for c in of], "until": [c[2] for c in of], "term": terms})
+
+
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for cell, sums in zip(batch["cell"], batch["sums"]):
+            got = np.frombuffer(bytes(sums))
+            held[cell] = held[cell] + got if cell in held else got
+    yield pd.DataFrame([(k, v.tobytes()) for k, v in held.items()], columns=["cell", "sums"])
+
+
+def fit(rows: DataFrame, cells: list[Cell], ridge: float = 1e-4, rounds: int = 25, tolerance: float = 1e-9) -> Fit:
+    """Coefficients of each cell (origin, horizon, last period of its training rows), and the terms of its series.
+
+    Penalised likelihood by Newton's steps, halved where they do not better it; the penalty is ``ridge`` a row and
+    spares the intercept. What comes to the driver in a round is regressions times features squared.
     """
-    data = rows.where("y is not null").select("horizon", "t", "code", "x", F.col("y").cast("double").alias("y"))
-    beta: dict[Cell, np.ndarray] = {}
-    by_horizon: dict[int, list[int]] = {}
-    for number, cell in enumerate(cells):
-        by_horizon.setdefault(cell[1], []).append(number)
+    data = rows.where("y is not null").select("series_id", "horizon", "t", "x", F.col("y").cast("double").alias("y"))
+    # whole series to each task; a row for each horizon and period comes to the driver
+    whole = data.repartition("series_id").sortWithinPartitions("series_id", "horizon", "t")
+    found = data.groupBy("horizon", "t").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p")).toPandas()
+    n = np.array([found.loc[(found["horizon"] == h) & (found["t"] <= u), "n"].sum() for _, h, u in cells], float)
+    p = 1 + int(found["p"].max()) if len(found) else 1
+    spared = np.concatenate([[0.0], np.ones(p - 1)])
+    beta, before, best = np.zeros((len(cells), p)), np.zeros((len(cells), p)), np.full(len(cells), -np.inf)
+    step, halved, done = np.zeros((len(cells), p)), np.zeros(len(cells), int), n == 0
     for _ in range(rounds):
-        now = dict(beta)
-
-        def sums(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            held: dict[int, np.ndarray] = {}
-            for batch in batches:
-                horizon, t, y = batch["horizon"].to_numpy(), batch["t"].to_numpy(), batch["y"].to_numpy()
-                if not len(y):
-                    continue
-                full = _matrix(batch["x"].to_list(), batch["code"].to_numpy(), n_series)
-                for h, numbers in by_horizon.items():
-                    of = np.flatnonzero(horizon == h)
-                    of = of[np.argsort(t[of], kind="stable")]
-                    x_h, y_h, t_h = full[of], y[of], t[of]
-                    for number in numbers:
-                        n = int(np.searchsorted(t_h, cells[number][2], "right"))
-                        if not n:
-                            continue
-                        a, b = x_h[:n], y_h[:n]
-                        mu = np.exp(np.clip(a @ now[cells[number]], -30, 30)) if cells[number] in now else b + 0.5
-                        z = np.log(mu) + (b - mu) / mu
-                        got = np.concatenate([[n], (a.T @ (mu * z)), (a.T @ (a * mu[:, None])).ravel()])
-                        held[number] = held[number] + got if number in held else got
-            for number, got in held.items():
-                yield pd.DataFrame({"cell": number, "at": np.arange(len(got)), "value": got})
-
-        got = data.mapInPandas(sums, "cell int, at int, value double").groupBy("cell", "at").agg(F.sum("value").alias("value")).toPandas().sort_values(["cell", "at"])
-        moved = 0.0
-        for number, part in got.groupby("cell"):
-            values = part["value"].to_numpy()
-            n, p = values[0], int((np.sqrt(4 * len(values) - 3) - 1) / 2)
-            penalty = np.full(p, ridge * n)
-            penalty[0] = 0
-            new = np.linalg.solve(values[1 + p :].reshape(p, p) + np.diag(penalty + 1e-12), values[1 : 1 + p])
-            moved = max(moved, float(np.abs(new - beta.get(cells[number], np.inf)).max()))
-            beta[cells[number]] = new
-        if moved < tolerance:
+        live = np.flatnonzero(~done)
+        if not len(live):
             break
-    return beta
+        now = _Regressions([cells[k] for k in live], beta[live], ridge * n[live])
+        parts = whole.mapInPandas(now.sums, "cell int, sums binary").repartition("cell").mapInPandas(_added, "cell int, sums binary")
+        for k, sums in parts.toPandas().itertuples(index=False):
+            at, got = live[k], np.frombuffer(bytes(sums))
+            penalty = ridge * n[at] * spared
+            like = got[0] - (penalty * beta[at] ** 2).sum() / 2
+            if like < best[at] - 1e-9 * abs(best[at]) and halved[at] < _HALVINGS:
+                step[at], halved[at] = step[at] / 2, halved[at] + 1
+                beta[at] = before[at] + step[at]
+                continue
+            best[at], before[at], halved[at] = like, beta[at].copy(), 0
+            step[at] = np.linalg.solve(got[1 + p :].reshape(p, p) + np.diag(penalty + 1e-12), got[1 : 1 + p] - penalty * beta[at])
+            beta[at] = beta[at] + step[at]
+            done[at] = np.abs(step[at]).max() < tolerance
+    use = [k for k in range(len(cells)) if n[k]]
+    last = _Regressions([cells[k] for k in use], beta[use], ridge * n[use])
+    return Fit({cells[k]: beta[k] for k in use}, whole.mapInPandas(last.terms, "series_id string, horizon int, until int, term double"))
 
 
 def _mean(width: int) -> Column:
-    """exp of intercept, features and series of column ``beta``."""
+    """exp of intercept and features of column ``beta``, and of the series' ``term``."""
     products = F.zip_with("x", F.slice("beta", 2, width), lambda a, b: a * b)
-    eta = F.col("beta")[0] + F.aggregate(products, F.lit(0.0), lambda s, v: s + v) + F.element_at("beta", F.col("code") + (width + 2))
-    return F.exp(F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0)))
+    eta = F.col("beta")[0] + F.aggregate(products, F.lit(0.0), lambda s, v: s + v) + F.coalesce("term", F.lit(0.0))
+    return F.exp(F.least(F.greatest(eta, F.lit(-60.0)), F.lit(60.0)))
 
 
-def predict(rows: DataFrame, beta: dict[Cell, np.ndarray], names: list[str], first: int, last: int) -> DataFrame:
-    """``rows`` with ``origin`` and ``mu`` for each cell: its horizon's rows from period ``first`` to ``last`` after the end of its training."""
+def predict(rows: DataFrame, fitted: Fit, cells: list[Cell], names: list[str], first: int, last: int) -> DataFrame:
+    """``rows`` with ``origin`` and ``mu`` for each cell: its horizon's rows from period ``first`` to ``last`` after the end of its training.
+
+    A series without training rows has no term of its own.
+    """
     schema = "origin int, horizon int, until int, beta array<double>"
-    table = rows.sparkSession.createDataFrame([(int(o), int(h), int(u), [float(v) for v in b]) for (o, h, u), b in beta.items()], schema)
+    table = rows.sparkSession.createDataFrame([(int(o), int(h), int(u), fitted.beta[o, h, u].tolist()) for o, h, u in cells if (o, h, u) in fitted.beta], schema)
     # one row per regression
     at = rows.join(F.broadcast(table), "horizon").where((F.col("t") >= F.col("until") + first) & (F.col("t") <= F.col("until") + last))
-    return at.withColumn("mu", _mean(len(names))).drop("beta", "until")
+    at = at.join(fitted.terms.hint("shuffle_hash"), ["series_id", "horizon", "until"], "left")
+    return at.withColumn("mu", _mean(len(names))).drop("beta", "until", "term")
 
 
 def forecasts(rows: DataFrame, names: list[str], origins: list[int], horizons: list[int], calibration: int = 26, coverage: float = 0.8, ridge: float = 1e-4) -> DataFrame:
@@ -114,11 +187,12 @@ def forecasts(rows: DataFrame, names: list[str], origins: list[int], horizons: l
     The dispersion of a series is that of predictions of the last ``calibration`` periods by a regression that has not
     seen them; a series with under ``LEAST_ROWS`` of them gets that of all. Bounds are quantiles of counts.
     """
-    rows, series = design(rows, names, min(origins) - calibration)
+    rows = design(rows, names, min(origins) - calibration)
     full = [(o, h, o) for o in origins for h in horizons]
     inner = [(o, h, o - calibration) for o in origins for h in horizons]
-    beta = fit(rows, full + inner, len(series), ridge)
-    past = predict(rows.where("y is not null"), {c: beta[c] for c in inner if c in beta}, names, 1, calibration)
+    fitted = fit(rows, full + inner, ridge)
+    fitted = fitted._replace(terms=shared.kept(fitted.terms, "series-terms"))
+    past = predict(rows.where("y is not null"), fitted, inner, names, 1, calibration)
     x = F.pow(F.col("y") - F.col("mu"), 2) / F.col("mu")
     own = past.groupBy("origin", "horizon", "series_id").agg(F.avg(x).alias("own"), F.count("*").alias("n"))
     pooled = past.groupBy("origin", "horizon").agg(F.avg(x).alias("pooled"))
@@ -126,10 +200,8 @@ def forecasts(rows: DataFrame, names: list[str], origins: list[int], horizons: l
     phi = own.join(F.broadcast(pooled), ["origin", "horizon"]).select("origin", "horizon", "series_id", F.greatest(F.when(F.col("n") >= LEAST_ROWS, F.col("own")).otherwise(F.col("pooled")), F.lit(1.0)).alias("phi"))
     ahead = None
     for h in horizons:
-        part = predict(rows.where(F.col("horizon") == h), {c: beta[c] for c in full if c in beta and c[1] == h}, names, h, h)
+        part = predict(rows.where(F.col("horizon") == h), fitted, [c for c in full if c[1] == h], names, h, h)
         ahead = part if ahead is None else ahead.unionByName(part)
     out = ahead.join(phi.hint("shuffle_hash"), ["origin", "horizon", "series_id"], "left").withColumn("phi", F.coalesce("phi", F.lit(1.0)))
-    out = out.withColumn("key", F.concat_ws("|", "origin", "horizon", "series_id"))
-    bounds = intervals.count_quantiles(out, "key", "mu", "phi", coverage)
-    out = out.join(bounds.hint("shuffle_hash"), "key", "left")
-    return out.select("origin", "horizon", "series_id", "level", "service", "t", F.col("y").alias("y_real"), F.col("mu").alias("y_pred"), F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), "phi")
+    out = out.withColumn("range", intervals.count_interval(F.col("mu"), F.col("phi"), coverage))
+    return out.select("origin", "horizon", "series_id", "level", "service", "t", F.col("y").alias("y_real"), F.col("mu").alias("y_pred"), F.col("range.lo").cast("double").alias("lo"), F.col("range.hi").cast("double").alias("hi"), "phi")

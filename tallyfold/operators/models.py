@@ -166,9 +166,9 @@ def sparse_hierarchy(rows: DataFrame, people: DataFrame, origin: int, horizons:
     terms = F.when(F.col("level") == "total", F.lit(2 * harmonics + 1)).otherwise(F.count_distinct("series_id"))
     phi = past.groupBy("level").agg((spread / F.greatest(F.sum(weight) - terms, F.lit(1.0))).alias("phi")).select("level", F.greatest("phi", F.lit(1.0)).alias("phi"))
     # two rows
-    ahead = full.where((F.col("t") - origin).isin(horizons)).join(F.broadcast(phi), "level").withColumn("key", F.concat_ws("|", "t", "series_id"))
-    out = ahead.join(intervals.count_quantiles(ahead, "key", "mu", "phi", coverage).hint("shuffle_hash"), "key")
-    return out.select(F.lit(origin).alias("origin"), (F.col("t") - origin).alias("horizon"), "series_id", "level", "t", F.col("y").alias("y_real"), F.col("mu").alias("y_pred"), "share", "lo", "hi", "covered")
+    ahead = full.where((F.col("t") - origin).isin(horizons)).join(F.broadcast(phi), "level")
+    out = ahead.withColumn("range", intervals.count_interval(F.col("mu"), F.col("phi"), coverage))
+    return out.select(F.lit(origin).alias("origin"), (F.col("t") - origin).alias("horizon"), "series_id", "level", "t", F.col("y").alias("y_real"), F.col("mu").alias("y_pred"), "share", "range.lo", "range.hi", "range.covered")
 
 
 def gamma_shape(counts: DataFrame, n: str = "n", expected: str = "expected") -> DataFrame:

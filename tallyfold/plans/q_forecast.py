@@ -154,7 +154,7 @@ _MU = "mu AS (SELECT c_nationkey AS area, count(*) / 84.0::DOUBLE AS m, CASE WHE
 def l9_count_quantiles(t: Tables) -> DataFrame:
     mu = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("area")).agg((F.count("*") / 84.0).alias("mu"))
     mu = mu.withColumn("phi", F.when(F.col("area") % 2 == 0, 1.0).otherwise(1.5))
-    return rounded(intervals.count_quantiles(mu, "area", "mu", "phi", 0.8), "covered")
+    return rounded(intervals.count_quantiles(mu, "area", "mu", "phi", 0.8), "covered").withColumns({c: F.col(c).cast("int") for c in ("lo", "hi")})
 
 
 @section()

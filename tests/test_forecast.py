@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfold.operators import glm, intervals, models, panels
+from tallyfold.operators import boosting, glm, intervals, models, panels
 from tallyfold.sources import publish
 from tallyfold.streaming import refresh
 
@@ -36,15 +36,85 @@ def by_hand(x, y, ridge):
 def test_regressions_of_all_origins_equal_fits_by_hand(panel):
     rows = panels.supervised(panel, [1, 3], covariates=("reporters",))
     names = panels.feature_names(covariates=("reporters",))
-    made, series = glm.design(rows, names, 100)
+    made = glm.design(rows, names, 100)
     cells = [(150, 1, 150), (150, 3, 150), (160, 3, 160), (150, 1, 124)]
-    beta = glm.fit(made, cells, len(series))
-    data = made.select("horizon", "t", "y", "x", "code").toPandas()
+    fitted = glm.fit(made, cells)
+    data, terms = made.select("series_id", "horizon", "t", "y", "x").toPandas(), fitted.terms.toPandas()
+    series = sorted(set(data["series_id"]))
     for origin, horizon, until in cells:
         part = data[(data["horizon"] == horizon) & (data["t"] <= until)]
-        x = glm._matrix(part["x"].to_list(), part["code"].to_numpy(), len(series))
-        want = by_hand(x, part["y"].to_numpy(float), 1e-4)
-        assert np.allclose(x @ beta[origin, horizon, until], x @ want, atol=1e-5)
+        x = np.column_stack([np.ones(len(part)), np.stack(part["x"]), *((part["series_id"] == s).to_numpy(float) for s in series)])
+        own = terms[(terms["horizon"] == horizon) & (terms["until"] == until)].set_index("series_id")["term"]
+        got = np.concatenate([fitted.beta[origin, horizon, until], own[series]])
+        assert np.allclose(got, by_hand(x, part["y"].to_numpy(float), 1e-4), atol=1e-8)
+
+
+def test_regression_of_many_series(spark):
+    """The driver gets features squared numbers, not series squared: 20,000 series would need 3 GB a regression."""
+    n = 20_000
+    rows = spark.range(n * 6).select(F.format_string("s%05d", F.col("id") % n).alias("series_id"), F.lit(1).alias("horizon"), (F.col("id") / n).cast("int").alias("t"), F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("x"), (F.col("id") % n % 7).alias("k"))
+    rows = rows.withColumn("y", F.round(5 * F.exp(F.col("x")[0] * 0.3 - F.col("x")[1] * 0.2 + F.col("k") / 5)).cast("long"))
+    fitted = glm.fit(rows, [(5, 1, 5)], ridge=1e-8)
+    beta = fitted.beta[5, 1, 5]
+    assert len(beta) == 3 and abs(beta[1] - 0.3) < 0.01 and abs(beta[2] + 0.2) < 0.01
+    assert fitted.terms.count() == n
+    got = glm.predict(rows, fitted, [(5, 1, 5)], ["a", "b"], -5, 0).agg(F.sum("y").alias("y"), F.sum("mu").alias("mu")).first()
+    assert abs(got.mu / got.y - 1) < 1e-4
+
+
+def test_steps_are_halved_where_they_go_too_far(spark):
+    rows = [("a", 1, t, [10.0 * (t % 5)], int(2 ** (3 * (t % 5)))) for t in range(40)] + [("b", 1, t, [0.0], 0) for t in range(40)]
+    fitted = glm.fit(spark.createDataFrame(rows, "series_id string, horizon int, t int, x array<double>, y long"), [(39, 1, 39)], ridge=1e-6)
+    assert abs(fitted.beta[39, 1, 39][1] - 3 * np.log(2) / 10) < 1e-3 and all(np.isfinite(r.term) for r in fitted.terms.collect())
+
+
+def brute_tree(rows, until, settings, names, cuts):
+    """The trees of one training set, from the definition."""
+    use = rows[(rows["t"] <= until) & rows["y"].notna()]
+    bins = np.stack([np.searchsorted(c, use[n], "left") for n, c in zip(names, cuts)], 1)
+    score, y, code = use["base"].to_numpy(), use["y"].to_numpy(float), use["code"].to_numpy()
+    for _ in range(settings.trees):
+        mu = np.exp(score)
+        groups = [np.arange(len(y))]
+        for _ in range(settings.depth):
+            split = []
+            for g in groups:
+                best, side = 1e-9, None
+                G, H = (mu - y)[g].sum(), mu[g].sum()
+                for f in range(len(names) + 1):
+                    value = bins[g, f] if f < len(names) else code[g]
+                    found = sorted(set(value))
+                    if f == len(names):
+                        found.sort(key=lambda v: ((mu - y)[g][value == v].sum() / (mu[g][value == v].sum() + boosting.RIDGE), v))
+                    for k in range(1, len(found)):
+                        left = np.isin(value, found[:k])
+                        if left.sum() < boosting.LEAST_ROWS or (~left).sum() < boosting.LEAST_ROWS:
+                            continue
+                        gl, hl = (mu - y)[g][left].sum(), mu[g][left].sum()
+                        gain = gl**2 / (hl + boosting.RIDGE) + (G - gl) ** 2 / (H - hl + boosting.RIDGE) - G**2 / (H + boosting.RIDGE)
+                        if gain > best + 1e-7:
+                            best, side = gain, left
+                split += [g] if side is None else [g[side], g[~side]]
+            groups = split
+        for g in groups:
+            score[g] -= settings.rate * (mu - y)[g].sum() / (mu[g].sum() + boosting.RIDGE)
+    return use.assign(mu=np.exp(score))
+
+
+def test_trees_of_all_origins_equal_trees_by_hand(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"s{k}", t, float(a := rng.normal()), float(rng.integers(0, 4)), int(rng.poisson(6 * np.exp(0.5 * (a > 0.3) + 0.4 * (k % 3)))), 6.0) for k in range(7) for t in range(60)]
+    df = spark.createDataFrame(rows, "series_id string, t int, a double, b double, y long, level0 double")
+    made, series, cuts = boosting.binned(df, ["a", "b"], 40, "level0")
+    settings = boosting.Settings(trees=5, depth=2, rate=0.5, keep=2)
+    grown = boosting.Ensembles([40, 55], settings).fit(made, len(series))
+    data = made.toPandas()
+    for until in (40, 55):
+        want = brute_tree(data, until, settings, ["a", "b"], cuts)
+        got = grown.predict(made.where(F.col("t") <= until).withColumn("until", F.lit(until))).select("series_id", "t", "mu").toPandas()
+        both = want.merge(got, on=["series_id", "t"])
+        assert len(both) == len(want) and np.allclose(both["mu_x"], both["mu_y"])
+    assert {f for _, f, *_ in grown.roots(["a", "b"], cuts)} <= {"a", "b", "series"}
 
 
 def test_backtest_and_forecast_with_fitted_models(panel):
@@ -72,11 +142,32 @@ def test_sparse_hierarchy(spark, panel):
 
 
 def test_quantiles_of_large_counts(spark):
-    df = spark.createDataFrame([("a", 0.4, 1.0), ("b", 30_000.0, 1.0), ("c", 30_000.0, 3.0), ("d", 0.0, 2.0)], "k string, mu double, phi double")
+    df = spark.createDataFrame([("a", 0.4, 1.0), ("b", 30_000.0, 1.0), ("c", 30_000.0, 3.0), ("d", 0.0, 2.0), ("e", 1e8, 1.0), ("f", None, 1.0)], "k string, mu double, phi double")
     got = {r.k: r for r in intervals.count_quantiles(df, "k", "mu", "phi", 0.8).collect()}
-    assert (got["a"].lo, got["a"].hi) == (0, 1) and (got["d"].lo, got["d"].hi) == (0, 0)
+    assert (got["a"].lo, got["a"].hi) == (0, 1) and (got["d"].lo, got["d"].hi) == (0, 0) and got["f"].lo is None
     for k, phi in (("b", 1), ("c", 3)):
         assert abs(got[k].hi - (30_000 + 1.2816 * np.sqrt(30_000 * phi))) < 3 and 0.8 <= got[k].covered < 0.81
+    assert abs(got["e"].hi - (1e8 + 1.2815516 * 1e4)) < 2
+    plan = intervals.count_quantiles(df, "k", "mu", "phi", 0.8)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("phi", [1.0, 1.3, 2.5, 30.0])
+def test_count_quantiles_equal_sums_of_probabilities(phi):
+    rng = np.random.default_rng(2)
+    for m in [0.01, 0.3, *np.exp(rng.uniform(0, 8, 12))]:
+        k = np.arange(int(m + 14 * np.sqrt(phi * m) + 40 * phi) + 2, dtype=float)
+        if phi == 1:
+            steps = np.log(m / np.maximum(k, 1))
+            first = -m
+        else:
+            size = m / (phi - 1)
+            steps, first = np.log((size + k - 1) / np.maximum(k, 1) * (1 - 1 / phi), where=k > 0, out=np.zeros(len(k))), size * np.log(1 / phi)
+        steps[0] = first
+        cdf = np.cumsum(np.exp(np.cumsum(steps)))
+        assert np.allclose(intervals.count_cdf(k, np.full(len(k), m), np.full(len(k), phi)), cdf, atol=1e-9)
+        for share in (0.1, 0.5, 0.975):
+            assert intervals._least(share, np.array([m]), np.array([phi]))[0] == np.searchsorted(cdf, share)
 
 
 def test_tables_are_published_together_or_not_at_all(spark, tmp_path):
