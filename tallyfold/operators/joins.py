@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyfold.sources import shared
-
-EARTH_KM = 6371.0088
-
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join that must be many to one: a right key that occurs twice stops the job when it is met."""
@@ -106,47 +100,6 @@ def place_status(declared: Column, area: Column, n_inside: Column, n_border: Col
     return F.when(x.isNull(), "no_coordinates").when((n_border > 0) | (n_inside > 1), "ambiguous").when(n_inside == 0, "outside").when(area == declared, "match").otherwise("differs")
 
 
-def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
-
-
-def nearest(points: DataFrame, targets: DataFrame, point: str, target: str, degrees: float = 1.0, rings: int = 2) -> DataFrame:
-    """(point, target, km): the closest target of each point; ties go to the smaller target.
-
-    Points meet the targets of their grid cell and of ``rings`` cells around it by an equi-join. A point is settled when
-    its best distance is under what the searched cells are sure to cover; the others go on to cells four times as
-    wide, round by round, until a search covers the globe. Longitudes wrap around. Points without coordinates have
-    no nearest target.
-    """
-    own = targets.where("lon is not null and lat is not null").select(target, F.col("lon").alias("tlon"), F.col("lat").alias("tlat"))
-    rest, found = points.where("lon is not null and lat is not null").select(point, "lon", "lat"), None
-    steps = F.sequence(F.lit(-rings), F.lit(rings))
-    km = haversine_km(F.col("lon"), F.col("lat"), F.col("tlon"), F.col("tlat"))
-    best = F.min(F.struct(km.alias("km"), F.col(target).alias(target)))
-    finest = max(2, math.ceil(math.log2(360 / degrees)))
-    for k in [*range(finest, 2, -2), 2]:
-        n = 1 << k
-        size = 360 / n
-        cx = lambda lon, n=n, size=size: F.pmod(F.floor((lon + 180) / size), F.lit(n))
-        cy = lambda lat, size=size: F.floor((lat + 90) / size)
-        at = own.withColumns({"cx": cx(F.col("tlon")), "cy": cy(F.col("tlat"))})
-        around = F.array_distinct(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct(F.pmod(cx(F.col("lon")) + i, F.lit(n)).alias("cx"), (cy(F.col("lat")) + j).alias("cy"))))))  # noqa: B023
-        spread = rest.select(point, "lon", "lat", F.explode(around).alias("c")).select(point, "lon", "lat", "c.*")
-        near = spread.join(at.hint("merge"), ["cx", "cy"]).groupBy(point, "lon", "lat").agg(best.alias("b"))
-        # a degree of longitude is shortest at the outer end of the searched band
-        sure = F.lit(rings * size) * F.lit(EARTH_KM * math.pi / 180) * F.cos(F.radians(F.least(F.abs("lat") + (rings + 1) * size, F.lit(89.9)))) * 0.99
-        if k > 2:
-            near = near.where(F.col("b.km") <= sure)
-        settled = shared.kept(near.select(point, "b.km", f"b.{target}"), "nearest")
-        found = settled if found is None else found.unionByName(settled)
-        if k > 2:
-            rest = shared.kept(rest.join(settled.select(point).hint("merge"), point, "left_anti"), "nearest-rest")
-            if rest.isEmpty():
-                break
-    return found.select(point, target, "km")
-
-
 def overlapping(events: DataFrame, first: Column, last: Column, start: str = "from_day", end: str = "to_day") -> DataFrame:
     """Events that touch the range."""
     return events.where((F.col(start) <= last) & (F.col(end) >= first))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions import calendar, cleaning
-from tallyfold.operators import aggregates, checks, joins, windows
+from tallyfold.operators import aggregates, checks, joins, quadtree, windows
 from tallyfold.plans import q_joins
 from tallyfold.plans.q_expressions import monthly, stays
 from tallyfold.plans.testbed import Tables, visits, weekly_visits
@@ -140,7 +140,7 @@ def resolution_list(t: Tables) -> DataFrame:
 def proximity(t: Tables) -> DataFrame:
     """(area, people, median_km, p90_km, within_50): distances weighted by people, by area of 10 degrees of longitude."""
     people, all_of = q_joins.facilities(t)
-    near = joins.nearest(people, all_of.withColumnRenamed("vec_id", "facility"), "vec_id", "facility", degrees=0.5)
+    near = quadtree.nearest(people, all_of.withColumnRenamed("vec_id", "facility"), "vec_id", "facility")
     rows = people.join(near, "vec_id").select((F.col("vec_id") % 7).alias("area"), F.round("km", 6).alias("km"), "people")
     q = aggregates.weighted_quantile(rows, "area", "km", "people", [0.5, 0.9])
     share = rows.groupBy("area").agg(F.sum("people").alias("people"), (F.sum(F.when(F.col("km") <= 50, F.col("people")).otherwise(0)) / F.sum("people")).alias("within_50"))

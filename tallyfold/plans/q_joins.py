@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions import calendar
-from tallyfold.operators import joins, panels, sets, windows
+from tallyfold.operators import joins, panels, quadtree, sets, windows
 from tallyfold.plans.q_expressions import HOLIDAYS, _years
 from tallyfold.plans.testbed import CALENDAR, PANEL, VISITS, WEEKLY, Section, Tables, calendar_table, panel, visits, weekly_visits
 
@@ -121,8 +121,8 @@ PLACES = """places AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) * 10, 3
 def c10_nearest(t: Tables) -> DataFrame:
     people, all_of = facilities(t)
     named = all_of.withColumnRenamed("vec_id", "facility")
-    full = joins.nearest(people, named, "vec_id", "facility", degrees=0.5)
-    subset = joins.nearest(people, named.where("facility % 10 = 0"), "vec_id", "facility", degrees=0.5).select("vec_id", F.col("km").alias("km_subset"))
+    full = quadtree.nearest(people, named, "vec_id", "facility")
+    subset = quadtree.nearest(people, named.where("facility % 10 = 0"), "vec_id", "facility").select("vec_id", F.col("km").alias("km_subset"))
     return full.join(subset, "vec_id").select("vec_id", "facility", F.round("km", 6).alias("km"), F.round("km_subset", 6).alias("km_subset"))
 
 
