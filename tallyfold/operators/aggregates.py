@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyfold.operators import ranks
 from tallyfold.sources.readers import row_hash
 
 
@@ -52,8 +53,10 @@ def ranked_shares(df: DataFrame, key: str, year: str, value: str) -> DataFrame:
     """(key, by_year, total, share, rank), from sums that are taken before the ranking; ``by_year`` lists (year, value)."""
     by_year = df.groupBy(key, year).agg(F.sum(value).alias(value))
     sums = by_year.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(year, value))).alias("by_year"), F.sum(value).alias("total"))
-    every = W.partitionBy()
-    return sums.withColumns({"share": F.try_divide("total", F.sum("total").over(every)), "rank": F.row_number().over(W.orderBy(F.desc("total"), key))})
+    placed = ranks.running(sums, [F.desc("total"), F.col(key)], rank="rank")
+    # one row
+    every = placed.agg(F.sum("total").alias("__all"))
+    return placed.crossJoin(F.broadcast(every)).select(key, "by_year", "total", F.try_divide("total", "__all").alias("share"), "rank")
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,10 +78,11 @@ def extra_copies(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def cumulative_share(totals: DataFrame, key: str, value: str, cut: float) -> DataFrame:
     """(key, share, running, within): shares from the largest down, and whether they are needed to reach the cut."""
-    share = F.try_divide(value, F.sum(value).over(W.partitionBy()))
-    shares = totals.withColumn("share", share)
-    run = F.sum("share").over(W.orderBy(F.desc("share"), key).rowsBetween(W.unboundedPreceding, 0))
-    return shares.withColumn("running", run).withColumn("within", F.col("running") - F.col("share") < cut).select(key, "share", "running", "within")
+    placed = ranks.running(totals.select(key, value), [F.desc_nulls_last(value), F.col(key)], {"__run": F.col(value)})
+    # one row
+    every = placed.agg(F.sum(value).alias("__all"))
+    shares = placed.crossJoin(F.broadcast(every)).select(key, F.try_divide(value, "__all").alias("share"), F.try_divide("__run", "__all").alias("running"))
+    return shares.withColumn("within", F.col("running") - F.col("share") < cut).select(key, "share", "running", "within")
 
 
 def sum_over_sum(numerator: str, denominator: str) -> Column:

@@ -7,33 +7,38 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyfold.operators import selection
+
 
 def scale(pred: Column) -> Column:
     """Root of the expected level, 1 at least."""
     return F.sqrt(F.greatest(pred, F.lit(1.0)))
 
 
-def conformal_bounds(scores: DataFrame, level: str, score: str, coverage: float) -> DataFrame:
-    """(level, n, low, high, valid): the order statistics that a finite sample asks for."""
+def conformal_bounds(scores: DataFrame, by: list[str], score: str, coverage: float) -> DataFrame:
+    """(by, n, low, high, valid): the order statistics that a finite sample asks for."""
     a = 1 - coverage
-    ranked = scores.withColumns({"k": F.row_number().over(W.partitionBy(level).orderBy(score)), "n": F.count("*").over(W.partitionBy(level))})
     # rounding keeps 0.1 * 10 from falling just under 1
-    k_low, k_high = F.floor(F.round((F.col("n") + 1) * a / 2, 9)), F.ceil(F.round((F.col("n") + 1) * (1 - a / 2), 9))
-    low_at, high_at = F.greatest(k_low, F.lit(1)), F.least(k_high, F.col("n"))
-    return ranked.groupBy(level, "n").agg(
-        F.max(F.when(F.col("k") == low_at, F.col(score))).alias("low"), F.max(F.when(F.col("k") == high_at, F.col(score))).alias("high"),
-        F.first((k_low >= 1) & (k_high <= F.col("n"))).alias("valid"),
-    )
+    ends = lambda n: [F.floor(F.round((n + 1) * a / 2, 9)), F.ceil(F.round((n + 1) * (1 - a / 2), 9))]
+    found = selection.order_statistics(scores, by, score, ends)
+    k_low, k_high = ends(F.col("n"))
+    return found.select(*by, "n", F.col("values")[0].alias("low"), F.col("values")[1].alias("high"), ((k_low >= 1) & (k_high <= F.col("n"))).alias("valid"))
+
+
+def recent(errors: DataFrame, at: DataFrame, width: int = 26) -> DataFrame:
+    """``errors`` (t, ...) with ``origin``: the rows of the ``width`` periods up to each origin; a row per origin that it is near."""
+    # a dozen origins or so
+    return errors.join(F.broadcast(at.select("origin")), (F.col("t") > F.col("origin") - width) & (F.col("t") <= F.col("origin")))
 
 
-def conformal(predictions: DataFrame, calibration: DataFrame, coverage: float = 0.8) -> DataFrame:
-    """``predictions`` with bounds from the calibration rows (level, y_real, y_pred) of the same level."""
+def conformal(predictions: DataFrame, calibration: DataFrame, coverage: float = 0.8, by: tuple[str, ...] = ("origin", "level")) -> DataFrame:
+    """``predictions`` with bounds from the calibration rows (by, y_real, y_pred) of the same origin and level."""
     scores = calibration.withColumn("score", (F.col("y_real") - F.col("y_pred")) / scale(F.col("y_pred")))
-    bounds = conformal_bounds(scores, "level", "score", coverage).select("level", "low", "high")
-    rows = predictions.drop("lo", "hi").join(F.broadcast(bounds), "level")
+    bounds = conformal_bounds(scores, list(by), "score", coverage).select(*by, "low", "high")
+    # a row for each origin and level
+    rows = predictions.drop("lo", "hi").join(F.broadcast(bounds), list(by))
     lo = F.greatest(F.col("y_pred") + F.col("low") * scale(F.col("y_pred")), F.lit(0.0))
     rows = rows.withColumn("lo", lo)
     return rows.withColumn("hi", F.greatest(F.col("y_pred") + F.col("high") * scale(F.col("y_pred")), F.col("lo"))).drop("low", "high")

@@ -50,7 +50,7 @@ def interval_of_residuals(residuals: DataFrame, at: DataFrame, level: float = LE
     q = F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))
     known = residuals.crossJoin(F.broadcast(at)).where(F.col("t") <= F.col("origin"))
     own = known.groupBy("series_id", "origin").agg(F.percentile("r", q).alias("q"), F.count("*").alias("n"))
-    pooled = known.groupBy("origin").agg(F.percentile("r", q).alias("p"))
+    pooled = selection.quantiles(known, ["origin"], "r", [(1 - level) / 2, (1 + level) / 2]).select("origin", F.col("quantiles").alias("p"))
     best = F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("p"))
     # a row per origin
     return own.join(F.broadcast(pooled), "origin").select("series_id", "origin", best[0].alias("low"), best[1].alias("high"))

@@ -8,7 +8,7 @@ Values that repeat are counted, not listed: a bin that cannot be cut further hol
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,9 +23,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], bins:
     A wanted quantile lies between the two neighbouring ranks floor and ceil of q * (n - 1); each pair is looked for on
     its own. Small groups need no round: those of at most ``small`` values are sorted at once.
     """
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("__v"))
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    groups = shared.kept(groups, "quantile-groups")
+    rows, groups = _prepared(df, keys, value)
     large = groups.where(F.col("n") > small)
     asked = F.array(*(F.lit(float(q)) for q in qs))
     no_large = large.isEmpty()
@@ -37,6 +35,26 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], bins:
     return out.unionByName(_large(rows, large, keys, qs, bins, small).select(*keys, "n", "quantiles"))
 
 
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks, small: int = SMALL, bins: int = BINS) -> DataFrame:
+    """(keys, n, values): the values at the places that ``ranks`` (a function of the column of a group's size) gives, from 1 to n."""
+    rows, groups = _prepared(df, keys, value)
+    asked = F.array(*(F.least(F.greatest(r.cast("long"), F.lit(1)), F.col("n")) - 1 for r in ranks(F.col("n"))))
+    large = groups.where(F.col("n") > small)
+    no_large = large.isEmpty()
+    few = (rows if no_large else _without(rows, large, keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("__v")).alias("all")).where("n > 0")
+    out = few.withColumn("asked", asked).select(*keys, "n", F.transform("asked", lambda r: F.get("all", r.cast("int"))).alias("values"))
+    if no_large:
+        return out
+    found = _at_ranks(rows, large, keys, F.array_distinct(asked), bins, small)
+    return out.unionByName(found.withColumn("asked", asked).select(*keys, "n", F.transform("asked", lambda r: F.element_at("at", r)).alias("values")))
+
+
+def _prepared(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("__v"))
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    return rows, shared.kept(groups, "quantile-groups")
+
+
 def _without(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     named = groups.select(*(F.col(k).alias(f"__{k}") for k in keys))
     same = F.lit(True)
@@ -46,9 +64,17 @@ def _without(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _large(rows: DataFrame, groups: DataFrame, keys: list[str], qs: list[float], bins: int, small: int) -> DataFrame:
+    n = F.col("n")
+    exact = [F.lit(float(q)) * (n - 1) for q in qs]
+    at = _at_ranks(rows, groups, keys, F.array_distinct(F.flatten(F.array(*(F.array(F.floor(x), F.ceil(x)) for x in exact)))), bins, small)
+    low, high = ([F.element_at("at", f(x)) for x in exact] for f in (F.floor, F.ceil))
+    return at.withColumn("quantiles", F.array(*(a + (b - a) * (x - F.floor(x)) for a, b, x in zip(low, high, exact))))
+
+
+def _at_ranks(rows: DataFrame, groups: DataFrame, keys: list[str], wanted: Column, bins: int, small: int) -> DataFrame:
+    """(keys, n, at): a map from each wanted rank, from 0, to its value."""
     # a search for each group and wanted rank: values in [lo, hi], ``under`` values lie below lo, ``inside`` in it
     n = F.col("n")
-    wanted = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(F.lit(float(q)) * (n - 1)), F.ceil(F.lit(float(q)) * (n - 1))) for q in qs))))
     open_ = groups.select(*keys, n, F.explode(wanted).alias("rank"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), F.lit(0).cast("long").alias("under"), n.alias("inside"))
     open_, found = shared.kept(open_, "quantile-open"), None
     for _ in range(ROUNDS):
@@ -62,10 +88,7 @@ def _large(rows: DataFrame, groups: DataFrame, keys: list[str], qs: list[float],
     else:
         found = found.unionByName(_sorted_out(rows, open_, keys))
     found = shared.kept(found, "quantile-found")
-    at = found.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
-    exact = [F.lit(float(q)) * (n - 1) for q in qs]
-    low, high = ([F.element_at("at", f(x)) for x in exact] for f in (F.floor, F.ceil))
-    return at.withColumn("quantiles", F.array(*(a + (b - a) * (x - F.floor(x)) for a, b, x in zip(low, high, exact))))
+    return found.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
 
 
 def _inside(rows: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions import calendar
 from tallyfold.operators import aggregates as agg
-from tallyfold.operators import checks
+from tallyfold.operators import checks, selection
 from tallyfold.plans.q_expressions import MONTHLY, STAYS, monthly, stays
 from tallyfold.plans.testbed import PANEL, VISITS, WEEKLY, Section, Tables, panel, visits, weekly_visits
 from tallyfold.sources import readers
@@ -77,7 +77,11 @@ def d10_ratio_of_sums(t: Tables) -> DataFrame:
 
 @section(f"WITH {STAYS} SELECT o_orderpriority, quantile_cont(days, 0.5) AS median, round(quantile_cont(days, 0.9), 6) AS p90, avg(CASE WHEN days > 365 THEN 1.0::DOUBLE ELSE 0 END) AS share_long FROM stays GROUP BY 1")
 def d11_quantiles(t: Tables) -> DataFrame:
-    return stays(t).groupBy("o_orderpriority").agg(F.percentile("days", F.lit(0.5)).alias("median"), F.round(F.percentile("days", F.lit(0.9)), 6).alias("p90"), F.avg((F.col("days") > 365).cast("double")).alias("share_long"))
+    s = stays(t)
+    # a row for each priority
+    long = s.groupBy("o_orderpriority").agg(F.avg((F.col("days") > 365).cast("double")).alias("share_long"))
+    q = selection.quantiles(s, ["o_orderpriority"], "days", [0.5, 0.9])
+    return long.join(F.broadcast(q), "o_orderpriority", "left").select("o_orderpriority", F.col("quantiles")[0].alias("median"), F.round(F.col("quantiles")[1], 6).alias("p90"), "share_long")
 
 
 @section("""WITH w AS (SELECT p_type, p_retailprice AS v, sum(p_size) AS w FROM part GROUP BY ALL), c AS (SELECT *, sum(w) OVER (PARTITION BY p_type ORDER BY v) AS cum, sum(w) OVER (PARTITION BY p_type) AS total FROM w)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfold.functions import calendar, cleaning
-from tallyfold.operators import evaluate, intervals, models, panels, reconcile
+from tallyfold.operators import evaluate, intervals, models, panels, reconcile, selection
 from tallyfold.plans.testbed import CALENDAR, PANEL, WEEKLY, WHOLE, Section, Tables, calendar_table, panel, sql_fields, weekly_visits
 from tallyfold.sources import readers
 
@@ -118,9 +118,10 @@ def l4_fixed_universe(t: Tables) -> DataFrame:
     whole = w.groupBy("year", "week").agg(F.count_distinct("day").alias("days")).where("days = 7").drop("days")
     rows = w.join(whole, ["year", "week"])
     n = whole.agg(F.count("*").alias("n"))
-    f = rows.groupBy("facility").agg(F.count_distinct("week").alias("weeks"), F.sum("total").alias("total")).crossJoin(F.broadcast(n)).withColumn("kept", F.col("weeks") >= F.col("n") - 2)
-    every = W.partitionBy()
-    return f.select("facility", "weeks", "kept", (F.sum(F.when(~F.col("kept"), F.col("total")).otherwise(0)).over(every) / F.sum("total").over(every)).alias("lost_share"))
+    f = t.kept("fixed-units", lambda: rows.groupBy("facility").agg(F.count_distinct("week").alias("weeks"), F.sum("total").alias("total")).crossJoin(F.broadcast(n)).withColumn("kept", F.col("weeks") >= F.col("n") - 2))
+    # one row
+    lost = f.agg((F.sum(F.when(~F.col("kept"), F.col("total")).otherwise(0)) / F.sum("total")).alias("lost_share"))
+    return f.crossJoin(F.broadcast(lost)).select("facility", "weeks", "kept", "lost_share")
 
 
 @section(f"WITH {BACK} SELECT origin, horizon, series_id, {VALUE_COLS} FROM back WHERE model = 'naive'")
@@ -192,20 +193,19 @@ def l11_level_hybrid(t: Tables) -> DataFrame:
     return show(hybrid(t))
 
 
-_CALIBRATION = f"""{BACK}, o AS (SELECT max(origin) AS o FROM origins), cal AS (SELECT r.level, r.r / sqrt(greatest(b.y, 1)) AS score FROM res r JOIN panel b ON b.series_id = r.series_id AND b.t = r.t - 52, o WHERE r.t > o - 26 AND r.t <= o),
-    k AS (SELECT level, score, row_number() OVER (PARTITION BY level ORDER BY score) AS k, count(*) OVER (PARTITION BY level) AS n FROM cal),
-    bounds AS (SELECT level, max(score) FILTER (k = greatest(floor(round((n + 1) * 0.1, 9)), 1)) AS low, max(score) FILTER (k = least(ceil(round((n + 1) * 0.9, 9)), n)) AS high FROM k GROUP BY 1),
-    conf AS (SELECT b.model, origin, horizon, series_id, b.level, service, t, y_real, y_pred, greatest(y_pred + low * sqrt(greatest(y_pred, 1)), 0) AS lo, high FROM back b JOIN bounds USING (level), o WHERE model = 'naive' AND origin = o),
+_CALIBRATION = f"""{BACK}, cal AS (SELECT o.origin, r.level, r.r / sqrt(greatest(b.y, 1)) AS score FROM res r JOIN panel b ON b.series_id = r.series_id AND b.t = r.t - 52, origins o WHERE r.t > o.origin - 26 AND r.t <= o.origin),
+    k AS (SELECT origin, level, score, row_number() OVER (PARTITION BY origin, level ORDER BY score) AS k, count(*) OVER (PARTITION BY origin, level) AS n FROM cal),
+    bounds AS (SELECT origin, level, max(score) FILTER (k = greatest(floor(round((n + 1) * 0.1, 9)), 1)) AS low, max(score) FILTER (k = least(ceil(round((n + 1) * 0.9, 9)), n)) AS high FROM k GROUP BY ALL),
+    conf AS (SELECT b.model, origin, horizon, series_id, b.level, service, t, y_real, y_pred, greatest(y_pred + low * sqrt(greatest(y_pred, 1)), 0) AS lo, high FROM back b JOIN bounds USING (origin, level) WHERE model = 'naive'),
     conformal AS (SELECT model, origin, horizon, series_id, level, service, t, y_real, y_pred, lo, greatest(y_pred + high * sqrt(greatest(y_pred, 1)), lo) AS hi FROM conf)"""
 
 
 def conformal(t: Tables) -> DataFrame:
-    """The last origin's naive forecasts with bounds from the 26 periods before it."""
+    """The naive forecasts of every origin with bounds from the 26 periods before it, by level."""
     p = panel(t)
-    last = models.origins(p, 8, 1, 4)
     season = p.select("series_id", (F.col("t") + 52).alias("t"), F.col("y").cast("double").alias("y_pred"))
-    calibration = p.join(season, ["series_id", "t"]).crossJoin(F.broadcast(last)).where("t > origin - 26 and t <= origin").withColumnRenamed("y", "y_real")
-    return intervals.conformal(models.naive(p, last, HORIZONS), calibration)
+    errors = p.join(season.hint("merge"), ["series_id", "t"]).withColumnRenamed("y", "y_real")
+    return intervals.conformal(backtest(t).where("model = 'naive'"), intervals.recent(errors, models.origins(p, 8, 13, 4)))
 
 
 @section(f"WITH {_CALIBRATION} SELECT origin, horizon, series_id, {VALUE_COLS} FROM conformal")
@@ -394,7 +394,7 @@ def n5_interval_score(t: Tables) -> DataFrame:
 @section(f"WITH {BACK}, {SCALES}, s AS (SELECT model, level, horizon, series_id, avg(abs(y_real - y_pred)) / any_value(mase_scale) AS mase FROM back JOIN scales USING (series_id) GROUP BY ALL) SELECT model, level, horizon, round(quantile_cont(mase, 0.5), 6) AS mase FROM s GROUP BY ALL")
 def n6_level_summary(t: Tables) -> DataFrame:
     s = evaluate.by_series(backtest(t), scales(t), 0.8, ["model", "horizon"])
-    return s.groupBy("model", "level", "horizon").agg(F.round(F.percentile("mase", F.lit(0.5)), 6).alias("mase"))
+    return selection.quantiles(s, ["model", "level", "horizon"], "mase", [0.5]).select("model", "level", "horizon", F.round(F.col("quantiles")[0], 6).alias("mase"))
 
 
 PAIRS = f"{BACK}, {SCALES}, pairs AS (SELECT a.origin, a.horizon, a.series_id, a.level, abs(a.y_real - a.y_pred) / mase_scale AS a, abs(b.y_real - b.y_pred) / mase_scale AS b, abs(b.y_real - b.y_pred) / mase_scale - abs(a.y_real - a.y_pred) / mase_scale AS d FROM back a JOIN back b USING (origin, horizon, series_id) JOIN scales USING (series_id) WHERE a.model = 'naive' AND b.model = 'drift')"
@@ -441,9 +441,9 @@ def n10_selection(t: Tables) -> DataFrame:
     return evaluate.select_model(table, "naive")
 
 
-@section(f"WITH {_CALIBRATION}, both_ AS (SELECT 'conformal' AS kind, level, y_real, lo, hi FROM conformal UNION ALL SELECT 'residual', level, y_real, lo, hi FROM back, o WHERE model = 'naive' AND origin = o) SELECT kind, level, count(*) AS n, round(avg(CASE WHEN y_real BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage, round(avg(hi - lo), 4) AS width FROM both_ GROUP BY ALL")
+@section(f"WITH {_CALIBRATION}, both_ AS (SELECT 'conformal' AS kind, level, y_real, lo, hi FROM conformal UNION ALL SELECT 'residual', level, y_real, lo, hi FROM back WHERE model = 'naive') SELECT kind, level, count(*) AS n, round(avg(CASE WHEN y_real BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage, round(avg(hi - lo), 4) AS width FROM both_ GROUP BY ALL")
 def n11_conformal_effect(t: Tables) -> DataFrame:
-    plain = models.naive(panel(t), models.origins(panel(t), 8, 1, 4), HORIZONS)
+    plain = backtest(t).where("model = 'naive'")
     rows = conformal(t).withColumn("kind", F.lit("conformal")).unionByName(plain.withColumn("kind", F.lit("residual")))
     out = rows.groupBy("kind", "level").agg(*evaluate.coverage_and_width(0.8)).drop("tolerance")
     return rounded(rounded(out, "coverage"), "width", digits=4)
@@ -452,7 +452,8 @@ def n11_conformal_effect(t: Tables) -> DataFrame:
 @section(f"""WITH {BACK}, {SCALES}, p AS (SELECT model, level, CASE WHEN origin >= (SELECT max(origin) - 8 FROM origins) THEN 'holdout' ELSE 'backtest' END AS part, avg(abs(y_real - y_pred) / mase_scale) AS mase FROM back JOIN scales USING (series_id) GROUP BY ALL)
     SELECT a.level, a.part, round(1 - a.mase / b.mase, 6) AS skill FROM p a JOIN p b ON a.level = b.level AND a.part = b.part WHERE a.model = 'drift' AND b.model = 'naive'""")
 def n12_skill_degradation(t: Tables) -> DataFrame:
-    rows = backtest(t).join(scales(t), "series_id").withColumn("last", F.max("origin").over(W.partitionBy()))
+    # one row
+    rows = backtest(t).join(scales(t), "series_id").crossJoin(F.broadcast(backtest(t).agg(F.max("origin").alias("last"))))
     part = F.when(F.col("origin") >= F.col("last") - 8, "holdout").otherwise("backtest")
     p = rows.groupBy("model", "level", part.alias("part")).agg(F.avg(F.abs(F.col("y_real") - F.col("y_pred")) / F.col("mase_scale")).alias("mase"))
     a, b = (p.where(F.col("model") == m).select("level", "part", F.col("mase").alias(n)) for m, n in (("drift", "a"), ("naive", "b")))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +44,14 @@ def publish_together(root: str, tables: dict[str, tuple[DataFrame, Checks]], par
 
 
 def newest(spark: SparkSession, root: str) -> DataFrame:
-    """(table, version, path): the version of each table that readers see; one row per table."""
-    # an empty append makes the log of a new root
-    spark.createDataFrame([], _LOG).coalesce(1).write.mode("append").parquet(f"{root}/_published")
-    log = spark.read.schema(_LOG).parquet(f"{root}/_published")
+    """(table, version, path): the version of each table that readers see; one row per table. Reading writes nothing."""
+    try:
+        log = spark.read.schema(_LOG).parquet(f"{root}/_published")
+    except AnalysisException as e:
+        # nothing has been published there yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        log = spark.createDataFrame([], _LOG)
     return log.groupBy("table").agg(F.max("version").alias("version"), F.max_by("path", "version").alias("path"))
 
 
@@ -75,14 +80,51 @@ def record_snapshot(log_path: str, source: str, url: str, table: DataFrame) -> D
     return table.sparkSession.read.parquet(log_path)
 
 
+def period_prints(table: DataFrame, period: str) -> DataFrame:
+    """(period, rows, first_sum, second_sum): a fingerprint of each period's rows as a multiset.
+
+    Sums of two keyed hashes: equal rows add up instead of cancelling, the order of rows does not matter, and prints of
+    parts can be added (``merged_prints``). Nulls are told from values by their places.
+    """
+    nulls = F.concat(*(F.when(F.col(c).isNull(), "1").otherwise("0") for c in table.columns))
+    sums = [F.sum(F.xxhash64(F.lit(seed), nulls, *table.columns).cast("decimal(38,0)")).alias(name) for seed, name in ((11, "first_sum"), (23, "second_sum"))]
+    return table.groupBy(period).agg(F.count(F.lit(1)).alias("rows"), *sums)
+
+
+def merged_prints(parts: list[DataFrame], period: str) -> DataFrame:
+    """The prints of the union of tables, from theirs: what is known of a period is never read again."""
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(period).agg(*(F.sum(c).cast("long" if c == "rows" else "decimal(38,0)").alias(c) for c in ("rows", "first_sum", "second_sum")))
+
+
+def changed_periods(new: DataFrame, old: DataFrame, period: str) -> DataFrame:
+    """(period): where prints differ or are there on one side only."""
+    names = ("rows", "first_sum", "second_sum")
+    both = new.alias("a").join(old.alias("b").hint("merge"), F.col(f"a.{period}").eqNullSafe(F.col(f"b.{period}")), "full")
+    same = F.lit(True)
+    for c in names:
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return both.where(~same).select(F.coalesce(f"a.{period}", f"b.{period}").alias(period))
+
+
 def refresh_period(table: DataFrame, target: str, period: str, old: DataFrame | None) -> list:
-    """Rewrites the periods whose fingerprint differs from ``old`` (period, xor_hash); returns those periods.
+    """Rewrites the periods of ``table`` whose print differs from ``old`` (as ``period_prints`` made it); returns those periods.
 
-    The number of periods is that of years or days, so their list has a bound.
+    Periods that ``table`` does not hold stay as they are. The number of periods is that of years or days, so their list
+    has a bound.
     """
-    new = table.groupBy(period).agg(F.bit_xor(F.xxhash64(*table.columns)).alias("xor_hash"))
-    changed = new if old is None else new.join(old.select(period, F.col("xor_hash").alias("was")), period, "left").where(~F.col("xor_hash").eqNullSafe(F.col("was")))
+    new = period_prints(table, period)
+    changed = new if old is None else changed_periods(new, old, period).join(new.select(period).hint("merge"), period, "left_semi")
     periods = sorted(r[0] for r in changed.select(period).collect())
     if periods:
         table.where(F.col(period).isin(periods)).write.mode("overwrite").partitionBy(period).option("partitionOverwriteMode", "dynamic").parquet(target)
     return periods
+
+
+def append_periods(batch: DataFrame, target: str, period: str, prints: DataFrame | None) -> DataFrame:
+    """Adds a batch to the periods' folders, and returns the prints of all rows now there: those before plus the batch's."""
+    own = period_prints(batch, period)
+    batch.write.mode("append").partitionBy(period).parquet(target)
+    return own if prints is None else merged_prints([prints, own], period)

@@ -114,7 +114,7 @@ def test_predictions_do_not_see_the_future(panel):
 
 def test_conformal_order_statistics(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1, 20)], "level string, score double")
-    r = intervals.conformal_bounds(df, "level", "score", 0.8).first()
+    r = intervals.conformal_bounds(df, ["level"], "score", 0.8).first()
     assert (r.low, r.high, r.valid) == (2.0, 18.0, True)
 
 

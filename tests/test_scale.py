@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.operators import quadtree, ranks, selection
+from tallyfold.sources import publish
 
 
 def km(a, b):
@@ -66,3 +67,74 @@ def test_distance_to_a_box():
     for (lon, lat, w, e, s, n), d in zip(boxes, got):
         grid = min(km((lon, lat), (x, y)) for x in np.linspace(w, e, 60) for y in np.linspace(s, n, 60))
         assert d <= grid + 1e-6 and grid - d < 60
+
+
+def test_running_sums_and_ranks(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice([1, 2, 2, 2, 50, None]), rng.random()) for k in range(5000)]
+    df = spark.createDataFrame(rows, "k int, v int, x double")
+    got = ranks.running(df, [F.desc_nulls_last("v"), F.col("k")], {"run": F.col("v"), "n": F.lit(1)}, rank="place").orderBy("place").collect()
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    total = 0
+    for at, (r, w) in enumerate(zip(got, want), 1):
+        total += w[1] or 0
+        assert (r.k, r.v, r.place, r.n, r.run) == (w[0], w[1], at, at, total)
+    assert ranks.running(df.limit(0), [F.col("k")], {"run": F.col("v")}, rank="place").count() == 0
+    plan = ranks.running(df, [F.col("k")], rank="place")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and plan.count("windowspecdefinition(k") == 0
+
+
+def test_quantiles_of_large_groups_equal_sorting(spark):
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.pareto(0.5, 3000) * 1e3, np.full(2000, 7.0), -rng.random(1000)])
+    rows = [("a", float(v)) for v in values] + [("b", float(v)) for v in range(9)] + [(None, 3.5)] * 400 + [("c", None), ("d", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
+    for small in (50, 10**6):
+        got = {r.k: (r.n, r.quantiles) for r in selection.quantiles(df, ["k"], "v", qs, bins=8, small=small).collect()}
+        assert set(got) == {"a", "b", None}
+        for name, own in (("a", values), ("b", np.arange(9.0)), (None, np.full(400, 3.5))):
+            assert got[name][0] == len(own) and np.allclose(got[name][1], np.quantile(own, qs), rtol=1e-12)
+        stats = {r.k: r["values"] for r in selection.order_statistics(df, ["k"], "v", lambda n: [F.lit(0), n / 2, n, n + 5], small=small, bins=8).collect()}
+        s = np.sort(values)
+        assert stats["a"] == [s[0], s[2999], s[-1], s[-1]] and stats["b"] == [0.0, 3.0, 8.0, 8.0] and stats[None] == [3.5] * 4
+    assert selection.quantiles(df, [], "v", [0.5], bins=16, small=100).first().quantiles[0] == pytest.approx(np.quantile([r[1] for r in rows if r[1] is not None and r[1] == r[1]], 0.5))
+    assert selection.quantiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
+
+
+def test_no_change_is_missed(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "p int, v int, w int")
+    old = publish.period_prints(make([(1, 5, 0), (2, 7, 0)]), "p")
+    target = f"{tmp_path}/t"
+    make([(1, 5, 0), (2, 7, 0)]).write.partitionBy("p").parquet(target)
+    assert publish.refresh_period(make([(1, 5, 0), (1, 9, 0), (1, 9, 0)]), target, "p", old) == [1]
+    assert sorted((r.p, r.v) for r in spark.read.parquet(target).collect()) == [(1, 5), (1, 9), (1, 9), (2, 7)]
+    assert publish.refresh_period(make([(1, 5, 0)]), target, "p", old) == []
+    rng = random.Random(1)
+    base = [(1, rng.randrange(3), rng.randrange(3)) for _ in range(12)]
+    tables = [base, base[1:], base + base[:1], [*base[1:], (1, None, base[0][2])], [(p, w, v) for p, v, w in base], [(1, None, 4)], [(1, 4, None)], base * 2, base * 3]
+    prints = [publish.period_prints(make(t), "p").drop("p").first() for t in tables]
+    for i, a in enumerate(tables):
+        for j, b in enumerate(tables):
+            assert (prints[i] == prints[j]) == (sorted(map(str, a)) == sorted(map(str, b)))
+
+
+def test_prints_of_batches_add_up(spark, tmp_path):
+    rows = [(k % 3, k * k % 11) for k in range(40)]
+    make = lambda part: spark.createDataFrame(part, "p int, v int")
+    state = None
+    for k in range(0, 40, 9):
+        state = publish.append_periods(make(rows[k : k + 9]), f"{tmp_path}/t", "p", state)
+    whole = publish.period_prints(make(rows), "p")
+    assert publish.changed_periods(whole, state, "p").count() == 0
+    assert publish.changed_periods(publish.period_prints(make(rows[1:] + [(9, 1)]), "p"), state, "p").count() == 2
+
+
+def test_reading_what_is_published_writes_nothing(spark, tmp_path):
+    root = f"file://{tmp_path}/r"
+    assert publish.newest(spark, root).count() == 0 and not (tmp_path / "r").exists()
+    publish.publish(spark.createDataFrame([(1,)], "k int"), root, "a", {})
+    files = sorted(p.name for p in (tmp_path / "r/_published").iterdir())
+    for _ in range(3):
+        assert publish.published(spark, root, "a").count() == 1
+    assert sorted(p.name for p in (tmp_path / "r/_published").iterdir()) == files
