@@ -2,10 +2,11 @@
 
 Each source is a stream of its documents in an order shuffled by a keyed hash, and the stream may run twice.
 The mix is a schedule of slots of equal token counts. The point of slot j, frac((j + 1) * golden ratio), falls
-into one source's share of the cumulated targets; the slots of a source are ranked, and rank r takes block r of
-the source's stream. A source has the blocks that its own target needs, and its last block is cut to what is left:
-slots beyond them stay empty, and blocks without a slot are put at even distances. A document's ``taken`` words are
-those of its stream positions that blocks cover.
+into one source's share of the cumulated targets, in blocks; the slots of a source are ranked, and rank r takes block r
+of the source's stream. A source's share is the blocks that its own target needs, one at least, and its last block is
+cut to what is left of the target. A block is taken because a slot fell to it, and not otherwise; so any run of slots
+holds each source within a few blocks of its share. A document's ``taken`` words are those of its stream positions that
+taken blocks cover, its place in the mix is the first slot that takes of it.
 
 Targets: sources in code point order, null last, weigh 3, 1, 2 in turn and share ``FACTOR`` times all words. A
 target stops at ``REPEATS`` times its source's words, and what is over is shared by weight among the rest. That
@@ -32,7 +33,7 @@ WEIGHTS = (3, 1, 2)
 FACTOR, REPEATS = 1.5, 2
 SLOTS = 1 << 16
 GOLDEN = 0.6180339887498949
-BUCKETS, CELLS = 4096, 1024
+BUCKETS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,23 +64,28 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def schedule(shares: DataFrame) -> DataFrame:
-    """(source, slot, block, words): slots in order; ``block`` is the slot's rank in its source, ``words`` its length."""
+    """(source, slot, block, words): slots in order; ``block`` is the slot's rank in its source, ``words`` its length.
+
+    The sequence goes on until every source has met its blocks, twice their number of points as a rule; what falls to a
+    source that has all its blocks is passed over. A source that no point falls to has no blocks.
+    """
     spark = shares.sparkSession
     budget = shares.agg(F.coalesce(F.max("budget"), F.lit(0.0))).first()[0]
     length = max(1, round(budget / SLOTS))
-    n = -(-int(budget) // length)
-    points = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(GOLDEN) % 1.0).alias("x")).withColumn("cell", F.floor(F.col("x") * CELLS).cast("int"))
-    # the last share ends at 1 in spite of rounding
-    ends = shares.where("target > 0").withColumn("hi", F.when(F.col("hi") >= F.max("hi").over(W.partitionBy()), F.lit(1.0)).otherwise(F.col("hi")))
-    cells = ends.select("source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.least(F.floor(F.col("hi") * CELLS).cast("int"), F.lit(CELLS - 1)))).alias("cell"))
-    placed = points.join(cells.hint("shuffle_hash"), "cell").where("x >= lo and x < hi")
-    rank = F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1
-    placed = placed.select(F.col("source").alias("source2"), "slot", rank.cast("long").alias("block2"))
-    own = ends.select("source", F.round("target").cast("long").alias("whole")).where("whole > 0").withColumn("blocks", F.ceil(F.col("whole") / length))
-    blocks = own.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    even = F.floor((F.col("block") + 0.5) / F.col("blocks") * n)
-    found = blocks.join(placed.hint("shuffle_hash"), F.expr("source <=> source2 and block = block2"), "left")
-    return found.select("source", F.coalesce("slot", even).alias("slot"), "block", F.least(F.lit(length), F.col("whole") - F.col("block") * length).cast("long").alias("words"))
+    own = shares.select("source", F.round("target").cast("long").alias("whole")).where("whole > 0").withColumn("blocks", F.ceil(F.col("whole") / length))
+    by_name = W.orderBy(F.col("source").isNull(), "source").rowsBetween(W.unboundedPreceding, 0)
+    own = settle(own.withColumn("hi", F.sum("blocks").over(by_name)), "mixture-blocks")
+    total = own.agg(F.coalesce(F.max("hi"), F.lit(0))).first()[0]
+    # each unit of the cumulated blocks belongs to one source
+    units = own.select("source", "whole", "blocks", F.explode(F.sequence(F.col("hi") - F.col("blocks"), F.col("hi") - 1)).alias("unit"))
+    for n in (2 * total, 8 * total):
+        points = spark.range(n).select(F.col("id").alias("slot"), F.least(F.floor((F.col("id") + 1) * F.lit(GOLDEN) % 1.0 * total), F.lit(total - 1)).alias("unit"))
+        rank = F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1
+        placed = points.join(units.hint("shuffle_hash"), "unit").withColumn("block", rank.cast("long")).where("block < blocks")
+        placed = settle(placed.select("source", "slot", "block", F.least(F.lit(length), F.col("whole") - F.col("block") * length).cast("long").alias("words")), "mixture-slots")
+        if placed.count() == total:
+            break
+    return placed
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -90,10 +96,10 @@ def numbered(docs: DataFrame) -> DataFrame:
 def plan(docs: DataFrame, seed: int = 11, row: str | None = None) -> DataFrame:
     """``docs`` has (doc_id, source, text); ``row`` names a column with a number of its own for each row, if there is one.
 
-    Returns (row, doc_id, source, size, source_size, target, first, second, taken): words taken of each document.
+    Returns (row, doc_id, source, size, source_size, target, first, second, first_slot, second_slot, taken): words taken of each document.
 
     ``first`` and ``second`` are the words that the first and the second run of the stream take, as an array
-    (from, to) of the word numbers, or null.
+    (from, to) of the word numbers, or null; ``first_slot`` and ``second_slot`` are the slots where they begin.
     """
     sizes = settle(
         docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h")),
@@ -112,27 +118,30 @@ def plan(docs: DataFrame, seed: int = 11, row: str | None = None) -> DataFrame:
     length = F.greatest(F.lit(1), F.round(F.col("budget") / SLOTS).cast("long"))
     runs = placed.where("size > 0").withColumn("length", length).withColumn("run", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("from", F.col("start") + F.col("run") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size"))
     pieces = runs.select("row", "run", "source", "from", "to", "length", F.explode(F.sequence(F.expr("`from` div length"), F.expr("(`to` - 1) div length"))).alias("block"))
-    taken = pieces.alias("p").join(slots.select(F.col("source").alias("source2"), F.col("block").alias("block2"), "words").hint("shuffle_hash"), F.expr("source <=> source2 and block = block2"))
+    taken = pieces.alias("p").join(slots.select(F.col("source").alias("source2"), F.col("block").alias("block2"), "words", "slot").hint("shuffle_hash"), F.expr("source <=> source2 and block = block2"))
     low, high = F.greatest("from", F.col("block") * F.col("length")), F.least("to", F.col("block") * F.col("length") + F.col("words"))
-    taken = taken.where(low < high).select("row", "run", (low - F.col("from")).alias("a"), (high - F.col("from")).alias("b"))
+    taken = taken.where(low < high).select("row", "run", "slot", (low - F.col("from")).alias("a"), (high - F.col("from")).alias("b"))
     span = lambda k: F.when(F.count(F.when(F.col("run") == k, 1)) > 0, F.array(F.min(F.when(F.col("run") == k, F.col("a"))), F.max(F.when(F.col("run") == k, F.col("b")))))
-    by_row = taken.groupBy("row").agg(span(0).alias("first"), span(1).alias("second"), F.sum(F.col("b") - F.col("a")).alias("taken"))
+    at = lambda k: F.min(F.when(F.col("run") == k, F.col("slot"))).alias(("first_slot", "second_slot")[k])
+    by_row = taken.groupBy("row").agg(span(0).alias("first"), span(1).alias("second"), at(0), at(1), F.sum(F.col("b") - F.col("a")).alias("taken"))
     out = placed.join(by_row.hint("shuffle_hash"), "row", "left")
-    return out.select("row", "doc_id", "source", "size", "source_size", "target", "first", "second", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("row", "doc_id", "source", "size", "source_size", "target", "first", "second", "first_slot", "second_slot", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The documents of the mix, with the columns of ``docs``: one row for each run that takes words of a document.
+    """The documents of the mix in the order of their slots, with the columns of ``docs``: one row for each run that takes words of a document.
 
     A document that is taken whole keeps its text; where the mix ends inside it, the text is the taken words,
     joined by spaces. ``n_chars``, if there, follows the text.
     """
     columns = docs.columns
     kept = numbered(docs.select(F.struct(*columns).alias("doc")))
-    chosen = plan(kept.select("row", "doc.doc_id", "doc.source", "doc.text"), seed, row="row").where("taken > 0").select("row", "size", F.explode(F.array_compact(F.array("first", "second"))).alias("span"))
-    whole = F.expr("span[0] = 0 and span[1] = size")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("span")[0] + 1).cast("int"), (F.col("span")[1] - F.col("span")[0]).cast("int")), " ")
-    out = kept.join(chosen.hint("merge"), "row").select("doc.*", "span", "size").withColumn("text", F.when(whole, F.col("text")).otherwise(part))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    found = plan(kept.select("row", "doc.doc_id", "doc.source", "doc.text"), seed, row="row").where("taken > 0")
+    runs = F.array(*(F.struct(F.col(span).alias("span"), F.col(slot).alias("slot")) for span, slot in (("first", "first_slot"), ("second", "second_slot"))))
+    chosen = found.select("row", "size", F.explode(runs).alias("run")).where("run.span is not null")
+    span, text = F.col("run.span"), F.col("doc.text")
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), (span[0] + 1).cast("int"), (span[1] - span[0]).cast("int")), " ")
+    new = F.when((span[0] == 0) & (span[1] == F.col("size")), text).otherwise(part)
+    out = kept.join(chosen.hint("merge"), "row").select("doc", F.col("run.slot").alias("slot"), "row", new.alias("new")).orderBy("slot", "row")
+    changed = {"text": F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
+    return out.select(*(changed.get(c, F.col("doc").getField(c)).alias(c) for c in columns))
