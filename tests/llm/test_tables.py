@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -321,6 +322,54 @@ def test_mixture_of_one_large_and_small_sources(spark):
     assert all(abs(took[r.source] - r.target) <= 0.5 for r in plan) and took["few"] == 30 and took["one"] == 2 and took["some"] == 720
 
 
+def brute_slots(blocks, golden):
+    """(source, slot) of each block by the definition: points run through the cumulated blocks until all sources have theirs."""
+    total, out, left = sum(blocks.values()), [], dict(blocks)
+    for j in range(8 * total):
+        unit, lo = min(math.floor((j + 1) * golden % 1.0 * total), total - 1), 0
+        for name, n in blocks.items():
+            if lo <= unit < lo + n and left[name]:
+                left[name] -= 1
+                out.append((name, j))
+            lo += n
+    return out
+
+
+def test_slots_decide_what_the_mix_takes(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(mixture, "SLOTS", 300)
+    rows = [(i, text(rng, rng.randint(1, 40)), rng.choice(["a", "a", "b", "c", None])) for i in range(500)] + [(900, "one", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixture.plan(df).collect()
+    length = max(1, round(sum({r.source: r.target for r in plan}.values()) / 300))
+    blocks = {s: -(-round(t) // length) for s, t in sorted({r.source: r.target for r in plan}.items(), key=lambda x: (x[0] is None, x[0]))}
+    slots = brute_slots(blocks, 0.6180339887498949)
+    shares = mixture.targets(spark.createDataFrame([(r.source, r.size) for r in plan], "source string, size long"))
+    got = sorted((r.slot, r.source) for r in mixture.schedule(shares).collect())
+    assert [(s, j) for j, s in got] == slots
+    # each run of slots holds each source within a few blocks of its share
+    total = sum(blocks.values())
+    seen = collections.Counter()
+    for at, (name, _) in enumerate(slots[: 2 * total // 3], 1):
+        seen[name] += 1
+        assert all(abs(seen[k] - at * n / total) < 5 for k, n in blocks.items())
+    # documents begin in the slot that takes their first word, and the mix is in that order
+    for r in plan:
+        if r.first is not None:
+            assert r.first_slot in {j for s, j in slots if s == r.source}
+    mixed = [(r.doc_id, r.source) for r in mixture.mix(df).collect()]
+    want = sorted((slot, r.row, r.doc_id) for r in plan for slot in (r.first_slot, r.second_slot) if slot is not None)
+    assert [m[0] for m in mixed] == [w[2] for w in want]
+    order = [w[:1] + w[2:] for w in want]
+    for constant in (0.0, 0.1234567):
+        monkeypatch.setattr(mixture, "GOLDEN", constant)
+        other = mixture.plan(df).collect()
+        assert sorted((slot, r.doc_id) for r in other for slot in (r.first_slot, r.second_slot) if slot is not None) != sorted(order)
+        if not constant:
+            # all points fall to the first source: the others are not taken
+            assert {r.source for r in other if r.taken} == {"a"}
+
+
 def test_archives(spark, tmp_path):
     rows = [(1, "http://a b", "x"), (2, None, "x"), (3, "u", None), (4, "v", ""), (2, None, "x"), (None, "n", "zz"), (None, "n", "zz"), (7, "é\r\n", "日本\r\n\r\n")] + [(10 + k, "p", "same" * 50) for k in range(20)]
     df = spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, shard string")
