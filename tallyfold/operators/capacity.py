@@ -41,11 +41,11 @@ def _ceil_ratio(a: Column, b: Column) -> Column:
     return ((x - x % b) / b).cast("long")
 
 
-def bed_scenario(rows: DataFrame, unit: str, endowment: DataFrame, cutoff: str, months: int = 12) -> DataFrame:
+def bed_scenario(rows: DataFrame, unit: str, endowment: DataFrame, cutoff: str | Column, months: int = 12) -> DataFrame:
     """(unit, reason, target, target_tight, gap, increase): beds so that the peak daily load of the last months stays
     at ``TARGET`` percent; no figures but a reason where months are missing, closed or old.
 
-    ``endowment`` has (unit, declared), declared beds or null.
+    ``endowment`` has (unit, declared), declared beds or null. ``cutoff`` is a date, or one that follows from the unit.
     """
     number = F.year("month") * 12 + F.month("month")
     own = rows.withColumn("__n", number).withColumn("__last", F.max("__n").over(W.partitionBy(unit))).where(F.col("__n") > F.col("__last") - months)
@@ -56,7 +56,8 @@ def bed_scenario(rows: DataFrame, unit: str, endowment: DataFrame, cutoff: str,
         F.count("*").alias("n"), F.count_distinct("month").alias("distinct"), F.max("__last").alias("last"), F.max("__load").alias("peak"),
         F.count_if(F.col("occupied").isNull() | F.col("available").isNull() | (F.col("occupied") < 0) | (F.col("available") <= 0)).alias("bad"), F.max_by(F.col("available") / month_days(), "month").alias("beds"),
     )
-    now = F.year(F.lit(cutoff).cast("date")) * 12 + F.month(F.lit(cutoff).cast("date"))
+    day = F.lit(cutoff).cast("date") if isinstance(cutoff, str) else cutoff
+    now = F.year(day) * 12 + F.month(day)
     reason = F.when((F.col("last") >= now) | (now - F.col("last") > 12), "not closed or old").when(F.col("n") != F.col("distinct"), "repeated months").when(F.col("n") != months, "missing months").when(F.col("bad") > 0, "incomplete or closed")
     at = one.join(endowment, unit, "left").withColumn("reason", reason)
     known = F.col("reason").isNull()
@@ -66,16 +67,18 @@ def bed_scenario(rows: DataFrame, unit: str, endowment: DataFrame, cutoff: str,
     return at.select(unit, "reason", "target", "target_tight", gap.alias("gap"), F.when(known, F.greatest(F.ceil(F.col("target") - base), F.lit(0))).alias("increase"))
 
 
-def scenario_check(rows: DataFrame, unit: str, years: list[int]) -> DataFrame:
-    """(unit, year, target, months, kept): each January's scenario, and how many months of that year stayed under it."""
-    empty = rows.select(unit).distinct().withColumn("declared", F.lit(None).cast("double"))
-    out = None
-    for y in years:
-        past = rows.where(F.col("month") < f"{y}-01-01")
-        made = bed_scenario(past, unit, empty, f"{y}-01-15").where("reason is null").select(unit, F.lit(y).alias("year"), "target")
-        out = made if out is None else out.unionByName(made)
+def scenario_check(rows: DataFrame, unit: str) -> DataFrame:
+    """(unit, year, target, months, kept): the scenario of each past January from what was known then, and how many months of that year stayed under it.
+
+    All Januaries are one job: a unit as it was known in a year is a unit of its own.
+    """
+    # a row for each year
+    years = F.broadcast(rows.select(F.year("month").alias("year")).distinct())
+    past = rows.join(years, F.col("month") < F.make_date("year", F.lit(1), F.lit(1))).withColumn("__then", F.struct(unit, "year"))
+    none = past.select("__then").distinct().withColumn("declared", F.lit(None).cast("double"))
+    made = bed_scenario(past, "__then", none, F.make_date(F.col("__then.year"), F.lit(1), F.lit(15))).where("reason is null").select(f"__then.{unit}", "__then.year", "target")
     later = rows.withColumn("year", F.year("month")).withColumn("load", F.col("occupied") / month_days())
-    return out.join(later, [unit, "year"]).groupBy(unit, "year", "target").agg(F.count("*").alias("months"), F.count_if(F.col("load") <= F.col("target")).alias("kept"))
+    return made.join(later, [unit, "year"]).groupBy(unit, "year", "target").agg(F.count("*").alias("months"), F.count_if(F.col("load") <= F.col("target")).alias("kept"))
 
 
 def endowment_backtest(rows: DataFrame, unit: str, endowment: DataFrame) -> DataFrame:

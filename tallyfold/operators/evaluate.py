@@ -83,8 +83,25 @@ def t_tail(t: Column, df: Column, parts: int = 400) -> Column:
     return integral(start) / (2 * integral(F.lit(0.0)))
 
 
+#: Most differences of an exact signed-rank test.
+EXACT = 50
+
+
+def signed_rank_p(n: Column, w: Column) -> Column:
+    """Two-sided p of the smaller rank sum ``w`` of ``n`` untied differences.
+
+    How many of the 2^n sets of the ranks 1 to n have each sum, rank by rank: a set has the rank or it has not.
+    """
+    places = F.sequence(F.lit(1), F.floor(w).cast("int") + 1)
+    counts = F.aggregate(F.sequence(F.lit(1), n), F.transform(places, lambda j: F.when(j == 1, 1.0).otherwise(0.0)), lambda c, rank: F.transform(c, lambda x, j: x + F.when(j >= rank, F.get(c, j - rank)).otherwise(0.0)))
+    return F.least(2 * F.aggregate(counts, F.lit(0.0), lambda s, x: s + x) / F.pow(F.lit(2.0), n), F.lit(1.0))
+
+
 def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n, w, z, p): signed-rank test of d, zeros left out, mean ranks for ties, normal approximation."""
+    """(by, n, w, z, p): signed-rank test of d, zeros left out, mean ranks for ties.
+
+    p is exact for up to ``EXACT`` differences without ties, else by the normal law.
+    """
     rows = pairs.withColumn("d", F.round("d", 9)).where("d <> 0").withColumn("m", F.abs("d"))
     w = W.partitionBy(*by)
     # mean rank of a run of equal values: those below it, and half of the run
@@ -95,7 +112,7 @@ def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
     n = F.col("n").cast("double")
     low = F.least("up", "down")
     z = F.try_divide(low - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48))
-    return out.select(*by, "n", low.alias("w"), z.alias("z"), F.least(2 * normal_tail(F.abs(z)), F.lit(1.0)).alias("p"))
+    return out.select(*by, "n", low.alias("w"), z.alias("z"), F.when((F.col("n") <= EXACT) & (F.col("tied") == 0), signed_rank_p(F.col("n").cast("int"), low)).otherwise(F.least(2 * normal_tail(F.abs(z)), F.lit(1.0))).alias("p"))
 
 
 def diebold_mariano(pairs: DataFrame, by: list[str], lags: int) -> DataFrame:
@@ -206,7 +223,7 @@ def stationarity(panel: DataFrame) -> DataFrame:
     for i in range(1, lags + 1):
         variance = variance + 2 * (1 - i / (lags + 1)) * F.col(f"p{i}") / count
     one = one.select("series_id", "kind", "n", F.try_divide("ss", count * count * variance).alias("kpss"))
-    return one.join(df, ["series_id", "kind"], "left").select("series_id", "kind", "n", "df", (F.col("df") >= DF_CRITICAL).alias("unit_root"), "kpss", kpss_p(F.col("kpss")).alias("kpss_p"))
+    return one.join(df.hint("merge"), ["series_id", "kind"], "left").select("series_id", "kind", "n", "df", (F.col("df") >= DF_CRITICAL).alias("unit_root"), "kpss", kpss_p(F.col("kpss")).alias("kpss_p"))
 
 
 def strengths(panel: DataFrame, half: int = SEASON // 2) -> DataFrame:

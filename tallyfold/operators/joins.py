@@ -100,6 +100,22 @@ def place_status(declared: Column, area: Column, n_inside: Column, n_border: Col
     return F.when(x.isNull(), "no_coordinates").when((n_border > 0) | (n_inside > 1), "ambiguous").when(n_inside == 0, "outside").when(area == declared, "match").otherwise("differs")
 
 
+PROBLEMS = {"no_coordinates": "has no coordinates", "outside": "lies in no area", "ambiguous": "lies on a border", "differs": "lies in another area than declared"}
+RESOLUTIONS = {
+    "locate": "in the supply: to be located from a verifiable source before distances are measured",
+    "leave_closed": "closed: not in the supply, neither located nor imputed",
+    "leave_outside": "open but not in the supply: its coordinates are not used",
+}
+
+
+def resolved(rows: DataFrame) -> DataFrame:
+    """``rows`` (problem, in_supply, is_open, ...) with ``resolution`` and ``reason``: the supply first, then what is closed; nothing is imputed."""
+    what = F.when(F.col("in_supply"), "locate").when(~F.col("is_open"), "leave_closed").otherwise("leave_outside")
+    words = lambda texts, c: F.coalesce(*(F.when(F.col(c) == k, v) for k, v in texts.items()))
+    rows = rows.withColumn("resolution", what)
+    return rows.withColumn("reason", F.concat_ws("; ", words(PROBLEMS, "problem"), words(RESOLUTIONS, "resolution")))
+
+
 def overlapping(events: DataFrame, first: Column, last: Column, start: str = "from_day", end: str = "to_day") -> DataFrame:
     """Events that touch the range."""
     return events.where((F.col(start) <= last) & (F.col(end) >= first))

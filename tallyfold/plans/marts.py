@@ -129,12 +129,14 @@ def reporting_profile(t: Tables) -> DataFrame:
 
 
 def resolution_list(t: Tables) -> DataFrame:
-    """(vec_id, problem, resolution): what is wrong with a coordinate and what is done, by precedence."""
+    """(vec_id, problem, in_supply, is_open, resolution, reason): what is wrong with a coordinate and what follows.
+
+    A third of the places stand for the supply, and a fifth is closed.
+    """
     p = q_joins.placed(t)
     status = joins.place_status(F.col("declared"), F.col("area"), F.col("n_inside"), F.col("n_border"), F.col("x"))
-    rows = p.select("vec_id", status.alias("problem")).where("problem <> 'match'")
-    fix = F.when(F.col("problem") == "no_coordinates", "ask").when(F.col("problem") == "differs", "keep_declared").when(F.col("problem") == "ambiguous", "keep_declared").otherwise("drop")
-    return rows.withColumn("resolution", fix)
+    rows = p.select("vec_id", status.alias("problem"), (F.col("vec_id") % 3 == 0).alias("in_supply"), (F.col("vec_id") % 5 != 0).alias("is_open")).where("problem <> 'match'")
+    return joins.resolved(rows)
 
 
 def proximity(t: Tables) -> DataFrame:

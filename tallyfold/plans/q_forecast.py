@@ -406,8 +406,11 @@ def pairs(t: Tables, squared: bool = False) -> DataFrame:
 
 
 _TAIL = "(0.5 * (1 / (1 + 0.3275911 * x)) * (0.254829592 + (1 / (1 + 0.3275911 * x)) * (-0.284496736 + (1 / (1 + 0.3275911 * x)) * (1.421413741 + (1 / (1 + 0.3275911 * x)) * (-1.453152027 + (1 / (1 + 0.3275911 * x)) * 1.061405429)))) * exp(-x * x))"
+#: Numbers of sets of the ranks 1 to n by their sum, rank by rank.
+_EXACT = """least(2 * list_sum(list_slice(list_reduce([list_transform(range(1, 1277), lambda j: CASE WHEN j = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)] || list_transform(range(1, CAST(n AS BIGINT) + 1), lambda i: [i::DOUBLE]),
+    lambda c, r: list_transform(range(1, 1277), lambda j: c[j] + CASE WHEN j > r[1] THEN c[j - CAST(r[1] AS BIGINT)] ELSE 0 END)), 1, CAST(floor(w) AS BIGINT) + 1)) / pow(2::DOUBLE, n), 1)"""
 WILCOXON = f"""{PAIRS}, d AS (SELECT level, horizon, round(d, 9) AS d FROM pairs WHERE round(d, 9) <> 0), r AS (SELECT level, horizon, d, rank() OVER (PARTITION BY level, horizon ORDER BY abs(d)) + (count(*) OVER (PARTITION BY level, horizon, abs(d)) - 1) / 2.0::DOUBLE AS rank, count(*) OVER (PARTITION BY level, horizon, abs(d)) AS ties FROM d),
-    s AS (SELECT level, horizon, count(*)::DOUBLE AS n, least(sum(rank) FILTER (d > 0), sum(rank) FILTER (d < 0)) AS w, sum(ties * ties - 1)::DOUBLE AS tied FROM r GROUP BY ALL), z AS (SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48) AS z FROM s), x AS (SELECT *, abs(z) / sqrt(2::DOUBLE) AS x FROM z), wilcoxon AS (SELECT level, horizon, CAST(n AS BIGINT) AS n, w, z, least(2 * {_TAIL}, 1) AS p FROM x)"""
+    s AS (SELECT level, horizon, count(*)::DOUBLE AS n, least(sum(rank) FILTER (d > 0), sum(rank) FILTER (d < 0)) AS w, sum(ties * ties - 1)::DOUBLE AS tied FROM r GROUP BY ALL), z AS (SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48) AS z FROM s), x AS (SELECT *, abs(z) / sqrt(2::DOUBLE) AS x FROM z), wilcoxon AS (SELECT level, horizon, CAST(n AS BIGINT) AS n, w, z, CASE WHEN n <= 50 AND tied = 0 THEN {_EXACT} ELSE least(2 * {_TAIL}, 1) END AS p FROM x)"""
 
 
 @section(f"WITH {WILCOXON}, e AS (SELECT level, horizon, avg(a) AS a, avg(b) AS b, avg(CASE WHEN b < a THEN 1.0::DOUBLE ELSE 0 END) AS wins FROM pairs GROUP BY ALL) SELECT level, horizon, n, w, round(z, 6) AS z, round(p, 6) AS p, round(100 * (b / a - 1), 6) AS change, round(wins, 6) AS wins FROM wilcoxon JOIN e USING (level, horizon)")

@@ -115,7 +115,11 @@ def j14_supply_layer(t: Tables) -> DataFrame:
     return p.groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.count("area").alias("placed"))
 
 
-@section(f"WITH {PLACED} SELECT vec_id, status AS problem, CASE status WHEN 'no_coordinates' THEN 'ask' WHEN 'outside' THEN 'drop' ELSE 'keep_declared' END AS resolution FROM status WHERE status <> 'match'")
+_REASONS = {"locate": "in the supply: to be located from a verifiable source before distances are measured", "leave_closed": "closed: not in the supply, neither located nor imputed", "leave_outside": "open but not in the supply: its coordinates are not used"}
+
+
+@section(f"""WITH {PLACED}, r AS (SELECT vec_id, status AS problem, vec_id % 3 = 0 AS in_supply, vec_id % 5 <> 0 AS is_open, CASE WHEN vec_id % 3 = 0 THEN 'locate' WHEN vec_id % 5 = 0 THEN 'leave_closed' ELSE 'leave_outside' END AS resolution FROM status WHERE status <> 'match')
+    SELECT *, CASE problem WHEN 'no_coordinates' THEN 'has no coordinates' WHEN 'outside' THEN 'lies in no area' WHEN 'ambiguous' THEN 'lies on a border' ELSE 'lies in another area than declared' END || '; ' || CASE resolution {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _REASONS.items())} END AS reason FROM r""")
 def j15_resolution_list(t: Tables) -> DataFrame:
     return marts.resolution_list(t)
 
@@ -162,21 +166,24 @@ def k2_stress_level(t: Tables) -> DataFrame:
     return capacity.stress_level(tight(t), "area")
 
 
-def _scenario(rows: str, cutoff: str) -> str:
+def _scenario(rows: str, now: str) -> str:
     return f"""(SELECT area, CASE WHEN last >= now_ OR now_ - last > 12 THEN 'not closed or old' WHEN n <> 12 THEN 'missing months' WHEN bad > 0 THEN 'incomplete or closed' END AS reason, CASE WHEN n = 12 AND bad = 0 AND last < now_ AND now_ - last <= 12 THEN (peak * 100 + 755160 * 85 - 1) // (755160 * 85) END AS target, (peak * 100 + 755160 * 90 - 1) // (755160 * 90) AS target_tight_, beds FROM (
-        SELECT area, count(*) AS n, max(k) AS last, CAST(max(occupied * (755160 // {_DAYS})) AS BIGINT) AS peak, count(*) FILTER (occupied < 0 OR available <= 0) AS bad, arg_max(available / {_DAYS}, month) AS beds, year(DATE '{cutoff}') * 12 + month(DATE '{cutoff}') AS now_
+        SELECT area, count(*) AS n, max(k) AS last, CAST(max(occupied * (755160 // {_DAYS})) AS BIGINT) AS peak, count(*) FILTER (occupied < 0 OR available <= 0) AS bad, arg_max(available / {_DAYS}, month) AS beds, {now} AS now_
         FROM (SELECT *, year(month) * 12 + month(month) AS k, max(year(month) * 12 + month(month)) OVER (PARTITION BY area) AS m FROM {rows}) WHERE k > m - 12 GROUP BY 1))"""
 
 
-@section(f"WITH {TIGHT}, s AS (SELECT * FROM {_scenario('tight', '2001-12-15')}) SELECT area, reason, CAST(target AS BIGINT) AS target, CASE WHEN reason IS NULL THEN CAST(target_tight_ AS BIGINT) END AS target_tight, CASE WHEN reason IS NULL THEN greatest(target - beds, 0) END AS gap, CASE WHEN reason IS NULL THEN CAST(greatest(ceil(target - coalesce(CASE WHEN area % 4 <> 0 THEN area + 5.0::DOUBLE END, beds)), 0) AS BIGINT) END AS increase FROM s")
+@section(f"WITH {TIGHT}, s AS (SELECT * FROM {_scenario('tight', '2001 * 12 + 12')}) SELECT area, reason, CAST(target AS BIGINT) AS target, CASE WHEN reason IS NULL THEN CAST(target_tight_ AS BIGINT) END AS target_tight, CASE WHEN reason IS NULL THEN greatest(target - beds, 0) END AS gap, CASE WHEN reason IS NULL THEN CAST(greatest(ceil(target - coalesce(CASE WHEN area % 4 <> 0 THEN area + 5.0::DOUBLE END, beds)), 0) AS BIGINT) END AS increase FROM s")
 def k3_bed_scenario(t: Tables) -> DataFrame:
     declared = t.nation.select(F.col("n_nationkey").alias("area"), F.when(F.col("n_nationkey") % 4 != 0, F.col("n_nationkey") + 5.0).alias("declared"))
     return capacity.bed_scenario(tight(t), "area", declared, "2001-12-15")
 
 
-@section("WITH " + TIGHT + ", " + ", ".join(f"p{y} AS (SELECT * FROM tight WHERE month < DATE '{y}-01-01'), s{y} AS (SELECT area, {y} AS year, CAST(target AS BIGINT) AS target FROM {_scenario(f'p{y}', f'{y}-01-15')} WHERE reason IS NULL)" for y in (1998, 2000)) + f", s AS (SELECT * FROM s1998 UNION ALL SELECT * FROM s2000) SELECT s.area, s.year, target, count(*) AS months, count(*) FILTER (occupied / {_DAYS} <= target) AS kept FROM s JOIN tight ON tight.area = s.area AND year(month) = s.year GROUP BY ALL")
+_THEN = "then_ AS (SELECT area * 10000 + y AS area, month, occupied, available FROM tight, (SELECT DISTINCT year(month) AS y FROM tight) WHERE month < make_date(y, 1, 1))"
+
+
+@section(f"WITH {TIGHT}, {_THEN}, s AS (SELECT CAST(area // 10000 AS INTEGER) AS area, CAST(area % 10000 AS INTEGER) AS year, CAST(target AS BIGINT) AS target FROM {_scenario('then_', '(area % 10000) * 12 + 1')} WHERE reason IS NULL) SELECT s.area, s.year, target, count(*) AS months, count(*) FILTER (occupied / {_DAYS} <= target) AS kept FROM s JOIN tight ON tight.area = s.area AND year(month) = s.year GROUP BY ALL")
 def k4_scenario_check(t: Tables) -> DataFrame:
-    return capacity.scenario_check(tight(t), "area", [1998, 2000])
+    return capacity.scenario_check(tight(t), "area")
 
 
 @section(f"WITH {TIGHT}, e AS (SELECT area, quantile_cont(available / {_DAYS}, 0.5) AS median, max(available / {_DAYS}) AS largest FROM tight WHERE available > 0 GROUP BY 1), l AS (SELECT area, 'median' AS estimate, median AS beds FROM e UNION ALL SELECT area, 'largest', largest FROM e), d AS (SELECT n_nationkey AS area, n_nationkey + 5 AS declared FROM nation WHERE n_nationkey % 4 <> 0) SELECT estimate, count(*) AS n, count(*) FILTER (abs(round_even(beds, 0) - declared) = 0) AS exact, count(*) FILTER (abs(round_even(beds, 0) - declared) <= 1) AS near, round(avg(abs(beds - declared)), 6) AS mae FROM l JOIN d USING (area) GROUP BY 1")

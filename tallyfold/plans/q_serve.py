@@ -121,7 +121,9 @@ def q13_model_card(t: Tables) -> DataFrame:
     back = models.backtest(panel(t), ["naive"], HORIZONS)
     covered = back.agg(*evaluate.coverage_and_width(0.8)).select(F.col("n").alias("evaluations"), F.round("coverage", 6).alias("coverage"))
     now = serve.current_period(weekly_visits(t), "total").select(F.col("year").alias("partial_year"), F.col("week").alias("partial_week"))
-    return covered.crossJoin(now).crossJoin(readers.fingerprint(t.lineitem).select(F.col("xor_hash").alias("input_fingerprint"))).withColumns({"model": F.lit("naive"), "longest_horizon": F.lit(8)})
+    prints = readers.fingerprint(t.lineitem).select(F.col("xor_hash").alias("input_fingerprint"))
+    # one row each
+    return covered.crossJoin(F.broadcast(now)).crossJoin(F.broadcast(prints)).withColumns({"model": F.lit("naive"), "longest_horizon": F.lit(8)})
 
 
 @section(f"WITH {SPARSE}, m AS (SELECT max(first_day) AS m FROM sparse) SELECT priority, CAST(sum(n) FILTER (first_day > m - 364) AS BIGINT) AS last_year, max(first_day) FILTER (NOT late) AS cutoff, count(*) FILTER (late) AS late_weeks, avg(n) AS mean FROM sparse, m GROUP BY 1")

@@ -157,3 +157,20 @@ def test_fingerprint_ignores_order(spark):
 def test_row_hashes_tell_fields_and_nulls_apart(spark):
     rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("-", "x"), ("\\N", "x"), ("1:a", ""), ("", "1:a")], "p string, q string")
     assert readers.provenance(rows, "s", ["p", "q"]).select("row_sha256").distinct().count() == rows.count()
+
+
+def test_exact_signed_rank_p(spark):
+    import itertools
+
+    rows, want = [], []
+    for n in (1, 2, 5, 9):
+        sums = [sum(k for k, on in zip(range(1, n + 1), signs) if on) for signs in itertools.product((0, 1), repeat=n)]
+        for w in range(n * (n + 1) // 4 + 1):
+            rows.append((n, float(w)))
+            want.append(min(1.0, 2 * sum(s <= w for s in sums) / len(sums)))
+    # published critical values at 5 %, two-sided
+    rows += [(n, float(w + d)) for n, w in ((6, 0), (10, 8), (15, 25), (20, 52), (25, 89)) for d in (0, 1)]
+    got = [r[0] for r in spark.createDataFrame(rows, "n int, w double").coalesce(1).select(evaluate.signed_rank_p(F.col("n"), F.col("w"))).collect()]
+    assert got[: len(want)] == pytest.approx(want)
+    rest = got[len(want) :]
+    assert all(p <= 0.05 for p in rest[::2]) and all(p > 0.05 for p in rest[1::2])
