@@ -2,17 +2,19 @@
 
 The lexicon holds the terms (lower-case runs of letters and digits) whose document frequency, counted over all
 documents, lies in the band [``LOW``, ``HIGH``] of the documents, and in two documents at least. A text that has many
-exact copies counts once, so that a large group of copies does not put its terms over the band. Terms are dealt by a
-hash into ``SUBSETS`` random subsets. For each subset the distinct terms of a text that lie in it are sorted and
-hashed; the fingerprint is the row of these hashes. Where a text has no term of the band in a subset, its terms there
-that are more frequent than the band are hashed instead, and where there are none either, its rarer ones: so near
-copies of a text that a large share of documents holds, whose terms are all over the band, keep like fingerprints,
-and texts of rare words do too. ``------`` stands where a subset has no term of the text. A text without terms is known
-by a hash of the whole text. The likeness of two fingerprints is the share of equal hashes among the subsets where
-either has one.
-
-The band and the terms over it are broadcast while they are at most ``MOST_TERMS``: there are at most (mean number of
-distinct terms) / ``LOW`` of them, whatever the number of documents. The texts are shuffled once, into buckets of
+exact copies counts once, so that a large group of copies does not put its terms over the band. Each term of the
+band lies in ``DEALS`` of ``SUBSETS`` lexicon subsets, chosen by a hash, so that subsets overlap. For each subset the
+distinct terms of a text that lie in it are sorted and hashed; the fingerprint is the row of these hashes, ``------``
+where a text has no term of the subset. The likeness of two fingerprints is the share of equal hashes among the subsets
+where either has one.
+
+Terms out of the band never enter the fingerprint of a text that has enough of the band: one in ``NEED`` of its distinct
+terms. A text with fewer, as near copies of a text that a large share of documents holds, whose terms are all over the
+band, or a text of rare words alone, is known by all of its terms instead, dealt to subsets alike. A text without terms
+is known by a hash of the whole text.
+
+The lexicon is broadcast while it has at most ``MOST_TERMS``: there are at most (mean number of distinct terms) / ``LOW``
+of them, whatever the number of documents. The texts are shuffled once, into buckets of
 neighbouring ids of about ``BUCKET_ROWS``, and all that follows (the next document's text, the terms, the hashes) keeps
 that partitioning; only the first text of each bucket goes to the bucket before as well.
 
@@ -35,15 +37,17 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import settle
 
 LOW, HIGH = 1 / 2000, 1 / 40
-SUBSETS = 64
+SUBSETS, DEALS = 192, 2
+#: Bits of a term's hash; the number of a subset, 8 bits, stands over them.
+BITS = 55
 SEED = 17
+#: A text is known by its terms of the band if they are one in so many of its terms.
+NEED = 8
 #: Documents of one bucket, and the most buckets; beyond them buckets grow, which sort and window spill.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 16
 MOST_TERMS = 4_000_000
 #: A text counts once if it is this share of ``HIGH`` of the documents at least.
 HEAVY = 0.1
-#: Which hash a subset takes: the least of these that it has terms of.
-BAND, OVER, RARE = 0, 1, 2
 MARK = "\x01"
 
 
@@ -53,15 +57,15 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, tier): the terms in the band, and those over it."""
+    """(term, in_band): the terms in the band."""
     total = docs.count()
     body = F.coalesce("text", F.lit(""))
     # at most 1 / (HEAVY * high) rows
     heavy = docs.groupBy(F.xxhash64(body).alias("same")).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= max(2, HEAVY * high * total))
     rows = docs.select(body.alias("body"), F.xxhash64(body).alias("same")).join(F.broadcast(heavy), "same", "left").select("body", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
     found = rows.select("weight", F.explode(terms(F.col("body"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("weight"), 6).alias("df"))
-    kept = found.where((F.col("term") != "") & (F.col("rows") >= 2) & (F.col("df") >= low * total))
-    return settle(kept.select("term", F.when(F.col("df") <= max(2, high * total), BAND).otherwise(OVER).alias("tier")), "imatch-lexicon")
+    kept = found.where((F.col("term") != "") & (F.col("rows") >= 2) & (F.col("df") >= low * total) & (F.col("df") <= max(2, high * total)))
+    return settle(kept.select("term", F.lit(True).alias("in_band")), "imatch-lexicon")
 
 
 def _cut(ids: Column, cuts: list[int]) -> Column:
@@ -108,23 +112,34 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return placed.select("bucket", "at", "doc_id", "text", F.col("follows")["text"].alias("next_text"), (F.col("follows")["guest"] == 1).alias("last"))
 
 
-def packed(tier: Column, term: Column) -> Column:
-    """Subset, tier and hash of a term in one number; numbers are in the order of these three."""
-    h = F.xxhash64(F.lit(SEED), term)
-    return F.shiftleft(F.pmod(h, F.lit(SUBSETS)), 56).bitwiseOR(F.shiftleft(tier.cast("long"), 54)).bitwiseOR(F.shiftrightunsigned(h, 10))
+def packed(in_band: Column, term: Column) -> Column:
+    """Hash of a term in 55 bits, and over them a bit for terms out of the band."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), term), 64 - BITS).bitwiseOR(F.when(in_band, F.lit(0)).otherwise(F.lit(1 << BITS)))
+
+
+def counted(numbers: Column) -> Column:
+    """The ``packed`` terms that a text is known by: those of the band, or all if there are too few of them."""
+    band = F.filter(numbers, lambda x: x < (1 << BITS))
+    return F.when(F.size(band) * NEED >= F.size(numbers), band).otherwise(F.transform(numbers, lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1))))
+
+
+def dealt(numbers: Column) -> Column:
+    """Each term once for each of its subsets, whose number stands over the hash; other bits of the hash choose each."""
+    width = SUBSETS // DEALS
+    subset = lambda x, k: F.lit(k * width) + F.pmod(F.shiftright(x, 8 * k), F.lit(width))
+    return F.flatten(F.transform(numbers, lambda x: F.array(*(F.shiftleft(subset(x, k), BITS).bitwiseOR(x) for k in range(DEALS)))))
 
 
 def subset_hashes(numbers: Column) -> Column:
-    """Hash by subset from an array of ``packed`` terms; in each subset only those of its least tier count."""
-    entry = lambda s: F.array_append(s["done"], F.struct(F.shiftright(s["group"], 2).cast("int").alias("subset"), s["hash"].alias("hash")))
+    """Hash by subset from an array of ``dealt`` terms."""
+    entry = lambda s: F.array_append(s["done"], F.struct(s["group"].cast("int").alias("subset"), s["hash"].alias("hash")))
     state = lambda group, h, done: F.struct(group.alias("group"), h.alias("hash"), done.alias("done"))
 
     def step(s, x):
-        group = F.shiftright(x, 54)
-        same_subset = F.shiftright(s["group"], 2) == F.shiftright(group, 2)
-        return F.when(s["group"] == group, state(s["group"], F.xxhash64(s["hash"], x), s["done"])).when(same_subset, s).otherwise(state(group, F.xxhash64(F.lit(SEED), x), entry(s)))
+        group = F.shiftright(x, BITS)
+        return F.when(s["group"] == group, state(s["group"], F.xxhash64(s["hash"], x), s["done"])).otherwise(state(group, F.xxhash64(F.lit(SEED), x), entry(s)))
 
-    start = state(F.lit(-4).cast("long"), F.lit(0).cast("long"), F.array().cast("array<struct<subset:int,hash:bigint>>"))
+    start = state(F.lit(-1).cast("long"), F.lit(0).cast("long"), F.array().cast("array<struct<subset:int,hash:bigint>>"))
     return F.aggregate(F.sort_array(numbers), start, step, lambda s: F.map_from_entries(entry(s)))
 
 
@@ -161,10 +176,10 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     words = words.select("bucket", "at", "which", "term", F.when(F.col("term") == MARK, F.col("about")).alias("about"))
     words = words.where("term <> ''").join(lex, "term", "left")
     by_text = words.groupBy("bucket", "at", "which").agg(
-        F.first("about", ignorenulls=True).alias("known"), F.collect_list(F.when(F.col("term") != MARK, packed(F.coalesce("tier", F.lit(RARE)), F.col("term")))).alias("numbers")
+        F.first("about", ignorenulls=True).alias("known"), F.collect_list(F.when(F.col("term") != MARK, packed(F.coalesce("in_band", F.lit(False)), F.col("term")))).alias("numbers")
     )
     # bound to a lambda, the hashes of a text are made once
-    printed = by_text.select("bucket", "at", "which", F.col("known.about").alias("about"), F.transform(F.array(subset_hashes(F.col("numbers"))), lambda m: _fingerprint(m, F.col("known.whole")))[0].alias("print"))
+    printed = by_text.select("bucket", "at", "which", F.col("known.about").alias("about"), F.transform(F.array(subset_hashes(dealt(counted(F.col("numbers"))))), lambda m: _fingerprint(m, F.col("known.whole")))[0].alias("print"))
     pick = lambda k: F.first(F.when(F.col("which") == k, F.col("print")), ignorenulls=True)
     rows = printed.groupBy("bucket", "at").agg(F.first("about", ignorenulls=True).alias("about"), pick(0).alias("own"), pick(1).alias("edited"), pick(2).alias("over"))
     following = F.coalesce(F.lead("own").over(W.partitionBy("bucket").orderBy("at")), F.col("over"))

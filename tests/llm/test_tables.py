@@ -48,8 +48,7 @@ def brute_prints(texts, low, high):
         rows.update(w)
         for x in w:
             df[x] += 1 / copies[t] if copies[t] >= heavy else 1
-    tier = lambda x: imatch.RARE if rows[x] < 2 or df[x] < low * len(texts) - 1e-9 else imatch.BAND if df[x] <= max(2, high * len(texts)) + 1e-9 else imatch.OVER
-    return words, tier
+    return words, {x for x in df if rows[x] >= 2 and low * len(texts) - 1e-9 <= df[x] <= max(2, high * len(texts)) + 1e-9}
 
 
 def test_fingerprints_against_the_definition(spark):
@@ -62,16 +61,23 @@ def test_fingerprints_against_the_definition(spark):
         texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in imatch.fingerprints(df, 1 / 50, 1 / 10).collect()}
-    words, tier = brute_prints(texts, 1 / 50, 1 / 10)
-    lex = {r.term: r.tier for r in imatch.lexicon(df, 1 / 50, 1 / 10).collect()}
-    assert lex == {x: tier(x) for x in set().union(*words) if tier(x) != imatch.RARE}
-    hashes = {r.term: r.h for r in spark.createDataFrame([(x,) for x in set().union(*words)], "term string").select("term", F.pmod(F.xxhash64(F.lit(imatch.SEED), "term"), F.lit(imatch.SUBSETS)).alias("h")).collect()}
+    words, band = brute_prints(texts, 1 / 50, 1 / 10)
+    assert {r.term for r in imatch.lexicon(df, 1 / 50, 1 / 10).collect()} == band
+    hashes = {r.term: r.h for r in spark.createDataFrame([(x,) for x in set().union(*words)], "term string").select("term", F.shiftrightunsigned(F.xxhash64(F.lit(imatch.SEED), "term"), 9).alias("h")).collect()}
+
+    def known_by(w):
+        own = [x for x in w if x in band]
+        return own if len(own) * imatch.NEED >= len(w) else w
 
     def parts(w):
         by = collections.defaultdict(list)
-        for x in w:
-            by[hashes[x]].append(x)
-        return [tuple(x for x in by[k] if tier(x) == min(map(tier, by[k]))) if by[k] else () for k in range(imatch.SUBSETS)]
+        for x in known_by(w):
+            by[hashes[x] % 96].append(x)
+            by[96 + (hashes[x] >> 8) % 96].append(x)
+        return [tuple(by[k]) for k in range(imatch.SUBSETS)]
+
+    # what is not of the band counts only where there is too little of it
+    assert 20 < sum(known_by(w) is not w for w in words) < len(words)
 
     def like(a, b):
         pairs = [(x, y) for x, y in zip(parts(a), parts(b)) if x or y]
