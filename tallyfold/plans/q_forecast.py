@@ -409,8 +409,12 @@ _TAIL = "(0.5 * (1 / (1 + 0.3275911 * x)) * (0.254829592 + (1 / (1 + 0.3275911 *
 #: Numbers of sets of the ranks 1 to n by their sum, rank by rank.
 _EXACT = """least(2 * list_sum(list_slice(list_reduce([list_transform(range(1, 1277), lambda j: CASE WHEN j = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)] || list_transform(range(1, CAST(n AS BIGINT) + 1), lambda i: [i::DOUBLE]),
     lambda c, r: list_transform(range(1, 1277), lambda j: c[j] + CASE WHEN j > r[1] THEN c[j - CAST(r[1] AS BIGINT)] ELSE 0 END)), 1, CAST(floor(w) AS BIGINT) + 1)) / pow(2::DOUBLE, n), 1)"""
-WILCOXON = f"""{PAIRS}, d AS (SELECT level, horizon, round(d, 9) AS d FROM pairs WHERE round(d, 9) <> 0), r AS (SELECT level, horizon, d, rank() OVER (PARTITION BY level, horizon ORDER BY abs(d)) + (count(*) OVER (PARTITION BY level, horizon, abs(d)) - 1) / 2.0::DOUBLE AS rank, count(*) OVER (PARTITION BY level, horizon, abs(d)) AS ties FROM d),
-    s AS (SELECT level, horizon, count(*)::DOUBLE AS n, least(sum(rank) FILTER (d > 0), sum(rank) FILTER (d < 0)) AS w, sum(ties * ties - 1)::DOUBLE AS tied FROM r GROUP BY ALL), z AS (SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48) AS z FROM s), x AS (SELECT *, abs(z) / sqrt(2::DOUBLE) AS x FROM z), wilcoxon AS (SELECT level, horizon, CAST(n AS BIGINT) AS n, w, z, CASE WHEN n <= 50 AND tied = 0 THEN {_EXACT} ELSE least(2 * {_TAIL}, 1) END AS p FROM x)"""
+def _signed_rank(source: str, by: str) -> str:
+    return f"""d AS (SELECT {by}, round(d, 9) AS d FROM {source} WHERE round(d, 9) <> 0), r AS (SELECT {by}, d, rank() OVER (PARTITION BY {by} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {by}, abs(d)) - 1) / 2.0::DOUBLE AS rank, count(*) OVER (PARTITION BY {by}, abs(d)) AS ties FROM d),
+    s AS (SELECT {by}, count(*)::DOUBLE AS n, least(sum(rank) FILTER (d > 0), sum(rank) FILTER (d < 0)) AS w, sum(ties * ties - 1)::DOUBLE AS tied FROM r GROUP BY ALL), z AS (SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48) AS z FROM s), x AS (SELECT *, abs(z) / sqrt(2::DOUBLE) AS x FROM z), wilcoxon AS (SELECT {by}, CAST(n AS BIGINT) AS n, w, z, CASE WHEN n <= 50 AND tied = 0 THEN {_EXACT} ELSE least(2 * {_TAIL}, 1) END AS p FROM x)"""
+
+
+WILCOXON = f"{PAIRS}, {_signed_rank('pairs', 'level, horizon')}"
 
 
 @section(f"WITH {WILCOXON}, e AS (SELECT level, horizon, avg(a) AS a, avg(b) AS b, avg(CASE WHEN b < a THEN 1.0::DOUBLE ELSE 0 END) AS wins FROM pairs GROUP BY ALL) SELECT level, horizon, n, w, round(z, 6) AS z, round(p, 6) AS p, round(100 * (b / a - 1), 6) AS change, round(wins, 6) AS wins FROM wilcoxon JOIN e USING (level, horizon)")
@@ -452,6 +456,28 @@ def n11_conformal_effect(t: Tables) -> DataFrame:
     return rounded(rounded(out, "coverage"), "width", digits=4)
 
 
+_SUMMED = "SELECT '{m}' AS method, origin, horizon, series_id, y_pred FROM {s} WHERE level = 'leaf' UNION ALL SELECT '{m}', origin, horizon, 'S' || CAST(service AS VARCHAR), sum(y_pred) FROM {s} WHERE level = 'leaf' GROUP BY origin, horizon, service"
+_GAINS = f"""{HYBRID}, {SCALES}, {_TOP.replace('f AS (', 'tf AS (', 1).replace('JOIN f USING', 'JOIN tf USING')}, {_WLS[: _WLS.index('SELECT x.origin')].rstrip()}, m AS ({_SUMMED.format(m='bottom_up', s='hybrid')} UNION ALL SELECT 'bottom_up', origin, horizon, 'TOTAL', sum(y_pred) FROM hybrid WHERE level = 'leaf' GROUP BY origin, horizon
+    UNION ALL {_SUMMED.format(m='top_down', s='scaled')} UNION ALL SELECT 'top_down', origin, horizon, series_id, y_pred FROM hybrid WHERE level = 'total' UNION ALL SELECT 'structural', origin, horizon, series_id, new FROM every),
+    gains AS (SELECT method, h.level, abs(h.y_real - h.y_pred) / mase_scale AS a, abs(h.y_real - m.y_pred) / mase_scale AS b, abs(h.y_real - m.y_pred) / mase_scale - abs(h.y_real - h.y_pred) / mase_scale AS d FROM hybrid h JOIN m USING (origin, horizon, series_id) JOIN scales USING (series_id)), {_signed_rank('gains', 'method, level')}"""
+
+
+@section(f"WITH {_GAINS}, e AS (SELECT method, level, avg(a) AS a, avg(b) AS b, avg(CASE WHEN b < a THEN 1.0::DOUBLE ELSE 0 END) AS wins FROM gains GROUP BY ALL) SELECT e.method, e.level, n, round(p, 5) AS p, round(100 * (b / a - 1), 6) AS change, round(wins, 6) AS wins FROM e LEFT JOIN wilcoxon w ON w.method = e.method AND w.level = e.level")
+def n11_reconciliation_gain(t: Tables) -> DataFrame:
+    """What each reconciliation gains over the forecasts that it starts from, by level, with a paired test."""
+    base, scale = t.kept("hybrid", lambda: hybrid(t)), scales(t)
+    methods = {"bottom_up": reconcile.bottom_up, "top_down": reconcile.top_down, "structural": reconcile.structural}
+    made = None
+    for name, method in methods.items():
+        rows = evaluate.paired(base, method(base, KEYS), scale).withColumn("method", F.lit(name))
+        made = rows if made is None else made.unionByName(rows)
+    both = t.kept("gains", lambda: made)
+    tests, means = evaluate.wilcoxon(both, ["method", "level"]), evaluate.paired_summary(both, ["method", "level"])
+    # a row for each method and level
+    out = means.join(F.broadcast(tests.select("method", "level", "n", "p")), ["method", "level"], "left")
+    return rounded(rounded(out, "change", "wins"), "p", digits=5).select("method", "level", "n", "p", "change", "wins")
+
+
 @section(f"""WITH {BACK}, {SCALES}, p AS (SELECT model, level, CASE WHEN origin >= (SELECT max(origin) - 8 FROM origins) THEN 'holdout' ELSE 'backtest' END AS part, avg(abs(y_real - y_pred) / mase_scale) AS mase FROM back JOIN scales USING (series_id) GROUP BY ALL)
     SELECT a.level, a.part, round(1 - a.mase / b.mase, 6) AS skill FROM p a JOIN p b ON a.level = b.level AND a.part = b.part WHERE a.model = 'drift' AND b.model = 'naive'""")
 def n12_skill_degradation(t: Tables) -> DataFrame:
