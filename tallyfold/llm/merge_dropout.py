@@ -12,7 +12,7 @@ One step handles the top pair of every word of a block at once with numpy; words
 
 Cases: null text is the empty text; the empty text has no pieces and decodes to the empty text; a word
 mark inside a text is kept as bytes; white space, control characters and line ends are kept; equal
-documents with different ids get different pieces when the rate is above 0; extra columns are ignored
+documents with different ids get different pieces when the rate is above 0; an empty table gives no rows; extra columns are ignored
 by ``round_trip`` and kept by ``encode_column``.
 """
 

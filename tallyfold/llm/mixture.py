@@ -17,8 +17,8 @@ Running sums are taken in two steps (buckets of the hash, then within a bucket),
 task. The schedule has about ``SLOTS`` slots at any size, so slots grow with the input; a source's taken words are
 its target, rounded to a word, however small the source.
 
-Cases: null and empty texts have no words and are never taken; repeated rows count each; an empty table gives
-no rows; a source without words has target 0; extra columns are ignored by ``plan``.
+Cases: null and empty texts have no words and are never taken; repeated rows count each, and rows of one source that
+share an id, or have none, are put in order in one task; an empty table gives no rows; a source without words has target 0; extra columns are ignored by ``plan``.
 """
 
 from __future__ import annotations

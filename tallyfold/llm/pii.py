@@ -10,7 +10,7 @@ Spans are in code points, end exclusive. Within a kind they are leftmost and do
 fails its test is dropped and nothing inside it is tried again. All scans take time linear in the text.
 
 Cases: a null text has no spans, as the empty text; texts of any length are read whole; equal texts have
-equal spans; extra columns are ignored by ``find`` and kept by ``redact``.
+equal spans; an empty table gives no rows; extra columns are ignored by ``find`` and kept by ``redact``.
 """
 
 from __future__ import annotations

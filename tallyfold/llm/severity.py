@@ -12,7 +12,7 @@ Only the ``FEATURES`` hashed weights and the thresholds go to the executors.
 Cases: null and empty texts have no features and get the grade of the intercept, near 0; texts of any length are read
 whole; of documents that repeat an id the least text is fitted, once, and each is scored; labels that are null are
 left out of the fit; without a toxic and a clean label the model scores everything 0; equal texts get equal
-scores; extra columns are kept by ``score_column`` and ``keep_clean``, which replace a column named as their output.
+scores; an empty table of documents gives no rows, one of labels a model that scores 0; extra columns are kept by ``score_column`` and ``keep_clean``, which replace a column named as their output.
 """
 
 from __future__ import annotations

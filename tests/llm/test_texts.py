@@ -166,3 +166,15 @@ def test_severity_of_repeated_ids_and_long_texts(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
     model = severity.train(docs, labels, sample=3)
     assert severity.score_column(docs, model).groupBy("doc_id").count().where("doc_id = 1").first()["count"] == 300
+
+
+def test_empty_tables_of_texts(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert merge_dropout.round_trip(docs).count() == 0
+    assert pii.find(docs).count() == 0 and pii.redact(docs).count() == 0
+    assert wordpiece_count.token_counts(docs).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    some = spark.createDataFrame([(1, "vile")], "doc_id long, text string")
+    assert severity.score_column(docs, severity.train(docs, labels)).count() == 0
+    assert severity.score_column(some, severity.train(some, labels)).first().severity < 1e-9
+    assert severity.keep_clean(some, severity.train(docs, labels)).count() == 1
