@@ -35,6 +35,8 @@ from tallyfold.llm.common import settle
 SCALE, MOST = 256, 1 << 53
 COMPONENTS = 4
 ROUNDS = 30
+#: Eigenvalues that differ by no more than this share of the largest are always a cluster.
+NEAR = 1e-13
 #: Integers go to the driver in digits of so many bits.
 DIGIT, DIGITS = 40, 4
 _BLOCK = 8192
@@ -134,11 +136,13 @@ def eigenvectors(v: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nd
     moved = np.inf
     for _ in range(rounds):
         r, s = one - x.T @ x, x.T @ a @ x
+        # rounding that is not symmetric would be divided by small gaps
+        s = (s + s.T) / 2
         e = np.diag(s) / (1 - np.diag(r))
         order = np.argsort(e, kind="stable")
         x, e, r, s = x[:, order], e[order], r[np.ix_(order, order)], s[np.ix_(order, order)]
         off = float(np.linalg.norm((s - np.diag(e)).astype(np.float64)))
-        gap = 2 * (off + float(np.linalg.norm(r.astype(np.float64))))
+        gap = max(2 * (off + float(np.linalg.norm(r.astype(np.float64)))), NEAR * float(np.abs(e).max()))
         apart = np.abs(e[None, :] - e[:, None]) > gap
         change = np.where(apart, (s + e[None, :] * r) / np.where(apart, e[None, :] - e[:, None], 1), r / 2)
         x = x + x @ change
@@ -151,9 +155,11 @@ def eigenvectors(v: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nd
                 x[:, c] = x[:, c] @ np.linalg.eigh(inner)[1].astype(np.longdouble)
         now = float(np.abs(change).max())
         # rounding is all that is left once a step is no smaller than half the one before
-        if now < tiny or now < 1e-12 and now > moved / 2:
+        if now < tiny or now < 1e-6 and now > moved / 2:
             break
         moved = now
+    for _ in range(2):
+        x = x + x @ (one - x.T @ x) / 2
     x = x / np.sqrt((x * x).sum(0))
     e = ((a @ x) * x).sum(0)
     order = np.argsort(-e, kind="stable")
