@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyfold.functions import calendar
 from tallyfold.operators import panels
 
 SEASON = 52
@@ -192,6 +195,56 @@ def kpss_p(statistic: Column) -> Column:
     return p.when(statistic > KPSS_TABLE[-1][0], KPSS_TABLE[-1][1])
 
 
+def _newton(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Coefficients of the Poisson regression of counts that are not all 0; a step that is no gain is halved."""
+    gain = lambda b: float(y @ (x @ b) - np.exp(np.clip(x @ b, -60, 60)).sum())
+    beta = start
+    for _ in range(100):
+        mean = np.exp(np.clip(x @ beta, -60, 60))
+        step = np.linalg.lstsq((x * mean[:, None]).T @ x, x.T @ (y - mean), rcond=1e-12)[0]
+        for _ in range(30):
+            if gain(beta + step) >= gain(beta) - 1e-9 * abs(gain(beta)):
+                break
+            step = step / 2
+        beta = beta + step
+        if np.abs(step).max() < 1e-12:
+            break
+    return beta
+
+
+def harmonic_fits(panel: DataFrame, harmonics: int) -> DataFrame:
+    """(series_id, level, harmonics, deviance, fitted): Poisson regressions of each series on 0 to ``harmonics`` harmonics.
+
+    ``fitted`` lists the sums of each term (one, sin_1, cos_1, ...) times the fitted mean, which at the maximum are
+    those times the counts. A series' periods meet in one task; missing counts are left out; a series of zeros has a
+    deviance of 0.
+    """
+    terms = calendar.fourier(F.col("week"), harmonics)
+    rows = panel.where("y is not null").select("series_id", "level", "t", F.col("y").cast("double").alias("y"), F.array(F.lit(1.0), *terms.values()).alias("x"))
+
+    def fits(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("t")
+        x, y, out = np.stack(part["x"]), part["y"].to_numpy(), []
+        beta = np.array([np.log(max(y.mean(), 1e-9))])
+        for k in range(harmonics + 1):
+            use = x[:, : 1 + 2 * k]
+            mean = np.zeros(len(y))
+            if y.any():
+                beta = _newton(use, y, np.concatenate([beta, np.zeros(use.shape[1] - len(beta))]))
+                mean = np.exp(np.clip(use @ beta, -60, 60))
+            logs = np.where(y > 0, y * np.log(np.where(y > 0, y, 1) / np.maximum(mean, 1e-300)), 0)
+            out.append((part["series_id"].iloc[0], part["level"].iloc[0], k, 2 * float((logs - y + mean).sum()), (use.T @ mean).tolist()))
+        return pd.DataFrame(out, columns=["series_id", "level", "harmonics", "deviance", "fitted"])
+
+    return rows.groupBy("series_id").applyInPandas(fits, "series_id string, level string, harmonics int, deviance double, fitted array<double>")
+
+
+def harmonic_test(fits: DataFrame) -> DataFrame:
+    """(series_id, level, harmonics, deviance, ratio, p): the gain of each further harmonic and its chi-square tail of two degrees."""
+    ratio = F.lag("deviance").over(W.partitionBy("series_id").orderBy("harmonics")) - F.col("deviance")
+    return fits.withColumn("ratio", F.greatest(ratio, F.lit(0.0))).withColumn("ratio", F.when(F.col("harmonics") > 0, F.col("ratio"))).withColumn("p", F.exp(-F.col("ratio") / 2)).select("series_id", "level", "harmonics", "deviance", "ratio", "p")
+
+
 def stationarity(panel: DataFrame) -> DataFrame:
     """(series_id, kind, n, df, unit_root, kpss, kpss_p) of each series' level and first difference.
 

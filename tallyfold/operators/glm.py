@@ -33,12 +33,21 @@ class Fit(NamedTuple):
     terms: DataFrame
 
 
-def design(rows: DataFrame, names: list[str], until: int) -> DataFrame:
-    """``rows`` with ``x``, the features scaled by what rows up to period ``until`` show."""
+def scaling(rows: DataFrame, names: list[str], until: int) -> list[tuple[float, float]]:
+    """Mean and standard deviation (1 where it is 0) of each feature in rows up to period ``until``."""
     known = rows.where(F.col("t") <= until)
     facts = known.agg(*(F.avg(n).alias(f"m_{n}") for n in names), *(F.stddev_pop(n).alias(f"s_{n}") for n in names)).first()
-    scaled = [(F.col(n) - F.lit(float(facts[f"m_{n}"] or 0.0))) / F.lit(float(facts[f"s_{n}"] or 0.0) or 1.0) for n in names]
-    return rows.withColumn("x", F.array(*(c.cast("double") for c in scaled)))
+    return [(float(facts[f"m_{n}"] or 0.0), float(facts[f"s_{n}"] or 0.0) or 1.0) for n in names]
+
+
+def scaled(rows: DataFrame, names: list[str], by: list[tuple[float, float]]) -> DataFrame:
+    """``rows`` with ``x``, the features less their mean, by their deviation."""
+    return rows.withColumn("x", F.array(*(((F.col(n) - F.lit(m)) / F.lit(s)).cast("double") for n, (m, s) in zip(names, by))))
+
+
+def design(rows: DataFrame, names: list[str], until: int) -> DataFrame:
+    """``rows`` with ``x``, the features scaled by what rows up to period ``until`` show."""
+    return scaled(rows, names, scaling(rows, names, until))
 
 
 def series_term(total: np.ndarray, expected: np.ndarray, penalty: np.ndarray) -> np.ndarray:
@@ -181,6 +190,31 @@ def predict(rows: DataFrame, fitted: Fit, cells: list[Cell], names: list[str], f
     return at.withColumn("mu", _mean(len(names))).drop("beta", "until", "term")
 
 
+def score_sums(rows: DataFrame, names: list[str], origins: list[int], horizons: list[int], ridge: float = 1e-4) -> DataFrame:
+    """(origin, horizon, term, fitted): what the fit says of each sum that the score equations tie to the data.
+
+    At the maximum of the penalised likelihood, the sum of feature times fitted mean over the training rows, plus the
+    penalty's part, is the sum of feature times target; and each series' fitted sum, plus its part, is the sum of its
+    targets. ``term`` names the feature or the series.
+    """
+    by = scaling(rows, names, min(origins))
+    rows = scaled(rows.where("y is not null"), names, by)
+    cells = [(o, h, o) for o in origins for h in horizons]
+    fitted = fit(rows, cells, ridge)
+    terms = shared.kept(fitted.terms, "series-terms")
+    # from the first period on
+    past = shared.kept(predict(rows, fitted._replace(terms=terms), cells, names, -max(origins) - 1, 0).select("origin", "horizon", "series_id", "mu", *names), "fitted-past")
+    schema = "origin int, horizon int, pulls array<double>"
+    pulls = rows.sparkSession.createDataFrame([(int(o), int(h), [float(b * s * ridge) for b, (_, s) in zip(beta[1:], by)]) for (o, h, _), beta in fitted.beta.items()], schema)
+    sums = past.groupBy("origin", "horizon").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(n) * F.col("mu")).alias(n) for n in names))
+    # a row for each regression
+    whole = sums.join(F.broadcast(pulls), ["origin", "horizon"]).withColumns({n: F.col(n) + F.col("n") * F.col("pulls")[k] for k, n in enumerate(names)})
+    own = past.groupBy("origin", "horizon", "series_id").agg(F.sum("mu").alias("own")).join(F.broadcast(sums.select("origin", "horizon", "n")), ["origin", "horizon"])
+    own = own.join(terms.withColumnRenamed("until", "origin").hint("shuffle_hash"), ["origin", "horizon", "series_id"])
+    own = own.select("origin", "horizon", F.col("series_id").alias("term"), (F.col("own") + ridge * F.col("n") * F.col("term")).alias("fitted"))
+    return whole.unpivot(["origin", "horizon"], names, "term", "fitted").unionByName(own)
+
+
 def forecasts(rows: DataFrame, names: list[str], origins: list[int], horizons: list[int], calibration: int = 26, coverage: float = 0.8, ridge: float = 1e-4) -> DataFrame:
     """(origin, horizon, series_id, level, service, t, y_real, y_pred, lo, hi, phi): fitted on targets up to each origin.
 

@@ -138,6 +138,14 @@ def seasonal_poisson(total: DataFrame, origin: int, half_life: float = 104.0, ha
     return Pipeline(stages=stages).fit(rows.where((F.col("t") <= origin) & F.col("y").isNotNull())).transform(rows.withColumn("y", F.col("y").cast("double"))).select(*total.columns, "mu")
 
 
+def seasonal_scores(total: DataFrame, origin: int, half_life: float = 104.0, harmonics: int = 2) -> DataFrame:
+    """(term, fitted): weighted sums of each term times the fitted mean, which at the maximum are those times the count."""
+    fitted = seasonal_poisson(total, origin, half_life, harmonics).where((F.col("t") <= origin) & F.col("y").isNotNull())
+    terms = {"one": F.lit(1.0), **calendar.fourier(F.col("week"), harmonics)}
+    sums = fitted.agg(*(F.sum(age_weight(origin, half_life) * x * F.col("mu")).alias(n) for n, x in terms.items()))
+    return sums.unpivot([], list(terms), "term", "fitted")
+
+
 def age_weight(origin: int, half_life: float) -> Column:
     return F.pow(F.lit(0.5), (F.lit(origin) - F.col("t")) / half_life)
 
@@ -203,10 +211,20 @@ def _origins(at: DataFrame) -> list[int]:
     return sorted(r[0] for r in at.select("origin").collect())
 
 
+def _features(panel: DataFrame, rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in ("series_id", "level", "service", "t", "year", "week", "y", "horizon") and c not in panel.columns]
+
+
+def poisson_scores(panel: DataFrame, origins: list[int], horizons: list[int]) -> DataFrame:
+    """The sums that the score equations of the Poisson regressions tie to the data (``glm.score_sums``)."""
+    rows = _supervised(panel, horizons)
+    return glm.score_sums(rows, _features(panel, rows), origins, horizons)
+
+
 def poisson(panel: DataFrame, at: DataFrame, horizons: list[int]) -> DataFrame:
     """A global Poisson regression for each origin and horizon, with quantiles of counts as bounds."""
     rows = _supervised(panel, horizons)
-    names = [c for c in rows.columns if c not in ("series_id", "level", "service", "t", "year", "week", "y", "horizon") and c not in panel.columns]
+    names = _features(panel, rows)
     return glm.forecasts(rows, names, _origins(at), horizons).select(F.lit("poisson").alias("model"), *COLUMNS[1:])
 
 

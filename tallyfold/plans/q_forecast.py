@@ -38,6 +38,15 @@ HYBRID = f"{BACK}, hybrid AS (SELECT 'hybrid' AS model, origin, horizon, series_
 SCALES = "scales AS (SELECT series_id, nullif(avg(abs(r)), 0) AS mase_scale, nullif(avg(r * r), 0) AS rmsse_scale FROM res WHERE t <= (SELECT min(origin) FROM origins) GROUP BY 1)"
 
 
+def fitted_backtest(t: Tables) -> DataFrame:
+    """Predictions of the fitted models from the same origins."""
+    return t.kept("fitted-backtest", lambda: models.backtest(with_reporters(t), ["poisson", "trees"], HORIZONS))
+
+
+def fitted_hybrid(t: Tables) -> DataFrame:
+    return reconcile.structural(models.level_hybrid(fitted_backtest(t), "poisson", "trees"), KEYS)
+
+
 def scales(t: Tables) -> DataFrame:
     p = panel(t)
     first = models.origins(p, 8, 13, 4).agg(F.min("origin").alias("t"))
@@ -145,6 +154,28 @@ def l8_dispersion(t: Tables) -> DataFrame:
     return rounded(intervals.dispersion(models.backtest(panel(t), ["naive"], HORIZONS)), "phi")
 
 
+_TERMS = ["lag_0", "lag_1", "lag_2", "lag_3", "season", "year_change", "mean_4", "sd_4", "mean_13", "sd_13", "reporters_0", "reporters_1"]
+
+
+def _score_sql(origins: str) -> str:
+    """Sums of features times targets, and of targets by series, over the training rows of each regression."""
+    waves = {f"{n}_{k}": f"{n}({k} * 2 * pi() * week / 52)" for k in (1, 2) for n in ("sin", "cos")}
+    return f"""WITH {PANEL}, {_REPORTERS}, x AS ({' UNION ALL '.join(map(_supervised, range(1, 9)))}), {origins},
+    used AS (SELECT series_id, horizon, t, y, {', '.join(f'{c}::DOUBLE AS {c}' for c in _TERMS)}, {', '.join(f'{v} AS {n}' for n, v in waves.items())} FROM x JOIN periods USING (t) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _TERMS)}),
+    long AS (UNPIVOT used ON {', '.join([*_TERMS, *waves])} INTO NAME term VALUE v), by_t AS (SELECT horizon, t, term, sum(v * y) AS s FROM long GROUP BY ALL UNION ALL SELECT horizon, t, series_id, sum(y)::DOUBLE FROM used GROUP BY ALL)
+    SELECT origin, horizon, term, round(sum(s), 1) AS fitted FROM by_t, origins WHERE t <= origin GROUP BY ALL"""
+
+
+def _scores(t: Tables, origins: list[int]) -> DataFrame:
+    return rounded(models.poisson_scores(with_reporters(t), origins, HORIZONS).where("term <> 'early'"), "fitted", digits=1)
+
+
+@section(_score_sql("origins AS (SELECT CAST(m - 8 - 4 * i AS INTEGER) AS origin FROM (SELECT max(t) AS m FROM panel), generate_series(0, 12) g(i))"))
+def l7_score_equations(t: Tables) -> DataFrame:
+    """What the fitted regressions of the 13 origins say of each feature's and series' sum; the data's own sums, if the fits are right."""
+    return _scores(t, [r.origin for r in models.origins(panel(t), 8, 13, 4).select("origin").collect()])
+
+
 _MU = "mu AS (SELECT c_nationkey AS area, count(*) / 84.0::DOUBLE AS m, CASE WHEN c_nationkey % 2 = 0 THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END AS f FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)"
 
 
@@ -272,8 +303,7 @@ def l18_rolling_origin(t: Tables) -> DataFrame:
 @section()
 def l18_model_comparison(t: Tables) -> DataFrame:
     """MASE and coverage of 80 % intervals of naive and fitted models by level, over the same 13 origins and 8 horizons."""
-    p = with_reporters(t)
-    back = backtest(t).unionByName(models.backtest(p, ["poisson", "trees"], HORIZONS))
+    back = backtest(t).unionByName(fitted_backtest(t))
     s = evaluate.by_series(back, scales(t), 0.8, ["model"])
     return s.groupBy("model", "level").agg(F.sum("n").alias("n"), F.round(F.avg("mase"), 4).alias("mase"), F.round(F.avg("rmsse"), 4).alias("rmsse"), F.round(F.sum(F.col("covered") * F.col("n")) / F.sum("n"), 4).alias("coverage"))
 
@@ -290,6 +320,12 @@ def l19_forecast_fitted(t: Tables) -> DataFrame:
     return rounded(models.forecast(with_reporters(t), "poisson", 8), "y_pred", digits=3).select("series_id", "t", "horizon", "y_pred", "lo", "hi")
 
 
+@section(_score_sql("origins AS (SELECT CAST(max(t) AS INTEGER) AS origin FROM panel)"))
+def l19_score_equations(t: Tables) -> DataFrame:
+    """As ``l7_score_equations``, for the regressions that say what comes after the panel's end."""
+    return _scores(t, [panel(t).agg(F.max("t")).first()[0]])
+
+
 def _people(t: Tables) -> DataFrame:
     return t.customer.groupBy(F.concat(F.lit("A"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("series_id")).agg(F.count("*").alias("people"))
 
@@ -302,6 +338,15 @@ def l20_seasonal_poisson(t: Tables) -> DataFrame:
     return rounded(models.sparse_hierarchy(rows, _people(t), origin, HORIZONS), "y_pred", "share", "covered", digits=3)
 
 
+@section(f"""WITH {PANEL}, o AS (SELECT max(t) - 8 AS origin FROM panel), x AS (SELECT 0.5::DOUBLE ^ ((origin - t) / 104.0::DOUBLE) * y AS wy, 1.0::DOUBLE AS one, {', '.join(f'{n}({k} * 2 * pi() * week / 52) AS {n}_{k}' for k in (1, 2) for n in ('sin', 'cos'))} FROM panel, o WHERE level = 'total' AND t <= origin),
+    long AS (UNPIVOT x ON one, sin_1, cos_1, sin_2, cos_2 INTO NAME term VALUE v) SELECT term, round(sum(v * wy), 2) AS fitted FROM long GROUP BY 1""")
+def l20_score_equations(t: Tables) -> DataFrame:
+    """Weighted sums of each term times the fitted total; the data's own sums, if the fit is right."""
+    total = panel(t).where("level = 'total'").join(calendar_table(t).select("year", "week", "days"), ["year", "week"])
+    origin = total.agg(F.max("t")).first()[0] - 8
+    return rounded(models.seasonal_scores(total, origin), "fitted", digits=2)
+
+
 _SHAPE = """c AS (SELECT c_nationkey AS k, count(*) FILTER (o_orderpriority = '1-URGENT') AS n, count(*) AS all_ FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), e AS (SELECT k, n::DOUBLE AS n, sum(n) OVER () * all_::DOUBLE / sum(all_) OVER () AS e FROM c)"""
 _LIK = "sum(lgamma(n + exp(x)) - lgamma(exp(x)) + exp(x) * ln(exp(x) / (exp(x) + e)) + n * ln(e / (exp(x) + e)))"
 
@@ -372,6 +417,13 @@ BY_SERIES = f"""{BACK}, {SCALES}, by_series AS (SELECT model, series_id, level,
     avg(hi - lo + 10 * greatest(lo - y_real, 0) + 10 * greatest(y_real - hi, 0)) AS score FROM back JOIN scales USING (series_id) GROUP BY ALL)"""
 
 
+def by_level(s: DataFrame) -> DataFrame:
+    """(model, error_total, error_leaf, calibrated_total, calibrated_leaf) for the selection rule."""
+    of = lambda level, c: F.when(F.col("level") == level, c)
+    near = lambda level: F.abs(F.sum(of(level, F.col("covered") * F.col("n"))) / F.sum(of(level, F.col("n"))) - 0.8) <= 0.1
+    return s.groupBy("model").agg(*(F.avg(of(k, F.col("rmsse"))).alias(f"error_{k}") for k in ("total", "leaf")), *(near(k).alias(f"calibrated_{k}") for k in ("total", "leaf")))
+
+
 def by_series(t: Tables) -> DataFrame:
     return evaluate.by_series(backtest(t), scales(t), 0.8, ["model"])
 
@@ -441,11 +493,34 @@ _TABLE = f"{BY_SERIES}, tab AS (SELECT model, avg(rmsse) FILTER (level = 'total'
 
 @section(f"WITH {_TABLE}, r AS (SELECT t.model, t.error_total + t.error_leaf AS e, CASE WHEN t.model = 'naive' THEN 3 WHEN t.error_total < b.error_total AND t.error_leaf < b.error_leaf THEN CASE WHEN t.calibrated_total AND t.calibrated_leaf THEN 1 ELSE 2 END END AS k FROM tab t, tab b WHERE b.model = 'naive') SELECT model, CASE k WHEN 1 THEN 'calibrated' WHEN 2 THEN 'most accurate' ELSE 'baseline' END AS rule FROM r WHERE k IS NOT NULL ORDER BY k, e, model LIMIT 1")
 def n10_selection(t: Tables) -> DataFrame:
-    s = by_series(t)
-    of = lambda level, c: F.when(F.col("level") == level, c)
-    near = lambda level: F.abs(F.sum(of(level, F.col("covered") * F.col("n"))) / F.sum(of(level, F.col("n"))) - 0.8) <= 0.1
-    table = s.groupBy("model").agg(*(F.avg(of(k, F.col("rmsse"))).alias(f"error_{k}") for k in ("total", "leaf")), *(near(k).alias(f"calibrated_{k}") for k in ("total", "leaf")))
-    return evaluate.select_model(table, "naive")
+    return evaluate.select_model(by_level(by_series(t)), "naive")
+
+
+@section()
+def l11_fitted_hybrid(t: Tables) -> DataFrame:
+    """Total by Poisson regression, leaves by trees, made to add up by weighted least squares."""
+    return show(fitted_hybrid(t))
+
+
+@section()
+def n10_fitted_selection(t: Tables) -> DataFrame:
+    """Naive and fitted models and the coherent hybrid side by side, by level: scaled errors, coverage, a paired test against
+    the naive model (adjusted over all models and levels), and the model that the selection rule takes."""
+    every = t.kept("every-model", lambda: backtest(t).unionByName(fitted_backtest(t)).unionByName(fitted_hybrid(t)))
+    s = t.kept("every-series", lambda: evaluate.by_series(every, scales(t), 0.8, ["model"]))
+    shown = s.groupBy("model", "level").agg(F.sum("n").alias("n"), F.avg("mase").alias("mase"), F.avg("rmsse").alias("rmsse"), (F.sum(F.col("covered") * F.col("n")) / F.sum("n")).alias("coverage"))
+    naive, others = every.where("model = 'naive'"), ("drift", "poisson", "trees", "hybrid")
+    pairs = None
+    for m in others:
+        part = evaluate.paired(naive, every.where(F.col("model") == m), scales(t)).withColumn("model", F.lit(m))
+        pairs = part if pairs is None else pairs.unionByName(part)
+    tests = evaluate.wilcoxon(t.kept("every-pair", lambda: pairs), ["model", "level"]).withColumns({"family": F.lit(1), "test": F.concat_ws("/", "model", "level")})
+    tests = evaluate.holm(tests, ["family"], "p", "test").select("model", "level", "adjusted")
+    # a row for each model and level, and one row
+    chosen = evaluate.select_model(by_level(s), "naive").select(F.col("model").alias("chosen"), "rule")
+    out = shown.join(F.broadcast(tests), ["model", "level"], "left").crossJoin(F.broadcast(chosen))
+    out = out.withColumn("rule", F.when(F.col("model") == F.col("chosen"), F.col("rule"))).drop("chosen")
+    return rounded(out, "mase", "rmsse", "coverage", "adjusted", digits=4)
 
 
 @section(f"WITH {_CALIBRATION}, both_ AS (SELECT 'conformal' AS kind, level, y_real, lo, hi FROM conformal UNION ALL SELECT 'residual', level, y_real, lo, hi FROM back WHERE model = 'naive') SELECT kind, level, count(*) AS n, round(avg(CASE WHEN y_real BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage, round(avg(hi - lo), 4) AS width FROM both_ GROUP BY ALL")
@@ -538,19 +613,22 @@ def n16_strengths(t: Tables) -> DataFrame:
 
 @section()
 def n17_harmonic_test(t: Tables) -> DataFrame:
-    """Deviance of the total by 0 to 3 harmonics, likelihood ratios and their chi-square tails (two degrees each)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    rows = panel(t).where("level = 'total'").withColumns(calendar.fourier(F.col("week"), 3)).withColumn("none", F.lit(0.0))
-    found = []
-    for k in range(4):
-        names = [f"{n}_{j}" for j in range(1, k + 1) for n in ("sin", "cos")] or ["none"]
-        data = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-        found.append((k, GeneralizedLinearRegression(family="poisson", link="log", labelCol="y").fit(data).summary.deviance))
-    table = t.spark.createDataFrame(found, "harmonics int, deviance double")
-    ratio = F.lag("deviance").over(W.orderBy("harmonics")) - F.col("deviance")
-    return table.withColumn("ratio", ratio).select("harmonics", F.round("deviance", 3).alias("deviance"), F.round("ratio", 3).alias("ratio"), F.round(F.exp(-F.col("ratio") / 2), 6).alias("p"))
+    """Deviance of every series by 0 to 3 harmonics, likelihood ratios and their chi-square tails (two degrees each)."""
+    return rounded(rounded(evaluate.harmonic_test(evaluate.harmonic_fits(panel(t), 3)), "p"), "deviance", "ratio", digits=3)
+
+
+def _fourier(harmonics: int) -> dict[str, str]:
+    return {f"{n}_{k}": f"{n}({k} * 2 * pi() * week / 52)" for k in range(1, harmonics + 1) for n in ("sin", "cos")}
+
+
+_HARMONIC = " UNION ALL ".join(f"SELECT series_id, k, {j} AS place, {x} AS v, y FROM panel, ks WHERE k >= {(j + 1) // 2}" for j, x in enumerate(["1.0::DOUBLE", *_fourier(3).values()]))
+
+
+@section(f"WITH {PANEL}, ks AS (SELECT CAST(k AS INTEGER) AS k FROM generate_series(0, 3) g(k)), x AS ({_HARMONIC}) SELECT series_id, k AS harmonics, place, round(sum(v * y), 2) AS fitted FROM x GROUP BY ALL")
+def n17_score_equations(t: Tables) -> DataFrame:
+    """Sums of each term times the fitted mean, for every series and number of harmonics; the data's own sums, if the fits are right."""
+    fits = evaluate.harmonic_fits(panel(t), 3)
+    return fits.select("series_id", "harmonics", F.posexplode("fitted").alias("place", "fitted")).withColumn("fitted", F.round("fitted", 2))
 
 
 @section(f"WITH {BACK} SELECT series_id, horizon, round(avg(abs(y_real - y_pred)), 6) AS mae, round(sqrt(avg((y_real - y_pred) ** 2)), 6) AS rmse, round(100 * avg(abs((y_real - y_pred) / nullif(y_real, 0))), 6) AS mape FROM back WHERE model = 'naive' GROUP BY ALL")

@@ -49,4 +49,4 @@ def test_same_rows_as_sql(spark, duck, name):
 def test_runs_without_sql(spark, name):
     """Fits, which SQL cannot express: no value is missing but those that are not known yet; see tests/test_forecast.py."""
     rows = registry.QUERIES[name](spark, DATA).collect()
-    assert rows and all(r[c] is not None or c in ("ratio", "p") for r in rows for c in r.asDict())
+    assert rows and all(r[c] is not None or c in ("ratio", "p", "adjusted", "rule") for r in rows for c in r.asDict())

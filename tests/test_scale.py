@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfold.operators import quadtree, ranks, selection
+from tallyfold.operators import aggregates, evaluate, quadtree, ranks, selection
 from tallyfold.sources import publish
 
 
@@ -138,3 +138,30 @@ def test_reading_what_is_published_writes_nothing(spark, tmp_path):
     for _ in range(3):
         assert publish.published(spark, root, "a").count() == 1
     assert sorted(p.name for p in (tmp_path / "r/_published").iterdir()) == files
+
+
+@pytest.mark.parametrize("bound", [0, 3, 10_000])
+def test_profile_counts_distinct_values_by_sets_and_one_by_one(spark, bound):
+    rows = [(k, None if k % 7 == 0 else f"v{k % 5}", ("", "*", "-2.5", None)[k % 4]) for k in range(400)]
+    df = spark.createDataFrame(rows, "a long, b string, c string").repartition(5)
+    got = {r.column: (r.nulls, r.blanks, r["distinct"], r.negatives) for r in aggregates.profile(df, ["a", "b", "c"], bound).collect()}
+    assert got == {"a": (0, 0, 400, 0), "b": (58, 0, 5, 0), "c": (100, 200, 3, 100)}
+    empty = aggregates.profile(df.limit(0), ["a", "b"], bound).collect()
+    assert [tuple(r) for r in empty] == [("a", 0, 0, 0, 0), ("b", 0, 0, 0, 0)]
+
+
+def test_harmonic_fits_of_zeros_short_and_seasonal_series(spark):
+    rng = np.random.default_rng(3)
+    rows = [("zero", "leaf", t, t % 52 + 1, 0) for t in range(60)] + [("short", "leaf", t, t + 1, 4 + t) for t in range(3)] + [("gap", "leaf", 0, 1, None)]
+    rows += [("wave", "leaf", t, t % 52 + 1, int(rng.poisson(30 * math.exp(0.5 * math.sin(2 * math.pi * (t % 52 + 1) / 52))))) for t in range(208)]
+    panel = spark.createDataFrame(rows, "series_id string, level string, t int, week int, y long")
+    fits = evaluate.harmonic_fits(panel, 2)
+    got = {(r.series_id, r.harmonics): r for r in fits.collect()}
+    assert {k for k, _ in got} == {"zero", "short", "wave"}
+    assert all(got["zero", k].deviance == 0 for k in range(3))
+    assert got["short", 2].deviance == pytest.approx(0, abs=1e-6)
+    y, w = (np.array([r[j] for r in rows if r[0] == "wave"], float) for j in (4, 3))
+    assert got["wave", 1].fitted == pytest.approx([y.sum(), y @ np.sin(2 * np.pi * w / 52), y @ np.cos(2 * np.pi * w / 52)], abs=1e-6)
+    assert got["wave", 0].deviance == pytest.approx(2 * float(np.where(y > 0, y * np.log(np.maximum(y, 1) / y.mean()), 0).sum()))
+    tests = {(r.series_id, r.harmonics): r for r in evaluate.harmonic_test(fits).collect()}
+    assert tests["wave", 1].p < 1e-6 < tests["wave", 2].p and tests["wave", 0].p is None and tests["zero", 1].p == 1
