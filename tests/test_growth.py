@@ -1,9 +1,62 @@
 """Queries on tables that are larger, or of other shapes, than the test tables: constants of small data must not show."""
 
+import contextlib
+import datetime
+import io
+import random
+import re
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from tallyfold.plans import registry
+from tallyfold.plans import q_forecast, registry, testbed
+from tallyfold.sources import shared
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Facts on both sides of years of 52 and 53 weeks, repeated, without day, facility or known facility; areas and facilities without facts."""
+    folder, rng = str(tmp_path_factory.mktemp("odd")), random.Random(4)
+    ends = [datetime.datetime(y, m, d) for y in range(2022, 2027) for m, d in [(1, k) for k in range(1, 11)] + [(12, k) for k in range(22, 32)]]
+    other = [datetime.datetime(2022, 3, 1) + datetime.timedelta(days=rng.randrange(1700)) for _ in range(300)]
+    rows = [(k, rng.choice([1, 2, 3, 4, 5, 77, None]), float(rng.randrange(1, 50)), "A", "F", day) for k, day in enumerate(3 * ends + other)]
+    rows += rows[:200] + [(9, 1, 4.0, "A", "F", None)] * 3
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp").repartition(5).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 2), (5, 9), (6, 1)], "s_suppkey long, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1)], "n_nationkey int, n_regionkey int").write.parquet(f"{folder}/nation.parquet")
+    return folder
+
+
+def test_reporters_and_sums_of_odd_facts_equal_their_sql(spark, odd):
+    duck = duckdb.connect()
+    for name in ("lineitem", "supplier", "nation"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{odd}/{name}.parquet/*.parquet')")
+    columns = "series_id, level, service, t, year, week, y, reporters"
+    want = duck.execute(f"WITH {testbed.PANEL}, {q_forecast._REPORTERS} SELECT {columns} FROM covered").fetchall()
+    got = [tuple(r) for r in q_forecast.with_reporters(testbed.Tables(spark, odd)).select(*columns.split(", ")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # repeated facts of a facility count once
+    assert max(r[7] for r in got if r[0] == "A00") == 2 and max(r[7] for r in got if r[0] == "TOTAL") == 4
+
+
+def test_facts_are_read_once_a_table_and_shrink_to_facilities_and_years(spark, odd, monkeypatch):
+    plans, kept = {}, shared.kept
+
+    def noted(df, name):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain()
+        plans[name] = out.getvalue()
+        return kept(df, name)
+
+    monkeypatch.setattr(shared, "kept", noted)
+    q_forecast.with_reporters(testbed.Tables(spark, odd))
+    reads = {name: len(re.findall(r"FileScan parquet \[[^]]*l_shipdate", plan)) for name, plan in plans.items()}
+    # the calendar, the sums, the reporters
+    assert max(reads.values()) == 1 and sum(reads.values()) == 3
+    shuffled = [keys for plan in plans.values() for keys in re.findall(r"hashpartitioning\(([^)]*)\)", plan) if "facility" in keys]
+    assert shuffled and not any("week" in keys for keys in shuffled)
 
 
 def test_quantiles_of_counts_equal_their_sql_at_means_over_the_small_tables(spark, tmp_path):
