@@ -137,12 +137,16 @@ def fit(rows: DataFrame, cells: list[Cell], ridge: float = 1e-4, rounds: int = 2
 
     Penalised likelihood by Newton's steps, halved where they do not better it; the penalty is ``ridge`` a row and
     spares the intercept. What comes to the driver in a round is regressions times features squared.
+
+    A regression is done when a step changes its fitted means by under ``tolerance`` of them (root of the mean square,
+    weighted by the means). Coefficients are not asked: where features repeat each other, as a mean of lags does, only
+    the penalty holds them, and they move by the rounding of the counts' sums over the penalty, more with larger counts.
     """
     data = rows.where("y is not null").select("series_id", "horizon", "t", "x", F.col("y").cast("double").alias("y"))
     # whole series to each task; a row for each horizon and period comes to the driver
     whole = data.repartition("series_id").sortWithinPartitions("series_id", "horizon", "t")
-    found = data.groupBy("horizon", "t").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p")).toPandas()
-    n = np.array([found.loc[(found["horizon"] == h) & (found["t"] <= u), "n"].sum() for _, h, u in cells], float)
+    found = data.groupBy("horizon", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.max(F.size("x")).alias("p")).toPandas()
+    n, total = np.array([found.loc[(found["horizon"] == h) & (found["t"] <= u), ["n", "y"]].sum() for _, h, u in cells], float).reshape(-1, 2).T
     p = 1 + int(found["p"].max()) if len(found) else 1
     spared = np.concatenate([[0.0], np.ones(p - 1)])
     beta, before, best = np.zeros((len(cells), p)), np.zeros((len(cells), p)), np.full(len(cells), -np.inf)
@@ -162,9 +166,11 @@ def fit(rows: DataFrame, cells: list[Cell], ridge: float = 1e-4, rounds: int = 2
                 beta[at] = before[at] + step[at]
                 continue
             best[at], before[at], halved[at] = like, beta[at].copy(), 0
-            step[at] = np.linalg.solve(got[1 + p :].reshape(p, p) + np.diag(penalty + 1e-12), got[1 : 1 + p] - penalty * beta[at])
+            left = got[1 + p :].reshape(p, p)
+            step[at] = np.linalg.solve(left + np.diag(penalty + 1e-12), got[1 : 1 + p] - penalty * beta[at])
             beta[at] = beta[at] + step[at]
-            done[at] = np.abs(step[at]).max() < tolerance
+            # fitted means add up to about the targets
+            done[at] = step[at] @ left @ step[at] < tolerance**2 * max(total[at], 1.0)
     use = [k for k in range(len(cells)) if n[k]]
     last = _Regressions([cells[k] for k in use], beta[use], ridge * n[use])
     return Fit({cells[k]: beta[k] for k in use}, whole.mapInPandas(last.terms, "series_id string, horizon int, until int, term double"))

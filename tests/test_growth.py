@@ -3,6 +3,7 @@
 import contextlib
 import datetime
 import io
+import math
 import random
 import re
 
@@ -10,6 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfold.operators import glm
 from tallyfold.plans import q_forecast, registry, testbed
 from tallyfold.sources import shared
 
@@ -72,3 +74,22 @@ def test_quantiles_of_counts_equal_their_sql_at_means_over_the_small_tables(spar
     got = sorted(tuple(r[c] for c in ("area", "lo", "hi", "covered")) for r in registry.QUERIES["l9_count_quantiles"](spark, folder).collect())
     assert [r[0] for r in got] == [0, 1, 2] and got[0][1] < 500 < got[0][2] and got[1][1] < 1000 < got[1][2]
     assert got == want
+
+
+def test_rounds_of_regressions_do_not_grow_with_counts(spark, monkeypatch):
+    """``mean`` repeats the features before it, so that the counts say nothing of one direction of the coefficients."""
+    rng = random.Random(9)
+    names, made, real = ["a", "b", "c", "mean", "d"], [], glm._Regressions
+    monkeypatch.setattr(glm, "_Regressions", lambda *a: made.append(1) or real(*a))
+    shapes = [(f"s{k}", 1, t, *(rng.gauss(0, 1) for _ in range(4)), rng.random()) for k in range(3) for t in range(60)]
+    for times in (10, 10**9):
+        rows = [(s, h, t, a, b, c, (a + b + c) / 3, d, int(times * math.exp(0.2 * a - 0.1 * b + 0.3 * d) * (1 + e))) for s, h, t, a, b, c, d, e in shapes]
+        made.clear()
+        got = glm.score_sums(spark.createDataFrame(rows, "series_id string, horizon int, t int, a double, b double, c double, mean double, d double, y long"), names, [40, 59], [1]).collect()
+        # one more makes the terms of the series
+        assert len(made) - 1 <= 10
+        for o in (40, 59):
+            used = [r for r in rows if r[2] <= o]
+            want = {n: sum(r[3 + k] * r[-1] for r in used) for k, n in enumerate(names)} | {s: sum(r[-1] for r in used if r[0] == s) for s in ("s0", "s1", "s2")}
+            size = sum(r[-1] for r in used)
+            assert {r["term"]: r["fitted"] for r in got if r["origin"] == o} == pytest.approx(want, abs=1e-9 * size)
