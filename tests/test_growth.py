@@ -61,6 +61,27 @@ def test_facts_are_read_once_a_table_and_shrink_to_facilities_and_years(spark, o
     assert shuffled and not any("week" in keys for keys in shuffled)
 
 
+def test_reporters_of_many_years_shrink_to_facilities(spark, tmp_path):
+    """Facts of 1990 to 2026, in every year, in five runs of eight years: what is shuffled by facility is a row for each of those, not for each year."""
+    folder, rng = str(tmp_path), random.Random(5)
+    days = [datetime.datetime(y, 1, 1) + datetime.timedelta(days=d) for y in range(1990, 2027) for d in [0, 1, 2, 362, 363, 364, *(rng.randrange(365) for _ in range(6))]]
+    rows = [(k, f, 1.0, "A", "F", day) for f in (1, 2, 3) for k, day in enumerate(days) if f != 2 or day.year in (1997, 1998, 2013)] + [(9, 1, 4.0, "A", "F", None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp").repartition(3).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "s_suppkey long, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    spark.createDataFrame([(0, 0), (1, 0)], "n_nationkey int, n_regionkey int").write.parquet(f"{folder}/nation.parquet")
+    duck = duckdb.connect()
+    for name in ("lineitem", "supplier", "nation"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
+    want = duck.execute(f"WITH {testbed.WEEKLY} SELECT area, region, year, week, count(DISTINCT facility) FROM weekly WHERE day IS NOT NULL GROUP BY ALL").fetchall()
+    made = testbed.area_reporters(testbed.Tables(spark, folder))
+    assert sorted(map(tuple, made.collect())) == sorted(want) and max(r[4] for r in want) == 2
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        made.explain()
+    keys = {re.sub(r"#\d+L?", "", k) for k in re.findall(r"hashpartitioning\(([^)]*)\)", out.getvalue()) if "facility" in k}
+    assert keys and not any("year" in k or "week" in k for k in keys)
+
+
 def test_quantiles_of_counts_equal_their_sql_at_means_over_the_small_tables(spark, tmp_path):
     """Areas 0 and 1 have 500 and 1,000 orders in a period, with and without excess variance; area 2 has a few in all."""
     folder = str(tmp_path)
