@@ -92,9 +92,11 @@ def zero(panel: DataFrame, at: DataFrame, horizons: list[int]) -> DataFrame:
 def backtest(panel: DataFrame, models: list[str], horizons: list[int], n: int = 13, step: int = 4) -> DataFrame:
     """Predictions of the named models from every origin, one row per (model, origin, horizon, series)."""
     at = origins(panel, max(horizons), n, step)
+    # fitted models learn from the same rows, written once
+    known = {"rows": _supervised(panel, horizons)} if set(models) & FITTED else {}
     out = None
     for name in models:
-        rows = REGISTRY[name](panel, at, horizons)
+        rows = REGISTRY[name](panel, at, horizons, **(known if name in FITTED else {}))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -221,9 +223,12 @@ def poisson_scores(panel: DataFrame, origins: list[int], horizons: list[int]) ->
     return glm.score_sums(rows, _features(panel, rows), origins, horizons)
 
 
-def poisson(panel: DataFrame, at: DataFrame, horizons: list[int]) -> DataFrame:
-    """A global Poisson regression for each origin and horizon, with quantiles of counts as bounds."""
-    rows = _supervised(panel, horizons)
+def poisson(panel: DataFrame, at: DataFrame, horizons: list[int], rows: DataFrame | None = None) -> DataFrame:
+    """A global Poisson regression for each origin and horizon, with quantiles of counts as bounds.
+
+    ``rows`` are the supervised rows of the panel, if they are written already.
+    """
+    rows = _supervised(panel, horizons) if rows is None else rows
     names = _features(panel, rows)
     return glm.forecasts(rows, names, _origins(at), horizons).select(F.lit("poisson").alias("model"), *COLUMNS[1:])
 
@@ -234,8 +239,7 @@ def relative_features(rows: DataFrame, names: list[str], base: str = "mean_13")
     return rows.withColumns({n: F.col(n) / (F.col(base) + 0.5) for n in own})
 
 
-def _binned(panel: DataFrame, horizons: list[int], until: int) -> tuple[list[str], DataFrame, list[str], list[list[float]]]:
-    rows = _supervised(panel, horizons)
+def _binned(panel: DataFrame, rows: DataFrame, until: int) -> tuple[list[str], DataFrame, list[str], list[list[float]]]:
     names = [c for c in rows.columns if c not in ("series_id", "level", "service", "t", "year", "week", "y", "horizon") and c not in panel.columns] + ["horizon"]
     return names, *boosting.binned(relative_features(rows, names), names, until, "mean_13")
 
@@ -243,20 +247,21 @@ def _binned(panel: DataFrame, horizons: list[int], until: int) -> tuple[list[str
 def first_splits(panel: DataFrame, at: DataFrame, horizons: list[int], calibration: int = 26) -> DataFrame:
     """(origin, feature, cut, left, right): the root of the first tree of each origin, and the Newton step on its two sides."""
     ends = _origins(at)
-    names, made, series, cuts = _binned(panel, horizons, min(ends) - calibration)
+    names, made, series, cuts = _binned(panel, _supervised(panel, horizons), min(ends) - calibration)
     roots = boosting.Ensembles(ends, boosting.Settings(trees=1, depth=1, rate=1.0)).fit(made, len(series)).roots(names, cuts)
     # a row per origin
     return panel.sparkSession.createDataFrame(roots, "origin int, feature string, cut double, left double, right double")
 
 
-def trees(panel: DataFrame, at: DataFrame, horizons: list[int], calibration: int = 26, least: int = 20, coverage: float = LEVEL, settings: boosting.Settings | None = None) -> DataFrame:
+def trees(panel: DataFrame, at: DataFrame, horizons: list[int], calibration: int = 26, least: int = 20, coverage: float = LEVEL, settings: boosting.Settings | None = None, rows: DataFrame | None = None) -> DataFrame:
     """Boosted trees for each origin, all horizons in one ensemble; bounds are quantiles of relative errors.
 
     The ensembles of all origins grow together. The errors are those of ensembles that have not seen the last
     ``calibration`` periods before their origin; a series with under ``least`` of them gets the quantiles of all.
+    ``rows`` are the supervised rows of the panel, if they are written already.
     """
     ends = _origins(at)
-    names, made, series, _ = _binned(panel, horizons, min(ends) - calibration)
+    names, made, series, _ = _binned(panel, _supervised(panel, horizons) if rows is None else rows, min(ends) - calibration)
     grown = boosting.Ensembles([u for o in ends for u in (o, o - calibration)], settings).fit(made, len(series))
     # a row per origin
     table = F.broadcast(panel.sparkSession.createDataFrame([(o,) for o in ends], "origin int"))
@@ -274,4 +279,6 @@ def trees(panel: DataFrame, at: DataFrame, horizons: list[int], calibration: int
     return shared.kept(got, "trees")
 
 
-REGISTRY: dict[str, Callable[[DataFrame, DataFrame, list[int]], DataFrame]] = {"naive": naive, "drift": drift, "zero": zero, "poisson": poisson, "trees": trees}
+REGISTRY: dict[str, Callable[..., DataFrame]] = {"naive": naive, "drift": drift, "zero": zero, "poisson": poisson, "trees": trees}
+#: Models that learn from supervised rows.
+FITTED = {"poisson", "trees"}

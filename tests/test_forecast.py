@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.operators import boosting, glm, intervals, models, panels
-from tallyfold.sources import publish
+from tallyfold.sources import publish, shared
 from tallyfold.streaming import refresh
 
 
@@ -129,6 +129,16 @@ def test_backtest_and_forecast_with_fitted_models(panel):
     assert sorted(set(ahead["t"])) == [170, 171, 172] and len(ahead) == 12 and ahead["y_real"].isna().all()
 
 
+def test_fitted_models_learn_from_rows_written_once(panel, monkeypatch):
+    names, kept = [], shared.kept
+    monkeypatch.setattr(shared, "kept", lambda df, name: names.append(name) or kept(df, name))
+    back = models.backtest(panel, ["naive", "poisson", "trees"], [1], n=1)
+    assert names.count("supervised") == 1 and {r[0] for r in back.select("model").collect()} == {"naive", "poisson", "trees"}
+    names.clear()
+    models.backtest(panel, ["naive"], [1], n=1)
+    assert "supervised" not in names
+
+
 def test_sparse_hierarchy(spark, panel):
     rows = panel.withColumn("days", F.lit(7)).drop("reporters", "service")
     people = spark.createDataFrame([("A0", 400), ("A1", 100), ("A2", 250)], "series_id string, people long")
