@@ -4,7 +4,11 @@ A document is the multiset of its shingles of five lower-case words; a shingle w
 document frequency. Document frequencies are those of the shingles themselves, counted over all documents in one shuffle of
 packed hashes; shingles in under ``CLIP`` of the documents (1e-4) weigh as if they were in so many. So the table of frequencies that
 goes to the executors holds at most (mean number of distinct shingles) / ``CLIP`` entries, whatever the number of
-documents, and weights mean the same at any size. For each of ``BANDS * ROWS`` keys the sampler draws one
+documents, and weights mean the same at any size. A group of copies counts as half of ``CLIP`` of the documents, or two,
+if it holds more: each of its members counts as a part of a document. Else what copies share would weigh less than
+their edits the more copies there are, and large groups would come apart. Groups are known by how many documents
+have the same bands of a plain sketch, of which the frequent ones, ``BINS`` / ``CLIP`` at most, go to the executors too.
+For each of ``BANDS * ROWS`` keys the sampler draws one
 (shingle, level) pair such that two documents draw the same pair with a probability equal to their weighted
 Jaccard similarity; ``ROWS`` samples make a band. Documents that share a band are candidates; texts with equal
 multisets count once from here on. In each band each document is first compared to three members of its group: the
@@ -34,6 +38,11 @@ from tallyfold.llm.common import expand, partitions, settle, slices, squeeze
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 8, 2
 CLIP = 1e-4
+#: Ranges of hashes that give a sketch its numbers, two for a band, and how many of a text's bands many others must have
+#: for it to count as one of their copies: as many as texts share that are about a third alike.
+BINS, ALIKE = 64, 4
+#: What a document counts that is in no large group of copies; whole numbers sum up alike in any order.
+UNIT = 1 << 20
 #: Shingles that a task counts before it sends them, and of a bucket.
 CHUNK_SHINGLES = 2_000_000
 #: Documents compared to one centre, or held in a tile, in one go.
@@ -82,8 +91,9 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for k in range(SHINGLE):
         inside = left > k
         s = mix(s * _K[0] + np.where(inside, w[np.minimum(at + k, max(len(w) - 1, 0))] if len(w) else np.uint64(0), np.uint64(0)) + np.uint64(1))
-    order = np.lexsort((s, doc))
-    doc, s = doc[order], s[order]
+    end = np.cumsum(count)
+    for b, e in zip((end - count).tolist(), end.tolist()):
+        s[b:e].sort()
     new = np.append(True, (doc[1:] != doc[:-1]) | (s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
     begin = np.flatnonzero(new)
     return doc[begin], s[begin], np.diff(np.append(begin, len(s)))
@@ -119,6 +129,25 @@ def samples(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) ->
     return out
 
 
+#: The ranges that stand in for each range, itself first, where a text has no shingle in it.
+_STAND_IN = [sorted(range(BINS), key=lambda x, k=k: (x != k, xxhash.xxh64_intdigest(f"{k} {x}"))) for k in range(BINS)]
+
+
+def sketch(doc: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+    """A row of BINS / 2 hashes for each document that occurs; two have each alike with about the square of their Jaccard similarity."""
+    number = np.cumsum(np.append(True, doc[1:] != doc[:-1])) - 1 if len(doc) else doc
+    part = (shingle >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    # shingles are sorted, so the first of a range is its smallest
+    at = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (part[1:] != part[:-1]))) if len(doc) else number
+    least = np.zeros((len(np.unique(number)), BINS), np.uint64)
+    has = np.zeros(least.shape, bool)
+    least[number[at], part[at]], has[number[at], part[at]] = shingle[at], True
+    rows, out = np.arange(len(least)), np.zeros_like(least)
+    for k, order in enumerate(np.array(_STAND_IN)):
+        out[:, k] = mix(least[rows, order[has[:, order].argmax(axis=1)]] * _K[0] + np.uint64(k))
+    return mix(out[:, 0::2] * _K[0] + out[:, 1::2])
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two (sorted shingles, weights)."""
     if not len(a[0]) or not len(b[0]):
@@ -156,25 +185,48 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(steps).view(kind).ravel(), dtype=kind)
 
 
-def _send_counts(buckets: int):
-    """One row (bucket, shingles, counts) for each bucket and chunk of texts; buckets are ranges of hashes."""
+class Copies:
+    """What a document counts: less than ``UNIT`` in a group of more than ``most`` copies, which together count as about so many."""
+
+    def __init__(self, band: np.ndarray, size: np.ndarray, most: float):
+        order = np.argsort(band)
+        self.band, self.size, self.most = band[order], size[order], most
+
+    def amounts(self, doc: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+        """For each document that occurs."""
+        bands = sketch(doc, shingle)
+        if not len(self.band):
+            return np.full(len(bands), UNIT, np.int64)
+        at = np.minimum(np.searchsorted(self.band, bands), len(self.band) - 1)
+        size = np.sort(np.where(self.band[at] == bands, self.size[at], 0.0), axis=1)[:, -ALIKE]
+        return np.maximum(1, UNIT * self.most / np.maximum(size, self.most)).astype(np.int64)
+
+
+def _send_counts(buckets: int, counted):
+    """One row (bucket, items, counts) for each bucket and chunk of texts; buckets are ranges of hashes.
+
+    ``counted`` gives the hashes of some texts and what each counts.
+    """
     edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
 
     def run(batches):
         held, size = [], 0
 
         def flush():
-            s, count = np.unique(np.concatenate(held), return_counts=True)
-            cut = [0, *np.searchsorted(s, edges).tolist(), len(s)]
-            rows = [(k, _pack(s[b:e]), _pack(count[b:e].astype(np.uint32))) for k, (b, e) in enumerate(zip(cut, cut[1:])) if e > b]
+            s, n = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            bucket, shingle, n = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(shingle, pa.binary()), pa.array(n, pa.binary())], ["bucket", "shingles", "counts"])
+            whole = n == UNIT
+            one, times = np.unique(s[whole], return_counts=True)
+            rows = []
+            for s, n in ((one, times * UNIT), _summed(s[~whole], n[~whole])):
+                cut = [0, *np.searchsorted(s, edges).tolist(), len(s)]
+                rows += [(k, _pack(s[b:e]), _pack(n[b:e].astype(np.uint64))) for k, (b, e) in enumerate(zip(cut, cut[1:])) if e > b]
+            bucket, item, n = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(item, pa.binary()), pa.array(n, pa.binary())], ["bucket", "items", "counts"])
 
         for batch in slices(batches, 0):
-            _, s, _ = shingles(batch.column(0).to_pylist())
-            held.append(s)
-            size += len(s)
+            held.append(counted(batch.column(0).to_pylist()))
+            size += len(held[-1][0])
             if size >= CHUNK_SHINGLES:
                 yield flush()
                 size = 0
@@ -184,22 +236,25 @@ def _send_counts(buckets: int):
     return run
 
 
+def _summed(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different items, in order, and the sum of each."""
+    order = np.argsort(s, kind="stable")
+    s, n = s[order], n[order]
+    begin = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else order
+    return s[begin], np.add.reduceat(n, begin) if len(s) else n
+
+
 def _frequent(least: float):
-    """(shingle, df) of the shingles in ``least`` documents at least, from rows ordered by bucket."""
+    """(item, n) of the items in ``least`` documents at least, from rows ordered by bucket."""
 
     def run(batches):
         at, held = None, []
 
         def flush():
-            s = np.concatenate([_unpack(a, np.uint64) for a, _ in held])
-            n = np.concatenate([_unpack(b, np.uint32) for _, b in held]).astype(np.int64)
-            order = np.argsort(s, kind="stable")
-            s, n = s[order], n[order]
-            begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            df = np.add.reduceat(n, begin)
-            keep = df >= least
+            s, n = _summed(np.concatenate([_unpack(a, np.uint64) for a, _ in held]), np.concatenate([_unpack(b, np.uint64) for _, b in held]).astype(np.int64))
+            keep = n >= least * UNIT
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(s[begin][keep].view(np.int64)), pa.array(df[keep])], ["shingle", "df"])
+            return pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(n[keep] / UNIT)], ["item", "n"])
 
         for batch in batches:
             for bucket, s, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -213,15 +268,39 @@ def _frequent(least: float):
     return run
 
 
+def _counts(docs: DataFrame, counted, buckets: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the items of all texts that count ``least`` documents at least."""
+    sent = docs.select("text").mapInArrow(_send_counts(buckets, counted), "bucket int, items binary, counts binary")
+    frequent = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(least), "item long, n double").toPandas()
+    return frequent["item"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.float64)
+
+
+def _bands_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    doc, s, _ = shingles(texts)
+    bands = sketch(doc, s).ravel()
+    return bands, np.full(len(bands), UNIT, np.int64)
+
+
+def _shingles_of(copies):
+    def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        doc, s, _ = shingles(texts)
+        return s, np.repeat(copies.value.amounts(doc, s), np.unique(doc, return_counts=True)[1])
+
+    return counted
+
+
 def idf_table(docs: DataFrame) -> Idf:
-    """Document frequencies, counted over all documents, of the shingles in two of them and in ``CLIP`` of them at least."""
+    """Document frequencies, counted over all documents, of the shingles in two of them and in ``CLIP`` of them at least.
+
+    A larger group of copies counts as half of ``CLIP`` of the documents, or as two.
+    """
     total, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    # half, as the members that have a band alike may be half of the group
+    most, fewest = max(2.0, CLIP * total / 2), partitions(docs.sparkSession)
+    copies = Copies(*_counts(docs, _bands_of, max(fewest, total * BINS // 2 // CHUNK_SHINGLES), most), most)
     # words of a text are about six characters apart
-    buckets = max(partitions(docs.sparkSession), size // 6 // CHUNK_SHINGLES)
-    sent = docs.select("text").mapInArrow(_send_counts(buckets), "bucket int, shingles binary, counts binary")
-    counted = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(max(2.0, CLIP * total)), "shingle long, df long")
-    frequent = counted.toPandas()
-    return Idf(frequent["shingle"].to_numpy(np.int64).view(np.uint64), frequent["df"].to_numpy(np.int64), total)
+    counted = _shingles_of(docs.sparkSession.sparkContext.broadcast(copies))
+    return Idf(*_counts(docs, counted, max(fewest, size // 6 // CHUNK_SHINGLES), max(2.0, CLIP * total)), total)
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
